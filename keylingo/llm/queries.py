@@ -11,16 +11,24 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, curriculum_mix, exact_dedup, simhash, toxicity
+from . import ann, byte_bpe, curriculum_mix, exact_dedup, hmm, secrets, simhash, token_files, toxicity, warc
 from .common import table
 
-BYTE_BPE = "byte_bpe_50k.tiktoken"
+BYTE_BPE, WORD_BPE, WORD_BPE_END = "byte_bpe_50k.tiktoken", "word_bpe_49k.json", 2
+
+
+def op1_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(table(spark, sf_dir, "documents"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), WORD_BPE_END)
+
+
 def op4_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum_mix.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position", "doc_id")
@@ -30,21 +38,38 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.round_trip(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_hmm_scores": op1_hmm_scores,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
+        "op3_token_files": op3_token_files,
         "op4_curriculum_mix": op4_curriculum_mix,
         "op5_toxicity": op5_toxicity,
+        "op6_warc": op6_warc,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_secret_scan": op8_secret_scan,
+        "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
