@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -32,10 +33,11 @@ from .common import Scratch
 
 MAGIC, SAMPLE = b"EFTOKEN1", 256
 #: Rows of a shard, about; a worker keeps the ids of this many distinct chunks before it starts anew.
-ROWS_A_SHARD, MEMO = 8192, 400_000
+ROWS_A_SHARD, MEMO = 8192, 600_000
 #: magic, nulls among the ids, smallest id, documents, ids, bytes an id, lengths of the two sequences
 _FOOTER = "<8sQqQQBQQ"
 _BREAKS = re.compile("[\t\n\r]")
+_RUNS = re.compile(r"(?:[^\w ]|_)[.,] ")
 
 
 class EliasFano:
@@ -96,28 +98,56 @@ class EliasFano:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """The tokenizer, the width of its ids, remembered chunks, and which ids end a word."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
     made.encode_special_tokens = True  # their strings in a text are ordinary text
-    return made, np.dtype("<u2" if made.get_vocab_size() <= 1 << 16 else "<u4"), {}
+    vocabulary = made.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+    return made, np.dtype("<u2" if len(ends) <= 1 << 16 else "<u4"), {"": b""}, ends
 
 
-def encode(text: str, path: str) -> bytes:
-    """The ids of a text, in the file's width.
+def _chunks(text: str) -> list[str]:
+    """Parts of a text that the tokenizer's rules never join; it ignores case and the white space between them.
 
-    The tokenizer's rules never join across white space, so chunks between white
-    space are encoded once each and remembered.
+    Lower case is taken here only where that can't differ from the tokenizer's
+    own rule, and a comma or full stop is parted from the word before it only
+    where no other punctuation precedes one.
     """
-    tokenizer, width, memo = _tokenizer(path)
-    chunks = _BREAKS.sub(" ", text).split(" ")
-    new = [c for c in set(chunks) if c not in memo]
+    if "\u03a3" not in text and unicodedata.is_normalized("NFC", text):
+        low = text.lower()
+        if unicodedata.is_normalized("NFC", low):
+            text = low
+    text = _BREAKS.sub(" ", text)
+    if not _RUNS.search(text):
+        text = text.replace(". ", " . ").replace(", ", " , ")
+    return text.split(" ")
+
+
+def encode(text: str, path: str) -> bytes:
+    """The ids of a text, in the file's width: chunks between white space are encoded once each and remembered."""
+    tokenizer, width, memo, ends = _tokenizer(path)
+    chunks = _chunks(text)
+    new = list(set(chunks).difference(memo))
     if new:
         if len(memo) + len(new) > MEMO:
             memo.clear()
-            new = list(set(chunks))
-        for chunk, made in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            memo[""] = b""
+            new = list(set(chunks) - {""})
+        # words of letters alone are one pre-token each: encoded in one call, and told apart by the ids that end a word
+        plain = [c for c in new if c.isalpha()]
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.int64)
+        cuts = (np.flatnonzero(ends[ids]) + 1).tolist() if len(ids) else []
+        if len(cuts) == len(plain):
+            raw, size, at = ids.astype(width).tobytes(), width.itemsize, 0
+            for chunk, cut in zip(plain, cuts, strict=True):
+                memo[chunk] = raw[at * size : cut * size]
+                at = cut
+        rest = [c for c in new if c not in memo]
+        for chunk, made in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             memo[chunk] = np.array(made.ids, width).tobytes()
     return b"".join(map(memo.__getitem__, chunks))
 

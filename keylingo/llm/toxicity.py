@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
                 [pa.array([b[0] for b in both], pa.float64()), pa.array([b[1] for b in both], pa.float64()), batch.column("toxic")], ["total", "density", "toxic"]
             )
 
-    rows_seen = sample.mapInArrow(measured, "total double, density double, toxic int").orderBy("toxic", "total", "density").collect()  # bounded by `rows`
+    rows_seen = sorted(sample.mapInArrow(measured, "total double, density double, toxic int").collect())  # bounded by `rows`
     return Lexicon(entries, EXCEPTIONS, _logistic(np.array([[1.0, r[0], r[1]] for r in rows_seen]), np.array([float(r[2] > 0) for r in rows_seen])))
 
 
