@@ -31,7 +31,7 @@ from .common import Scratch, as_bytes, words
 from .components import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-BLOCK, BUCKET = 2048, 1 << 22
+BLOCK, BUCKET = 1024, 1 << 21
 #: Prefixes have so many bits more than it takes to count all values: one value in 2**SPARE is named in vain.
 SPARE = 7
 
@@ -85,23 +85,36 @@ def _mix(values: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _pack(prefixes: np.ndarray) -> tuple[int, bytes]:
-    """Sorted prefixes as differences of 16 or 32 bits; gaps too wide get values in between, which do no harm."""
-    gaps = np.diff(prefixes)
-    kind = np.uint16 if len(gaps) == 0 or gaps.mean() < 1 << 14 else np.uint32
-    most = int(np.iinfo(kind).max)
-    if len(gaps) and int(gaps.max()) > most:
-        steps = (gaps + np.uint64(most - 1)) // np.uint64(most)
-        steps = np.maximum(steps, 1).astype(np.int64)
-        wide = np.full(int(steps.sum()), most, np.uint64)
-        wide[np.cumsum(steps) - 1] = gaps - (steps - 1).astype(np.uint64) * np.uint64(most)
-        gaps = wide
-    return int(prefixes[0]), (b"2" if kind is np.uint16 else b"4") + gaps.astype(kind).tobytes()
-
-
-def _unpack(first: int, packed: bytes) -> np.ndarray:
-    gaps = np.frombuffer(packed, np.uint16 if packed[:1] == b"2" else np.uint32, offset=1).astype(np.uint64)
-    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(gaps, dtype=np.uint64)]) + np.uint64(first)
+def _pack(values: np.ndarray, bits: int) -> bytes:
+    """A sorted array of values of ``bits`` bits: whole low bytes, then odd low bits, then the rest in unary (Elias-Fano)."""
+    n = len(values)
+    low = max(0, bits - max(0, math.ceil(math.log2(n))))
+    parts = [np.array([n], np.uint64).tobytes(), bytes([low])]
+    for byte in range(low // 8):
+        parts.append((values >> np.uint64(8 * byte)).astype(np.uint8).tobytes())
+    if low % 8:
+        odd = (values >> np.uint64(low // 8 * 8)).astype(np.uint8)
+        parts.append(np.packbits(np.unpackbits(odd[:, None], axis=1, count=low % 8, bitorder="little").ravel(), bitorder="little").tobytes())
+    ones = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
+    high = np.zeros(int(ones[-1]) + 1, np.uint8)
+    high[ones] = 1
+    parts.append(np.packbits(high, bitorder="little").tobytes())
+    return b"".join(parts)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    n, low = int(np.frombuffer(packed, np.uint64, 1)[0]), packed[8]
+    at, values = 9, np.zeros(n, np.uint64)
+    for byte in range(low // 8):
+        values |= np.frombuffer(packed, np.uint8, n, at).astype(np.uint64) << np.uint64(8 * byte)
+        at += n
+    if low % 8:
+        size = -(-n * (low % 8) // 8)
+        odd = np.unpackbits(np.frombuffer(packed, np.uint8, size, at), count=n * (low % 8), bitorder="little").reshape(n, low % 8)
+        values |= np.packbits(odd, axis=1, bitorder="little")[:, 0].astype(np.uint64) << np.uint64(low // 8 * 8)
+        at += size
+    ones = np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8, offset=at), bitorder="little"))[:n]
+    return values | ((ones - np.arange(n)).astype(np.uint64) << np.uint64(low))
 
 
 def near_links(points: DataFrame, scratch: Scratch) -> DataFrame:
@@ -130,12 +143,12 @@ def near_links(points: DataFrame, scratch: Scratch) -> DataFrame:
         made = []
         for bucket in np.flatnonzero(np.diff(edges)):
             own = prefixes[edges[bucket] : edges[bucket + 1]] & ((np.uint64(1) << low) - np.uint64(1))
-            made.append((int(bucket), int(key[0]), *_pack(own)))
-        return pd.DataFrame(made, columns=["bucket", "block", "first", "packed"])
+            made.append((int(bucket), int(key[0]), _pack(own, rest_bits)))
+        return pd.DataFrame(made, columns=["bucket", "block", "packed"])
 
     def meet(key, part: pd.DataFrame) -> pd.DataFrame:
         tag = np.uint64(block_bits)
-        keys = np.concatenate([(_unpack(f, p) << tag) | np.uint64(b) for b, f, p in zip(part["block"], part["first"], part["packed"], strict=True)])
+        keys = np.concatenate([(_unpack(p) << tag) | np.uint64(b) for b, p in zip(part["block"], part["packed"], strict=True)])
         keys.sort()
         prefix = keys >> tag
         same = prefix[1:] == prefix[:-1]
@@ -185,8 +198,11 @@ def near_links(points: DataFrame, scratch: Scratch) -> DataFrame:
             ]
         )
 
-    sent = blocked.groupBy("block").applyInPandas(emit, "bucket int, block int, first long, packed binary")
-    hits = sent.groupBy("bucket").applyInPandas(meet, "block int, shared binary")
+    # small inputs, much work: a partition for each block and bucket, which adaptive execution doesn't merge
+    blocked = blocked.repartition(blocks, "block")
+    sent = blocked.groupBy("block").applyInPandas(emit, "bucket int, block int, packed binary")
+    hits = sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "block int, shared binary")
+    hits = hits.repartition(blocks, "block")
     met = blocked.groupBy("block").cogroup(hits.groupBy("block")).applyInPandas(share, "value long, fp long, link boolean")
     met = scratch.keep(met, "met")
     inside = met.where("link").select(F.col("value").alias("a"), F.col("fp").alias("b"))
