@@ -90,7 +90,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             yield pa.RecordBatch.from_pydict({"path": [path], "captures": pa.array([n], pa.int64())})
 
     files = marked.select("page_id", "url", "payload", "digest", "row_key", "first_key").mapInArrow(run, "path string, captures long")
-    return scratch.keep(files, "files")
+    files = scratch.keep(files, "files")
+    scratch.drop("rows", "shared")
+    return files
 
 
 def capture(row: dict) -> bytes:
@@ -157,8 +159,11 @@ def parse(stream) -> Iterator[dict]:
         }
 
 
-def read_records(files: DataFrame, folder: str) -> DataFrame:
-    """The records of the archives at ``path``; a file is read as a stream, by one task."""
+def read_records(files: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+    """The records of the archives at ``path``; a file is read as a stream, by one task.
+
+    Without ``payloads`` they are measured and digested while they are read, and left where they are.
+    """
     kinds = [("type", pa.string()), ("record_id", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("refers_to", pa.string()), ("uri", pa.string()), ("date", pa.string()),
              ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("fields", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())]
     schema = pa.schema(kinds)
@@ -170,6 +175,8 @@ def read_records(files: DataFrame, folder: str) -> DataFrame:
                 held, size = [], 0
                 with store.open_input_stream(path, compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
                     for one in parse(stream):
+                        if not payloads:
+                            one["payload"] = None
                         held.append(one)
                         size += len(one["payload"] or b"") + 500
                         if size > 4 << 20:
@@ -211,7 +218,7 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     scratch = Scratch(spark, "warc-read")
     folder = f"{scratch.path}/archives"
-    records = scratch.keep(read_records(write_archives(pages, folder), folder), "records")
+    records = scratch.keep(read_records(write_archives(pages, folder), folder, payloads=False), "records")
     captures = assemble(records)
     number = F.get("metadata", F.lit(0))["fields"]["page-id"]
     found = captures.select(
@@ -223,6 +230,7 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
         F.col("capture.refers_to").alias("first_id"),
     )
     found = scratch.keep(found, "captures")
+    scratch.drop("records")
     # only responses that are referred to; the hot one is one row here and many on the other side
     first = found.where("record_type = 'response'").select(F.col("record_id").alias("first_record"), F.col("page_id").alias("refers_to"))
     out = found.join(first, F.col("first_id") == F.col("first_record"), "left")
