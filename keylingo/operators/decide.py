@@ -83,7 +83,8 @@ def scored_tokens(tokens: DataFrame, models: Models) -> tuple[DataFrame, DataFra
     cands = candidates(tokens)
     as_is = tokens.select("token", F.explode(F.array(*(F.lit(x) for x in LANGS))).alias("lang"))
     pairs = as_is.select(F.col("token").alias("text"), "lang").unionByName(cands.select("text", F.col("target").alias("lang")))
-    scores = score_pairs(pairs, models)
+    # read by every stage; persisted on first use and spilled to disk where memory is short
+    scores = score_pairs(pairs, models).persist()
     own = as_is.join(scores.withColumnRenamed("text", "token"), ["token", "lang"])
     quality = X.quality_score(F.col("letters"), F.col("word"), F.col("freq"), F.col("norm"))
     own = own.withColumn("quality", quality)
