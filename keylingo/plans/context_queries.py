@@ -22,9 +22,10 @@ def _byte(at: int) -> Column:
     return F.conv(F.substring(F.md5(F.col("token").cast("binary")), at, 2), 16, 10).cast("long")
 
 
-def tokens(spark, d) -> DataFrame:
+def tokens(spark, d, conversations: DataFrame | None = None) -> DataFrame:
     words = F.filter(F.split("text", f"{T.SPACE}+"), lambda w: w != "")
-    each = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(words).alias("pos", "token"))
+    conversations = table(spark, d, "conversations") if conversations is None else conversations
+    each = conversations.select("conv_id", "turn", F.posexplode(words).alias("pos", "token"))
     langs = F.array(F.lit("en"), F.lit("ru"), F.lit("he"))
     return each.select(
         F.col("conv_id").alias("stream_id"), (F.col("turn") * 100_000 + F.col("pos")).alias("seq"), (F.col("turn") * 100_000 + F.col("pos")).cast("double").alias("ts"), "token",

@@ -13,7 +13,7 @@ from ..operators import conversion as V
 from ..operators import decide as D
 from ..operators import evaluate as E
 from ..operators import models as M
-from .common import DOCS, HELD, documents, sql_translate, table, typed_documents
+from .common import DOCS, HELD, documents, held_out, sql_translate
 from .model_queries import HELD_DOCS, LEXICON, _lexicon, _models, scored, training, trigrams
 from .text_queries import S, grams
 
