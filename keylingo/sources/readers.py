@@ -69,7 +69,8 @@ def read_language_data(spark: SparkSession, path: str) -> DataFrame:
     """(lang, kind, word) from {kind: {lang: [words]}}, in lower case and once each."""
     data = spark.read.option("multiLine", True).schema("builtin map<string,array<string>>, whitelist map<string,array<string>>").json(path)
     kinds = data.select(F.expr("stack(2, 'builtin', builtin, 'whitelist', whitelist) as (kind, by_lang)"))
-    return kinds.select("kind", F.explode("by_lang").alias("lang", "words")).select("lang", "kind", F.lower(F.explode("words")).alias("word")).distinct()
+    words = kinds.select("kind", F.explode("by_lang").alias("lang", "words")).select("lang", "kind", F.explode("words").alias("word"))
+    return words.withColumn("word", F.lower("word")).distinct()
 
 
 def read_unigrams(spark: SparkSession, path: str, lang: str) -> DataFrame:
