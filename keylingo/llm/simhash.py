@@ -135,7 +135,7 @@ def near_links(points: DataFrame, scratch: Scratch) -> DataFrame:
     shift, low = np.uint64(64 - bits), np.uint64(rest_bits)
     blocked = scratch.keep(points.select("fp", F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("int").alias("block")), "points")
 
-    def emit(key, part: pd.DataFrame) -> pd.DataFrame:
+    def emit(key, part):
         mine = part["fp"].to_numpy().astype(np.int64).view(np.uint64)
         prefixes = _mix((mine[:, None] ^ _ball()[None, :]).ravel()) >> shift
         prefixes.sort()
@@ -146,7 +146,7 @@ def near_links(points: DataFrame, scratch: Scratch) -> DataFrame:
             made.append((int(bucket), int(key[0]), _pack(own, rest_bits)))
         return pd.DataFrame(made, columns=["bucket", "block", "packed"])
 
-    def meet(key, part: pd.DataFrame) -> pd.DataFrame:
+    def meet(key, part):
         tag = np.uint64(block_bits)
         keys = np.concatenate([(_unpack(p) << tag) | np.uint64(b) for b, p in zip(part["block"], part["packed"], strict=True)])
         keys.sort()
@@ -165,7 +165,7 @@ def near_links(points: DataFrame, scratch: Scratch) -> DataFrame:
             {"block": block[edges].astype(np.int32), "shared": [x.tobytes() for x in np.split(whole, edges[1:])] if len(edges) else []}
         )
 
-    def share(key, part: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
+    def share(key, part, hits):
         none = pd.DataFrame({"value": pd.Series([], dtype="int64"), "fp": pd.Series([], dtype="int64"), "link": pd.Series([], dtype="bool")})
         if not len(hits) or not len(part):
             return none
