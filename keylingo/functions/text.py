@@ -109,14 +109,23 @@ def script_counts(text: Column) -> dict[str, Column]:
     return found
 
 
+def _once(text: Column, then) -> Column:
+    """``then`` of the script counts, which are computed once however often it names them."""
+    counts = F.struct(*(n.alias(name) for name, n in script_counts(text).items() if name in ("latin", "cyrillic", "hebrew")))
+    return F.get(F.transform(F.array(counts), lambda n: then({k: n[k] for k in ("latin", "cyrillic", "hebrew")})), F.lit(0))
+
+
 def dominant_script(text: Column, share: float = 0.85) -> Column:
     """The language whose script has at least the share of all scripted letters, else null."""
-    n = script_counts(text)
-    scripted = n["latin"] + n["cyrillic"] + n["hebrew"]
-    out = F.lit(None).cast("string")
-    for lang, key in (("he", "hebrew"), ("ru", "cyrillic"), ("en", "latin")):
-        out = F.when((scripted > 0) & (n[key] >= scripted * share), lang).otherwise(out)
-    return out
+
+    def pick(n: dict[str, Column]) -> Column:
+        scripted = n["latin"] + n["cyrillic"] + n["hebrew"]
+        out = F.lit(None).cast("string")
+        for lang, key in (("he", "hebrew"), ("ru", "cyrillic"), ("en", "latin")):
+            out = F.when((scripted > 0) & (n[key] >= scripted * share), lang).otherwise(out)
+        return out
+
+    return _once(text, pick)
 
 
 def charset_match(text: Column, lang: str, share: float = 0.7) -> Column:
@@ -137,10 +146,13 @@ def majority_language(text: Column) -> Column:
 
 def mixed_script(text: Column) -> Column:
     """The language of a text with two scripts or more: most letters, ties to ru, then he; null if it isn't mixed."""
-    n = script_counts(text)
-    kinds = sum(((n[k] > 0).cast("int") for k in ("latin", "cyrillic", "hebrew")), F.lit(0))
-    most = F.greatest(n["latin"], n["cyrillic"], n["hebrew"])
-    return F.when(kinds >= 2, F.when(n["cyrillic"] == most, "ru").when(n["hebrew"] == most, "he").otherwise("en"))
+
+    def pick(n: dict[str, Column]) -> Column:
+        kinds = sum(((n[k] > 0).cast("int") for k in ("latin", "cyrillic", "hebrew")), F.lit(0))
+        most = F.greatest(n["latin"], n["cyrillic"], n["hebrew"])
+        return F.when(kinds >= 2, F.when(n["cyrillic"] == most, "ru").when(n["hebrew"] == most, "he").otherwise("en"))
+
+    return _once(text, pick)
 
 
 def technical_kind(token: Column) -> Column:

@@ -80,19 +80,20 @@ def _prior(hyp: Column) -> Column:
 
 def scored_tokens(tokens: DataFrame, models: Models) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(as-is, candidates, scores): each token in every language, each candidate with its own and the token's scores."""
-    cands = candidates(tokens)
+    # what every stage reads is persisted on first use, and spilled to disk where memory is short
+    tokens = tokens.persist()
+    cands = candidates(tokens).persist()
     as_is = tokens.select("token", F.explode(F.array(*(F.lit(x) for x in LANGS))).alias("lang"))
     pairs = as_is.select(F.col("token").alias("text"), "lang").unionByName(cands.select("text", F.col("target").alias("lang")))
-    # read by every stage; persisted on first use and spilled to disk where memory is short
     scores = score_pairs(pairs, models).persist()
     own = as_is.join(scores.withColumnRenamed("text", "token"), ["token", "lang"])
     quality = X.quality_score(F.col("letters"), F.col("word"), F.col("freq"), F.col("norm"))
-    own = own.withColumn("quality", quality)
+    own = own.withColumn("quality", quality).persist()
     target = scores.select("text", F.col("lang").alias("target"), "letters", "builtin", "word", "freq", "tri", "norm")
     source = own.select("token", F.col("lang").alias("source"), *(F.col(c).alias(f"src_{c}") for c in ("builtin", "word", "freq", "norm")))
     made = cands.join(target, ["text", "target"]).join(source, ["token", "source"])
     bonus = F.when((F.col("target") == "ru") & F.col("token").rlike("[.,]") & ((F.col("word") >= 0.8) | (F.col("freq") >= 0.1)), 0.35).otherwise(0.0)
-    made = made.withColumn("q", quality - 0.05 + _prior(F.col("hyp")) + bonus)
+    made = made.withColumn("q", quality - 0.05 + _prior(F.col("hyp")) + bonus).persist()
     return own, made, scores
 
 
