@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from keylingo.llm import byte_bpe, curriculum_mix, exact_dedup, simhash, toxicity
 from keylingo.llm.common import Scratch, table
@@ -38,16 +37,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of the ids and of what they decode to."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = byte_bpe.encode_documents(docs.select("doc_id", "source", "text"), path, pattern)
-    both = byte_bpe.decode_documents(ids, path, pattern)
-    return both.select(
-        "doc_id",
-        "source",
-        F.size("ids").cast("long").alias("n_tokens"),
-        "ids",
-        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return byte_bpe.round_trip(docs, path, pattern, with_ids=True)
 
 
 STAGES = [

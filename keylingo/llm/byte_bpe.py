@@ -14,13 +14,16 @@ from collections.abc import Iterable
 from functools import lru_cache
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 #: A worker keeps the ids of this many pre-tokens before it starts anew.
-MEMO = 500_000
+MEMO = 300_000
 
 
 class BytePairEncoder:
@@ -141,7 +144,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
 
     def run(batches):
         bpe = encoder(ranks_path, pattern)
-        for batch in batches:
+        for batch in small(batches):
             ids = [bpe.encode(t or "") for t in batch.column(text_col).to_pylist()]
             yield batch.append_column(out_col, pa.array(ids, pa.list_(pa.int32())))
 
@@ -155,38 +158,42 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, ids_col:
 
     def run(batches):
         bpe = encoder(ranks_path, pattern)
-        for batch in batches:
+        for batch in small(batches):
             made = [bpe.decode(ids or ()) for ids in batch.column(ids_col).to_pylist()]
             yield batch.append_column(out_col, pa.array(made, pa.binary()))
 
     return encoded.mapInArrow(run, _with(encoded, out_col, "binary"))
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests of encoding and decoding every text: doc_id, n_tokens, ids_sha256, decoded_sha256.
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Digests of encoding and decoding every text: doc_id, n_tokens, ids_sha256, decoded_sha256, and with ``with_ids`` the ids.
 
     One pass in which each text is encoded, and its ids are decoded again. Null
     counts as empty: no tokens, and the digests of nothing. Rows stay as they
-    are, repeated ids and null ids included; an empty table gives an empty result.
+    are, repeated ids and null ids included; an empty table gives an empty
+    result; other columns are ignored.
     """
     sha = lambda raw: hashlib.sha256(raw).hexdigest()
 
     def run(batches):
         bpe = encoder(ranks_path, pattern)
-        for batch in batches:
-            n, ids_sha, decoded_sha = [], [], []
+        for batch in small(batches):
+            n, ids_sha, decoded_sha, kept = [], [], [], []
             for text in batch.column("text"):
                 ids = bpe.encode(text.as_py() or "")
                 n.append(len(ids))
                 ids_sha.append(sha(bpe.spelled(ids).encode()))
                 decoded_sha.append(sha(bpe.decode(ids)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                if with_ids:
+                    kept.append(np.array(ids, np.int32))
+            out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string())}
+            if with_ids:
+                out["ids"] = pa.array(kept, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict(out)
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return narrow.mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
 
 
 def _with(df: DataFrame, name: str, kind: str):

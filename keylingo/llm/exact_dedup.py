@@ -20,20 +20,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import SPACES, Scratch, as_bytes
+from .common import SPACES, Scratch, as_bytes, small
 
 FIRST, GROWTH, WIDEST = 256, 8, 1 << 21
 
 
 def _rests(batches):
     """What follows the first digit, of rows whose text hasn't ended there."""
-    for batch in batches:
+    for batch in small(batches):
         rest = [t.translate(None, SPACES)[FIRST:] for t in batch.column("raw").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("gid"), pa.array(rest, pa.binary())], ["row_key", "gid", "rest"])
 
 
 def _normalised(batches):
-    for batch in batches:
+    for batch in small(batches):
         texts = batch.column("raw").to_pylist()
         plain = [t.translate(None, SPACES) for t in texts]
         made = {

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, words
+from .common import Scratch, as_bytes, small, words
 
 #: Frequent words with an emission of their own, latent states, passes of Baum-Welch over all training texts.
 HEAD, STATES, PASSES = 65_000, 8, 4
@@ -213,7 +213,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def encoded(batches):
         index = shared.value
-        for batch in batches:
+        for batch in small(batches):
             observed, sizes, sure, score, rare, times = [], [], [], [], [], []
             for text in batch.column("raw").to_pylist():
                 found = words(text)

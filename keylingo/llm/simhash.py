@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, words
+from .common import Scratch, as_bytes, small, words
 from .components import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp) for every row; fp is the fingerprint as a signed long."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             made = [fingerprint(t) for t in batch.column("raw").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.int64())], ["doc_id", "fp"])
 

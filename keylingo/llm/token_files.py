@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small
 
 MAGIC, SAMPLE = b"EFTOKEN1", 256
 #: Rows of a shard, about; a worker keeps the ids of this many distinct chunks before it starts anew.
@@ -175,7 +175,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
         path = f"{root}/shard-{task.partitionId():06d}.tok"
         temporary = f"{path}.{task.taskAttemptId()}"
         ids, lengths, out = [], [], None
-        for batch in batches:
+        for batch in small(batches):
             if out is None:
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(temporary)

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 #: Bounds of the fit: labelled rows, entries of the lexicon, lengths of word beginnings, least count and log odds of an entry.
 FIT_ROWS, ENTRIES, BEGINNINGS, LEAST_DOCS, LEAST_WEIGHT = 12_000, 20_000, range(4, 9), 4, 3.0
 
@@ -194,7 +196,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", out_col: st
         raise ValueError(f"{out_col} is already a column")
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             made = [lexicon.score(t or "") for t in batch.column(text_col).to_pylist()]
             yield batch.append_column(out_col, pa.array(made, pa.float64()))
 
