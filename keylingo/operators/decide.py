@@ -233,3 +233,55 @@ def _any(conditions) -> Column:
     for one in conditions:
         out = out | one
     return out
+
+
+def choose_variant(variants: DataFrame, lexicon: DataFrame, key: str = "token") -> DataFrame:
+    """(key, src, dst, result, in_lexicon): among a token's readings (priority, result) the first that is a builtin word, else the first."""
+    builtin = lexicon.where("kind = 'builtin'").select(F.col("word").alias("__word")).distinct()
+    marked = variants.join(builtin, F.lower("result") == F.col("__word"), "left").withColumn("in_lexicon", F.col("__word").isNotNull())
+    best = Window.partitionBy(key).orderBy(F.desc("in_lexicon"), "priority")
+    return marked.withColumn("__at", F.row_number().over(best)).where("__at = 1").select(key, "src", "dst", "result", "in_lexicon")
+
+
+def resolve_hebrew_collision(made: DataFrame, lexicon: DataFrame, automatic: bool = True) -> DataFrame:
+    """Candidates from Hebrew that win although the token is a Hebrew word: the row with rule and confidence.
+
+    A whitelisted reading wins, unless in automatic mode the Hebrew word is
+    strong; else a frequent enough reading of a weak, short or artefact-like
+    Hebrew token does.
+    """
+    white = lexicon.where("kind = 'whitelist'").select(F.col("lang").alias("target"), F.col("word").alias("__word")).distinct()
+    rows = made.where("source = 'he'").withColumn("__low", F.lower("text"))
+    rows = rows.join(white, (rows["target"] == white["target"]) & (rows["__low"] == white["__word"]), "left").drop(white["target"])
+    strong = (F.col("src_builtin") >= 0.99) | ((F.col("src_word") >= 0.95) & (F.col("src_freq") >= 0.55))
+    by_list = F.col("__word").isNotNull() & (~strong if automatic else F.lit(True))
+    weak = ~((F.col("src_builtin") >= 0.99) & (F.col("src_word") >= 0.95))
+    odd = (F.length("token") <= 4) | F.col("token").rlike(f"[{FINAL_FORMS}].") | (F.col("src_word") < 0.90)
+    by_frequency = weak & (F.col("word") >= 0.90) & (F.col("freq") >= 0.25) & (F.col("freq") - F.col("src_freq") >= (0.10 if automatic else 0.08)) & odd
+    rule = F.when(by_list, "whitelist").when(by_frequency, "frequency")
+    sure = F.when(by_list, 0.85 if automatic else 0.95).when(by_frequency, 0.82 if automatic else 0.90)
+    return rows.withColumn("rule", rule).withColumn("confidence", sure).where("rule is not null").drop("__word", "__low")
+
+
+def model_correction(made: DataFrame, predictions: DataFrame, baseline: float = 0.5, th: Thresholds = DEFAULT) -> DataFrame:
+    """(token, hyp, text, confidence) from a classifier's (token, predicted, confidence).
+
+    A predicted correction needs confidence and a valid reading; another valid
+    reading takes its place if it is better by 0.12. A predicted language as it
+    is counts only when it is surer than the baseline and than ``deep_min``.
+    """
+    preposition = F.col("text").isin([*PREPOSITIONS.values(), "с"]) & (F.col("target") == "ru")
+    short = (F.col("word") >= th.target_word_min) & (F.col("freq") >= F.col("src_freq") + th.target_freq_margin)
+    longer = (
+        ((F.col("word") >= th.target_word_min) & (F.col("word") >= F.col("src_word") + th.target_word_margin))
+        | ((F.col("freq") >= F.col("src_freq") + th.target_freq_margin) & (F.col("word") >= 0.60))
+        | ((F.col("norm") >= th.target_norm_min) & (F.col("norm") >= F.col("src_norm") + th.target_norm_margin) & ((F.col("freq") >= F.col("src_freq")) | (F.col("word") >= 0.60)))
+    )
+    valid = made.where(preposition | F.when(F.col("letters") <= 3, short).otherwise(longer))
+    both = valid.join(predictions.select("token", "predicted", F.col("confidence").alias("sure")), "token")
+    both = both.where((F.col("sure") > th.correction) & F.col("predicted").isin([h[0] for h in CORRECTIONS]))
+    ranked = both.withColumn("__q", F.round(F.col("q") + 0.05 + F.when(F.col("hyp") == F.col("predicted"), 0.12 - 1e-6).otherwise(0.0), 9))
+    best = ranked.withColumn("__at", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("__q"), "place"))).where("__at = 1")
+    corrected = best.select("token", "hyp", "text", F.greatest(F.col("sure"), F.lit(0.90)).alias("confidence"))
+    plain = predictions.where(F.col("predicted").isin(*LANGS) & (F.col("confidence") > baseline) & (F.col("confidence") > th.deep_min))
+    return corrected.unionByName(plain.select("token", F.col("predicted").alias("hyp"), F.col("token").alias("text"), "confidence"))

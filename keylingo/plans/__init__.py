@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _modules():
-    from . import context_queries, decide_queries, feedback_queries, model_queries, sample_queries, stream_queries, text_queries
+    from . import context_queries, decide_queries, feedback_queries, model_queries, sample_queries, source_queries, stream_queries, text_queries
 
-    return text_queries, model_queries, decide_queries, context_queries, feedback_queries, sample_queries, stream_queries
+    return text_queries, model_queries, decide_queries, context_queries, feedback_queries, sample_queries, source_queries, stream_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
