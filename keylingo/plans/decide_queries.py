@@ -13,15 +13,15 @@ from ..operators import conversion as V
 from ..operators import decide as D
 from ..operators import evaluate as E
 from ..operators import models as M
-from .common import DOCS, HELD, documents, held_out, sql_translate
-from .model_queries import HELD_DOCS, LEXICON, _lexicon, _models, scored, training, trigrams
+from .common import DOCS, HELD, documents, sql_translate
+from .model_queries import ALL_DOCS, LEXICON, _lexicon, _models, scored, training, trigrams
 from .text_queries import S, grams
 
 TYPED_ON = ("us", "ru", "he")
 
 
 def english_words(spark, d) -> DataFrame:
-    """(word): distinct words of held-out English documents."""
+    """(word): distinct words of English documents."""
     return C.explode_words(scored(spark, d).where("lang = 'en'").select("text"), "en").select("word").distinct()
 
 
@@ -153,7 +153,7 @@ def d13_apply_decision(spark, d):
 
 
 def m10_evaluate(spark, d):
-    """Held-out words typed on three layouts, routed and applied: output accuracy for each layout and in all."""
+    """Words typed on three layouts, routed and applied: output accuracy for each layout and in all."""
     decided = D.apply_decision(D.route(tokens(spark, d), models(spark, d), rules(spark, d).limit(0))).select("token", "output")
     cases = typed_words(spark, d).join(decided, "token")
     return _rounded(E.accuracy(cases, "typed_on", "intended", "output"), "accuracy")
@@ -177,7 +177,7 @@ def charset(x: str, lang: str) -> str:
 
 
 WORDS = f"ew AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{2,}}')) AS word FROM held WHERE lang = 'en')"
-TYPED_WORDS = f"""{DOCS}, {HELD_DOCS}, {WORDS}, tyw AS (SELECT word AS intended, 'us' AS typed_on, word AS token FROM ew UNION ALL SELECT word, 'ru', {sql_translate('word', 'us', 'ru')} FROM ew UNION ALL SELECT word, 'he', {sql_translate('word', 'us', 'he')} FROM ew)"""
+TYPED_WORDS = f"""{DOCS}, {ALL_DOCS}, {WORDS}, tyw AS (SELECT word AS intended, 'us' AS typed_on, word AS token FROM ew UNION ALL SELECT word, 'ru', {sql_translate('word', 'us', 'ru')} FROM ew UNION ALL SELECT word, 'he', {sql_translate('word', 'us', 'he')} FROM ew)"""
 _OPTIONS = ", ".join(f"{{'hyp': '{h}', 'source': '{s}', 'target': '{t}', 'place': {n}, 'text': {sql_translate('token', D.ACTIVE[s], D.ACTIVE[t])}}}" for h, t, s, n in CORRECTIONS)
 CANDS = f"""{TYPED_WORDS}, tok AS (SELECT DISTINCT token FROM tyw),
   cand AS (SELECT * FROM (SELECT token, {script('token')} AS script, unnest([{_OPTIONS}], recursive := true) FROM tok) WHERE (script IS NULL OR script = source) AND text <> token)"""
@@ -276,7 +276,7 @@ SQL = {
     "j2_convert_by_row": f"WITH {DOCS} SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN {sql_translate('lower(text)', 'us', 'ru')} ELSE {sql_translate('lower(text)', 'us', 'he')} END) AS digest FROM docs",
     "j3_convert_variants": f"WITH {TYPED_WORDS}, {variants(chr(39).join(['SELECT token FROM tyw WHERE typed_on = ', 'ru', '']), ('ru', 'ru_phonetic'), ('us', 'he', 'he_qwerty'))} SELECT token, src, dst, priority, result FROM va",
     "j4_convert_source_variants": f"""WITH {TYPED_WORDS} SELECT * FROM (SELECT token, unnest([{{'src': 'ru', 'result': {sql_translate('token', 'ru', 'us')}}}, {{'src': 'ru_phonetic', 'result': {sql_translate('token', 'ru_phonetic', 'us')}}}], recursive := true) FROM tyw WHERE typed_on = 'ru') WHERE result <> token""",
-    "j5_decode_by_lexicon": f"""WITH {DOCS}, {HELD_DOCS}, {WORDS}, {LEXICON}, uf AS (SELECT word, ln(1 + cnt) / ln(1 + max(cnt) OVER ()) AS f FROM tw WHERE lang = 'en'),
+    "j5_decode_by_lexicon": f"""WITH {DOCS}, {ALL_DOCS}, {WORDS}, {LEXICON}, uf AS (SELECT word, ln(1 + cnt) / ln(1 + max(cnt) OVER ()) AS f FROM tw WHERE lang = 'en'),
         best AS (SELECT {sql_translate('word', 'us', 'he_qwerty')} AS form, word FROM uf QUALIFY row_number() OVER (PARTITION BY form ORDER BY f DESC, word DESC) = 1),
         t AS (SELECT DISTINCT {sql_translate('word', 'us', 'he_qwerty')} AS token FROM ew) SELECT token, word, coalesce(word, {sql_translate('token', 'he_qwerty', 'us')}) AS decoded FROM t LEFT JOIN best ON form = lower(token)""",
     "j6_typable_layouts": rf"WITH {CANDS} SELECT token, array_to_string({_LIST}, ',') AS layouts, CASE WHEN NOT regexp_matches(token, '[^\x00-\x7F]') THEN 'us' ELSE ({_LIST})[1] END AS first FROM tok",
@@ -284,7 +284,7 @@ SQL = {
     "j12_apply_rules": f"WITH {routed()} SELECT token, path, hyp, lang, confidence, text FROM routed WHERE path IN ('rule_keep', 'rule_prefer')",
     "j14_preposition_map": rf"""WITH {DOCS}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS token FROM docs), p(token, word) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in PREPOSITIONS.items())})
         SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs, any_value(word) AS word FROM w JOIN p USING (token) GROUP BY token""",
-    "a13_recovery_rate": f"WITH {DOCS}, {HELD_DOCS}, {WORDS} " + " UNION ALL ".join(_recovery("us", x) for x in ("ru", "he", "ru_phonetic", "he_qwerty")),
+    "a13_recovery_rate": f"WITH {DOCS}, {ALL_DOCS}, {WORDS} " + " UNION ALL ".join(_recovery("us", x) for x in ("ru", "he", "ru_phonetic", "he_qwerty")),
     "w9_distinct_results": f"WITH {TYPED_WORDS}, {variants(chr(39).join(['SELECT token FROM tyw WHERE typed_on = ', 'he', '']), ('he', 'he_qwerty'), ('us',))} SELECT token, string_agg(result, ' ' ORDER BY priority) AS results FROM va GROUP BY token",
     "d3_best_correction": f"WITH {BEST} SELECT token, hyp, text, immediate, round(q, 6) AS q FROM best",
     "d4_accept_correction": f"WITH {ACCEPT} SELECT token, hyp, round(as_is, 6) AS as_is, round(margin, 6)::DOUBLE AS margin, confidence::DOUBLE AS confidence FROM acc",

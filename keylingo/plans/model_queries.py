@@ -19,7 +19,8 @@ def training(spark, d) -> DataFrame:
 
 
 def scored(spark, d) -> DataFrame:
-    return documents(spark, d).where(held_out())
+    """All documents; reports of accuracy look at the held-out ones, which models aren't trained on."""
+    return documents(spark, d)
 
 
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -70,7 +71,7 @@ def a6_corpus_report(spark, d):
 def a8_stale_models(spark, d):
     docs = documents(spark, d)
     corpora = docs.select("lang", F.col("doc_id").alias("changed"))
-    built = docs.where("doc_id % 7 = 0").select("lang", (F.col("doc_id") + 5).alias("built"))
+    built = docs.join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id").select("lang", F.col("doc_id").alias("built"))
     return M.stale_models(corpora, built)
 
 
@@ -84,7 +85,7 @@ def j7_word_confidence(spark, d):
 
 
 def j8_whitelisted_language(spark, d):
-    """Lines of held-out documents, as short texts, against the frequent words."""
+    """Lines of documents, as short texts, against the frequent words."""
     lines = C.phrases(scored(spark, d).select("doc_id", "text")).select(F.concat_ws("-", "doc_id", "line_no").alias("key"), "text")
     return X.whitelisted_language(lines, _lexicon(spark, d).where("kind = 'whitelist'"), order=LANGS, key="key")
 
@@ -125,7 +126,7 @@ def d8_language_posterior(spark, d):
 
 def _decided(spark, d) -> DataFrame:
     best = X.best_language(_scores(spark, d))
-    return scored(spark, d).select("doc_id", F.col("lang").alias("expected")).join(best, "doc_id")
+    return scored(spark, d).where(held_out()).select("doc_id", F.col("lang").alias("expected")).join(best, "doc_id")
 
 
 def a11_confusion(spark, d):
@@ -152,7 +153,7 @@ def a16_case_summary(spark, d):
 
 
 def j16_probability_drift(spark, d):
-    """The model of all training documents against one smoothed more, on held-out documents."""
+    """The model of all training documents against one smoothed more, on all documents."""
     docs, trigrams = scored(spark, d), M.train_trigrams(training(spark, d))
     other = M.train_trigrams(training(spark, d), k=2.0)
     probs = [
@@ -195,8 +196,8 @@ def trigram_scores(name: str, texts: str, model: str) -> str:
 
 
 LEXICON = f"{unigrams('tw', f'NOT ({HELD})')}, lexicon AS (SELECT lang, 'builtin' AS kind, word FROM tw WHERE cnt >= 5 UNION ALL SELECT lang, 'whitelist', word FROM tw WHERE rank <= 200)"
-HELD_DOCS = f"held AS (SELECT * FROM docs WHERE {HELD})"
-SCORES = f"{DOCS}, {HELD_DOCS}, {trigrams('tg', f'NOT ({HELD})')}, {trigram_scores('sc', 'held', 'tg')}"
+ALL_DOCS = "held AS (SELECT * FROM docs)"
+SCORES = f"{DOCS}, {ALL_DOCS}, {trigrams('tg', f'NOT ({HELD})')}, {trigram_scores('sc', 'held', 'tg')}"
 LANG_ROWS = "(VALUES ('en'), ('fr'), ('de'), ('es')) AS langs(lang)"
 WORD_CONF = rf"""cw AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS word FROM held) GROUP BY doc_id, word),
       ct AS (SELECT doc_id, sum(n) AS total FROM cw GROUP BY doc_id),
@@ -207,7 +208,7 @@ FREQ = f"""uf AS (SELECT lang, word, ln(1 + cnt) / ln(1 + max(cnt) OVER (PARTITI
       fs AS (SELECT ct.doc_id, langs.lang, coalesce(fh.total, 0) / ct.total AS freq FROM ct CROSS JOIN {LANG_ROWS} LEFT JOIN fh ON fh.doc_id = ct.doc_id AND fh.lang = langs.lang)"""
 NORM = "nm AS (SELECT doc_id, sc.lang, grams, score, 1 / (1 + exp(-(score - p50) / greatest(0.5, (p95 - p50) / 2))) AS norm FROM sc JOIN tg_h USING (lang))"
 DECIDED = f"""{SCORES}, rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS rn FROM sc),
-      decided AS (SELECT a.doc_id, h.lang AS expected, h.source, a.lang AS predicted, a.score - b.score AS margin FROM rk a JOIN rk b ON a.doc_id = b.doc_id AND a.rn = 1 AND b.rn = 2 JOIN held h ON h.doc_id = a.doc_id)"""
+      decided AS (SELECT a.doc_id, h.lang AS expected, h.source, a.lang AS predicted, a.score - b.score AS margin FROM rk a JOIN rk b ON a.doc_id = b.doc_id AND a.rn = 1 AND b.rn = 2 JOIN held h ON h.doc_id = a.doc_id WHERE {HELD.replace('doc_id', 'h.doc_id')})"""
 SQL = {
     "a1_train_unigrams": f"WITH {DOCS}, {unigrams('u')} SELECT lang, word, cnt, rank FROM u WHERE rank <= 5000",
     "a2_train_trigrams": f"WITH {DOCS}, {trigrams('m')} SELECT lang, gram, cnt, logprob FROM m",
@@ -217,17 +218,17 @@ SQL = {
     "a6_corpus_report": f"""WITH docs0 AS (SELECT lang, text FROM documents WHERE text IS NOT NULL), raw AS (SELECT lang, regexp_replace(unnest(string_split(text, chr(10))), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS text FROM docs0),
         docs AS (SELECT * FROM raw WHERE length(text) > 0), {unigrams('u')}, {trigrams('m')}, w AS (SELECT lang, CAST(sum(cnt) AS BIGINT) AS tokens, count(*) AS unique_tokens FROM u GROUP BY lang)
         SELECT lang, (SELECT count(*) FROM docs d WHERE d.lang = w.lang) AS lines, tokens, unique_tokens, total_count AS trigrams, unique_trigrams FROM w JOIN m_h USING (lang)""",
-    "a8_stale_models": f"WITH {DOCS} SELECT lang, max(doc_id) AS changed, max(doc_id + 5) FILTER (doc_id % 7 = 0) AS built, coalesce(max(doc_id + 5) FILTER (doc_id % 7 = 0) < max(doc_id), true) AS stale FROM docs GROUP BY lang",
+    "a8_stale_models": f"WITH {DOCS}, c AS (SELECT lang, max(doc_id) AS changed FROM docs GROUP BY lang), b AS (SELECT lang, max(doc_id) AS built FROM docs SEMI JOIN labels USING (doc_id) GROUP BY lang) SELECT lang, changed, built, built IS NULL OR built < changed AS stale FROM c LEFT JOIN b USING (lang)",
     "w10_rank_bands": f"""WITH {DOCS}, {unigrams('u')}, b AS (SELECT *, CASE WHEN rank <= 4000 THEN 'head' WHEN rank BETWEEN 20000 AND 40000 THEN 'middle' WHEN rank >= 150000 THEN 'tail' ELSE 'between' END AS band FROM u WHERE rank <= 200000)
         SELECT lang, band, count(*) AS words, CAST(sum(cnt) AS BIGINT) AS tokens, min(rank) AS first_rank FROM b GROUP BY lang, band""",
-    "j7_word_confidence": f"WITH {DOCS}, {HELD_DOCS}, {LEXICON}, {WORD_CONF} SELECT doc_id, lang, round(word_conf, 6) AS word_conf FROM wc",
-    "j8_whitelisted_language": rf"""WITH {DOCS}, {HELD_DOCS}, {unigrams('tw', f'NOT ({HELD})')}, raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM held),
+    "j7_word_confidence": f"WITH {DOCS}, {ALL_DOCS}, {LEXICON}, {WORD_CONF} SELECT doc_id, lang, round(word_conf, 6) AS word_conf FROM wc",
+    "j8_whitelisted_language": rf"""WITH {DOCS}, {ALL_DOCS}, {unigrams('tw', f'NOT ({HELD})')}, raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM held),
         w AS (SELECT doc_id || '-' || line_no AS key, regexp_replace(unnest(regexp_split_to_array(lower(regexp_replace(t, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')), ' +')), '^\p{{P}}+|\p{{P}}+$', '', 'g') AS word FROM raw),
         tot AS (SELECT key, count(*) AS total FROM w WHERE word <> '' GROUP BY key), hit AS (SELECT key, lang, count(*) AS hits FROM w JOIN (SELECT lang, word FROM tw WHERE rank <= 200) USING (word) GROUP BY key, lang)
         SELECT key, arg_min(lang, CASE lang WHEN 'en' THEN 1 WHEN 'fr' THEN 2 WHEN 'de' THEN 3 ELSE 4 END) AS lang FROM tot JOIN hit USING (key) WHERE hits = total GROUP BY key""",
     "j9_trigram_score": f"WITH {SCORES} SELECT doc_id, lang, grams, round(score, 6) AS score FROM sc",
     "j9_benchmark_scores": f"WITH {DOCS}, items AS (SELECT item_id AS doc_id, text FROM benchmark), {trigrams('tg', f'NOT ({HELD})')}, {trigram_scores('sc', 'items', 'tg')} SELECT doc_id, lang, grams, round(score, 6) AS score FROM sc",
-    "j10_frequency_score": f"WITH {DOCS}, {HELD_DOCS}, {LEXICON}, {WORD_CONF}, {FREQ} SELECT doc_id, lang, round(freq, 6) AS freq FROM fs",
+    "j10_frequency_score": f"WITH {DOCS}, {ALL_DOCS}, {LEXICON}, {WORD_CONF}, {FREQ} SELECT doc_id, lang, round(freq, 6) AS freq FROM fs",
     "d1_normalized_trigram_score": f"WITH {SCORES}, {NORM} SELECT doc_id, lang, grams, round(score, 6) AS score, round(norm, 6) AS norm FROM nm",
     "d2_quality_score": f"""WITH {SCORES}, {NORM}, {LEXICON}, {WORD_CONF}, {FREQ} SELECT nm.doc_id, nm.lang, round(CASE WHEN (CASE WHEN grams > 0 THEN grams + 2 ELSE 0 END) <= 3 THEN 1.6 * word_conf + 1.6 * freq ELSE 1.2 * word_conf + 1.0 * freq + 0.6 * norm END, 6) AS quality
         FROM nm JOIN wc ON wc.doc_id = nm.doc_id AND wc.lang = nm.lang JOIN fs ON fs.doc_id = nm.doc_id AND fs.lang = nm.lang""",

@@ -10,7 +10,7 @@ from ..operators import lexical as X
 from ..operators import models as M
 from ..operators import samples as P
 from .common import DOCS, documents, sql_translate
-from .decide_queries import HELD_DOCS, WORDS, english_words
+from .decide_queries import ALL_DOCS, WORDS, english_words
 from .model_queries import _models, scored, trigram_scores, trigrams
 from .model_queries import HELD as HELD_SQL
 from .model_queries import unigrams
@@ -69,7 +69,7 @@ def m8_select_best(spark, d):
 
 def m7_blend_models(spark, d):
     trigrams_, header = _models(spark, d)
-    other = M.train_trigrams(documents(spark, d).where("doc_id % 2 = 0"))
+    other = M.train_trigrams(documents(spark, d), k=2.0)
     parts = []
     for t, h in ((trigrams_, header), (other, M.trigram_header(other))):
         scores = X.trigram_score(scored(spark, d), t, h)
@@ -90,7 +90,7 @@ def draw(key: str, name: str, seed: int = 42) -> str:
     return f"CAST('0x' || substr(md5('{seed}|{name}|' || {key}), 1, 6) AS BIGINT)"
 
 
-SAMPLE = f"""{DOCS}, {HELD_DOCS}, {WORDS}, sw AS (SELECT word, row_number() OVER (ORDER BY {draw('word', 'sample')}, word) AS pos FROM ew WHERE length(word) BETWEEN 2 AND 19 QUALIFY pos <= {N}),
+SAMPLE = f"""{DOCS}, {ALL_DOCS}, {WORDS}, sw AS (SELECT word, row_number() OVER (ORDER BY {draw('word', 'sample')}, word) AS pos FROM ew WHERE length(word) BETWEEN 2 AND 19 QUALIFY pos <= {N}),
   tot AS (SELECT count(*) AS total FROM sw), ids AS (SELECT range AS id FROM range({N})),
   pt AS (SELECT id, unnest(range(1, CAST({draw('CAST(id AS VARCHAR)', 'length')} % 3 + 2 AS BIGINT))) AS part FROM ids),
   pk AS (SELECT id, part, {draw("id || '/' || part", 'word')} % total + 1 AS pos FROM pt, tot),
@@ -115,7 +115,7 @@ SQL = {
     "m4_split_samples": f"WITH {DOCS} SELECT doc_id AS id, lang, CASE WHEN {draw('CAST(doc_id AS VARCHAR)', 'split')} / 16777216.0 < 0.9 THEN 'train' ELSE 'validation' END AS part FROM docs",
     "p21_encode_samples": f"""WITH {SAMPLE}, c AS (SELECT id, label, list_transform(list_filter(regexp_split_to_array(text, ''), lambda x: x <> ''), lambda x: strpos('{_ALPHABET}', x)) AS codes FROM sm)
         SELECT id, array_to_string(list_transform(range(1, 21), lambda i: coalesce(codes[i], 0)), ',') AS codes, list_position([{', '.join(repr(c) for c in P.CLASSES)}], label)::BIGINT - 1 AS cls, len(list_filter(codes, lambda x: x = 0)) AS unknown FROM c""",
-    "m7_blend_models": f"""WITH {DOCS}, {HELD_DOCS}, {trigrams('tg', f'NOT ({HELD_SQL})')}, {trigram_scores('sc', 'held', 'tg')}, {trigrams('tk', 'doc_id % 2 = 0')}, {trigram_scores('sk', 'held', 'tk')}
+    "m7_blend_models": f"""WITH {DOCS}, {ALL_DOCS}, {trigrams('tg', f'NOT ({HELD_SQL})')}, {trigram_scores('sc', 'held', 'tg')}, {trigrams('tk', 'true', 2.0)}, {trigram_scores('sk', 'held', 'tk')}
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY lang) - 1 AS place, round(0.6 / (1 + exp(-sc.score)) + 0.4 / (1 + exp(-sk.score)), 6) AS score FROM sc JOIN sk USING (doc_id, lang)""",
     "m9_synthetic_cases": f"""WITH docs AS (SELECT doc_id, text, lang, source FROM documents WHERE text IS NOT NULL AND lang = 'en'), {unigrams('u')}, k AS (SELECT word, CASE WHEN length(word) <= 3 THEN 'short' WHEN length(word) <= 7 THEN 'medium' ELSE 'long' END AS kind,
           CASE WHEN {draw('word', 'mark')} % 10 < 2 THEN word || '!' ELSE word END AS intended FROM u WHERE rank <= 4000),

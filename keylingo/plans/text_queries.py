@@ -124,10 +124,11 @@ def w8_union_sources(spark, d):
 
 
 def s16_merge_corpus(spark, d):
-    lines = C.phrases(documents(spark, d).select("doc_id", "source", "text"))
-    main = lines.where("doc_id % 2 = 0").select("source", "line_no", "text")
-    more = lines.where("doc_id % 3 = 0").select("source", "line_no", "text")
-    merged = C.merge_corpus(C.merge_corpus(main, more), more)
+    """The documents' lines, and the conversations' and the documents' once more: only what is new is added, however often."""
+    main = C.phrases(documents(spark, d).select("source", "text"))
+    chat = C.phrases(table(spark, d, "conversations").select(F.col("role").alias("source"), "text"))
+    more = chat.unionByName(main).select("source", "line_no", "text").distinct()
+    merged = C.merge_corpus(C.merge_corpus(main.select("source", "line_no", "text"), more), more)
     return merged.groupBy("source", "line_no").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
@@ -213,6 +214,7 @@ SQL = {
     "w7_cap_per_language": f"WITH {DOCS} SELECT doc_id, lang FROM docs QUALIFY row_number() OVER (PARTITION BY lang ORDER BY doc_id) <= 50",
     "w8_union_sources": f"""WITH docs AS (SELECT 'articles' AS corpus, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'chat', t FROM (SELECT {collapse(strip('text'))} AS t FROM conversations) WHERE length(t) > 2), {LINES}
         SELECT corpus, line AS text, count(*) AS n FROM lines WHERE length(line) > 0 GROUP BY corpus, line""",
-    "s16_merge_corpus": f"""WITH {DOCS}, {LINES}, main AS (SELECT source, line_no, line FROM lines WHERE doc_id % 2 = 0 AND length(line) > 0), more AS (SELECT source, line_no, line FROM lines WHERE doc_id % 3 = 0 AND length(line) > 0),
-        m AS (SELECT * FROM main UNION ALL SELECT * FROM more ANTI JOIN main USING (source, line_no, line)) SELECT source, line_no, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM m GROUP BY source, line_no""",
+    "s16_merge_corpus": f"""WITH docs AS (SELECT 0 AS own, source, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 1, role, text FROM conversations WHERE text IS NOT NULL), {LINES},
+        m AS (SELECT source, line_no, line FROM lines WHERE own = 0 AND length(line) > 0 UNION ALL SELECT * FROM (SELECT DISTINCT source, line_no, line FROM lines WHERE own = 1 AND length(line) > 0) ANTI JOIN (SELECT * FROM lines WHERE own = 0) USING (source, line_no, line))
+        SELECT source, line_no, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM m GROUP BY source, line_no""",
 }
