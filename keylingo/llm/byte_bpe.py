@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import small
 
 #: A worker keeps the ids of this many pre-tokens before it starts anew.
-MEMO = 300_000
+MEMO = 500_000
 
 
 class BytePairEncoder:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,3 +84,15 @@ def small(batches: Iterable[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa
         rows = max(1, int(batch.num_rows * size / max(size, batch.nbytes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a folder that all executors share, and the path in it."""
+    return fs.FileSystem.from_uri(path if re.match(r"\w+:", path) else f"file://{path}")
+
+
+def publish(store: fs.FileSystem, temporary: str, path: str) -> None:
+    """Gives a finished file its name; a task that ran before may have left the same file."""
+    if store.get_file_info(path).type != fs.FileType.NotFound:
+        store.delete_file(path)
+    store.move(temporary, path)

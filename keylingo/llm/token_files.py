@@ -24,12 +24,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch, filesystem, publish, small
 
 MAGIC, SAMPLE = b"EFTOKEN1", 256
 #: Rows of a shard, about; a worker keeps the ids of this many distinct chunks before it starts anew.
@@ -152,10 +151,6 @@ def encode(text: str, path: str) -> bytes:
     return b"".join(map(memo.__getitem__, chunks))
 
 
-def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if re.match(r"\w+:", path) else f"file://{path}")
-
-
 def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", rows_a_shard: int = ROWS_A_SHARD) -> DataFrame:
     """Writes shard files to ``folder`` and returns the manifest: shard, path, docs, ids, base.
 
@@ -171,7 +166,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
 
     def run(batches):
         task = TaskContext.get()
-        store, root = _filesystem(folder)
+        store, root = filesystem(folder)
         path = f"{root}/shard-{task.partitionId():06d}.tok"
         temporary = f"{path}.{task.taskAttemptId()}"
         ids, lengths, out = [], [], None
@@ -195,7 +190,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
         out.write(starts)
         out.write(struct.pack(_FOOTER, MAGIC, nulls, least, len(ids), sum(lengths), width, len(names), len(starts)))
         out.close()
-        store.move(temporary, path)
+        publish(store, temporary, path)
         yield pa.RecordBatch.from_pydict(
             {"shard": pa.array([task.partitionId()], pa.int32()), "path": [path], "docs": pa.array([len(ids)], pa.int64()), "ids": pa.array([sum(lengths)], pa.int64())}
         )
@@ -208,7 +203,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
 
 def read_shard(path: str, folder: str):
     """(doc_id, start in the shard, ids) of each document of a shard file, read piece by piece."""
-    store, _ = _filesystem(folder)
+    store, _ = filesystem(folder)
     with store.open_input_file(path) as file:
         size, footer = file.size(), struct.calcsize(_FOOTER)
         magic, nulls, least, n, _, width, n_names, n_starts = struct.unpack(_FOOTER, file.read_at(footer, size - footer))

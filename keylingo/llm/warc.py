@@ -17,12 +17,11 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes
+from .common import Scratch, as_bytes, filesystem, publish
 
 #: Payloads of fewer bytes are never revisits; the date of records made from a table that has none.
 LEAST_SHARED, DATE = 100, "2000-01-01T00:00:00Z"
@@ -51,10 +50,6 @@ def _plain(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]+", "%20", url or "")
 
 
-def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if re.match(r"\w+:", path) else f"file://{path}")
-
-
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """Writes a capture for every row to archives in ``folder``; returns (path, captures) of each file.
 
@@ -73,7 +68,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     def run(batches):
         task = TaskContext.get()
-        store, root = _filesystem(folder)
+        store, root = filesystem(folder)
         path, out, n = f"{root}/part-{task.partitionId():06d}.warc.gz", None, 0
         temporary = f"{path}.{task.taskAttemptId()}"
         for batch in batches:
@@ -86,7 +81,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 n += 1
         if out is not None:
             out.close()
-            store.move(temporary, path)
+            publish(store, temporary, path)
             yield pa.RecordBatch.from_pydict({"path": [path], "captures": pa.array([n], pa.int64())})
 
     files = marked.select("page_id", "url", "payload", "digest", "row_key", "first_key").mapInArrow(run, "path string, captures long")
@@ -171,7 +166,7 @@ def read_records(files: DataFrame, folder: str, payloads: bool = True) -> DataFr
     def run(batches):
         for batch in batches:
             for path in batch.column("path").to_pylist():
-                store, _ = _filesystem(folder)
+                store, _ = filesystem(folder)
                 held, size = [], 0
                 with store.open_input_stream(path, compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
                     for one in parse(stream):
