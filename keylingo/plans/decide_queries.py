@@ -15,7 +15,7 @@ from ..operators import evaluate as E
 from ..operators import models as M
 from .common import DOCS, HELD, documents, sql_translate
 from .model_queries import ALL_DOCS, LEXICON, _lexicon, _models, scored, training, trigrams
-from .text_queries import S, grams
+from .text_queries import grams
 
 TYPED_ON = ("us", "ru", "he")
 

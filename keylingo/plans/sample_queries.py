@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluate as E
 from ..operators import lexical as X
 from ..operators import models as M
 from ..operators import samples as P
