@@ -2,9 +2,9 @@
 
 A text is scanned as it is. Then its layers are: whatever URL escapes, Unicode
 escapes, base64 runs and compressed data inside them unwrap to goes on a
-worklist, is scanned, and is unwrapped again until nothing new turns up. Texts
-seen before are not put on the list again, so layers that decode into each
-other end. Every character of a layer knows the span of the original text that
+worklist, is scanned, and is unwrapped again until nothing new turns up. A text
+seen before at the same places is not put on the list again, so layers that
+decode into each other end. Every character of a layer knows the span of the original text that
 it comes from, so what is found inside maps back to code points of the text.
 """
 
@@ -63,6 +63,10 @@ class Layer:
     end: np.ndarray
     changed: np.ndarray
 
+    def key(self) -> tuple:
+        """What tells layers apart: equal texts at other places are other layers."""
+        return self.text, self.start.tobytes(), self.end.tobytes(), self.changed.tobytes()
+
 
 def _readable(raw: bytes) -> str | None:
     """Decoded bytes as text, if they are: valid UTF-8 with hardly any control characters."""
@@ -169,14 +173,15 @@ def all_spans(text: str) -> list[tuple[int, int, int]]:
     if not ("%" in text or "\\" in text or "&#" in text or _BASE64.search(text)):
         return base
     places = np.arange(len(text))
-    work, seen, found = [Layer(text, places, places + 1, np.zeros(len(text), bool))], {text}, set(base)
+    root = Layer(text, places, places + 1, np.zeros(len(text), bool))
+    work, seen, found = [root], {root.key()}, set(base)
     while work:
         layer = work.pop()
         inner = [_url(layer) if "%" in layer.text else None, _escapes(layer) if "\\" in layer.text or "&#" in layer.text else None, *_base64(layer)]
         for new in inner:
-            if new is None or new.text in seen:
+            if new is None or (key := new.key()) in seen:
                 continue
-            seen.add(new.text)
+            seen.add(key)
             work.append(new)
             for a, kind, b in base_spans(new.text):
                 if new.changed[a:b].any():
