@@ -2,10 +2,11 @@
 
 A text is scanned as it is. Then its layers are: whatever URL escapes, Unicode
 escapes, base64 runs and compressed data inside them unwrap to goes on a
-worklist, is scanned, and is unwrapped again until nothing new turns up. A text
-seen before at the same places is not put on the list again, so layers that
-decode into each other end. Every character of a layer knows the span of the original text that
-it comes from, so what is found inside maps back to code points of the text.
+worklist (compressed data once it isn't compressed any more), is scanned, and
+is unwrapped again until nothing new turns up. A text seen before at the same
+places is not put on the list again, so layers that decode into each other
+end. Every character of a layer knows the span of the original text that it
+comes from, so what is found inside maps back to code points of the text.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ import bz2
 import hashlib
 import re
 import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +35,39 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal either way
 LEAST_VALUE, LEAST_ACCESS = 8, 16
 KEYS = ("password", "passwd", "secret", "token", "api")
 
-#: A single layer may unpack to so many bytes; more is taken for a decompression bomb and left packed.
-UNPACKED = 64 << 20
+#: So many unpacked bytes are worked on at once; larger layers are a stream of windows of that size, which overlap by OVERLAP.
+UNPACKED, OVERLAP = 64 << 20, 1 << 20
+#: Bytes that a decompressor gives at a time; compressed bytes that zstd, which has no bound for its output, gets at a time.
+PIECE, ZSTD_STEP = 1 << 20, 256
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 _ONE = re.compile(r"\\u\{?([0-9A-Fa-f]+)\}?|\\x([0-9A-Fa-f]{2})|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
 _ALIKE = str.maketrans("-_", "+/")
+_NONE = np.zeros(0, int)
+_ZLIB = type(zlib.decompressobj())
+_ODD = bytes({*range(32)} - {*b"\t\n\r"})
+
+
+def _coded(byte: int, style: str) -> str:
+    """A pattern of a byte of compressed data in a style of escapes."""
+    plain = re.escape(chr(byte)) if 0x20 < byte < 0x7F else "(?!)"
+    hexed = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in f"{byte:02x}")
+    coded = {"%": rf"%{hexed}", "\\": rf"\\x{hexed}|\\u00{hexed}|\\u\{{0{{0,4}}{hexed.removeprefix('0')}\}}", "&#": rf"&#0{{0,4}}{byte};|&#[xX]0{{0,4}}{hexed.removeprefix('0')};"}
+    return f"(?:{plain}|{coded[style]})"
+
+
+#: By style of escapes: how compressed data begins in it, and the pieces that stand for a byte each (the others end the data).
+_STYLES = {
+    style: (re.compile("|".join("".join(_coded(b, style) for b in m) for m in (b"\x1f\x8b", b"x\x01", b"x\x5e", b"x\x9c", b"x\xda", b"BZh", b"\x28\xb5\x2f\xfd"))), re.compile(piece))
+    for style, piece in (
+        ("%", r"%([0-9A-Fa-f]{2})|[\x20-\x24\x26-\x7e]"),
+        ("\\", r"\\(?:x|u00)([0-9A-Fa-f]{2})|\\u\{0{0,4}([0-9A-Fa-f]{1,2})\}|\\([abfnrtv0\\'\"/])|[\x20-\x5b\x5d-\x7e]"),
+        ("&#", r"&#[xX]0{0,4}([0-9A-Fa-f]{1,2});|&#0{0,4}(2[0-4][0-9]|25[0-5]|1?[0-9]{1,2});|(?!&#)[\x20-\x7e]"),
+    )
+}
+_SHORT = dict(zip("abfnrtv0", b"\a\b\f\n\r\t\v\0", strict=True))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -56,16 +84,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 @dataclass
 class Layer:
-    """A decoded text; for each of its characters where it starts and ends in the original, and whether it was decoded."""
+    """A decoded text; for each of its characters where it starts and ends in the original, and whether it was decoded.
+
+    Compressed data has no place for each character: of what it holds, every
+    character has the place of all the data, ``whole``, and the arrays are empty.
+    """
 
     text: str
     start: np.ndarray
     end: np.ndarray
     changed: np.ndarray
+    whole: tuple[int, int] | None = None
 
     def key(self) -> tuple:
         """What tells layers apart: equal texts at other places are other layers."""
-        return self.text, self.start.tobytes(), self.end.tobytes(), self.changed.tobytes()
+        digest = hashlib.sha256(self.text.encode("utf-8", "surrogatepass"))
+        for places in (self.start, self.end, self.changed):
+            digest.update(places.tobytes())
+        return len(self.text), digest.digest(), self.whole
+
+    def place(self, a: int, b: int) -> tuple[int, int]:
+        """Where a part of the layer stands in the original."""
+        return self.whole or (int(self.start[a:b].min()), int(self.end[a:b].max()))
+
+
+def _inside(text: str, place: tuple[int, int]) -> Layer:
+    return Layer(text, _NONE, _NONE, _NONE, place)
 
 
 def _readable(raw: bytes) -> str | None:
@@ -74,33 +118,162 @@ def _readable(raw: bytes) -> str | None:
         text = raw.decode()
     except UnicodeDecodeError:
         return None
-    odd = sum(c < " " and c not in "\t\n\r" for c in text)
+    odd = len(raw) - len(raw.translate(None, _ODD))
     return text if text and odd * 20 <= len(text) else None
 
 
-def _unpacked(raw: bytes) -> bytes | None:
-    """What compressed bytes hold; None if they aren't compressed or too large."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            reader = zlib.decompressobj(31)
-        elif raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
-            reader = zlib.decompressobj()
-        elif raw[:3] == b"BZh":
-            reader = bz2.BZ2Decompressor()
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(raw) as stream:
-                out = stream.read(UNPACKED + 1)
-            return out if len(out) <= UNPACKED else None
+class _Tape:
+    """Bytes that come in pieces, with a look ahead."""
+
+    def __init__(self, pieces: Iterable[bytes]):
+        self.pieces, self.held = iter(pieces), b""
+
+    def head(self, n: int) -> bytes:
+        """The next n bytes, or all that are left; they stay."""
+        if len(self.held) < n:
+            got, size = [self.held], len(self.held)
+            while size < n and (piece := next(self.pieces, None)) is not None:
+                got.append(piece)
+                size += len(piece)
+            self.held = b"".join(got)
+        return self.held[:n]
+
+    def take(self) -> bytes:
+        held, self.held = self.held, b""
+        return held or next(self.pieces, b"")
+
+
+def _reader(head: bytes):
+    """A decompressor for bytes that begin like this; None if they aren't compressed."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and int.from_bytes(head[:2], "big") % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor().decompressobj()
+    return None
+
+
+def _pieces(reader, data: bytes, tape: _Tape) -> Iterator[bytes]:
+    """What a decompressor makes of data, about PIECE bytes at a time; what it leaves goes back on the tape."""
+    if isinstance(reader, bz2.BZ2Decompressor):
+        while not reader.eof:
+            yield reader.decompress(data, PIECE)
+            data = b""
+            if reader.needs_input:
+                return
+        tape.held = reader.unused_data + tape.held
+    elif isinstance(reader, _ZLIB):
+        while not reader.eof:
+            out = reader.decompress(data, PIECE)
+            yield out
+            data = reader.unconsumed_tail
+            if not reader.eof and not data and len(out) < PIECE:
+                return
+        tape.held = reader.unused_data + tape.held
+    else:
+        for at in range(0, len(data), ZSTD_STEP):
+            yield reader.decompress(data[at : at + ZSTD_STEP])
+            if reader.eof:
+                tape.held = reader.unused_data + data[at + ZSTD_STEP :] + tape.held
+                return
+
+
+def _members(tape: _Tape, ends: list[int]) -> Iterator[bytes]:
+    """The unpacked members (streams, frames) at the head of a tape, one after the other; ends gets where each one ends.
+
+    Leaves the tape at what follows them, or where it was if that isn't
+    compressed after all. A member that is cut off counts as far as it goes.
+    """
+    size = 0
+    while (reader := _reader(tape.head(4))) is not None:
+        taken, begun = [], False
+        try:
+            while not reader.eof:
+                data = tape.take()
+                if not data:
+                    return
+                if not begun:
+                    taken.append(data)
+                for piece in _pieces(reader, data, tape):
+                    if piece:
+                        begun = True
+                        size += len(piece)
+                        yield piece
+        except (zlib.error, OSError, EOFError, zstandard.ZstdError, ValueError):
+            if not begun:
+                tape.held = b"".join(taken) + tape.held
+            return
+        ends.append(size)
+
+
+def _windows(tape: _Tape) -> Iterator[str]:
+    """The bytes of a tape as texts: as one if it has up to UNPACKED bytes, else in windows.
+
+    A window ends after a control character that no secret and no code holds;
+    where there is none in its second half, windows overlap by OVERLAP bytes.
+    """
+    while block := tape.head(UNPACKED + 1):
+        if len(block) <= UNPACKED:
+            end = after = len(block)
         else:
-            return None
-        out = reader.decompress(raw, UNPACKED + 1)
-        return out if len(out) <= UNPACKED else None
-    except (zlib.error, OSError, EOFError, zstandard.ZstdError, ValueError):
-        return None
+            end = after = 1 + max(block.rfind(c, UNPACKED // 2, UNPACKED) for c in (b"\n", b"\r", b"\t", b"\0"))
+            if not end:
+                end = _boundary(block, UNPACKED)
+                after = _boundary(block, end - OVERLAP)
+        tape.held = tape.held[after:]
+        text = _readable(block[:end])
+        if text:
+            yield text
+
+
+def _boundary(raw: bytes, at: int) -> int:
+    """The last beginning of a UTF-8 character up to a place."""
+    return next((n for n in range(at, at - 4, -1) if raw[n] & 0xC0 != 0x80), at)
+
+
+def _unpacked(tape: _Tape, above: frozenset) -> Iterator:
+    """Texts in bytes and, for what they unpack to, iterators like this one. Ends where bytes hold themselves.
+
+    Up to UNPACKED bytes of members are read together and each alone, more as
+    one stream in windows.
+    """
+    key = hashlib.sha256(tape.head(UNPACKED)).digest()
+    if key in above:
+        return
+    ends = []
+    inner = _Tape(_members(tape, ends))
+    whole = inner.head(UNPACKED + 1)
+    if len(whole) > UNPACKED:
+        yield _unpacked(inner, above | {key})
+    elif whole:
+        cuts = sorted({0, *ends, len(whole)})
+        for part in [whole] + [whole[a:b] for a, b in pairwise(cuts) if len(cuts) > 2]:
+            yield _unpacked(_Tape([part]), above | {key})
+    yield from _windows(tape)
+
+
+def _texts(raw: bytes) -> Iterator[str]:
+    """All texts in bytes, which are unpacked as often as they are compressed."""
+    work = [_unpacked(_Tape([raw]), frozenset())]
+    while work:
+        got = next(work[-1], None)
+        if got is None:
+            work.pop()
+        elif isinstance(got, str):
+            yield got
+        else:
+            work.append(got)
 
 
 def _spliced(layer: Layer, pieces: list[tuple[int, int, str, list[int]]]) -> Layer:
     """The layer with pieces (from, to, new text, places of its characters in the piece) put in."""
+    if layer.whole:
+        cuts = [0, *(n for a, b, *_ in pieces for n in (a, b)), len(layer.text)]
+        kept = [layer.text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+        return _inside("".join(t for pair in zip(kept, [p[2] for p in pieces] + [""], strict=True) for t in pair), layer.whole)
     text, start, end, changed, at = [], [], [], [], 0
     for a, b, new, places in pieces:
         text += [layer.text[at:a], new]
@@ -143,28 +316,73 @@ def _escapes(layer: Layer) -> Layer | None:
     return _spliced(layer, pieces) if pieces else None
 
 
-def _base64(layer: Layer) -> list[Layer]:
-    made = []
+def _base64(layer: Layer) -> Iterator[Layer]:
     for m in _BASE64.finditer(layer.text):
         run = m[0].rstrip("=").translate(_ALIKE)
         if len(run) % 4 == 1:
             continue
         raw = base64.b64decode(run + "=" * (-len(run) % 4))
-        inner = _unpacked(raw)
-        if inner is not None:
-            text = _readable(inner)
-            if text:  # compressed data has no place for each character
-                n = len(text)
-                whole = np.full(n, layer.start[m.start()]), np.full(n, layer.end[m.end() - 1])
-                made.append(Layer(text, *whole, np.ones(n, bool)))
-            continue
         text = _readable(raw)
-        if text:
+        if text and layer.whole:
+            yield _inside(text, layer.whole)
+        elif text:
             ends = np.cumsum([len(c.encode()) for c in text])
             first = (np.concatenate([[0], ends[:-1]]) * 4) // 3
             last = np.minimum((ends * 4 + 2) // 3, m.end() - m.start())
-            made.append(Layer(text, layer.start[m.start() + first], layer.end[m.start() + last - 1], np.ones(len(text), bool)))
-    return made
+            yield Layer(text, layer.start[m.start() + first], layer.end[m.start() + last - 1], np.ones(len(text), bool))
+        if _reader(raw) is not None:
+            place = layer.place(m.start(), m.end())
+            yield from (_inside(inner, place) for inner in _texts(raw) if inner != text)
+
+
+def _escaped(text: str, style: str, at: int, space: str) -> Iterator[tuple[int, int]]:
+    """(byte, end of its piece) of compressed data in a style of escapes, from a place on."""
+    piece = _STYLES[style][1]
+    while m := piece.match(text, at):
+        at = m.end()
+        if style == "\\" and m[3]:
+            yield _SHORT.get(m[3], ord(m[3])), at
+        elif style == "&#" and m[2]:
+            yield int(m[2]), at
+        else:
+            code = next((g for g in m.groups() if g), None)
+            yield int(code, 16) if code else ord(space if m[0] == "+" else m[0]), at
+
+
+def _packed(layer: Layer) -> Iterator[Layer]:
+    """Compressed data whose bytes are written as escapes; in URLs a plus may stand for a space."""
+    for style, (magic, _) in _STYLES.items():
+        for space in ("+ " if style == "%" and "+" in layer.text else "+") if style in layer.text else ():
+            done = 0
+            for m in magic.finditer(layer.text):
+                if m.start() < done:
+                    continue
+                coded = _escaped(layer.text, style, m.start(), space)
+                head = list(islice(coded, 64))
+                try:
+                    _reader(bytes(b for b, _ in head)).decompress(bytes(b for b, _ in head))
+                except (AttributeError, zlib.error, OSError, EOFError, zstandard.ZstdError, ValueError):
+                    continue
+                head += coded
+                raw = bytes(b for b, _ in head)
+                tape = _Tape([raw])
+                for _ in _members(tape, []):
+                    pass
+                used = len(raw) - len(tape.held)
+                if used:
+                    done = head[used - 1][1]
+                    place = layer.place(m.start(), done)
+                    yield from (_inside(inner, place) for inner in _texts(raw[:used]))
+
+
+def _inner(layer: Layer) -> Iterator[Layer]:
+    """The layers right below one."""
+    yield from _packed(layer)
+    if "%" in layer.text and (new := _url(layer)):
+        yield new
+    if ("\\" in layer.text or "&#" in layer.text) and (new := _escapes(layer)):
+        yield new
+    yield from _base64(layer)
 
 
 def all_spans(text: str) -> list[tuple[int, int, int]]:
@@ -174,18 +392,20 @@ def all_spans(text: str) -> list[tuple[int, int, int]]:
         return base
     places = np.arange(len(text))
     root = Layer(text, places, places + 1, np.zeros(len(text), bool))
-    work, seen, found = [root], {root.key()}, set(base)
+    work, seen, found = [_inner(root)], {root.key()}, set(base)
     while work:
-        layer = work.pop()
-        inner = [_url(layer) if "%" in layer.text else None, _escapes(layer) if "\\" in layer.text or "&#" in layer.text else None, *_base64(layer)]
-        for new in inner:
-            if new is None or (key := new.key()) in seen:
-                continue
-            seen.add(key)
-            work.append(new)
-            for a, kind, b in base_spans(new.text):
-                if new.changed[a:b].any():
-                    found.add((int(new.start[a:b].min()), kind, int(new.end[a:b].max())))
+        new = next(work[-1], None)
+        if new is None:
+            work.pop()
+            continue
+        if (key := new.key()) in seen:
+            continue
+        seen.add(key)
+        work.append(_inner(new))
+        for a, kind, b in base_spans(new.text):
+            if new.whole or new.changed[a:b].any():
+                start, end = new.place(a, b)
+                found.add((start, kind, end))
     return sorted(found)
 
 

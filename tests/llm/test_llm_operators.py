@@ -1,18 +1,22 @@
 """The training-data operators against brute force, on a fixture of hard cases."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import json
 import math
 import random
 import re
 import zlib
 from collections import Counter
+from urllib.parse import quote_from_bytes, quote_plus
 
 import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+import zstandard
 
 from keylingo.llm import ann, byte_bpe, curriculum_mix, exact_dedup, hmm, secrets, simhash, token_files, toxicity, warc
 from keylingo.llm.queries import BYTE_BPE, WORD_BPE
@@ -340,6 +344,41 @@ def test_secrets_that_repeat_are_found_at_every_place():
         assert len(secrets.all_spans(f"{escaped}, {quoted}, {run}")) == 3
 
 
+def test_secrets_in_all_layers_of_compression(monkeypatch):
+    inner, zst = b"password = hunter2hunter2", zstandard.ZstdCompressor().compress
+    code = lambda raw: base64.b64encode(raw).decode()
+    deep = inner
+    for _ in range(1500):
+        deep = zlib.compress(deep, 0)
+    for raw in (
+        gzip.compress(gzip.compress(inner)),
+        zst(zlib.compress(inner)),
+        bz2.compress(zst(gzip.compress(inner))),
+        deep,
+        gzip.compress(b"first ") + gzip.compress(inner),
+        bz2.compress(b"first ") + bz2.compress(inner),
+        zst(b"first ") + zst(inner),
+        zlib.compress(b"first ") + zlib.compress(inner),
+        gzip.compress(b"\xff\xfe") + gzip.compress(inner),
+        gzip.compress(inner) + gzip.compress(b"\xff\xfe"),
+        gzip.compress(inner[:14]) + gzip.compress(inner[14:]),
+        gzip.compress(b"first ") + inner,
+    ):
+        assert secrets.all_spans(f"see {code(raw)} end") == [(4, 0, 4 + len(code(raw)))], raw[:9]
+    for raw in (gzip.compress(inner), zlib.compress(inner), zlib.compress(inner, 3), bz2.compress(inner), zst(inner), gzip.compress(gzip.compress(inner)), gzip.compress(b"first ") + gzip.compress(inner)):
+        ways = [quote_from_bytes(raw), quote_plus(raw), "".join(f"%{c:02x}" for c in raw), repr(raw)[2:-1], "".join(f"\\x{c:02X}" for c in raw), json.dumps(raw.decode("latin-1"))[1:-1], "".join(f"&#{c};" for c in raw), "".join(f"&#x{c:x};" for c in raw)]
+        for text in ways:
+            assert (3, 0, 3 + len(text)) in secrets.all_spans(f'a="{text}" x'), text
+            assert secrets.all_spans(code(f'a="{text}" x'.encode()))
+    monkeypatch.setattr(secrets, "UNPACKED", 4096)
+    monkeypatch.setattr(secrets, "OVERLAP", 256)
+    for fill in (b"a b ", b"line\n", "é ".encode()):
+        for before in (3000, 4070, 4090, 9000, 20480 - 8):
+            plain = (fill * 9999)[:before // len(fill) * len(fill)] + b" " + inner + b" " + fill * 2000
+            for raw in (gzip.compress(plain), zst(plain), bz2.compress(plain), zlib.compress(gzip.compress(plain)), gzip.compress(fill * 2000) + gzip.compress(plain)):
+                assert secrets.all_spans(f"see {code(raw)} end") == [(4, 0, 4 + len(code(raw)))], (fill, before)
+
+
 def test_warc(spark):
     big, small = "x" * 100 + "é", "tiny"
     rows = [(5, "http://a/1", big), (3, "http://b/é x\r\ny", big), (3, None, big), (9, "c", small), (8, "c", small), (7, "d", None), (None, "e", big), (6, "f", ""), (4, "g\u0000", "y" * 99)]
