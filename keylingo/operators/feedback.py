@@ -2,8 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: No key is this one.
+_NOBODY = object()
+
+
+def _in_order(df: DataFrame, by: str, order: tuple[str, ...], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``run`` over the rows of each ``by``, which follow each other in order; they are streamed from an external sort, never held together."""
+    return df.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, schema)
+
+
+def _field(name: str, kind: str) -> T.StructField:
+    return T.StructField(name, T._parse_datatype_string(kind))
 
 
 def profile_stats(feedback: DataFrame, busiest: int = 1000) -> DataFrame:
@@ -47,16 +64,22 @@ def exclude_apps(events: DataFrame, excluded: DataFrame, col: str = "app") -> Da
 
 def debounce(events: DataFrame, gap: float = 0.5, by: str = "user_id") -> DataFrame:
     """(by, event_id, ts) of triggers at least ``gap`` seconds after the last one that was let through."""
-    order = F.array_sort(F.collect_list(F.struct("ts", "event_id")))
-    start = F.struct(F.lit(None).cast("timestamp").alias("last"), F.array().cast("array<struct<ts:timestamp,event_id:bigint>>").alias("kept"))
+    least = int(gap * 1e6)
 
-    def step(acc: Column, x: Column) -> Column:
-        passes = acc["last"].isNull() | (F.unix_micros(x["ts"]) - F.unix_micros(acc["last"]) >= int(gap * 1e6))
-        kept = F.concat(acc["kept"], F.array(F.struct(x["ts"].alias("ts"), x["event_id"].alias("event_id"))))
-        return F.struct(F.when(passes, x["ts"]).otherwise(acc["last"]).alias("last"), F.when(passes, kept).otherwise(acc["kept"]).alias("kept"))
+    def run(batches):
+        user, last = _NOBODY, None
+        for batch in batches:
+            passes = []
+            for by_, micros in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if by_ != user:
+                    user, last = by_, None
+                passes.append(last is None or micros - last >= least)
+                if passes[-1]:
+                    last = micros
+            yield batch.filter(pa.array(passes, pa.bool_())).select([0, 1, 2])
 
-    folded = events.groupBy(by).agg(F.aggregate(order, start, step, lambda acc: acc["kept"]).alias("kept"))
-    return folded.select(by, F.explode("kept").alias("k")).select(by, "k.event_id", "k.ts")
+    rows = events.select(by, "event_id", "ts", F.unix_micros("ts").alias("__us"))
+    return _in_order(rows, by, ("ts", "event_id"), run, events.select(by, "event_id", "ts").schema)
 
 
 def typing_sessions(events: DataFrame, gap: str = "2 seconds", by: str = "user_id") -> DataFrame:
@@ -72,25 +95,39 @@ def learn_rules(feedback: DataFrame, key: str = "token", most: int = 500) -> Dat
     it is keepAsIs; two overrides of a learned rule remove it and its counters.
     The most recently touched rules stay.
     """
-    state = "struct<action:string,hyp:string,reject:bigint,apply:bigint,override:bigint>"
-    zero = F.lit(0).cast("long")
-    empty = F.struct(F.lit(None).cast("string").alias("action"), F.lit(None).cast("string").alias("hyp"), zero.alias("reject"), zero.alias("apply"), zero.alias("override"))
-
-    def made(action, hyp, reject, apply, override) -> Column:
-        return F.struct(action.alias("action"), hyp.alias("hyp"), reject.alias("reject"), apply.alias("apply"), override.alias("override")).cast(state)
-
-    def step(acc: Column, x: Column) -> Column:
-        a, h, r, p, o = (acc[c] for c in ("action", "hyp", "reject", "apply", "override"))
-        keep = F.coalesce(a == "keepAsIs", F.lit(False))
-        hardens = ~keep & (r + 1 >= 2)
-        rejected = made(F.when(hardens, "keepAsIs").otherwise(a), F.when(hardens, F.lit(None)).otherwise(h), r + 1, p, o)
-        applied = made(F.when(keep, a).otherwise("preferHypothesis"), F.when(keep, h).otherwise(x["hyp"]), r, p + 1, o)
-        overridden = F.when(a.isNull(), acc).when(o + 1 >= 2, empty.cast(state)).otherwise(made(a, h, r, p, o + 1))
-        return F.when(x["event"] == "reject", rejected).when(x["event"] == "apply", applied).when(x["event"] == "override", overridden).otherwise(acc)
-
-    order = F.array_sort(F.collect_list(F.struct("ts", "seq", "event", "hyp")))
-    folded = feedback.groupBy(key).agg(F.aggregate(order, empty.cast(state), step).alias("s"), F.max(F.struct("ts", "seq")).alias("t"))
-    rules = folded.select(key, "s.*", F.col("t.ts").alias("last_touch"), F.col("t.seq").alias("__seq")).where("action is not null")
+    empty = (None, None, 0, 0, 0)
+
+    def run(batches):
+        token, rule, touched, schema = _NOBODY, empty, None, None
+        for batch in batches:
+            schema, out = batch.schema, []
+            for n, (of, event, named) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 3, 4)), strict=True)):
+                if of != token:
+                    if token is not _NOBODY:
+                        out.append((token, *rule, *(x.as_py() for x in touched)))
+                    token, rule = of, empty
+                touched = batch.column(1)[n], batch.column(2)[n]
+                action, hyp, reject, apply, override = rule
+                if event == "reject":
+                    hardens = action != "keepAsIs" and reject >= 1
+                    rule = ("keepAsIs" if hardens else action, None if hardens else hyp, reject + 1, apply, override)
+                elif event == "apply":
+                    rule = (action, hyp, reject, apply + 1, override) if action == "keepAsIs" else ("preferHypothesis", named, reject, apply + 1, override)
+                elif event == "override" and action is not None:
+                    rule = empty if override >= 1 else (action, hyp, reject, apply, override + 1)
+            yield made(out, schema)
+        if token is not _NOBODY:
+            yield made([(token, *rule, *(x.as_py() for x in touched))], schema)
+
+    def made(out, schema):
+        kinds = (schema.field(0).type, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), schema.field(1).type, schema.field(2).type)
+        return pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], kind) for n, kind in enumerate(kinds)], names)
+
+    rows = feedback.select(key, "ts", "seq", "event", "hyp")
+    counters = [_field("action", "string"), _field("hyp", "string"), *(_field(c, "bigint") for c in ("reject", "apply", "override"))]
+    schema = T.StructType([rows.schema[key], *counters, T.StructField("last_touch", rows.schema["ts"].dataType), T.StructField("__seq", rows.schema["seq"].dataType)])
+    names = schema.names
+    rules = _in_order(rows, key, ("ts", "seq", "event", "hyp"), run, schema).where("action is not null")
     return rules.orderBy(F.desc("last_touch"), F.desc("__seq")).limit(most).drop("__seq")
 
 
@@ -113,23 +150,16 @@ def alternation_replay(presses: DataFrame, by: str = "session_id", choices: str
 
     An automatic correction starts on 1, so its first press goes back to 0.
     Two choices are visible in the first round; when it ends for the second
-    time, a third one is, if there is one.
+    time, a third one is, if there is one. So the choice goes round by two at
+    most before, and by three after that: it follows from the number of the press.
     """
-
-    def step(acc: Column, _: Column) -> Column:
-        following = acc["i"] + 1
-        ended = following >= F.least(acc["limit"], acc["n"])
-        grows = ended & (acc["wraps"] >= 1) & (acc["limit"] == 2) & (acc["n"] > 2)
-        limit = F.when(grows, 3).otherwise(acc["limit"])
-        i = F.when(following >= F.least(limit, acc["n"]), 0).otherwise(following)
-        wraps = acc["wraps"] + ended.cast("int")
-        return F.struct(i.alias("i"), limit.alias("limit"), wraps.alias("wraps"), acc["n"].alias("n"), F.concat(acc["seen"], F.array(i)).alias("seen"))
-
-    grouped = presses.groupBy(by).agg(F.array_sort(F.collect_list("press_no")).alias("presses"), F.first("automatic").alias("automatic"), F.max(choices).alias("n"))
-    start = F.struct(
-        F.when(F.col("automatic"), 1).otherwise(0).alias("i"), F.lit(2).alias("limit"), F.lit(0).alias("wraps"), F.col("n").cast("int").alias("n"), F.array().cast("array<int>").alias("seen")
-    )
-    return grouped.select(by, F.aggregate("presses", start, step, lambda acc: acc["seen"]).alias("positions"))
+    counted = presses.groupBy(by).agg(F.count("press_no").alias("presses"), F.first("automatic").alias("automatic"), F.max(choices).alias("n"))
+    numbers = F.when(F.col("presses") > 0, F.sequence(F.lit(0), F.col("presses").cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    start = F.when(F.col("automatic"), 1).otherwise(0)
+    by_two = F.transform(numbers, lambda k: (k + start + 1) % 2)
+    by_three = F.transform(numbers, lambda k: F.when(start == 1, k % 3).when(k == 0, 1).otherwise((k - 1) % 3))
+    positions = F.when(F.col("n") > 2, by_three).when(F.col("n") < 2, F.transform(numbers, lambda k: k * 0)).otherwise(by_two)
+    return counted.select(by, positions.alias("positions"))
 
 
 def keystrokes_to_tokens(keys: DataFrame, gap: float = 2.0, by: str = "user_id") -> DataFrame:
@@ -138,17 +168,33 @@ def keystrokes_to_tokens(keys: DataFrame, gap: float = 2.0, by: str = "user_id")
     Characters gather until white space; backspace removes one; after a pause
     longer than the gap the buffer is dropped.
     """
-    order = F.array_sort(F.collect_list(F.struct("ts", "seq", "ch", "is_backspace")))
-    start = F.struct(F.lit("").alias("buffer"), F.lit(None).cast("timestamp").alias("last"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        paused = acc["last"].isNotNull() & (F.unix_micros(x["ts"]) - F.unix_micros(acc["last"]) > int(gap * 1e6))
-        held = F.when(paused, "").otherwise(acc["buffer"])
-        space = x["ch"].rlike(r"^\s$") & ~x["is_backspace"]
-        shorter = F.substring(held, F.lit(1), F.greatest(F.lit(0), F.length(held) - 1))
-        buffer = F.when(x["is_backspace"], shorter).when(space, "").otherwise(F.concat(held, x["ch"]))
-        out = F.when(space & (held != ""), F.concat(acc["out"], F.array(held))).otherwise(acc["out"])
-        return F.struct(buffer.alias("buffer"), x["ts"].alias("last"), out.alias("out"))
-
-    folded = keys.groupBy(by).agg(F.aggregate(order, start, step, lambda acc: acc["out"]).alias("tokens"))
-    return folded.select(by, F.posexplode("tokens").alias("seq", "token")).withColumn("seq", (F.col("seq") + 1).cast("long"))
+    limit = int(gap * 1e6)
+
+    def run(batches):
+        user, buffer, last, seq = _NOBODY, [], None, 0
+        for batch in batches:
+            out = []
+            for of, micros, ch, erases, ends in zip(*(batch.column(c).to_pylist() for c in (0, 2, 4, 5, 6)), strict=True):
+                if of != user:
+                    user, buffer, last, seq = of, [], None, 0
+                if last is not None and micros is not None and micros - last > limit:
+                    buffer = []
+                if erases:
+                    if buffer:
+                        buffer.pop()
+                elif ends:
+                    if buffer:
+                        seq += 1
+                        out.append((of, seq, "".join(buffer)))
+                    buffer = []
+                elif buffer is not None:  # an unknown character makes the token unknown
+                    buffer = None if ch is None else buffer
+                    if ch:
+                        buffer.extend(ch)
+                last = micros
+            kinds = (batch.schema.field(0).type, pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], kind) for n, kind in enumerate(kinds)], [by, "seq", "token"])
+
+    space = F.col("ch").rlike(r"^\s$") & ~F.col("is_backspace")
+    rows = keys.select(by, "ts", F.unix_micros("ts").alias("__us"), "seq", "ch", "is_backspace", space.alias("__ends"))
+    return _in_order(rows, by, ("ts", "seq", "ch", "is_backspace"), run, T.StructType([rows.schema[by], _field("seq", "bigint"), _field("token", "string")]))

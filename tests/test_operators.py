@@ -9,6 +9,7 @@ from keylingo.functions import layouts as L
 from keylingo.functions import text as T
 from keylingo.operators import conversion as V
 from keylingo.operators import decide as D
+from keylingo.operators import feedback as B
 from keylingo.operators import models as M
 from keylingo.sources import readers as R
 from keylingo.sources import writers as W
@@ -136,3 +137,19 @@ def test_scoring_stays_in_catalyst(spark):
 
     plan = model_queries.j9_trigram_score(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan
+
+
+def test_long_histories_are_not_gathered_in_rows(spark):
+    n = 40000
+    keys = spark.range(n).selectExpr("1 as user_id", "timestamp_seconds(id) as ts", "id as seq", "id as event_id", "if(id % 4 = 3, ' ', 'a') as ch", "id % 4 = 1 as is_backspace", "if(id < 2, 'reject', 'apply') as event", "'h' as hyp")
+    calm = B.debounce(keys, gap=2.0)
+    assert calm.agg(F.count("*"), F.sum("event_id")).first()[:] == (n // 2, sum(range(0, n, 2)))
+    words = B.keystrokes_to_tokens(keys)
+    assert words.agg(F.max("seq"), F.count_distinct("token"), F.first("token")).first()[:] == (n // 4, 1, "a")
+    rules = B.learn_rules(keys, key="user_id")
+    assert [tuple(r)[:6] for r in rules.collect()] == [(1, "keepAsIs", None, 2, n - 2, 0)]
+    presses = spark.range(n).selectExpr("1 as session_id", "id as press_no", "false as automatic", "3 as choices")
+    replay = B.alternation_replay(presses)
+    assert replay.first()["positions"] == [1] + [k % 3 for k in range(n - 1)]
+    for out in (calm, words, rules, replay):
+        assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
