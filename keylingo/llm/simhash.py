@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Scratch, as_bytes, small, words
 from .components import components
@@ -65,16 +66,17 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(set_bits, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """(doc_id, fp) for every row; fp is the fingerprint as a signed long. ``carry`` adds the whole row."""
 
     def run(batches):
         for batch in small(batches):
             made = [fingerprint(t) for t in batch.column("raw").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.int64())], ["doc_id", "fp"])
+            kept = {name: batch.column(name) for name in batch.schema.names if name != "raw"}
+            yield pa.RecordBatch.from_pydict(kept | {"fp": pa.array(made, pa.int64())})
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("raw"))
-    return narrow.mapInArrow(run, "doc_id long, fp long")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("raw"), *([F.struct("*").alias("row")] if carry else []))
+    return narrow.mapInArrow(run, StructType(list(narrow.drop("raw").schema)).add("fp", "long"))
 
 
 def _mix(values: np.ndarray) -> np.ndarray:
@@ -222,19 +224,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.keep(fingerprints(docs, id_col, text_col), "rows")
+    out = rows.join(_placed(rows, scratch), "fp")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _placed(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fp, root, component_id) of every fingerprint: a member that names its component, and the smallest id."""
     points = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     links = near_links(points.select("fp"), scratch)
     placed = scratch.keep(components(links, scratch), "placed")
     # fingerprints without a link keep their own smallest id
     rooted = scratch.keep(points.join(placed, points["fp"] == placed["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     named = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "named")
-    by_fp = scratch.keep(rooted.join(named, "root").select("fp", "component_id"), "by-fp")
+    by_fp = scratch.keep(rooted.join(named, "root").select("fp", "root", "component_id"), "by-fp")
     scratch.drop("distinct", "points", "met", "placed", "rooted", "named")
-    out = rows.join(by_fp, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return by_fp
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, F.col(id_col) == F.col("__gone"), "left_anti")
+    """``docs`` with one whole row of each component: that with the smallest id, null ids last.
+
+    Rows are told apart by an internal row key, also where ids repeat or are null.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    # the row key names a row from here on; written down, it can't change on a retry
+    rows = scratch.keep(fingerprints(docs, id_col, text_col, carry=True).withColumn("row_key", F.monotonically_increasing_id()), "rows")
+    members = rows.select("row_key", "doc_id", "fp").join(_placed(rows, scratch), "fp")
+    members = scratch.keep(members.select("row_key", "doc_id", "root"), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("row_key").alias("key"))
+    best = scratch.keep(members.groupBy("root").agg(F.min(order)["key"].alias("keep_key")), "best")
+    gone = members.join(best, "root").where("row_key <> keep_key").select("row_key")
+    return rows.select("row_key", "row").join(gone, "row_key", "left_anti").select("row.*")

@@ -314,6 +314,13 @@ def test_hmm_forward_is_exact_and_a_distribution():
     assert after > before
 
 
+def test_drop_near_duplicates_drops_rows_not_ids(spark):
+    near, other = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen"
+    rows = [(1, near), (2, near), (2, other), (None, other), (None, "lone text of no other kind at all"), (None, "lone text of no other kind at all"), (5, "x y z w v"), (5, "x y z w v")]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(map(tuple, got)) == Counter([rows[0], rows[2], rows[4], rows[6]])
+
+
 def test_secrets(spark, docs, empty):
     inner = "password = hunter2hunter2"
     packed = base64.b64encode(gzip.compress(inner.encode())).decode()
