@@ -15,10 +15,10 @@ each shard's place among all ids.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
-import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -30,24 +30,34 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, filesystem, publish, small
 
-MAGIC, SAMPLE = b"EFTOKEN1", 256
-#: Rows of a shard, about; a worker keeps the ids of this many distinct chunks before it starts anew.
-ROWS_A_SHARD, MEMO = 8192, 600_000
+MAGIC, SAMPLE = b"EFTOKEN1", 64
+#: Rows of a shard, about; a worker remembers the ids of so many chunks of so many characters at most, before it starts anew.
+ROWS_A_SHARD, MEMO, LONGEST = 8192, 600_000, 64
 #: magic, nulls among the ids, smallest id, documents, ids, bytes an id, lengths of the two sequences
 _FOOTER = "<8sQqQQBQQ"
-_BREAKS = re.compile("[\t\n\r]")
+#: Bytes of a shard file that are read at once.
+BUFFER = 1 << 20
+
+#: The rules of a tokenizer file under which no token spans white space and which chunks may thus be encoded alone.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Characters on which Python and the tokenizer surely agree: in normal form in any company of their own, lowered one to one.
+_UNSURE = re.compile("[^\x00-\u012f\u0131-\u017f\u2010-\u2027]")
+_SPACES = re.compile("[\t\n\x0b\x0c\r\x85\xa0]")
 _RUNS = re.compile(r"(?:[^\w ]|_)[.,] ")
 
 
 class EliasFano:
-    """A non-decreasing sequence of unsigned integers with select by place."""
+    """A non-decreasing sequence of unsigned integers with select by place.
+
+    ``low`` has the low bits of each value, ``high`` a one for each value at
+    (its high bits + its place), ``samples`` the bit of every ``SAMPLE``-th one.
+    """
 
     _HEAD = struct.Struct("<QBQQ")
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        ones = np.flatnonzero(np.unpackbits(high, bitorder="little"))[:n] if n else np.zeros(0, np.int64)
-        self.samples = ones[::SAMPLE].astype(np.uint32)
+    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, samples: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
@@ -59,7 +69,7 @@ class EliasFano:
         ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         high[ones] = 1
-        return cls(n, low_bits, low, np.packbits(high, bitorder="little"))
+        return cls(n, low_bits, low.tobytes(), np.packbits(high, bitorder="little").tobytes(), ones[::SAMPLE].astype("<u4"))
 
     def get(self, at: int) -> int:
         """The value at a place: select in the high bits from the nearest sample, and the low bits."""
@@ -67,88 +77,117 @@ class EliasFano:
             raise IndexError(at)
         bit, left = int(self.samples[at // SAMPLE]), at % SAMPLE
         byte = bit >> 3
-        word = int(self.high[byte]) & (0xFF << (bit & 7)) & 0xFF
-        while word.bit_count() <= left:
-            left -= word.bit_count()
-            byte += 1
-            word = int(self.high[byte])
+        word = (int.from_bytes(self.high[byte : byte + 8], "little") >> (bit & 7)) << (bit & 7)
+        while (ones := word.bit_count()) <= left:
+            left -= ones
+            byte += 8
+            word = int.from_bytes(self.high[byte : byte + 8], "little")
         for _ in range(left):
             word &= word - 1
         one = byte * 8 + (word & -word).bit_length() - 1
         start = at * self.low_bits
-        raw = int.from_bytes(self.low[start >> 3 : ((start + self.low_bits + 7) >> 3)].tobytes(), "little")
+        raw = int.from_bytes(self.low[start >> 3 : (start + self.low_bits + 7) >> 3], "little")
         return ((one - at) << self.low_bits) | ((raw >> (start & 7)) & ((1 << self.low_bits) - 1))
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.int64)
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.uint64)
-        low = (bits << np.arange(self.low_bits, dtype=np.uint64)[None, :]).sum(axis=1, dtype=np.uint64)
-        return ((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | low
-
     def to_bytes(self) -> bytes:
-        return self._HEAD.pack(self.n, self.low_bits, len(self.low), len(self.high)) + self.low.tobytes() + self.high.tobytes() + self.samples.tobytes()
+        return self._HEAD.pack(self.n, self.low_bits, len(self.low), len(self.high)) + self.low + self.high + self.samples.tobytes()
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> EliasFano:
         n, low_bits, n_low, n_high = cls._HEAD.unpack_from(raw)
         at = cls._HEAD.size
-        return cls(n, low_bits, np.frombuffer(raw, np.uint8, n_low, at), np.frombuffer(raw, np.uint8, n_high, at + n_low))
-
-
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    """The tokenizer, the width of its ids, remembered chunks, and which ids end a word."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+        return cls(n, low_bits, raw[at : at + n_low], raw[at + n_low : at + n_low + n_high], np.frombuffer(raw, "<u4", offset=at + n_low + n_high))
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True  # their strings in a text are ordinary text
-    vocabulary = made.get_vocab()
-    ends = np.zeros(max(vocabulary.values()) + 1, bool)
-    ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-    return made, np.dtype("<u2" if len(ends) <= 1 << 16 else "<u4"), {"": b""}, ends
 
+class _Encoder:
+    """A tokenizer file's ids of whole texts, as the library's plain call gives them.
 
-def _chunks(text: str) -> list[str]:
-    """Parts of a text that the tokenizer's rules never join; it ignores case and the white space between them.
-
-    Lower case is taken here only where that can't differ from the tokenizer's
-    own rule, and a comma or full stop is parted from the word before it only
-    where no other punctuation precedes one.
+    Where the file's rules let no token span white space, a text is normalised,
+    cut at spaces, and its chunks are encoded without another normalisation and
+    remembered. Texts with strings of special tokens, and files with other
+    rules, go to the library whole.
     """
-    if "\u03a3" not in text and unicodedata.is_normalized("NFC", text):
-        low = text.lower()
-        if unicodedata.is_normalized("NFC", low):
-            text = low
-    text = _BREAKS.sub(" ", text)
-    if not _RUNS.search(text):
-        text = text.replace(". ", " . ").replace(", ", " , ")
-    return text.split(" ")
-
 
-def encode(text: str, path: str) -> bytes:
-    """The ids of a text, in the file's width: chunks between white space are encoded once each and remembered."""
-    tokenizer, width, memo, ends = _tokenizer(path)
-    chunks = _chunks(text)
-    new = list(set(chunks).difference(memo))
-    if new:
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            memo[""] = b""
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.whole = Tokenizer.from_file(path)
+        self.added = [t["content"] for t in spec.get("added_tokens", ())]
+        vocabulary = self.whole.get_vocab()
+        most = max([*vocabulary.values(), 0])
+        self.width = np.dtype("<u2" if most < 1 << 16 else "<u4")
+        cutter = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        self.by_chunk = (
+            (spec.get("normalizer") or {}).get("normalizers") == NORMALIZERS
+            and cutter[0].get("pattern") == {"Regex": WORD_PATTERN}
+            and [c.get("type") for c in cutter] == ["Split", "ByteLevel"]
+            and spec["model"].get("end_of_word_suffix") == "</w>"
+            and not any(t.get("normalized") or t.get("single_word") for t in spec.get("added_tokens", ()))
+        )
+        if self.by_chunk:
+            self.parts = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": []}))
+            self.ends = np.zeros(most + 1, bool)  # the ids that end a word
+            self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+            self.memo = {"": b""}
+
+    def encode(self, text: str) -> bytes:
+        if not self.by_chunk or any(s in text for s in self.added):
+            return self._packed(self.whole.encode(text, add_special_tokens=False).ids)
+        chunks = self._chunks(text)
+        new = list(set(chunks).difference(self.memo))
+        if not new:
+            return b"".join(map(self.memo.__getitem__, chunks))
+        if len(self.memo) + len(new) > MEMO:
+            self.memo = {"": b""}
             new = list(set(chunks) - {""})
+        made = self._encoded(new)
+        self.memo |= {c: ids for c, ids in made.items() if len(c) <= LONGEST}
+        memo = self.memo
+        return b"".join([memo[c] if c in memo else made[c] for c in chunks])
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.width).tobytes()
+
+    def _chunks(self, text: str) -> list[str]:
+        """Parts of the normalised text that no token joins.
+
+        A comma or full stop is parted from the word before it only where no
+        other punctuation precedes one.
+        """
+        if not text.isascii() and _UNSURE.search(text):
+            return self.whole.normalizer.normalize_str(text).split(" ")
+        text = _SPACES.sub(" ", text.lower())
+        if not _RUNS.search(text):
+            text = text.replace(". ", " . ").replace(", ", " , ")
+        return text.split(" ")
+
+    def _encoded(self, chunks: list[str]) -> dict[str, bytes]:
         # words of letters alone are one pre-token each: encoded in one call, and told apart by the ids that end a word
-        plain = [c for c in new if c.isalpha()]
-        ids = np.array(tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.int64)
-        cuts = (np.flatnonzero(ends[ids]) + 1).tolist() if len(ids) else []
+        plain, made = [c for c in chunks if c.isalpha()], {}
+        ids = np.array(self.parts.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, np.int64)
+        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist() if len(ids) else []
         if len(cuts) == len(plain):
-            raw, size, at = ids.astype(width).tobytes(), width.itemsize, 0
+            raw, size, at = ids.astype(self.width).tobytes(), self.width.itemsize, 0
             for chunk, cut in zip(plain, cuts, strict=True):
-                memo[chunk] = raw[at * size : cut * size]
+                made[chunk] = raw[at * size : cut * size]
                 at = cut
-        rest = [c for c in new if c not in memo]
-        for chunk, made in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            memo[chunk] = np.array(made.ids, width).tobytes()
-    return b"".join(map(memo.__getitem__, chunks))
+        rest = [c for c in chunks if c not in made]
+        for chunk, found in zip(rest, self.parts.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            made[chunk] = self._packed(found.ids)
+        return made
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
+
+
+def encode(text: str, path: str) -> bytes:
+    """The ids of a whole text, in the file's width."""
+    return _encoder(path).encode(text)
 
 
 def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", rows_a_shard: int = ROWS_A_SHARD) -> DataFrame:
@@ -156,12 +195,15 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
 
     The folder is one that pyarrow can open and all executors share. Documents
     are in ascending id, null ids first; rows that share an id stay, in the
-    order of their texts. Null texts count as empty and hold the end id alone.
-    An empty table gives no files.
+    order of a hash of their texts, and may be in several shards. Null texts
+    count as empty and hold the end id alone. An empty table gives no files;
+    other columns are ignored.
     """
-    width = 2 if _tokenizer(tokenizer_path)[0].get_vocab_size() <= 1 << 16 else 4
+    width = _encoder(tokenizer_path).width.itemsize
     end = end_id.to_bytes(width, "little")
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # ties by text, then by the partition that a row is read in: so a hot id is split, and alike if a task runs again
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"), F.spark_partition_id().alias("part"))
     shards = max(1, -(-docs.count() // rows_a_shard))
 
     def run(batches):
@@ -195,14 +237,18 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
             {"shard": pa.array([task.partitionId()], pa.int32()), "path": [path], "docs": pa.array([len(ids)], pa.int64()), "ids": pa.array([sum(lengths)], pa.int64())}
         )
 
-    ordered = narrow.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = narrow.repartitionByRange(shards, "doc_id", "tie", "part").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     written = Scratch(docs.sparkSession, "manifest").keep(ordered.mapInArrow(run, "shard int, path string, docs long, ids long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row a shard
     return written.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)).cast("long"))
 
 
 def read_shard(path: str, folder: str):
-    """(doc_id, start in the shard, ids) of each document of a shard file, read piece by piece."""
+    """(doc_id, start in the shard, ids) of each document of a shard file.
+
+    Ids and starts come from select in the two stored sequences; the token ids
+    are read through a buffer.
+    """
     store, _ = filesystem(folder)
     with store.open_input_file(path) as file:
         size, footer = file.size(), struct.calcsize(_FOOTER)
@@ -210,17 +256,22 @@ def read_shard(path: str, folder: str):
         if magic != MAGIC:
             raise ValueError(f"{path} is no token file")
         tail = size - footer - n_starts
-        starts = EliasFano.from_bytes(file.read_at(n_starts, tail)).all().astype(np.int64)
-        names = EliasFano.from_bytes(file.read_at(n_names, tail - n_names)).all() + np.int64(least).view(np.uint64)
-        names = names.view(np.int64)
-        kind = np.dtype("<u2" if width == 2 else "<u4")
+        starts = EliasFano.from_bytes(file.read_at(n_starts, tail))
+        names = EliasFano.from_bytes(file.read_at(n_names, tail - n_names))
+    kind = np.dtype("<u2" if width == 2 else "<u4")
+    with store.open_input_stream(path, compression=None, buffer_size=BUFFER) as stream:
+        end = starts.get(0)
         for at in range(n):
-            raw = file.read_at(int(starts[at + 1] - starts[at]) * width, int(starts[at]) * width)
-            yield (None if at < nulls else int(names[at - nulls])), int(starts[at]), np.frombuffer(raw, kind)
+            start, end = end, starts.get(at + 1)
+            yield (None if at < nulls else least + names.get(at - nulls)), start, np.frombuffer(stream.read((end - start) * width), kind)
 
 
 def read_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """Every document of the files: doc_id, start among all ids, n_tokens, ids_crc32 (of little-endian 32-bit ids)."""
+    """Every document of the files: doc_id, start among all ids, n_tokens, ids_crc32 (of little-endian 32-bit ids).
+
+    A row for each row that was written, repeated and null ids included; an
+    empty manifest gives none.
+    """
 
     def run(batches):
         for batch in batches:
@@ -234,6 +285,9 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def write_and_read(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """Writes token files to the shared folder and returns what ``read_files`` finds in them."""
+    """Writes token files to the shared folder and returns what ``read_files`` finds in them.
+
+    Nulls, ties, repeated rows, empty tables and other columns: see ``write_files``.
+    """
     folder = f"{Scratch(docs.sparkSession, 'token-files').path}/files"
     return read_files(write_files(docs, folder, tokenizer_path, end_id), folder)
