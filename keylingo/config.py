@@ -35,10 +35,10 @@ LEADING = "([{\"«“"
 BOUNDARY = ".!?:)]}\"»”…"
 SENTENCE_END = ".!?"
 EXTENSIONS = (
-    "md txt rtf pdf json yaml yml toml ini conf plist xml csv log "
-    "swift m mm c h cpp hpp cc hh rs go java kt py js ts tsx jsx html css scss "
-    "zip gz bz2 xz 7z dmg pkg app"
-).split()
+    "md", "txt", "rtf", "pdf", "json", "yaml", "yml", "toml", "ini", "conf", "plist", "xml", "csv", "log",
+    "swift", "m", "mm", "c", "h", "cpp", "hpp", "cc", "hh", "rs", "go", "java", "kt", "py", "js", "ts", "tsx", "jsx", "html", "css", "scss",
+    "zip", "gz", "bz2", "xz", "7z", "dmg", "pkg", "app",
+)
 PREPOSITIONS = {"f": "а", "d": "в", "r": "к", "j": "о", "e": "у", "b": "и", "z": "я"}
 
 
@@ -54,6 +54,7 @@ class Thresholds:
     short_word_margin: float = 0.25
     long_word_margin: float = 0.70
     word_confidence_min: float = 0.80
+    source_word_conf_max: float = 0.80
     base_conf_min: float = 0.75
     pending_timeout: float = 5.0
     pending_min: float = 0.40

@@ -165,7 +165,7 @@ def technical_kind(token: Column) -> Column:
         .when(F.lower(token).rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), "uuid")
         .when(token.rlike(r"^[vV]?[0-9]+(\.[0-9]+){1,3}$"), "version")
         .when(token.rlike("^[0-9:+/%.,-]+$") & token.rlike("[0-9]") & token.rlike("[^0-9]"), "number")
-        .when(F.lower(name).isin(EXTENSIONS) & base.rlike(r"\p{L}"), "file")
+        .when(F.lower(name).isin(*EXTENSIONS) & base.rlike(r"\p{L}"), "file")
     )
 
 

@@ -23,15 +23,14 @@ def _field(name: str, kind: str) -> T.StructField:
     return T.StructField(name, T._parse_datatype_string(kind))
 
 
-def profile_stats(feedback: DataFrame, busiest: int = 1000) -> DataFrame:
-    """(prefix3, last_lang, accepted, reverted, rate) of the busiest contexts; manual choices count as accepted, no feedback as 0.5."""
+def profile_stats(feedback: DataFrame, busiest: int | None = 1000) -> DataFrame:
+    """(prefix3, last_lang, accepted, reverted, rate) of the busiest contexts, or of all; manual choices count as accepted, no feedback as 0.5."""
     stats = feedback.groupBy("prefix3", "last_lang").agg(
         F.count_if(F.col("outcome").isin("accepted", "manual")).alias("accepted"), F.count_if(F.col("outcome") == "reverted").alias("reverted")
     )
     total = F.col("accepted") + F.col("reverted")
     ranked = stats.withColumn("rate", F.when(total > 0, F.col("accepted") / total).otherwise(0.5))
-    best = Window.orderBy(F.desc(total), "prefix3", "last_lang")
-    return ranked.withColumn("__at", F.row_number().over(best)).where(F.col("__at") <= busiest).drop("__at")
+    return ranked if busiest is None else ranked.orderBy(F.desc(total), "prefix3", "last_lang").limit(busiest)  # a top n that keeps n rows a task
 
 
 def adjust_confidence(decisions: DataFrame, profile: DataFrame, least: int = 3, invert_fix: bool = False) -> DataFrame:

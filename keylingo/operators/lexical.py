@@ -46,8 +46,12 @@ def trigram_score(df: DataFrame, trigrams: DataFrame, header: DataFrame, key: st
     Texts of under three letters score floor * max(1, letters).
     """
     letters = df.select(key, F.regexp_replace(F.lower(col), r"[^\p{L}]", "").alias("letters"))
-    grams = letters.select(key, F.explode(T.trigrams(F.col("letters"))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("n"))
-    seen = grams.join(trigrams.select("lang", "gram", "logprob"), "gram").groupBy(key, "lang").agg(F.sum("n").alias("hit"), F.sum(F.col("n") * F.col("logprob")).alias("sum"))
+    # a text's trigrams are summed where they are: the model, small and of known size when it is a table, comes to them
+    by_gram = trigrams.groupBy("gram").agg(*(F.max(F.when(F.col("lang") == x, F.col("logprob"))).alias(f"m_{x}") for x in langs))
+    found = letters.select(key, F.explode(T.trigrams(F.col("letters"))).alias("gram")).join(by_gram, "gram")
+    sums = found.groupBy(key).agg(*(f(F.col(f"m_{x}")).alias(f"{n}_{x}") for x in langs for n, f in (("hit", F.count), ("sum", F.sum))))
+    per = F.array(*(F.struct(F.lit(x).alias("lang"), F.col(f"hit_{x}").alias("hit"), F.col(f"sum_{x}").alias("sum")) for x in langs))
+    seen = sums.select(key, F.explode(per).alias("s")).select(key, "s.*")
     sizes = letters.select(key, F.length("letters").cast("long").alias("size"))
     out = _by_language(sizes, langs).join(header.select("lang", "floor"), "lang").join(seen, [key, "lang"], "left")
     count = F.greatest(F.col("size") - 2, F.lit(0))

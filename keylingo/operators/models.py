@@ -10,12 +10,18 @@ from ..functions import text as T
 LANGS = ("en", "fr", "de", "es")
 
 
+def count_words(phrases: DataFrame, min_len: int = 2, langs=LANGS) -> DataFrame:
+    """(lang, word, cnt) over all words of each language's letters."""
+    words = phrases.select("lang", F.explode(T.words_by_language(F.col("text"), F.col("lang"), langs, min_len)).alias("word"))
+    return words.groupBy("lang", "word").agg(F.count("*").alias("cnt"))
+
+
 def train_unigrams(phrases: DataFrame, top_n: int = 200_000, min_len: int = 2, langs=LANGS) -> DataFrame:
     """(lang, word, cnt, rank): exact counts, the most frequent of each language, ties by word."""
-    words = phrases.select("lang", F.explode(T.words_by_language(F.col("text"), F.col("lang"), langs, min_len)).alias("word"))
-    counted = words.groupBy("lang", "word").agg(F.count("*").alias("cnt"))
+    counted = count_words(phrases, min_len, langs)
     best = Window.partitionBy("lang").orderBy(F.desc("cnt"), "word")
-    return counted.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top_n)
+    # the bare row number lets every task drop all but its first top_n rows before the shuffle
+    return counted.withColumn("__at", F.row_number().over(best)).where(F.col("__at") <= top_n).withColumn("rank", F.col("__at").cast("long")).drop("__at")
 
 
 def count_trigrams(phrases: DataFrame, langs=LANGS) -> DataFrame:
@@ -65,7 +71,7 @@ def validate_model(trigrams: DataFrame, header: DataFrame) -> DataFrame:
 def corpus_report(phrases: DataFrame, langs=LANGS) -> DataFrame:
     """Per language: lines, tokens, unique tokens, trigrams, unique trigrams."""
     lines = phrases.groupBy("lang").agg(F.count("*").alias("lines"))
-    words = train_unigrams(phrases, top_n=2**62, langs=langs).groupBy("lang").agg(F.sum("cnt").alias("tokens"), F.count("*").alias("unique_tokens"))
+    words = count_words(phrases, 2, langs).groupBy("lang").agg(F.sum("cnt").alias("tokens"), F.count("*").alias("unique_tokens"))
     grams = count_trigrams(phrases, langs).groupBy("lang").agg(F.sum("cnt").alias("trigrams"), F.count("*").alias("unique_trigrams"))
     out = lines.join(words, "lang", "left").join(grams, "lang", "left")
     return out.select("lang", "lines", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "unique_tokens", "trigrams", "unique_trigrams")))

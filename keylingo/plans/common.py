@@ -12,8 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where its scan has fewer tasks than that; a large table's scan has more and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").where("text is not null")
+    """Documents that have a text; a null text is no text to any of the operators."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").where("text is not null"))
 
 
 def held_out() -> Column:

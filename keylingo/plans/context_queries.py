@@ -68,8 +68,8 @@ def a17_phrase_frequency_score(spark, d):
 
 
 def readings(spark, d) -> DataFrame:
-    """(token, whole, split, s_token, s_whole, s_split, confidence) of the distinct segments of English documents typed on the Russian layout."""
-    docs = documents(spark, d).where("lang = 'en'")
+    """(token, whole, split, s_token, s_whole, s_split, confidence) of the distinct segments of documents typed on the Russian layout."""
+    docs = documents(spark, d)
     typed = docs.select(F.explode(F.split(L.convert(F.lower("text"), "us", "ru"), f"{T.SPACE}+")).alias("token")).where("token <> ''").distinct()
     both = typed.select("token", L.convert(F.col("token"), "ru", "us").alias("whole"), K.split_reading(F.col("token"), "ru", "us").alias("split"))
     texts = both.select(F.explode(F.array("token", "whole", "split")).alias("text")).distinct().select(F.col("text").alias("key"), "text")
@@ -84,7 +84,7 @@ def d15_split_or_whole(spark, d):
 
 
 def d16_correct_segments(spark, d):
-    docs = documents(spark, d).where("lang = 'en'").select("doc_id", L.convert(F.lower("text"), "us", "ru").alias("text"))
+    docs = documents(spark, d).select("doc_id", L.convert(F.lower("text"), "us", "ru").alias("text"))
     fixed = K.correct_segments(C.explode_segments(docs).select("doc_id", "pos", "segment"), K.split_or_whole(readings(spark, d)))
     return fixed.select("doc_id", "changed", F.md5(F.col("text").cast("binary")).alias("digest"))
 
@@ -120,7 +120,7 @@ def phrase_scores(name: str, texts: str) -> str:
 
 
 _HELDLESS = LEXICON.split(", lexicon AS")[0]
-READINGS = rf"""{DOCS}, {_HELDLESS}, {USEFUL}, ty AS (SELECT DISTINCT unnest(regexp_split_to_array({sql_translate('lower(text)', 'us', 'ru')}, '{S}+')) AS token FROM docs WHERE lang = 'en'),
+READINGS = rf"""{DOCS}, {_HELDLESS}, {USEFUL}, ty AS (SELECT DISTINCT unnest(regexp_split_to_array({sql_translate('lower(text)', 'us', 'ru')}, '{S}+')) AS token FROM docs),
   bo AS (SELECT token, {sql_translate('token', 'ru', 'us')} AS whole, array_to_string(list_transform(regexp_extract_all(token, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+'), lambda r: CASE WHEN regexp_matches(r, '^[\p{{L}}\p{{N}}]') THEN {sql_translate('r', 'ru', 'us')} ELSE r END), '') AS split FROM ty WHERE token <> ''),
   tx AS (SELECT DISTINCT unnest([token, whole, split]) AS key FROM bo), txt AS (SELECT key, key AS text FROM tx), {phrase_scores('ph', 'txt')},
   rd AS (SELECT b.*, a.score AS s_token, w.score AS s_whole, s.score AS s_split, least(1.0, 0.5 + w.score / 2) AS confidence FROM bo b JOIN ph a ON a.key = b.token JOIN ph w ON w.key = b.whole JOIN ph s ON s.key = b.split),
@@ -137,7 +137,7 @@ SQL = {
     "a17_phrase_frequency_score": rf"""WITH {DOCS}, {_HELDLESS}, {USEFUL}, raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM docs),
         ln0 AS (SELECT doc_id || '-' || line_no AS key, regexp_replace(t, '^{S}+|{S}+$', '', 'g') AS text FROM raw), lns AS (SELECT * FROM ln0 WHERE length(text) > 0), {phrase_scores('ph', 'lns')} SELECT key, round(score, 6) AS score FROM ph""",
     "d15_split_or_whole": f"WITH {READINGS} SELECT token, chosen FROM ch",
-    "d16_correct_segments": rf"""WITH {READINGS}, dt AS (SELECT doc_id, regexp_extract_all({sql_translate('lower(text)', 'us', 'ru')}, '{S}+|[^ \t\n\x0B\f\r]+') AS ss FROM docs WHERE lang = 'en'),
+    "d16_correct_segments": rf"""WITH {READINGS}, dt AS (SELECT doc_id, regexp_extract_all({sql_translate('lower(text)', 'us', 'ru')}, '{S}+|[^ \t\n\x0B\f\r]+') AS ss FROM docs),
         sg AS (SELECT doc_id, unnest(ss) AS segment, unnest(range(1, len(ss) + 1)) AS pos FROM dt), jn AS (SELECT doc_id, pos, chosen, coalesce(chosen, segment) AS s FROM sg LEFT JOIN ch ON ch.token = sg.segment)
         SELECT doc_id, count(chosen) AS changed, CASE WHEN count(chosen) > 0 AND count(*) > 1 THEN md5(string_agg(s, '' ORDER BY pos)) END AS digest FROM jn GROUP BY doc_id""",
     "d17_rank_alternatives": f"""WITH {READINGS}, ag AS (SELECT *, CASE WHEN split = whole THEN 0.20 ELSE 0.0 END AS agree FROM rd), fs AS (SELECT *, s_split + agree + 0.05 >= s_whole + agree AS first FROM ag),

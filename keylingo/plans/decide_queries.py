@@ -5,30 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import CORRECTIONS, EXTENSIONS, PREPOSITIONS, SCRIPTS
+from ..config import CORRECTIONS, EXTENSIONS, HYPOTHESES, PREPOSITIONS, SCRIPTS
 from ..functions import layouts as L
 from ..functions import text as T
-from ..operators import cleaning as C
 from ..operators import conversion as V
 from ..operators import decide as D
 from ..operators import evaluate as E
 from ..operators import models as M
+from ..sources.scratch import kept, shared_folder
 from .common import DOCS, HELD, documents, sql_translate
-from .model_queries import ALL_DOCS, LEXICON, _lexicon, _models, scored, training, trigrams
+from .model_queries import LEXICON, WORD_CASES, lexicon_of, trained, training, trigrams
 from .text_queries import grams
 
 TYPED_ON = ("us", "ru", "he")
 
 
-def english_words(spark, d) -> DataFrame:
-    """(word): distinct words of English documents."""
-    return C.explode_words(scored(spark, d).where("lang = 'en'").select("text"), "en").select("word").distinct()
+def document_words(spark, d) -> DataFrame:
+    """(word): distinct words of all documents, each by the letters of the document's language."""
+    each = F.explode(T.words_by_language(F.col("text"), F.col("lang"), M.LANGS))
+    return documents(spark, d).select(each.alias("word")).distinct()
 
 
 def typed_words(spark, d) -> DataFrame:
     """(intended, typed_on, token): each of these words as three layouts give it."""
     options = [F.struct(F.lit(x).alias("typed_on"), (F.col("word") if x == "us" else L.convert(F.col("word"), "us", x)).alias("token")) for x in TYPED_ON]
-    return english_words(spark, d).select(F.col("word").alias("intended"), F.explode(F.array(*options)).alias("o")).select("intended", "o.*")
+    return document_words(spark, d).select(F.col("word").alias("intended"), F.explode(F.array(*options)).alias("o")).select("intended", "o.*")
 
 
 def tokens(spark, d) -> DataFrame:
@@ -36,15 +37,29 @@ def tokens(spark, d) -> DataFrame:
 
 
 def models(spark, d) -> D.Models:
-    grams_, header = _models(spark, d)
-    return D.Models(_lexicon(spark, d).where("lang = 'en'"), M.unigram_scores(M.train_unigrams(training(spark, d))).where("lang = 'en'"), grams_.where("lang = 'en'"), header.where("lang = 'en'"))
+    """The English models, trained once into the shared folder; the given tables have no Russian or Hebrew to train on."""
+    words, grams_ = trained(spark, d)
+    english = F.col("lang") == "en"
+    return D.Models.of(lexicon_of(words).where(english), M.unigram_scores(words).where(english), grams_.where(english), M.trigram_header(grams_).where(english)).kept(shared_folder(spark, "models"))
 
 
 def rules(spark, d) -> DataFrame:
-    """(token, action, hyp): a rule for one typed token in eight, by the digest of the token."""
+    """(token, action, hyp): a rule for one typed token in four, its kind by the digest of the token."""
     digit = F.substring(F.md5(F.col("token").cast("binary")), 1, 1)
-    found = tokens(spark, d).where(digit.isin("0", "1")).select(F.lower("token").alias("token"), digit.alias("digit")).distinct()
-    return found.select("token", F.when(F.col("digit") == "0", "keepAsIs").otherwise("preferHypothesis").alias("action"), F.lit("en_from_ru").alias("hyp"))
+    found = tokens(spark, d).where(digit.isin("0", "1", "2", "3")).select(F.lower("token").alias("token"), digit.alias("digit")).distinct()
+    action = F.when(F.col("digit") == "0", "keepAsIs").when(F.col("digit") == "3", "none").otherwise("preferHypothesis")
+    return found.select("token", action.alias("action"), F.when(F.col("digit") == "2", "ru_from_en").otherwise("en_from_ru").alias("hyp"))
+
+
+def predictions(spark, d) -> DataFrame:
+    """(token, predicted, confidence): stand-ins for a classifier's answers, from the digest of the token, which SQL can repeat."""
+    byte = lambda at: F.conv(F.substring(F.md5(F.col("token").cast("binary")), at, 2), 16, 10).cast("int")
+    classes = F.array(*(F.lit(h[0]) for h in HYPOTHESES))
+    return tokens(spark, d).select("token", F.element_at(classes, byte(3) % len(HYPOTHESES) + 1).alias("predicted"), (byte(5) / 255).alias("confidence"))
+
+
+def scored(spark, d) -> DataFrame:
+    return kept(D.scored_tokens(tokens(spark, d), models(spark, d)), "scored")
 
 
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -54,7 +69,7 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
 def j2_convert_layout(spark, d):
     made = [L.convert(F.lower("text"), "us", x) for x in ("ru", "he")]
     back = L.convert(made[0], "ru", "us")
-    return documents(spark, d).where("lang = 'en'").select("doc_id", *(F.md5(x.cast("binary")).alias(n) for x, n in zip((*made, back), ("ru", "he", "back"), strict=True)))
+    return documents(spark, d).select("doc_id", *(F.md5(x.cast("binary")).alias(n) for x, n in zip((*made, back), ("ru", "he", "back"), strict=True)))
 
 
 def j2_convert_by_row(spark, d):
@@ -80,7 +95,7 @@ def j4_convert_source_variants(spark, d):
 
 def j5_decode_by_lexicon(spark, d):
     words = M.unigram_scores(M.train_unigrams(training(spark, d))).where("lang = 'en'")
-    typed = english_words(spark, d).select(L.convert(F.col("word"), "us", "he_qwerty").alias("token")).distinct()
+    typed = document_words(spark, d).select(L.convert(F.col("word"), "us", "he_qwerty").alias("token")).distinct()
     return V.decode_by_lexicon(typed, words, "he_qwerty", "us")
 
 
@@ -93,19 +108,18 @@ def j11_candidate_hypotheses(spark, d):
 
 
 def j12_apply_rules(spark, d):
-    routed = D.route(tokens(spark, d), models(spark, d), rules(spark, d))
-    return _rounded(routed.where("path in ('rule_keep', 'rule_prefer')"), "confidence")
+    return D.apply_rules(tokens(spark, d), rules(spark, d)).where("rule is not null").select("token", "rule.*")
 
 
 def j14_preposition_map(spark, d):
     """One-letter tokens of all documents and what they are as Russian words."""
     words = documents(spark, d).select("doc_id", F.explode(T.letter_words(F.col("text"))).alias("token")).where("length(token) = 1")
-    dim = spark.createDataFrame(list(PREPOSITIONS.items()), "token string, word string")
-    return words.groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")).join(dim, "token")
+    counted = words.groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return D.preposition_map(counted, spark.createDataFrame(list(PREPOSITIONS.items()), "token string, word string"))
 
 
 def a13_recovery_rate(spark, d):
-    return V.recovery_rate(english_words(spark, d), (("us", "ru"), ("us", "he"), ("us", "ru_phonetic"), ("us", "he_qwerty")))
+    return V.recovery_rate(document_words(spark, d), (("us", "ru"), ("us", "he"), ("us", "ru_phonetic"), ("us", "he_qwerty")))
 
 
 def w9_distinct_results(spark, d):
@@ -114,55 +128,68 @@ def w9_distinct_results(spark, d):
 
 
 def d3_best_correction(spark, d):
-    _, made, _ = D.scored_tokens(tokens(spark, d), models(spark, d))
-    return _rounded(D.best_correction(made).select("token", "hyp", "text", "immediate", "q"), "q")
+    best = D.best_correction(scored(spark, d))
+    return _rounded(best.select("token", "best.hyp", "best.text", "immediate", "best.q"), "q")
 
 
 def d4_accept_correction(spark, d):
-    own, made, _ = D.scored_tokens(tokens(spark, d), models(spark, d))
-    return _rounded(D.accept_correction(D.best_correction(made), own).select("token", "hyp", "as_is", "margin", "confidence"), "as_is", "margin")
+    return _rounded(D.accept_correction(scored(spark, d)), "as_is", "margin")
+
+
+def d5_resolve_hebrew_collision(spark, d):
+    return D.resolve_hebrew_collision(scored(spark, d))
 
 
 def d6_fast_language(spark, d):
-    own, _, _ = D.scored_tokens(tokens(spark, d), models(spark, d))
-    return _rounded(D.fast_language(tokens(spark, d), own), "confidence")
+    return _rounded(D.fast_language(scored(spark, d)), "confidence")
 
 
 def d7_ensemble_language(spark, d):
-    own, made, _ = D.scored_tokens(tokens(spark, d), models(spark, d))
-    return _rounded(D.ensemble_language(own, made), "confidence")
+    return _rounded(D.ensemble_language(scored(spark, d)), "confidence")
 
 
 def d9_validate_correction(spark, d):
-    _, made, _ = D.scored_tokens(tokens(spark, d), models(spark, d))
-    return _rounded(D.validate_correction(made).select("token", "hyp", "rule", "confidence"), "confidence")
+    return _rounded(D.validate_correction(scored(spark, d)), "confidence")
 
 
 def d10_heuristic_correction(spark, d):
-    own, made, _ = D.scored_tokens(tokens(spark, d), models(spark, d))
-    return _rounded(D.heuristic_correction(own, made), "confidence")
+    return _rounded(D.heuristic_correction(scored(spark, d)), "confidence")
+
+
+def d11_model_correction(spark, d):
+    return _rounded(D.model_correction(scored(spark, d), predictions(spark, d)), "confidence")
+
+
+def _routed(spark, d) -> DataFrame:
+    """The cascade with rules and predictions that stand in for a user's and a classifier's, so that every stage takes part."""
+    return D.route(tokens(spark, d), models(spark, d), rules(spark, d), predictions=predictions(spark, d))
 
 
 def d12_route(spark, d):
-    return _rounded(D.route(tokens(spark, d), models(spark, d), rules(spark, d)), "confidence")
+    return _rounded(_routed(spark, d), "confidence")
+
+
+def d12_route_by_hand(spark, d):
+    """The same in manual mode, without predictions."""
+    return _rounded(D.route(tokens(spark, d), models(spark, d), rules(spark, d), automatic=False), "confidence")
 
 
 def d13_apply_decision(spark, d):
-    decided = D.apply_decision(D.route(tokens(spark, d), models(spark, d), rules(spark, d)))
-    return decided.select("token", "path", "output")
+    return D.apply_decision(_routed(spark, d)).select("token", "path", "output")
 
 
 def m10_evaluate(spark, d):
     """Words typed on three layouts, routed and applied: output accuracy for each layout and in all."""
-    decided = D.apply_decision(D.route(tokens(spark, d), models(spark, d), rules(spark, d).where(F.lit(False)))).select("token", "output")
+    none = spark.createDataFrame([], "token string, action string, hyp string")
+    decided = D.apply_decision(D.route(tokens(spark, d), models(spark, d), none)).select("token", "output")
     cases = typed_words(spark, d).join(decided, "token")
     return _rounded(E.accuracy(cases, "typed_on", "intended", "output"), "accuracy")
 
 
 QUERIES = {f.__name__: f for f in (
     j2_convert_layout, j2_convert_by_row, j3_convert_variants, j4_convert_source_variants, j5_decode_by_lexicon, j6_typable_layouts, j11_candidate_hypotheses, j12_apply_rules,
-    j14_preposition_map, a13_recovery_rate, w9_distinct_results, d3_best_correction, d4_accept_correction, d6_fast_language, d7_ensemble_language, d9_validate_correction,
-    d10_heuristic_correction, d12_route, d13_apply_decision, m10_evaluate)}
+    j14_preposition_map, a13_recovery_rate, w9_distinct_results, d3_best_correction, d4_accept_correction, d5_resolve_hebrew_collision, d6_fast_language, d7_ensemble_language, d9_validate_correction,
+    d10_heuristic_correction, d11_model_correction, d12_route, d12_route_by_hand, d13_apply_decision, m10_evaluate)}
 
 
 def script(x: str) -> str:
@@ -176,62 +203,92 @@ def charset(x: str, lang: str) -> str:
     return f"(length({x}) > 0 AND length({x}) - length(regexp_replace({x}, '[{SCRIPTS[lang]}]', '', 'g')) > length({x}) * 0.7)"
 
 
-WORDS = f"ew AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{2,}}')) AS word FROM held WHERE lang = 'en')"
-TYPED_WORDS = f"""{DOCS}, {ALL_DOCS}, {WORDS}, tyw AS (SELECT word AS intended, 'us' AS typed_on, word AS token FROM ew UNION ALL SELECT word, 'ru', {sql_translate('word', 'us', 'ru')} FROM ew UNION ALL SELECT word, 'he', {sql_translate('word', 'us', 'he')} FROM ew)"""
+WORDS = f"ew AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(lower(text), CASE lang {WORD_CASES} END)) AS word FROM docs)"
+TYPED_WORDS = f"""{DOCS}, {WORDS}, tyw AS (SELECT word AS intended, 'us' AS typed_on, word AS token FROM ew UNION ALL SELECT word, 'ru', {sql_translate('word', 'us', 'ru')} FROM ew UNION ALL SELECT word, 'he', {sql_translate('word', 'us', 'he')} FROM ew)"""
 _OPTIONS = ", ".join(f"{{'hyp': '{h}', 'source': '{s}', 'target': '{t}', 'place': {n}, 'text': {sql_translate('token', D.ACTIVE[s], D.ACTIVE[t])}}}" for h, t, s, n in CORRECTIONS)
-CANDS = f"""{TYPED_WORDS}, tok AS (SELECT DISTINCT token FROM tyw),
-  cand AS (SELECT * FROM (SELECT token, {script('token')} AS script, unnest([{_OPTIONS}], recursive := true) FROM tok) WHERE (script IS NULL OR script = source) AND text <> token)"""
+TOKENS = f"{TYPED_WORDS}, tok AS MATERIALIZED (SELECT token, {script('token')} AS script FROM (SELECT DISTINCT token FROM tyw))"
+CANDS = f"""{TOKENS}, cand AS MATERIALIZED (SELECT * FROM (SELECT token, script, unnest([{_OPTIONS}], recursive := true) FROM tok) WHERE (script IS NULL OR script = source) AND text <> token)"""
 QUALITY = "CASE WHEN letters <= 3 THEN 1.6 * word + 1.6 * freq ELSE 1.2 * word + 1.0 * freq + 0.6 * norm END"
+# sc: every text under the English models; under languages without a model word and freq are 0, tri -10 and norm 0
+_EN = lambda lang, c: f"CASE WHEN {lang} = 'en' THEN {c} ELSE 0 END"
 MADE = rf"""{CANDS}, {trigrams('tg', f"lang = 'en' AND NOT ({HELD})")}, {LEXICON},
-  pairs AS (SELECT token AS text, lang FROM tok CROSS JOIN (VALUES ('en'), ('ru'), ('he')) v(lang) UNION SELECT text, target FROM cand),
-  pw AS (SELECT text, lang, w, count(*) AS n FROM (SELECT text, lang, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS w FROM pairs) GROUP BY text, lang, w),
-  lexk AS (SELECT lang, word, max(CASE WHEN kind = 'builtin' THEN 1 ELSE 0 END) AS b FROM lexicon WHERE lang = 'en' GROUP BY lang, word),
-  uf AS (SELECT lang, word, ln(1 + cnt) / ln(1 + max(cnt) OVER (PARTITION BY lang)) AS freq_score FROM tw WHERE lang = 'en'),
-  lx AS (SELECT pw.text, pw.lang, sum(n * coalesce(b, 0)) / sum(n) AS builtin, sum(CASE WHEN b IS NOT NULL THEN n ELSE 0 END) / sum(n) AS word, sum(n * coalesce(freq_score, 0)) / sum(n) AS freq
-         FROM pw LEFT JOIN lexk ON lexk.lang = pw.lang AND lexk.word = pw.w LEFT JOIN uf ON uf.lang = pw.lang AND uf.word = pw.w GROUP BY pw.text, pw.lang),
-  pl AS (SELECT text, lang, regexp_replace(lower(text), '[^\p{{L}}]', '', 'g') AS l FROM pairs),
-  ps AS (SELECT text, g.lang, count(*) AS hit, sum(logprob) AS total FROM (SELECT text, lang, {grams('l')} AS gram FROM pl WHERE length(l) >= 3) g JOIN tg ON tg.lang = g.lang AND tg.gram = g.gram GROUP BY text, g.lang),
-  s0 AS (SELECT pl.text, pl.lang, length(l) AS letters, coalesce(builtin, 0) AS builtin, coalesce(word, 0) AS word, coalesce(freq, 0) AS freq, p50, p95,
-         coalesce(CASE WHEN length(l) < 3 THEN h.floor * greatest(1, length(l)) ELSE (coalesce(total, 0) + (length(l) - 2 - coalesce(hit, 0)) * h.floor) / (length(l) - 2) END, -10) AS tri
-         FROM pl LEFT JOIN tg_h h ON h.lang = pl.lang LEFT JOIN ps ON ps.text = pl.text AND ps.lang = pl.lang LEFT JOIN lx ON lx.text = pl.text AND lx.lang = pl.lang),
-  sc AS (SELECT *, coalesce(1 / (1 + exp(-(tri - p50) / greatest(0.5, (p95 - p50) / 2))), 0) AS norm FROM s0),
-  own AS (SELECT token, sc.lang, letters, builtin, word, freq, tri, norm, {QUALITY} AS quality FROM tok JOIN sc ON sc.text = tok.token WHERE sc.lang IN ('en', 'ru', 'he')),
-  made AS (SELECT c.*, s.letters, s.builtin, s.word, s.freq, s.tri, s.norm, o.builtin AS src_builtin, o.word AS src_word, o.freq AS src_freq, o.norm AS src_norm,
-           {QUALITY.replace('letters', 's.letters').replace('word', 's.word').replace('freq', 's.freq').replace('norm', 's.norm')} - 0.05
-           + CASE hyp {' '.join(f"WHEN '{h}' THEN {v}" for h, v in D.PRIORS.items())} ELSE 0 END
-           + CASE WHEN target = 'ru' AND regexp_matches(c.token, '[.,]') AND (s.word >= 0.8 OR s.freq >= 0.1) THEN 0.35 ELSE 0 END AS q
-           FROM cand c JOIN sc s ON s.text = c.text AND s.lang = c.target JOIN own o ON o.token = c.token AND o.lang = c.source)"""
-BEST = f"{MADE}, best AS (SELECT *, builtin >= 0.99 AND src_builtin <= 0.01 AS immediate FROM made QUALIFY row_number() OVER (PARTITION BY token ORDER BY (builtin >= 0.99 AND src_builtin <= 0.01) DESC, round(q, 9) DESC, place) = 1)"
-_LETTERS = r"length(regexp_replace(b.token, '[^\p{L}]', '', 'g'))"
-_M0 = f"CASE WHEN source = 'he' THEN CASE WHEN {_LETTERS} <= 3 THEN 0.10 ELSE {max(0.25, 0.70 - 0.40)} END WHEN {_LETTERS} <= 3 THEN 0.25 ELSE 0.70 END"
-ACCEPT = f"""{BEST}, asis AS (SELECT token, max(quality) AS as_is FROM own GROUP BY token),
-  mg AS (SELECT b.*, as_is, CASE WHEN regexp_matches(b.token, '[{D.FINAL_FORMS}]$') THEN greatest(0.10, ({_M0}) - 0.10) ELSE {_M0} END AS margin FROM best b JOIN asis USING (token)),
-  acc AS (SELECT *, CASE WHEN immediate OR (q >= as_is + margin AND word >= 0.8) THEN 0.95 END AS confidence FROM mg)"""
-FAST = f"""fastr AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY round(tri, 9) DESC, lang) AS rn FROM own),
-  fast AS (SELECT a.token, a.lang, least(1.0, 0.5 + 0.2 * (a.tri - b.tri)) AS confidence FROM fastr a JOIN fastr b ON a.token = b.token AND a.rn = 1 AND b.rn = 2
-           WHERE a.tri >= -8 AND {script('a.token')} = a.lang AND a.lang <> 'he' AND a.word >= 0.8 AND length(a.token) >= 4)"""
+  texts AS MATERIALIZED (SELECT text, lower(text) AS low, regexp_replace(lower(text), '[^\p{{L}}]', '', 'g') AS l FROM (SELECT token AS text FROM tok UNION SELECT text FROM cand)),
+  lexk AS (SELECT word, max(CASE WHEN kind = 'builtin' THEN 1 ELSE 0 END) AS b, max(CASE WHEN kind = 'whitelist' THEN 1 ELSE 0 END) AS wh FROM lexicon WHERE lang = 'en' GROUP BY word),
+  uf AS (SELECT word, ln(1 + cnt) / ln(1 + max(cnt) OVER ()) AS freq_score FROM tw WHERE lang = 'en'),
+  pw AS (SELECT text, unnest(regexp_extract_all(low, '\p{{L}}+')) AS word FROM texts),
+  lx AS (SELECT text, sum(coalesce(b, 0)) / count(*) AS builtin, count(b) / count(*) AS word, sum(coalesce(freq_score, 0)) / count(*) AS freq FROM pw LEFT JOIN lexk USING (word) LEFT JOIN uf USING (word) GROUP BY text),
+  ps AS (SELECT text, count(*) AS hit, sum(logprob) AS total FROM (SELECT text, {grams('l')} AS gram FROM texts WHERE length(l) >= 3) JOIN tg USING (gram) GROUP BY text),
+  s0 AS (SELECT t.text, length(l) AS letters, coalesce(builtin, 0) AS builtin, coalesce(lx.word, 0) AS word, coalesce(freq, 0) AS freq, p50, p95, wh IS NOT NULL AND wh = 1 AS white,
+         CASE WHEN length(l) < 3 THEN h.floor * greatest(1, length(l)) ELSE (coalesce(total, 0) + (length(l) - 2 - coalesce(hit, 0)) * h.floor) / (length(l) - 2) END AS tri
+         FROM texts t CROSS JOIN tg_h h LEFT JOIN ps ON ps.text = t.text LEFT JOIN lx ON lx.text = t.text LEFT JOIN lexk ON lexk.word = regexp_replace(t.low, '^\p{{P}}+|\p{{P}}+$', '', 'g')),
+  s1 AS (SELECT *, 1 / (1 + exp(-(tri - p50) / greatest(0.5, (p95 - p50) / 2))) AS norm, exp(tri - greatest(tri, -10)) AS e_en, exp(-10 - greatest(tri, -10)) AS e_no FROM s0),
+  sc AS MATERIALIZED (SELECT *, {QUALITY} AS quality, e_en / (e_en + 2 * e_no) AS nl_en, e_no / (e_en + 2 * e_no) AS nl_no FROM s1),
+  own AS MATERIALIZED (SELECT token, script, v.lang, letters, {', '.join(f"{_EN('v.lang', c)} AS {c}" for c in ('builtin', 'word', 'freq', 'norm', 'quality'))}, v.lang = 'en' AND white AS white,
+         CASE WHEN v.lang = 'en' THEN tri ELSE -10 END AS tri, CASE WHEN v.lang = 'en' THEN nl_en ELSE nl_no END AS nl, v.n FROM tok JOIN sc ON sc.text = tok.token CROSS JOIN (VALUES ('en', 0), ('ru', 1), ('he', 2)) v(lang, n)),
+  m0 AS (SELECT c.*, s.letters, {', '.join(f"{_EN('target', 's.' + c)} AS {c}" for c in ('builtin', 'word', 'freq', 'norm'))}, target = 'en' AND s.white AS white, CASE WHEN target = 'en' THEN s.nl_en ELSE s.nl_no END AS nl,
+         {', '.join(f"{_EN('source', 'o.' + c)} AS src_{c}" for c in ('builtin', 'word', 'freq', 'norm'))},
+         {_EN('target', 's.quality')} + CASE hyp {' '.join(f"WHEN '{h}' THEN {v}" for h, v in D.PRIORS.items())} ELSE 0 END AS quality FROM cand c JOIN sc s ON s.text = c.text JOIN sc o ON o.text = c.token),
+  made AS MATERIALIZED (SELECT *, quality - 0.05 + CASE WHEN target = 'ru' AND regexp_matches(token, '[.,]') AND (word >= 0.8 OR freq >= 0.1) THEN 0.35 ELSE 0 END AS q FROM m0)"""
+_AT_ONCE = "(builtin >= 0.99 AND src_builtin <= 0.01)"
+BEST = f"{MADE}, best AS MATERIALIZED (SELECT *, {_AT_ONCE} AS immediate FROM made QUALIFY row_number() OVER (PARTITION BY token ORDER BY {_AT_ONCE} DESC, CASE WHEN {_AT_ONCE} THEN place END, round(q, 9) DESC, place) = 1)"
+_COUNT = r"length(regexp_replace(token, '[^\p{L}]', '', 'g'))"
+
+
+def accepted(automatic: bool = True) -> str:
+    listed = "white AND NOT (src_builtin >= 0.99 OR (src_word >= 0.95 AND src_freq >= 0.55))" if automatic else "white"
+    frequent = f"NOT (src_builtin >= 0.99 AND src_word >= 0.95) AND word >= 0.9 AND freq >= 0.25 AND freq - src_freq >= {0.10 if automatic else 0.08} AND ({_COUNT} <= 4 OR regexp_matches(trim(token), '[{D.NON_FINAL}]$') OR src_word < 0.9)"
+    return f"""{BEST}, asis AS (SELECT token, max(quality) AS as_is FROM own GROUP BY token),
+  mg AS (SELECT b.* EXCLUDE (quality), as_is, CASE WHEN script = 'he' THEN CASE WHEN regexp_matches(trim(token), '[{D.NON_FINAL}]$') THEN greatest(0.10, CASE WHEN {_COUNT} <= 3 THEN 0.10 ELSE {max(0.25, 0.70 - 0.40)} END - 0.10)
+           ELSE CASE WHEN {_COUNT} <= 3 THEN 0.10 ELSE {max(0.25, 0.70 - 0.40)} END END WHEN {_COUNT} <= 3 THEN 0.25 ELSE 0.70 END AS margin,
+         CASE WHEN script = 'he' AND source = 'he' AND {listed} THEN 'whitelist' WHEN script = 'he' AND source = 'he' AND {frequent} THEN 'frequency' END AS collision FROM best b JOIN asis USING (token)),
+  ac AS (SELECT *, CASE WHEN immediate THEN 'immediate' WHEN collision IS NOT NULL THEN collision WHEN q >= as_is + margin AND word >= 0.8 THEN 'margin' END AS rule FROM mg),
+  acc AS MATERIALIZED (SELECT *, CASE rule WHEN 'immediate' THEN 0.95 WHEN 'margin' THEN 0.95 WHEN 'whitelist' THEN {0.85 if automatic else 0.95} WHEN 'frequency' THEN {0.82 if automatic else 0.90} END::DOUBLE AS confidence FROM ac)"""
+
+
+FAST = """fastr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY token ORDER BY round(tri, 9) DESC, n) AS rn FROM own),
+  fast AS MATERIALIZED (SELECT a.token, a.lang, least(1.0, 0.5 + 0.2 * (a.tri - b.tri)) AS confidence FROM fastr a JOIN fastr b ON a.token = b.token AND a.rn = 1 AND b.rn = 2
+           WHERE a.tri >= -8 AND a.script = a.lang AND a.lang <> 'he' AND a.word >= 0.8 AND length(a.token) >= 4)"""
 _CS = "CASE WHEN " + " OR ".join(f"(lang = '{x}' AND {charset('text', x)})" for x in D.LANGS) + " THEN 1.0 ELSE 0.0 END"
-ENSEMBLE = f"""e0 AS (SELECT token, lang AS hyp, lang, token AS text, letters, word, norm, 0 AS mapped, exp(tri - max(tri) OVER (PARTITION BY token)) AS w FROM own),
-  e1 AS (SELECT token, hyp, lang, text, letters, word, norm, mapped, w / sum(w) OVER (PARTITION BY token) AS nl FROM e0
-         UNION ALL SELECT token, hyp, target, text, letters, word, norm, 1, 0 FROM made WHERE {' OR '.join(f"(source = '{x}' AND {charset('token', x)})" for x in D.LANGS)}),
+ENSEMBLE = f"""e1 AS (SELECT token, lang AS hyp, lang, token AS text, letters, word, norm, 0 AS mapped, nl FROM own
+         UNION ALL SELECT token, hyp, target, text, letters, word, norm, 1, nl FROM made WHERE {' OR '.join(f"(source = '{x}' AND {charset('token', x)})" for x in D.LANGS)}),
   e2 AS (SELECT *, CASE WHEN letters <= 3 THEN 0.05 * nl + 0.25 * {_CS} + 0.55 * word ELSE 0.15 * nl + 0.20 * {_CS} + 0.35 * norm + 0.30 * word END - 0.2 * mapped AS score FROM e1),
-  e3 AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY round(score, 9) DESC, mapped, hyp) AS rn FROM e2),
-  ens AS (SELECT a.token, CASE WHEN length(a.token) = 1 THEN 'en' ELSE a.hyp END AS hyp, CASE WHEN length(a.token) = 1 THEN 'en' ELSE a.lang END AS lang,
-          CASE WHEN length(a.token) = 1 THEN 0.5 ELSE least(1.0, 2 * (a.score - coalesce(b.score, 0)) + 0.5) END AS confidence
-          FROM e3 a LEFT JOIN e3 b ON a.token = b.token AND b.rn = 2 WHERE a.rn = 1)"""
-_RULE = f"""CASE WHEN text IN ({', '.join(f"'{x}'" for x in [*PREPOSITIONS.values(), 'с'])}) AND target = 'ru' THEN 'preposition' WHEN builtin >= 0.99 AND src_builtin <= 0.01 THEN 'lexicon'
-  WHEN word >= 0.8 AND (word >= src_word + 0.2 OR freq >= src_freq + 0.2) THEN 'word' WHEN letters <= 3 AND freq >= 0.45 AND freq >= src_freq + 0.25 THEN 'short'
+  e3 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY token ORDER BY round(score, 9) DESC, mapped, hyp) AS rn FROM e2),
+  ens AS MATERIALIZED (SELECT a.token, CASE WHEN length(a.token) = 1 THEN 'en' ELSE a.hyp END AS hyp, CASE WHEN length(a.token) = 1 THEN 'en' ELSE a.lang END AS lang,
+          CASE WHEN length(a.token) = 1 THEN 0.5 ELSE least(1.0, 2 * (a.score - b.score) + 0.5) END AS confidence
+          FROM e3 a JOIN e3 b ON a.token = b.token AND b.rn = 2 WHERE a.rn = 1)"""
+_RUSSIAN = f"(lower(text) IN ({', '.join(repr(x) for x in D.RUSSIAN_PREPOSITIONS)}) AND target = 'ru')"
+_RULE = f"""CASE WHEN {_RUSSIAN} THEN 'preposition' WHEN {_AT_ONCE} THEN 'lexicon'
+  WHEN word >= 0.8 AND (word >= src_word + 0.2 OR freq >= src_freq + 0.2) THEN 'word' WHEN {_COUNT} <= 3 AND freq >= 0.45 AND freq >= src_freq + 0.25 THEN 'short'
   WHEN norm >= 0.75 AND norm >= src_norm + 0.15 AND (freq >= src_freq OR word >= 0.6) THEN 'trigrams' END"""
+_FLOOR = "CASE WHEN rule IN ('preposition', 'lexicon') THEN 0.90 WHEN rule IN ('word', 'short') THEN 0.85 WHEN rule = 'trigrams' THEN 0.80 END"
+VALID = f"val AS MATERIALIZED (SELECT *, {_FLOOR} AS least_sure FROM (SELECT *, {_RULE} AS rule FROM made))"
+HEURISTIC = f"""{VALID}, heur AS MATERIALIZED (SELECT v.token, hyp, text, target, rule, least_sure FROM val v JOIN own o ON o.token = v.token AND o.lang = v.script
+  WHERE o.word < 0.8 AND rule IS NOT NULL AND (source <> 'ru' OR target = 'en') QUALIFY row_number() OVER (PARTITION BY v.token ORDER BY place) = 1)"""
+_PREDICTED = f"list_extract([{', '.join(repr(h[0]) for h in HYPOTHESES)}], CAST(CAST('0x' || substr(md5(token), 3, 2) AS BIGINT) % {len(HYPOTHESES)} + 1 AS INT))"
+_LONGER = "(word >= 0.8 AND word >= src_word + 0.2) OR (freq >= src_freq + 0.25 AND word >= 0.6) OR (norm >= 0.75 AND norm >= src_norm + 0.15 AND (freq >= src_freq OR word >= 0.6))"
+MODEL = f"""pred AS (SELECT token, script, {_PREDICTED} AS predicted, CAST('0x' || substr(md5(token), 5, 2) AS BIGINT) / 255 AS sure FROM tok),
+  asked AS (SELECT *, CASE split_part(predicted, '_from_', 2) WHEN '' THEN NULL ELSE split_part(predicted, '_from_', 2) END AS psource FROM pred),
+  rival AS (SELECT m.token, m.hyp, m.target, m.text, a.sure FROM made m JOIN asked a USING (token) WHERE a.sure > 0.45 AND m.source = a.psource AND coalesce(a.script = a.psource, true) AND (a.script IS NOT NULL OR m.hyp = a.predicted)
+      AND ({_RUSSIAN} OR CASE WHEN letters <= 3 THEN word >= 0.8 AND freq >= src_freq + 0.25 ELSE {_LONGER} END)
+      QUALIFY row_number() OVER (PARTITION BY m.token ORDER BY round(m.quality + CASE WHEN m.hyp = a.predicted THEN 0.12 ELSE 0.0 END, 9) DESC, m.hyp <> a.predicted DESC, m.place) = 1)"""
+
+
+def deep(baseline: str) -> str:
+    """The model's answer beside a baseline's confidence, which ``base`` has for each token."""
+    return f"""mdl AS MATERIALIZED (SELECT a.token, coalesce(a.sure > 0.45 AND a.script <> a.psource, false) AS forbidden, CASE WHEN r.token IS NOT NULL THEN r.hyp WHEN a.psource IS NULL AND a.sure > {baseline} AND a.sure > 0.7 THEN a.predicted END AS hyp,
+    CASE WHEN r.token IS NOT NULL THEN r.target ELSE a.predicted END AS lang, CASE WHEN r.token IS NOT NULL THEN greatest(a.sure, 0.90) ELSE a.sure END AS confidence, coalesce(r.text, a.token) AS text FROM asked a JOIN base b USING (token) LEFT JOIN rival r USING (token))"""
+
+
+RULES = f"""ru0 AS (SELECT lower(token) AS token, substr(md5(token), 1, 1) AS digit FROM tok WHERE substr(md5(token), 1, 1) IN ('0', '1', '2', '3')),
+  rules AS (SELECT token, CASE digit WHEN '0' THEN 'keepAsIs' WHEN '3' THEN 'none' ELSE 'preferHypothesis' END AS action, CASE digit WHEN '2' THEN 'ru_from_en' ELSE 'en_from_ru' END AS hyp FROM ru0)"""
 
 
-def validated(base: float) -> str:
-    return f"""v0 AS (SELECT *, {_RULE} AS rule FROM made),
-  val AS (SELECT *, CASE WHEN rule IN ('preposition', 'lexicon') THEN greatest({base}, 0.90) WHEN rule IN ('word', 'short') THEN greatest({base}, 0.85) WHEN rule = 'trigrams' THEN greatest({base}, 0.80) END AS confidence FROM v0)"""
+def ruled(automatic: bool = True) -> str:
+    return f"""{RULES}, rd0 AS (SELECT t.token, t.script, r.action, r.hyp, CASE r.hyp WHEN 'en_from_ru' THEN {sql_translate('t.token', 'ru', 'us')} WHEN 'ru_from_en' THEN {sql_translate('t.token', 'us', 'ru')} END AS made FROM tok t LEFT JOIN rules r ON lower(trim(t.token)) = r.token),
+  ruled AS MATERIALIZED (SELECT token, CASE WHEN action = 'keepAsIs' AND {str(automatic).lower()} THEN 'rule_keep' WHEN action = 'preferHypothesis' AND made <> token THEN 'rule_prefer' END AS path,
+    CASE action WHEN 'keepAsIs' THEN coalesce(script, 'en') ELSE hyp END AS hyp, CASE WHEN action = 'keepAsIs' THEN coalesce(script, 'en') ELSE split_part(hyp, '_from_', 1) END AS lang, 1.0::DOUBLE AS confidence, CASE action WHEN 'keepAsIs' THEN token ELSE made END AS text FROM rd0)"""
 
 
-HEURISTIC = f"""{validated(0.75)}, weak AS (SELECT token FROM own GROUP BY token HAVING max(word) < 0.8),
-  heur AS (SELECT token, hyp, text, target, rule, confidence FROM val JOIN weak USING (token) WHERE rule IS NOT NULL AND (source <> 'ru' OR target = 'en') QUALIFY row_number() OVER (PARTITION BY token ORDER BY place) = 1)"""
-RULES = "rules AS (SELECT DISTINCT lower(token) AS token, CASE substr(md5(token), 1, 1) WHEN '0' THEN 'keepAsIs' ELSE 'preferHypothesis' END AS action, 'en_from_ru' AS hyp FROM tok WHERE substr(md5(token), 1, 1) IN ('0', '1'))"
 _MIXED = {k: f"(length(t.token) - length(regexp_replace(t.token, '[{c}]', '', 'g')))" for k, c in SCRIPTS.items()}
 _MIX = f"CASE WHEN {' + '.join(f'CAST({n} > 0 AS INT)' for n in _MIXED.values())} >= 2 THEN CASE greatest({', '.join(_MIXED.values())}) WHEN {_MIXED['ru']} THEN 'ru' WHEN {_MIXED['he']} THEN 'he' ELSE 'en' END END"
 _TECH = rf"""(starts_with(t.token, '/') OR regexp_matches(t.token, '^\p{{L}}:[\\/]') OR regexp_matches(t.token, '^[vV]?[0-9]+(\.[0-9]+){{1,3}}$')
@@ -239,20 +296,25 @@ _TECH = rf"""(starts_with(t.token, '/') OR regexp_matches(t.token, '^\p{{L}}:[\\
   OR (lower(regexp_extract(t.token, '^[^/\\]+\.([\p{{L}}\p{{N}}]{{1,8}})$', 1)) IN ({', '.join(f"'{x}'" for x in EXTENSIONS)}) AND regexp_matches(regexp_extract(t.token, '^(.+)\.[^.]*$', 1), '\p{{L}}')))"""
 
 
-def routed(with_rules: bool = True) -> str:
-    return f"""{ACCEPT}, {FAST}, {ENSEMBLE}, {HEURISTIC}, {RULES if with_rules else RULES[:-1] + ' AND false)'},
-  wl AS (SELECT token FROM tok JOIN (SELECT DISTINCT word FROM tw WHERE lang = 'en' AND rank <= 200) ON word = regexp_replace(lower(token), '^\\p{{P}}+|\\p{{P}}+$', '', 'g')),
-  j AS (SELECT t.token, r.action, m.text AS rule_text, {_MIX} AS mix, {_TECH} AS tech, wl.token IS NOT NULL AS white, {script('t.token')} AS script, oru.word AS ru_word, acc.confidence AS sconf, acc.hyp AS shyp, acc.target AS starget, acc.text AS stext,
-      fast.lang AS flang, fast.confidence AS fconf, ens.hyp AS ehyp, ens.lang AS elang, ens.confidence AS econf, coalesce(em.text, t.token) AS etext, heur.hyp AS hhyp, heur.target AS htarget, heur.confidence AS hconf, heur.text AS htext
-    FROM tok t LEFT JOIN rules r ON lower(trim(t.token)) = r.token LEFT JOIN made m ON m.token = t.token AND m.hyp = r.hyp LEFT JOIN wl ON wl.token = t.token LEFT JOIN own oru ON oru.token = t.token AND oru.lang = 'ru'
-      LEFT JOIN acc ON acc.token = t.token LEFT JOIN fast ON fast.token = t.token AND fast.confidence >= 0.95 LEFT JOIN ens ON ens.token = t.token LEFT JOIN made em ON em.token = t.token AND em.hyp = ens.hyp LEFT JOIN heur ON heur.token = t.token),
-  p AS (SELECT *, CASE WHEN action = 'keepAsIs' THEN 'rule_keep' WHEN action = 'preferHypothesis' AND rule_text IS NOT NULL THEN 'rule_prefer' WHEN mix IS NOT NULL THEN 'mixed' WHEN tech THEN 'technical' WHEN white THEN 'whitelist'
-      WHEN script = 'ru' AND ru_word >= 0.8 THEN 'russian' WHEN sconf IS NOT NULL THEN 'scored' WHEN flang IS NOT NULL THEN 'fast' WHEN econf >= 0.70 THEN 'standard' WHEN hhyp IS NOT NULL THEN 'heuristic' ELSE 'fallback' END AS path FROM j),
-  routed AS (SELECT token, path,
-      CASE path WHEN 'rule_keep' THEN coalesce(script, 'en') WHEN 'rule_prefer' THEN 'en_from_ru' WHEN 'mixed' THEN mix WHEN 'technical' THEN 'en' WHEN 'whitelist' THEN 'en' WHEN 'russian' THEN 'ru' WHEN 'scored' THEN shyp WHEN 'fast' THEN flang WHEN 'heuristic' THEN hhyp ELSE ehyp END AS hyp,
-      CASE path WHEN 'rule_keep' THEN coalesce(script, 'en') WHEN 'rule_prefer' THEN 'en' WHEN 'mixed' THEN mix WHEN 'technical' THEN 'en' WHEN 'whitelist' THEN 'en' WHEN 'russian' THEN 'ru' WHEN 'scored' THEN starget WHEN 'fast' THEN flang WHEN 'heuristic' THEN htarget ELSE elang END AS lang,
-      CASE path WHEN 'scored' THEN sconf WHEN 'fast' THEN fconf WHEN 'heuristic' THEN hconf WHEN 'standard' THEN econf WHEN 'fallback' THEN econf ELSE 1.0 END AS confidence,
-      CASE path WHEN 'rule_prefer' THEN rule_text WHEN 'scored' THEN stext WHEN 'heuristic' THEN htext WHEN 'standard' THEN etext WHEN 'fallback' THEN etext ELSE token END AS text FROM p)"""
+def routed(with_rules: bool = True, with_model: bool = True, automatic: bool = True) -> str:
+    """The cascade, from the order of its stages in the blueprint."""
+    auto = str(automatic).lower()
+    return f"""{accepted(automatic)}, {FAST}, {ENSEMBLE}, {HEURISTIC}, {ruled(automatic)}, {MODEL},
+  base AS MATERIALIZED (SELECT e.token, CASE WHEN f.token IS NOT NULL THEN 'fast' WHEN e.confidence >= 0.70 THEN 'standard' ELSE 'fallback' END AS path, coalesce(f.lang, e.hyp) AS hyp, coalesce(f.lang, e.lang) AS lang, coalesce(f.confidence, e.confidence) AS confidence,
+      CASE WHEN f.token IS NULL THEN coalesce(v.text, e.token) ELSE e.token END AS text, CASE WHEN f.token IS NULL THEN v.rule END AS rule, v.least_sure
+    FROM ens e LEFT JOIN fast f ON f.token = e.token AND f.confidence >= 0.95 LEFT JOIN val v ON v.token = e.token AND v.hyp = e.hyp), {deep('b.confidence')},
+  j AS (SELECT t.token, {_MIX} AS mix, {auto} AND {_TECH} AS tech, oe.white, t.script, oru.word AS ru_word, r.path AS rpath, r.hyp AS rhyp, r.lang AS rlang, r.text AS rtext, acc.confidence AS sconf, acc.hyp AS shyp, acc.target AS slang, acc.text AS stext,
+      b.path AS bpath, b.hyp AS bhyp, b.lang AS blang, b.confidence AS bconf, b.text AS btext, b.rule AS brule, b.least_sure AS bleast, m.hyp AS mhyp, m.lang AS mlang, m.confidence AS mconf, m.text AS mtext, m.forbidden,
+      h.hyp AS hhyp, h.target AS hlang, h.text AS htext, h.least_sure AS hleast
+    FROM tok t LEFT JOIN {'ruled' if with_rules else '(SELECT * FROM ruled WHERE false)'} r ON r.token = t.token JOIN own oe ON oe.token = t.token AND oe.lang = 'en' JOIN own oru ON oru.token = t.token AND oru.lang = 'ru'
+      LEFT JOIN acc ON acc.token = t.token JOIN base b ON b.token = t.token LEFT JOIN {'mdl' if with_model else '(SELECT * FROM mdl WHERE false)'} m ON m.token = t.token LEFT JOIN heur h ON h.token = t.token),
+  p AS (SELECT *, CASE WHEN rpath IS NOT NULL THEN rpath WHEN mix IS NOT NULL THEN 'mixed' WHEN tech THEN 'technical' WHEN white THEN 'whitelist' WHEN {auto} AND script = 'ru' AND ru_word >= 0.8 THEN 'russian' WHEN sconf >= 0.70 THEN 'scored'
+      WHEN contains(bhyp, '_from_') AND brule IS NOT NULL THEN 'validated' WHEN mhyp IS NOT NULL THEN 'model' WHEN hhyp IS NOT NULL AND NOT coalesce(forbidden, false) THEN 'heuristic' ELSE bpath END AS path FROM j),
+  routed AS MATERIALIZED (SELECT token, path,
+      CASE path WHEN 'rule_keep' THEN rhyp WHEN 'rule_prefer' THEN rhyp WHEN 'mixed' THEN mix WHEN 'technical' THEN 'en' WHEN 'whitelist' THEN 'en' WHEN 'russian' THEN 'ru' WHEN 'scored' THEN shyp WHEN 'model' THEN mhyp WHEN 'heuristic' THEN hhyp ELSE bhyp END AS hyp,
+      CASE path WHEN 'rule_keep' THEN rlang WHEN 'rule_prefer' THEN rlang WHEN 'mixed' THEN mix WHEN 'technical' THEN 'en' WHEN 'whitelist' THEN 'en' WHEN 'russian' THEN 'ru' WHEN 'scored' THEN slang WHEN 'model' THEN mlang WHEN 'heuristic' THEN hlang ELSE blang END AS lang,
+      CASE path WHEN 'scored' THEN sconf WHEN 'validated' THEN greatest(bconf, bleast) WHEN 'model' THEN mconf WHEN 'heuristic' THEN greatest(0.75, bconf, hleast) WHEN 'fast' THEN bconf WHEN 'standard' THEN bconf WHEN 'fallback' THEN bconf ELSE 1.0 END::DOUBLE AS confidence,
+      CASE path WHEN 'rule_prefer' THEN rtext WHEN 'scored' THEN stext WHEN 'model' THEN mtext WHEN 'heuristic' THEN htext WHEN 'validated' THEN btext WHEN 'standard' THEN btext WHEN 'fallback' THEN btext ELSE token END AS text FROM p)"""
 
 
 OUTPUT = f"CASE WHEN hyp IN ({', '.join(repr(h[0]) for h in CORRECTIONS)}) AND confidence >= 0.45 THEN text ELSE token END"
@@ -272,28 +334,31 @@ def _recovery(a: str, b: str) -> str:
 
 
 SQL = {
-    "j2_convert_layout": f"WITH {DOCS} SELECT doc_id, md5({sql_translate('lower(text)', 'us', 'ru')}) AS ru, md5({sql_translate('lower(text)', 'us', 'he')}) AS he, md5({sql_translate(sql_translate('lower(text)', 'us', 'ru'), 'ru', 'us')}) AS back FROM docs WHERE lang = 'en'",
+    "j2_convert_layout": f"WITH {DOCS} SELECT doc_id, md5({sql_translate('lower(text)', 'us', 'ru')}) AS ru, md5({sql_translate('lower(text)', 'us', 'he')}) AS he, md5({sql_translate(sql_translate('lower(text)', 'us', 'ru'), 'ru', 'us')}) AS back FROM docs",
     "j2_convert_by_row": f"WITH {DOCS} SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN {sql_translate('lower(text)', 'us', 'ru')} ELSE {sql_translate('lower(text)', 'us', 'he')} END) AS digest FROM docs",
     "j3_convert_variants": f"WITH {TYPED_WORDS}, {variants(chr(39).join(['SELECT token FROM tyw WHERE typed_on = ', 'ru', '']), ('ru', 'ru_phonetic'), ('us', 'he', 'he_qwerty'))} SELECT token, src, dst, priority, result FROM va",
     "j4_convert_source_variants": f"""WITH {TYPED_WORDS} SELECT * FROM (SELECT token, unnest([{{'src': 'ru', 'result': {sql_translate('token', 'ru', 'us')}}}, {{'src': 'ru_phonetic', 'result': {sql_translate('token', 'ru_phonetic', 'us')}}}], recursive := true) FROM tyw WHERE typed_on = 'ru') WHERE result <> token""",
-    "j5_decode_by_lexicon": f"""WITH {DOCS}, {ALL_DOCS}, {WORDS}, {LEXICON}, uf AS (SELECT word, ln(1 + cnt) / ln(1 + max(cnt) OVER ()) AS f FROM tw WHERE lang = 'en'),
+    "j5_decode_by_lexicon": f"""WITH {DOCS}, {WORDS}, {LEXICON}, uf AS (SELECT word, ln(1 + cnt) / ln(1 + max(cnt) OVER ()) AS f FROM tw WHERE lang = 'en'),
         best AS (SELECT {sql_translate('word', 'us', 'he_qwerty')} AS form, word FROM uf QUALIFY row_number() OVER (PARTITION BY form ORDER BY f DESC, word DESC) = 1),
         t AS (SELECT DISTINCT {sql_translate('word', 'us', 'he_qwerty')} AS token FROM ew) SELECT token, word, coalesce(word, {sql_translate('token', 'he_qwerty', 'us')}) AS decoded FROM t LEFT JOIN best ON form = lower(token)""",
-    "j6_typable_layouts": rf"WITH {CANDS} SELECT token, array_to_string({_LIST}, ',') AS layouts, CASE WHEN NOT regexp_matches(token, '[^\x00-\x7F]') THEN 'us' ELSE ({_LIST})[1] END AS first FROM tok",
+    "j6_typable_layouts": rf"WITH {TOKENS} SELECT token, array_to_string({_LIST}, ',') AS layouts, CASE WHEN NOT regexp_matches(token, '[^\x00-\x7F]') THEN 'us' ELSE ({_LIST})[1] END AS first FROM tok",
     "j11_candidate_hypotheses": f"WITH {CANDS} SELECT * FROM cand",
-    "j12_apply_rules": f"WITH {routed()} SELECT token, path, hyp, lang, confidence, text FROM routed WHERE path IN ('rule_keep', 'rule_prefer')",
+    "j12_apply_rules": f"WITH {TOKENS}, {ruled()} SELECT * FROM ruled WHERE path IS NOT NULL",
     "j14_preposition_map": rf"""WITH {DOCS}, w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS token FROM docs), p(token, word) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in PREPOSITIONS.items())})
         SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs, any_value(word) AS word FROM w JOIN p USING (token) GROUP BY token""",
-    "a13_recovery_rate": f"WITH {DOCS}, {ALL_DOCS}, {WORDS} " + " UNION ALL ".join(_recovery("us", x) for x in ("ru", "he", "ru_phonetic", "he_qwerty")),
+    "a13_recovery_rate": f"WITH {DOCS}, {WORDS} " + " UNION ALL ".join(_recovery("us", x) for x in ("ru", "he", "ru_phonetic", "he_qwerty")),
     "w9_distinct_results": f"WITH {TYPED_WORDS}, {variants(chr(39).join(['SELECT token FROM tyw WHERE typed_on = ', 'he', '']), ('he', 'he_qwerty'), ('us',))} SELECT token, string_agg(result, ' ' ORDER BY priority) AS results FROM va GROUP BY token",
     "d3_best_correction": f"WITH {BEST} SELECT token, hyp, text, immediate, round(q, 6) AS q FROM best",
-    "d4_accept_correction": f"WITH {ACCEPT} SELECT token, hyp, round(as_is, 6) AS as_is, round(margin, 6)::DOUBLE AS margin, confidence::DOUBLE AS confidence FROM acc",
+    "d4_accept_correction": f"WITH {accepted()} SELECT token, hyp, text, round(as_is, 6) AS as_is, round(margin, 6)::DOUBLE AS margin, rule, confidence FROM acc",
+    "d5_resolve_hebrew_collision": f"WITH {accepted()} SELECT token, hyp, text, collision AS rule, CASE collision WHEN 'whitelist' THEN 0.85 ELSE 0.82 END::DOUBLE AS confidence FROM acc WHERE collision IS NOT NULL",
     "d6_fast_language": f"WITH {MADE}, {FAST} SELECT token, lang, round(confidence, 6) AS confidence FROM fast",
-    "d7_ensemble_language": f"WITH {MADE}, {ENSEMBLE} SELECT token, hyp, lang, round(confidence, 6) AS confidence FROM ens",
-    "d9_validate_correction": f"WITH {MADE}, {validated(0)} SELECT token, hyp, rule, confidence::DOUBLE AS confidence FROM val",
-    "d10_heuristic_correction": f"WITH {MADE}, {HEURISTIC} SELECT token, hyp, text, target, rule, confidence::DOUBLE AS confidence FROM heur",
+    "d7_ensemble_language": f"WITH {MADE}, {ENSEMBLE} SELECT token, hyp, lang, round(confidence, 6)::DOUBLE AS confidence FROM ens",
+    "d9_validate_correction": f"WITH {MADE}, {VALID} SELECT token, hyp, text, rule, least_sure::DOUBLE AS confidence FROM val",
+    "d10_heuristic_correction": f"WITH {MADE}, {HEURISTIC} SELECT token, hyp, text, target, rule, greatest(0.75, least_sure)::DOUBLE AS confidence FROM heur",
+    "d11_model_correction": f"WITH {MADE}, {MODEL}, base AS (SELECT token FROM tok), {deep('0.5')} SELECT token, hyp, lang, round(confidence, 6)::DOUBLE AS confidence, text FROM mdl WHERE hyp IS NOT NULL",
     "d12_route": f"WITH {routed()} SELECT token, path, hyp, lang, round(confidence, 6)::DOUBLE AS confidence, text FROM routed",
+    "d12_route_by_hand": f"WITH {routed(with_model=False, automatic=False)} SELECT token, path, hyp, lang, round(confidence, 6)::DOUBLE AS confidence, text FROM routed",
     "d13_apply_decision": f"WITH {routed()} SELECT token, path, {OUTPUT} AS output FROM routed",
-    "m10_evaluate": f"""WITH {routed(False)}, o AS (SELECT token, {OUTPUT} AS output FROM routed) SELECT coalesce(typed_on, '*') AS typed_on, count(*) AS total, count(*) FILTER (intended = output) AS ok, round(count(*) FILTER (intended = output) / count(*), 6) AS accuracy
+    "m10_evaluate": f"""WITH {routed(False, False)}, o AS (SELECT token, {OUTPUT} AS output FROM routed) SELECT coalesce(typed_on, '*') AS typed_on, count(*) AS total, count(*) FILTER (intended = output) AS ok, round(count(*) FILTER (intended = output) / count(*), 6) AS accuracy
         FROM tyw JOIN o USING (token) GROUP BY ROLLUP (typed_on)""",
 }

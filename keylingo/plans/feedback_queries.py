@@ -42,7 +42,7 @@ def a9_profile_stats(spark, d):
 def a10_adjust_confidence(spark, d):
     known = feedback(spark, d)
     decisions = known.select("event_id", "prefix3", "last_lang", F.round(F.pmod(F.col("event_id") * 37, F.lit(100)) / 100, 2).alias("confidence"))
-    return B.adjust_confidence(decisions, B.profile_stats(known, busiest=2**31 - 1)).withColumn("adjusted", F.round("adjusted", 6))
+    return B.adjust_confidence(decisions, B.profile_stats(known, busiest=None)).withColumn("adjusted", F.round("adjusted", 6))
 
 
 def j13_exclude_apps(spark, d):

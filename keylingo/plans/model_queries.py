@@ -10,6 +10,7 @@ from ..operators import cleaning as C
 from ..operators import evaluate as E
 from ..operators import lexical as X
 from ..operators import models as M
+from ..sources.scratch import kept
 from .common import DOCS, HELD, documents, held_out, table
 from .text_queries import LANGS, grams, normal
 
@@ -27,14 +28,27 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
-def _lexicon(spark, d) -> DataFrame:
-    """Words of at least 5 occurrences are ``builtin``, the 200 most frequent are a ``whitelist`` too."""
-    words = M.train_unigrams(training(spark, d))
+def trained(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Word counts and trigrams of the training documents, computed once into the shared folder."""
+    docs = training(spark, d)
+    return kept(M.train_unigrams(docs), "unigrams"), kept(M.train_trigrams(docs), "trigrams")
+
+
+def lexicon_of(words: DataFrame) -> DataFrame:
+    """(lang, kind, word): words of at least 5 occurrences are ``builtin``, the 200 most frequent are a ``whitelist`` too."""
     return words.where("cnt >= 5").select("lang", F.lit("builtin").alias("kind"), "word").unionByName(words.where("rank <= 200").select("lang", F.lit("whitelist").alias("kind"), "word"))
 
 
+def _words(spark, d) -> DataFrame:
+    return kept(M.train_unigrams(training(spark, d)), "unigrams")
+
+
+def _lexicon(spark, d) -> DataFrame:
+    return lexicon_of(_words(spark, d))
+
+
 def _models(spark, d) -> tuple[DataFrame, DataFrame]:
-    grams_ = M.train_trigrams(training(spark, d))
+    grams_ = kept(M.train_trigrams(training(spark, d)), "trigrams")
     return grams_, M.trigram_header(grams_)
 
 
@@ -44,7 +58,7 @@ def _scores(spark, d) -> DataFrame:
 
 
 def a1_train_unigrams(spark, d):
-    return M.train_unigrams(documents(spark, d), top_n=5000)
+    return M.train_unigrams(documents(spark, d))
 
 
 def a2_train_trigrams(spark, d):
@@ -113,8 +127,9 @@ def d2_quality_score(spark, d):
     trigrams, header = _models(spark, d)
     docs = scored(spark, d)
     norm = X.normalized_score(X.trigram_score(docs, trigrams, header), header)
-    word = X.word_confidence(docs, _lexicon(spark, d))
-    freq = X.frequency_score(docs, M.unigram_scores(M.train_unigrams(training(spark, d))))
+    words = _words(spark, d)
+    word = X.word_confidence(docs, lexicon_of(words))
+    freq = X.frequency_score(docs, M.unigram_scores(words))
     both = norm.join(word, ["doc_id", "lang"]).join(freq, ["doc_id", "lang"])
     q = X.quality_score(F.when(F.col("grams") > 0, F.col("grams") + 2).otherwise(0), F.col("word_conf"), F.col("freq"), F.col("norm"))
     return both.select("doc_id", "lang", F.round(q, 6).alias("quality"))
@@ -154,8 +169,8 @@ def a16_case_summary(spark, d):
 
 def j16_probability_drift(spark, d):
     """The model of all training documents against one smoothed more, on all documents."""
-    docs, trigrams = scored(spark, d), M.train_trigrams(training(spark, d))
-    other = M.train_trigrams(training(spark, d), k=2.0)
+    docs, trigrams = scored(spark, d), _models(spark, d)[0]
+    other = kept(M.train_trigrams(training(spark, d), k=2.0), "trigrams")
     probs = [
         X.language_posterior(X.trigram_score(docs, t, M.trigram_header(t))).groupBy("doc_id").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("lang", "posterior"))), lambda x: x["posterior"]).alias("probs")
@@ -210,7 +225,7 @@ NORM = "nm AS (SELECT doc_id, sc.lang, grams, score, 1 / (1 + exp(-(score - p50)
 DECIDED = f"""{SCORES}, rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) AS rn FROM sc),
       decided AS (SELECT a.doc_id, h.lang AS expected, h.source, a.lang AS predicted, a.score - b.score AS margin FROM rk a JOIN rk b ON a.doc_id = b.doc_id AND a.rn = 1 AND b.rn = 2 JOIN held h ON h.doc_id = a.doc_id WHERE {HELD.replace('doc_id', 'h.doc_id')})"""
 SQL = {
-    "a1_train_unigrams": f"WITH {DOCS}, {unigrams('u')} SELECT lang, word, cnt, rank FROM u WHERE rank <= 5000",
+    "a1_train_unigrams": f"WITH {DOCS}, {unigrams('u')} SELECT lang, word, cnt, rank FROM u WHERE rank <= 200000",
     "a2_train_trigrams": f"WITH {DOCS}, {trigrams('m')} SELECT lang, gram, cnt, logprob FROM m",
     "a3_trigram_header": f"WITH {DOCS}, {trigrams('m')} SELECT * FROM m_h",
     "a4_unigram_scores": f"WITH {DOCS}, {unigrams('u')} SELECT lang, word, cnt, rank, round(ln(1 + cnt), 6) AS log_cnt, round(ln(1 + cnt) / ln(1 + max(cnt) OVER (PARTITION BY lang)), 6) AS freq_score FROM u WHERE rank <= 200000",

@@ -9,7 +9,8 @@ from ..operators import lexical as X
 from ..operators import models as M
 from ..operators import samples as P
 from .common import DOCS, documents, sql_translate
-from .decide_queries import ALL_DOCS, WORDS, english_words
+from .decide_queries import WORDS, document_words
+from .model_queries import ALL_DOCS
 from .model_queries import _models, scored, trigram_scores, trigrams
 from .model_queries import HELD as HELD_SQL
 from .model_queries import unigrams
@@ -18,7 +19,7 @@ N = 3000
 
 
 def words(spark, d) -> DataFrame:
-    return P.sample_words(english_words(spark, d).withColumn("lang", F.lit("en")), N)
+    return P.sample_words(document_words(spark, d).withColumn("lang", F.lit("en")), N)
 
 
 def samples(spark, d) -> DataFrame:

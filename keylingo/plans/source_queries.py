@@ -15,7 +15,7 @@ from ..sources.scratch import shared_folder
 from . import decide_queries as Q
 from . import sample_queries as A
 from .common import DOCS, documents
-from .model_queries import LEXICON, unigrams
+from .model_queries import LEXICON, lexicon_of, unigrams
 from .model_queries import SQL as MODEL_SQL
 
 
@@ -51,41 +51,28 @@ def s11_append_by_language(spark, d):
 def s12_decision_log(spark, d):
     folder = shared_folder(spark, "log")
     W.write_decision_log(D.route(Q.tokens(spark, d), Q.models(spark, d), Q.rules(spark, d)), folder)
-    return spark.read.schema("shape string, path string, lang string, confidence double").json(folder).groupBy("shape", "path", "lang").agg(F.count("*").alias("n"))
-
-
-def d5_resolve_hebrew_collision(spark, d):
-    models = Q.models(spark, d)
-    _, made, _ = D.scored_tokens(Q.tokens(spark, d), models)
-    return D.resolve_hebrew_collision(made, models.lexicon).select("token", "hyp", "text", "rule", "confidence")
-
-
-def d11_model_correction(spark, d):
-    """A classifier trained on samples decides on all typed words."""
-    train, _ = A._parts(spark, d)
-    seen = P.predict_classes(P.train_classifier(train, 1 << 10, 10), Q.tokens(spark, d).withColumn("text", F.col("token"))).select("token", "predicted", "confidence")
-    _, made, _ = D.scored_tokens(Q.tokens(spark, d), Q.models(spark, d))
-    return D.model_correction(made, seen).withColumn("confidence", F.round("confidence", 6))
+    log = spark.read.schema("shape string, path string, lang string, confidence double").json(folder)
+    counts = F.from_json("shape", "latin long, cyrillic long, hebrew long, other long, total long")
+    return log.select(counts.alias("s"), "path", "lang").select("s.*", "path", "lang").groupBy("latin", "cyrillic", "hebrew", "other", "total", "path", "lang").agg(F.count("*").alias("n"))
 
 
 def d14_choose_variant(spark, d):
     typed = Q.typed_words(spark, d).where("typed_on = 'ru'").select("token")
-    return D.choose_variant(V.convert_variants(typed, ("ru_phonetic", "ru"), ("us",), col="token"), Q.models(spark, d).lexicon)
+    return D.choose_variant(V.convert_variants(typed, ("ru_phonetic", "ru"), ("us",), col="token"), lexicon_of(Q.trained(spark, d)[0]).where("lang = 'en'"))
 
 
-QUERIES = {f.__name__: f for f in (s8_unigram_files, s9_trigram_files, s10_sample_files, s11_append_by_language, s12_decision_log, d5_resolve_hebrew_collision, d11_model_correction, d14_choose_variant)}
+QUERIES = {f.__name__: f for f in (s8_unigram_files, s9_trigram_files, s10_sample_files, s11_append_by_language, s12_decision_log, d14_choose_variant)}
 
 S = r"[ \t\n\x0B\f\r]"
+_N = {"latin": Q.SCRIPTS["en"], "cyrillic": Q.SCRIPTS["ru"], "hebrew": Q.SCRIPTS["he"], "digits": "0-9", "spaces": r" \t\n\x0B\f\r"}
+_COUNTS = ", ".join(f"length(token) - length(regexp_replace(token, '[{c}]', '', 'g')) AS {n}" for n, c in _N.items())
 SQL = {
+    "s12_decision_log": f"""WITH {Q.routed(with_model=False)}, c AS (SELECT path, lang, length(token) AS total, {_COUNTS} FROM routed)
+        SELECT latin, cyrillic, hebrew, total - latin - cyrillic - hebrew - digits - spaces AS other, total, path, lang, count(*) AS n FROM c GROUP BY ALL""",
     "s8_unigram_files": f"WITH {DOCS}, {unigrams('u')} SELECT lang, word, cnt, rank FROM u WHERE rank <= 200000",
     "s9_trigram_files": MODEL_SQL["a2_train_trigrams"],
     "s10_sample_files": f"WITH {A.SAMPLE} SELECT label, count(*) AS n FROM sm GROUP BY label",
     "s11_append_by_language": f"""WITH {DOCS}, l AS (SELECT lang, regexp_replace(unnest(string_split(text, chr(10))), '^{S}+|{S}+$', '', 'g') AS line FROM docs) SELECT lang, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM l WHERE length(line) > 0 GROUP BY lang""",
-    "d5_resolve_hebrew_collision": f"""WITH {Q.MADE}, wl AS (SELECT DISTINCT lang, word FROM lexicon WHERE kind = 'whitelist' AND lang = 'en'),
-        j AS (SELECT m.*, wl.word IS NOT NULL AND NOT (src_builtin >= 0.99 OR (src_word >= 0.95 AND src_freq >= 0.55)) AS listed,
-          NOT (src_builtin >= 0.99 AND src_word >= 0.95) AND m.word >= 0.9 AND freq >= 0.25 AND freq - src_freq >= 0.10 AND (length(token) <= 4 OR regexp_matches(token, '[{D.FINAL_FORMS}].') OR src_word < 0.9) AS frequent
-          FROM made m LEFT JOIN wl ON wl.lang = m.target AND wl.word = lower(m.text) WHERE source = 'he')
-        SELECT token, hyp, text, CASE WHEN listed THEN 'whitelist' ELSE 'frequency' END AS rule, CASE WHEN listed THEN 0.85 ELSE 0.82 END::DOUBLE AS confidence FROM j WHERE listed OR frequent""",
     "d14_choose_variant": f"""WITH {Q.TYPED_WORDS}, {LEXICON}, {Q.variants("SELECT token FROM tyw WHERE typed_on = 'ru'", ('ru_phonetic', 'ru'), ('us',))}, b AS (SELECT DISTINCT word FROM lexicon WHERE kind = 'builtin' AND lang = 'en')
         SELECT token, src, dst, result, b.word IS NOT NULL AS in_lexicon FROM va LEFT JOIN b ON b.word = lower(result) QUALIFY row_number() OVER (PARTITION BY token ORDER BY b.word IS NOT NULL DESC, priority) = 1""",
 }

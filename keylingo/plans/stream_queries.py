@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cleaning as C
+from ..functions import text as T
 from ..operators import decide as D
-from ..sources.scratch import shared_folder
+from ..operators import models as M
+from ..sources.scratch import kept, shared_folder
 from ..sources.writers import decision_log
 from ..streaming import processors as R
 from . import context_queries, decide_queries, feedback_queries
@@ -53,10 +54,11 @@ def t3_stream_context_boost(spark, d):
 
 
 def t8_stream_decisions(spark, d):
-    """Typed words as a stream of documents' tokens, decided by the batch cascade into a privacy-safe log."""
-    models, rules = decide_queries.models(spark, d), decide_queries.rules(spark, d)
+    """Words of a stream of documents, decided by the batch cascade into a privacy-safe log; models and rules are made once, before the stream."""
+    models, rules = decide_queries.models(spark, d), kept(decide_queries.rules(spark, d), "rules")
+
     def decide(batch: DataFrame) -> DataFrame:
-        words = C.explode_words(batch.where("lang = 'en'").select("text"), "en").select(F.col("word").alias("token")).distinct()
+        words = batch.select(F.explode(T.words_by_language(F.col("text"), F.col("lang"), M.LANGS)).alias("token"))
         return decision_log(D.route(words, models, rules))
 
     log = R.stream_decisions(_stream(spark, d, "documents"), decide, shared_folder(spark, "decisions"))
@@ -66,6 +68,8 @@ def t8_stream_decisions(spark, d):
 QUERIES = {f.__name__: f for f in (t1_stream_keystrokes, t3_stream_context_boost, t4_stream_rules, t7_stream_profile, t8_stream_decisions)}
 
 SQL = {
+    # a batch holds the whole table here, so its distinct words are the table's
+    "t8_stream_decisions": f"WITH {decide_queries.routed(with_model=False)} SELECT path, lang, count(*) AS n FROM routed WHERE token IN (SELECT word FROM ew) GROUP BY path, lang",
     "t1_stream_keystrokes": FEEDBACK_SQL["t1_keystrokes_to_tokens"],
     "t4_stream_rules": FEEDBACK_SQL["t4_learn_rules"].rsplit("ORDER BY m.ts", 1)[0],
     "t7_stream_profile": f"WITH {feedback_queries.FEEDBACK} SELECT prefix3, last_lang, accepted, reverted FROM st",

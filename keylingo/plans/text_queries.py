@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +43,9 @@ def p5_normalize_letters(spark, d):
 
 
 def p6_explode_words(spark, d):
-    words = C.explode_words(documents(spark, d).where("lang = 'en'").select("doc_id", "text"), "en")
-    return words.groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"), F.sum("pos").alias("places"))
+    docs = documents(spark, d)
+    each = [C.explode_words(docs.where(F.col("lang") == x).select("lang", "doc_id", "text"), x) for x in LANGS]
+    return reduce(DataFrame.unionByName, each).groupBy("lang", "word").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"), F.sum("pos").alias("places"))
 
 
 def p7_explode_letter_words(spark, d):
@@ -179,8 +182,8 @@ SQL = {
         SELECT doc_id, piece_no, {strip('piece')} AS text FROM p WHERE length(piece) > 10""",
     "p3_clean_messages": f"WITH c AS (SELECT conv_id, turn, {collapse(strip('text'))} AS text FROM conversations) SELECT * FROM c WHERE length(text) > 2",
     "p5_normalize_letters": f"WITH {DOCS}, n AS (SELECT doc_id, {normal('text')} AS t FROM docs) SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM n",
-    "p6_explode_words": f"""WITH {DOCS}, a AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{{2,}}') AS w FROM docs WHERE lang = 'en'),
-        e AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM a) SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs, CAST(sum(pos) AS BIGINT) AS places FROM e GROUP BY word""",
+    "p6_explode_words": f"""WITH {DOCS}, a AS (SELECT lang, doc_id, regexp_extract_all(lower(text), CASE lang {' '.join(f"WHEN '{x}' THEN '[{LETTERS[x]}]{{2,}}'" for x in LANGS)} END) AS w FROM docs),
+        e AS (SELECT lang, doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM a) SELECT lang, word, count(*) AS n, count(DISTINCT doc_id) AS docs, CAST(sum(pos) AS BIGINT) AS places FROM e GROUP BY lang, word""",
     "p7_explode_letter_words": rf"""WITH {TYPED}, a AS (SELECT layout, regexp_extract_all(lower(text), '\p{{L}}+') AS w FROM typed),
         e AS (SELECT layout, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM a) SELECT layout, word, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places FROM e GROUP BY layout, word""",
     "p8_explode_segments": rf"WITH {DOCS}, a AS (SELECT doc_id, regexp_extract_all(text, '{S}+|[^ \t\n\x0B\f\r]+') AS w FROM docs) SELECT doc_id, len(w) AS n, md5(array_to_string(w, '|')) AS digest FROM a",

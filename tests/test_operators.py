@@ -67,7 +67,7 @@ def test_cascade_on_russian_and_english_words(spark):
     unigrams = M.train_unigrams(phrases, langs=("en", "ru"))
     grams = M.train_trigrams(phrases, langs=("en", "ru"))
     lexicon = unigrams.select("lang", F.lit("builtin").alias("kind"), "word")
-    models = D.Models(lexicon, M.unigram_scores(unigrams), grams, M.trigram_header(grams))
+    models = D.Models.of(lexicon, M.unigram_scores(unigrams), grams, M.trigram_header(grams))
     tokens = spark.createDataFrame([("ghbdtn",), ("руддщ",), ("hello",), ("привет",), ("v1.2",), ("rule",)], "token string")
     rules = spark.createDataFrame([("rule", "keepAsIs", "ru_from_en")], "token string, action string, hyp string")
     got = {r["token"]: (r["path"], r["output"]) for r in D.apply_decision(D.route(tokens, models, rules)).collect()}
