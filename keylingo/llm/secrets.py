@@ -27,6 +27,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 #: Kinds in their order, with the patterns and least lengths of the contract.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -40,11 +42,18 @@ UNPACKED, OVERLAP = 64 << 20, 1 << 20
 #: Bytes that a decompressor gives at a time; compressed bytes that zstd, which has no bound for its output, gets at a time.
 PIECE, ZSTD_STEP = 1 << 20, 256
 
-_URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
-_ONE = re.compile(r"\\u\{?([0-9A-Fa-f]+)\}?|\\x([0-9A-Fa-f]{2})|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
+# an escape whose own first character is escaped, and that one's again, is unwrapped to its end in one step
+_URL_ONE = re.compile(r"%(?:25)*([0-9A-Fa-f]{2})")
+_URL = re.compile(r"(?:%(?:25)*[0-9A-Fa-f]{2})+")
+_BACK, _AND = r"\\(?:u005[cC]|x5[cC]|u\{0{0,4}5[cC]\})*", r"&(?:#0{0,4}38;|#[xX]0{0,4}26;)*"
+_UNICODE = re.compile(rf"(?:{_BACK}(?:u[0-9A-Fa-f]{{4}}|u\{{[0-9A-Fa-f]{{1,6}}\}}|x[0-9A-Fa-f]{{2}})|{_AND}#(?:[0-9]{{1,7}}|[xX][0-9A-Fa-f]{{1,6}});)+")
+_ONE = re.compile(rf"{_BACK}(?:u\{{([0-9A-Fa-f]+)\}}|u([0-9A-Fa-f]{{4}})|x([0-9A-Fa-f]{{2}}))|{_AND}#(?:[xX]([0-9A-Fa-f]+)|([0-9]+));")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
 _ALIKE = str.maketrans("-_", "+/")
+#: Stretches of readable bytes that are taken out of others: UTF-8, and ASCII in two bytes a character. No secret and no code is shorter.
+_UTF8 = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
+_WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){12,}|(?:\x00[\t\n\r\x20-\x7e]){12,}")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\x28\xb5\x2f\xfd")
 _NONE = np.zeros(0, int)
 _ZLIB = type(zlib.decompressobj())
 _ODD = bytes({*range(32)} - {*b"\t\n\r"})
@@ -122,6 +131,20 @@ def _readable(raw: bytes) -> str | None:
     return text if text and odd * 20 <= len(text) else None
 
 
+def _stretches(raw: bytes) -> Iterator[tuple[str, np.ndarray]]:
+    """Readable stretches in bytes that aren't text as a whole: each with the byte where every character begins, and the end."""
+    for m in _UTF8.finditer(raw):
+        try:
+            text = m[0].decode()
+        except UnicodeDecodeError:  # overlong forms and surrogates
+            text = m[0].decode("latin-1")
+        size = [len(c.encode()) for c in text] if len(text) < len(m[0]) else [1] * len(text)
+        yield text, m.start() + np.concatenate([[0], np.cumsum(size)])
+    for m in _WIDE.finditer(raw):
+        text = m[0].replace(b"\0", b"").decode()
+        yield text, m.start() + 2 * np.arange(len(text) + 1)
+
+
 class _Tape:
     """Bytes that come in pieces, with a look ahead."""
 
@@ -225,6 +248,8 @@ def _windows(tape: _Tape) -> Iterator[str]:
                 after = _boundary(block, end - OVERLAP)
         tape.held = tape.held[after:]
         text = _readable(block[:end])
+        if text is None:  # another charset, or text among other bytes
+            text = "\n".join(t for t, _ in _stretches(block[:end]))
         if text:
             yield text
 
@@ -291,12 +316,23 @@ def _spliced(layer: Layer, pieces: list[tuple[int, int, str, list[int]]]) -> Lay
 def _url(layer: Layer) -> Layer | None:
     pieces = []
     for m in _URL.finditer(layer.text):
-        new = binascii.unhexlify(m[0].replace("%", "")).decode("utf-8", "replace")
-        places = [0]
-        for c in new:
-            places.append(places[-1] + 3 * (1 if c == "�" else len(c.encode())))
-        places[-1] = min(places[-1], len(m[0]))
-        pieces.append((m.start(), m.end(), new, [min(p, len(m[0])) for p in places]))
+        each = [(int(one[1], 16), one.end()) for one in _URL_ONE.finditer(m[0])]
+        raw, ends = bytes(b for b, _ in each), [0, *(e for _, e in each)]
+        new, at, places = [], 0, [0]
+        while at < len(raw):
+            try:
+                good, bad, end = raw[at:].decode(), len(raw), len(raw)
+            except UnicodeDecodeError as e:  # what can't be decoded is one character, as long as it is
+                good, bad, end = raw[at : at + e.start].decode(), at + e.start, at + e.end
+            for c in good:
+                at += len(c.encode())
+                places.append(ends[at])
+            new.append(good)
+            if bad < len(raw):
+                new.append("\ufffd")
+                at = end
+                places.append(ends[at])
+        pieces.append((m.start(), m.end(), "".join(new), places))
     return _spliced(layer, pieces) if pieces else None
 
 
@@ -305,7 +341,7 @@ def _escapes(layer: Layer) -> Layer | None:
     for m in _UNICODE.finditer(layer.text):
         new, places = [], [0]
         for one in _ONE.finditer(m[0]):
-            code = int(one[3]) if one[3] else int(one[1] or one[2] or one[4], 16)
+            code = int(one[5]) if one[5] else int(one[1] or one[2] or one[3] or one[4], 16)
             if new and 0xD800 <= ord(new[-1]) < 0xDC00 <= code < 0xE000:
                 new[-1] = chr(0x10000 + ((ord(new[-1]) - 0xD800) << 10) + code - 0xDC00)
                 places[-1] = one.end()
@@ -317,22 +353,41 @@ def _escapes(layer: Layer) -> Layer | None:
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
+    """Base64 runs at each of the four places where a group may begin, as what comes before a code may look like one."""
     for m in _BASE64.finditer(layer.text):
         run = m[0].rstrip("=").translate(_ALIKE)
-        if len(run) % 4 == 1:
-            continue
-        raw = base64.b64decode(run + "=" * (-len(run) % 4))
-        text = _readable(raw)
-        if text and layer.whole:
-            yield _inside(text, layer.whole)
-        elif text:
-            ends = np.cumsum([len(c.encode()) for c in text])
-            first = (np.concatenate([[0], ends[:-1]]) * 4) // 3
-            last = np.minimum((ends * 4 + 2) // 3, m.end() - m.start())
-            yield Layer(text, layer.start[m.start() + first], layer.end[m.start() + last - 1], np.ones(len(text), bool))
-        if _reader(raw) is not None:
-            place = layer.place(m.start(), m.end())
-            yield from (_inside(inner, place) for inner in _texts(raw) if inner != text)
+        for skip in range(4):
+            part = run[skip : len(run) - ((len(run) - skip) % 4 == 1)]
+            raw = base64.b64decode(part + "=" * (-len(part) % 4))
+            whole = _readable(raw) if skip == 0 else None
+            packed = len(raw)  # where compressed data begins: what is readable inside it is part of it
+            for magic in _MAGIC.finditer(raw):
+                data, before = raw[magic.start() :], packed
+                if (magic.start() == 0 and skip == 0) or _opens(data[:64]):
+                    place = layer.place(m.start() + skip + magic.start() * 4 // 3, m.end())
+                    for inner in _texts(data):
+                        if inner != whole:
+                            packed = magic.start()
+                            yield _inside(inner, place)
+                if packed < before:
+                    break
+            found = [(whole, np.cumsum([0, *(len(c.encode()) for c in whole)]))] if whole else _stretches(raw[:packed])
+            for text, places in found:
+                if layer.whole:
+                    yield _inside(text, layer.whole)
+                    continue
+                first = m.start() + skip + places[:-1] * 4 // 3
+                last = np.minimum(m.start() + skip + (places[1:] * 4 + 2) // 3, m.end())
+                yield Layer(text, layer.start[first], layer.end[last - 1], np.ones(len(text), bool))
+
+
+def _opens(head: bytes) -> bool:
+    """Whether bytes begin as compressed data does, beyond its first mark."""
+    try:
+        reader = _reader(head)
+        return reader is not None and reader.decompress(head) is not None
+    except (zlib.error, OSError, EOFError, zstandard.ZstdError, ValueError):
+        return False
 
 
 def _escaped(text: str, style: str, at: int, space: str) -> Iterator[tuple[int, int]]:
@@ -376,13 +431,14 @@ def _packed(layer: Layer) -> Iterator[Layer]:
 
 
 def _inner(layer: Layer) -> Iterator[Layer]:
-    """The layers right below one."""
+    """The layers right below one; those as long as itself come last, when it isn't held any more."""
     yield from _packed(layer)
-    if "%" in layer.text and (new := _url(layer)):
-        yield new
-    if ("\\" in layer.text or "&#" in layer.text) and (new := _escapes(layer)):
-        yield new
     yield from _base64(layer)
+    last = [f(layer) for mark, f in (("%", _url), ("\\", _escapes)) if mark in layer.text or (f is _escapes and "&#" in layer.text)]
+    del layer
+    while last:
+        if new := last.pop():
+            yield new
 
 
 def all_spans(text: str) -> list[tuple[int, int, int]]:
@@ -390,9 +446,9 @@ def all_spans(text: str) -> list[tuple[int, int, int]]:
     base = base_spans(text)
     if not ("%" in text or "\\" in text or "&#" in text or _BASE64.search(text)):
         return base
-    places = np.arange(len(text))
-    root = Layer(text, places, places + 1, np.zeros(len(text), bool))
+    root = Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1), np.zeros(len(text), bool))
     work, seen, found = [_inner(root)], {root.key()}, set(base)
+    del root
     while work:
         new = next(work[-1], None)
         if new is None:
@@ -406,6 +462,7 @@ def all_spans(text: str) -> list[tuple[int, int, int]]:
             if new.whole or new.changed[a:b].any():
                 start, end = new.place(a, b)
                 found.add((start, kind, end))
+        del new
     return sorted(found)
 
 
@@ -423,7 +480,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for value in batch.column("text"):
                 text = value.as_py() or ""

@@ -434,11 +434,79 @@ def test_warc(spark):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
-def test_warc_assembly_follows_chains_and_keeps_bare_captures(spark):
-    r = lambda kind, i, near: (kind, i, near, None, "u", "d", None, 1, {}, None)
-    rows = [r("response", "A", []), r("request", "B", ["A"]), r("metadata", "C", ["B"]), r("metadata", "D", ["A"]), r("response", "E", []), r("request", "Z", ["nowhere"])]
+def test_warc_assembly_follows_links_both_ways_and_lists_records_once(spark):
+    r = lambda kind, i, near, payload=None: (kind, i, near, None, "u", "d", None, 1, {}, payload)
+    rows = [
+        r("response", "A", []), r("request", "B", ["A"]), r("metadata", "C", ["B"]), r("metadata", "D", ["A"]),
+        r("response", "E", []), r("request", "Z", ["nowhere"]),
+        r("response", "F", ["G"], b"body"), r("request", "G", []),  # a response that names its request
+        r("response", "H", []), r("request", "I", ["H"]), r("metadata", "J", ["H", "I"]),  # one record names both
+        r("response", "K", []), r("metadata", "L", ["K"]), r("metadata", "M", ["L"]), r("metadata", "N", ["M"]), r("request", "O", ["N", "N"]),  # a chain
+        r("revisit", "P", ["P"]), r("response", None, []), r("metadata", "Q", None),
+    ]
     got = {x["record_id"]: ([q["record_id"] for q in x["request"]], sorted(m["record_id"] for m in x["metadata"])) for x in warc.assemble(spark.createDataFrame(rows, warc.RECORDS)).collect()}
-    assert got == {"A": (["B"], ["C", "D"]), "E": ([], [])}
+    assert got == {"A": (["B"], ["C", "D"]), "E": ([], []), "F": (["G"], []), "H": (["I"], ["J"]), "K": (["O"], ["L", "M", "N"]), "P": ([], []), None: ([], [])}
+    assert warc.assemble(spark.createDataFrame([], warc.RECORDS)).count() == 0
+
+
+def test_warc_carries_long_payloads(spark):
+    from keylingo.llm.common import Scratch
+
+    long = "é<p>" * 1_500_000
+    pages = spark.createDataFrame([(n, f"http://h/{n}", long + str(n % 3)) for n in range(5)] + [(9, None, None)], "page_id long, url string, html string")
+    scratch = Scratch(spark, "test")
+    records = scratch.keep(warc.read_records(warc.write_archives(pages, f"{scratch.path}/a"), f"{scratch.path}/a"), "records")
+    got = {x["metadata"][0]["fields"]["page-id"]: x["capture"] for x in warc.assemble(records).collect()}
+    assert {k: v["type"] for k, v in got.items()} == {"0": "response", "1": "response", "2": "response", "3": "revisit", "4": "revisit", "9": "response"}
+    assert bytes(got["2"]["payload"]).decode() == long + "2" and got["3"]["payload"] is None and got["3"]["payload_bytes"] == len((long + "0").encode())
+
+
+def test_secrets_of_all_alignments_charsets_and_malformed_escapes():
+    code = lambda raw: base64.b64encode(raw).decode().rstrip("=")
+    inner = b"xx password = hunter2hunter2 yy"
+    for before in ("id_", "/path/", "a", "ab", "abc", "x-y_z", ""):
+        for after in ("", "_tail", "Q", "QQ"):
+            for raw in (inner, gzip.compress(inner), inner.decode().encode("utf-16-le"), "é".encode("latin-1") + inner, inner.decode().encode("utf-16"), gzip.compress(inner.decode().encode("utf-16-be")), gzip.compress(b"\xe9 " + inner)):
+                text = f"see {before}{code(raw)}{after} end"
+                found = [(a, b) for a, k, b in secrets.all_spans(text) if k == 0]
+                assert any(4 <= a < b <= len(text) - 4 for a, b in found), (before, after, raw[:12])
+    text = f"id_{code(b'password = hunter2hunter2')}"
+    assert secrets.all_spans(text) == [(3, 0, len(text))]
+    assert secrets.all_spans("%EF%BF%BD%70%61%73%73word: abcdefghij") == [(9, 0, 37)]
+    assert secrets.all_spans("%E2%82%70%61%73%73word: abcdefghij") == [(6, 0, 34)]
+    assert secrets.all_spans("%ff%fe%70assword: abcdefghij") == [(6, 0, 28)]
+
+
+def test_secrets_in_deeply_nested_escapes():
+    import time
+
+    began = time.time()
+    for lead, escaped, last in (("%", "25", "70"), ("\\", "u005c", "u0070"), ("&", "#38;", "#112;")):
+        text = lead + escaped * (200_000 // len(escaped)) + last + "assword: abcdefghij"
+        assert (0, 0, len(text)) in secrets.all_spans(text), lead
+    assert len(secrets.all_spans("%41" * 300_000 + " token: abcdefghij")) == 1
+    assert time.time() - began < 60
+
+
+def test_secret_spans_against_a_plain_search(spark):
+    """Each layer undone by its own plain inverse, on random texts with one secret under random layers."""
+    rng = random.Random(8)
+    ways = [
+        lambda t: base64.b64encode(t.encode()).decode(), lambda t: base64.urlsafe_b64encode(gzip.compress(t.encode())).decode(), lambda t: "".join(f"%{b:02X}" for b in t.encode()),
+        lambda t: "".join(f"\\u{ord(c):04x}" for c in t), lambda t: "".join(f"&#{ord(c)};" for c in t), lambda t: base64.b64encode(bz2.compress(t.encode())).decode(),
+    ]
+    rows, want = [], {}
+    for n in range(60):
+        hidden = rng.choice(["password=abcdefgh%d" % n, "AKIA" + "ABCDEFGH" * 2, "f0" * 20])
+        for _ in range(rng.randint(1, 3)):
+            hidden = rng.choice(ways)(hidden)
+        before = " ".join(rng.choice(["foo", "é", "10%", "a\\b", "x_y"]) for _ in range(rng.randint(0, 6)))
+        rows.append((n, f"{before} {hidden} tail", "x"))
+        want[n] = (len(before) + 1, len(before) + 1 + len(hidden))
+    for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect():
+        spans = [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",")]
+        a, b = want[r["doc_id"]]
+        assert all(a <= s < e <= b for s, e in spans) and any(e - s >= 0.9 * (b - a) - 8 for s, e in spans), (r, rows[r["doc_id"]])
 
 
 def test_nearest_neighbours(spark, monkeypatch):
