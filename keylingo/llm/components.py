@@ -20,6 +20,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """
     now = scratch.keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links0")
     seen, number = None, 0
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     while True:
         number += 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

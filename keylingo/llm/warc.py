@@ -2,9 +2,9 @@
 
 A capture is a transaction of a response or revisit record, a request and a
 metadata record. Readers find what belongs together through concurrent-to
-identifiers, directly or by way of another record: the joins here resolve a
-metadata record through its request to the response. Payloads stay in the
-written record table until they are asked for.
+identifiers, in either direction and by way of other records: transactions are
+the connected components of these links. Payloads are read with the records if
+they are asked for, else measured and digested in passing.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_bytes, filesystem, publish
+from .common import Scratch, as_bytes, filesystem, publish, small
+from .components import components
 
 #: Payloads of fewer bytes are never revisits; the date of records made from a table that has none.
 LEAST_SHARED, DATE = 100, "2000-01-01T00:00:00Z"
@@ -55,7 +56,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     Of captures with equal payloads of ``LEAST_SHARED`` bytes or more the one
     with the smallest id (null ids last, then the first row) is a response and the
-    others are revisits of it. Equality is by SHA-256 of the whole payload.
+    others are revisits of it. Equality is by SHA-256 of the whole payload. Null
+    payloads and URLs count as empty, repeated rows are captures of their own, an
+    empty table gives no files, other columns are ignored.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     body = as_bytes(body_col)
@@ -71,7 +74,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         store, root = filesystem(folder)
         path, out, n = f"{root}/part-{task.partitionId():06d}.warc.gz", None, 0
         temporary = f"{path}.{task.taskAttemptId()}"
-        for batch in batches:
+        for batch in small(batches):
             if out is None:
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(temporary)
@@ -155,7 +158,7 @@ def parse(stream) -> Iterator[dict]:
 
 
 def read_records(files: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The records of the archives at ``path``; a file is read as a stream, by one task.
+    """The records of the archives at ``path``, repeated ones too; a file is read as a stream, by one task. No files give no records.
 
     Without ``payloads`` they are measured and digested while they are read, and left where they are.
     """
@@ -186,28 +189,44 @@ def read_records(files: DataFrame, folder: str, payloads: bool = True) -> DataFr
 def assemble(records: DataFrame) -> DataFrame:
     """A nested row for each capture: record_id, capture, request, metadata.
 
-    ``capture`` is the response or revisit record, ``request`` and ``metadata``
-    are lists of the records concurrent to it, directly or through each other.
-    Captures without a request or metadata have empty lists; records that lead
-    to no capture belong to none and aren't returned.
+    ``capture`` is the response or revisit record; ``request`` and ``metadata``
+    are lists of the records of its transaction: those that concurrent-to
+    identifiers connect with it, in either direction and over any number of
+    steps, each record once. Captures of one transaction have the same lists;
+    captures without a request or metadata have empty ones. Records that lead to
+    no capture belong to none and aren't returned; an empty table gives an empty
+    result. ``records`` is read several times: pass a written table.
     """
+    scratch = Scratch(records.sparkSession, "warc-transactions")
+    near = records.where("record_id is not null").select("record_id", F.explode("concurrent_to").alias("near")).where("near is not null and near <> record_id")
+    links = scratch.keep(near.select(F.least("record_id", "near").alias("a"), F.greatest("record_id", "near").alias("b")).distinct(), "links")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = scratch.keep(both.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("other")), "degree")
+    # a record with one neighbour follows it; only links between the others are for the components, and most archives have none
+    inner = degree.where("n > 1").select("a")
+    core = links.join(inner, "a", "left_semi").join(inner.withColumnRenamed("a", "b"), "b", "left_semi")
+    placed = components(core, scratch)
+    inner = scratch.keep(inner.join(placed, inner["a"] == placed["node"], "left").select(F.col("a").alias("node"), F.coalesce("root", "a").alias("root")), "inner")
+    outer = degree.where("n = 1").join(inner, F.col("other") == F.col("node"), "left")
+    outer = outer.select(F.col("a").alias("node"), F.coalesce("root", F.least("a", "other")).alias("root"))
+    root_of = inner.unionByName(outer)
+
     whole = F.struct("type", "record_id", "refers_to", "uri", "date", "payload_digest", "payload_bytes", "fields", "payload")
-    captures = records.where("type in ('response', 'revisit')").select("record_id", whole.alias("capture"))
-    others = records.where("type in ('request', 'metadata')").select("type", F.col("record_id").alias("own_id"), F.explode("concurrent_to").alias("near"), whole.alias("record"))
-    via = others.select(F.col("own_id").alias("via_id"), F.col("near").alias("via_near"))
-    # one step further where the neighbour is itself a request or metadata record
-    placed = others.join(via, F.col("near") == F.col("via_id"), "left").withColumn("of", F.coalesce("via_near", "near"))
-    lists = placed.groupBy("of").agg(
+    named = records.where("type in ('response', 'revisit', 'request', 'metadata')").join(root_of, F.col("record_id") == F.col("node"), "left")
+    named = named.select("type", "record_id", F.coalesce("root", "record_id").alias("root"), whole.alias("record"))
+    captures = named.where("type in ('response', 'revisit')").select("record_id", "root", F.col("record").alias("capture"))
+    lists = named.where("type in ('request', 'metadata')").groupBy("root").agg(
         F.collect_list(F.when(F.col("type") == "request", F.col("record"))).alias("request"), F.collect_list(F.when(F.col("type") == "metadata", F.col("record"))).alias("metadata")
     )
-    joined = captures.join(lists, captures["record_id"] == lists["of"], "left")
+    joined = captures.join(lists, "root", "left")
     return joined.select("record_id", "capture", *(F.coalesce(c, F.array().cast(lists.schema[c].dataType)).alias(c) for c in ("request", "metadata")))
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Writes every page to archives, reads them back and assembles the captures: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Null payloads count as empty and null URLs too; rows with repeated or null ids
+    Payloads are measured and digested as they are read, and not carried through
+    the assembly, as none of these columns needs them. Null payloads count as empty and null URLs too; rows with repeated or null ids
     are captures of their own; an empty table gives an empty result.
     """
     spark = pages.sparkSession
