@@ -4,9 +4,10 @@ Observations are the ``HEAD`` most frequent training words, one class for all
 other words, known or not, and the end of a text. A word of that class is drawn
 from the smoothed counts of its words, so the model is a distribution over all
 texts. Emissions times transitions are re-estimated by Baum-Welch: each task
-turns its share of the training texts into expected counts, and the counts are
-summed over all tasks in a tree. The likelihood of a text is the exact scaled
-forward recursion over all of it.
+turns its share of the training texts into expected counts of the words it saw,
+and Spark sums them by word. Both the forward-backward recursion of training and
+the likelihood of a text run over whole texts; long ones are bracketed into
+pieces whose matrices are multiplied, which is the same recursion.
 
 Word counts, rare words included, stay in Spark: frequent words are a bounded
 table, the others are joined by word, and none of those is frequent.
@@ -27,8 +28,8 @@ from .common import Scratch, as_bytes, small, words
 
 #: Frequent words with an emission of their own, latent states, passes of Baum-Welch over all training texts.
 HEAD, STATES, PASSES = 65_000, 8, 4
-#: Training texts are cut here, and the forward recursion of a text is put together from pieces of this length.
-PIECE = 256
+#: Recursions over longer texts are put together from pieces of this length.
+PIECE = 1024
 #: Cells (pieces times length) worked on at once.
 CELLS = 1 << 19
 #: The end of a text as a word; no word holds white space.
@@ -37,10 +38,9 @@ END = b"\n"
 
 @dataclass
 class Model:
-    """start: (states), move: (states, states), emit: (observations, states); rest: start of a piece inside a text."""
+    """start: (states), move: (states, states), emit: (observations, states)."""
 
     start: np.ndarray
-    rest: np.ndarray
     move: np.ndarray
     emit: np.ndarray
 
@@ -51,8 +51,7 @@ def first_model(counts: np.ndarray, states: int = STATES) -> Model:
     mixed = (ids[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, states + 1, dtype=np.uint64)[None, :] * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)
     emit = (counts[:, None] + 1.0) * np.where(mixed % np.uint64(4) == 0, 4.0, 1.0)
     move = np.full((states, states), 0.2 / states) + 0.8 * np.eye(states)
-    even = np.full(states, 1 / states)
-    return Model(even, even, move, emit / emit.sum(axis=0))
+    return Model(np.full(states, 1 / states), move, emit / emit.sum(axis=0))
 
 
 def _padded(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,23 +73,39 @@ def _groups(pieces: list, key=len):
         at += step
 
 
-def expected_counts(texts: list[np.ndarray], model: Model) -> np.ndarray:
-    """Expected counts of one Baum-Welch pass as one vector: start, rest, move, emit, log-likelihood."""
+@dataclass
+class Counts:
+    """Expected counts of one Baum-Welch pass: start, move, emit of the observations ``seen``, and the log-likelihood."""
+
+    start: np.ndarray
+    move: np.ndarray
+    seen: np.ndarray
+    emit: np.ndarray
+    total: float
+
+
+def expected_counts(texts: list[np.ndarray], model: Model) -> Counts:
+    """Expected counts over whole texts.
+
+    Every piece of a text runs forward from what comes before it and backward
+    from what comes after it, so cuts change nothing.
+    """
     k, v = len(model.start), len(model.emit)
-    start, rest, move, emit, total = np.zeros(k), np.zeros(k), np.zeros((k, k)), np.zeros((v, k)), 0.0
-    # single precision does for one piece, sums over pieces are double
+    start, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros((v, k)), 0.0
+    # single precision does within a piece, sums over pieces are double
     emits, moves = model.emit.astype(np.float32), model.move.astype(np.float32)
-    starts, rests = model.start.astype(np.float32), model.rest.astype(np.float32)
     back, ones = np.ascontiguousarray(moves.T), np.ones(k, np.float32)
-    pieces = [(t[a : a + PIECE], a == 0) for t in texts for a in range(0, len(t), PIECE)]
+    pieces = [(t[:PIECE], None, np.ones(k)) for t in texts if 0 < len(t) <= PIECE]
+    pieces += _bracketed([t for t in texts if len(t) > PIECE], model)
     for group in _groups(pieces, lambda p: len(p[0])):
-        grid, active = _padded([p for p, _ in group])
+        grid, active = _padded([p[0] for p in group])
         steps, n = grid.shape
-        first = np.array([f for _, f in group])
+        later = np.array([p[1] is not None for p in group])
+        before = np.array([p[1] if p[1] is not None else model.start for p in group])
         likely = emits.take(grid, axis=0)  # (steps, n, k)
         forward = np.empty((steps, n, k), np.float32)
         scale = np.ones((steps, n), np.float32)
-        alpha = np.where(first[:, None], starts, rests)
+        alpha = np.where(later[:, None], before @ model.move, before).astype(np.float32)
         for t in range(steps):
             m = active[t]
             alpha = alpha[:m] @ moves if t else alpha[:m]
@@ -99,80 +114,110 @@ def expected_counts(texts: list[np.ndarray], model: Model) -> np.ndarray:
             alpha *= (1 / norm)[:, None]
             forward[t, :m] = alpha
         total += np.log(scale).sum(dtype=np.float64)
-        beta = np.ones((n, k), np.float32)
+        beta = np.array([p[2] for p in group])
+        beta /= (forward[np.array([len(p[0]) for p in group]) - 1, np.arange(n)] * beta).sum(axis=1)[:, None]
+        beta = beta.astype(np.float32)
         for t in range(steps - 1, -1, -1):
             m = active[t]
             now = beta[:m]
             forward[t, :m] *= now  # from here on the posterior: each row sums to 1
-            if t:
-                now *= likely[t, :m]
-                now *= (1 / scale[t, :m])[:, None]
+            now *= likely[t, :m]
+            now *= (1 / scale[t, :m])[:, None]
+            if t:  # the move into this place, undone from the posterior of the place before
                 move += model.move * (forward[t - 1, :m].T @ now)
                 beta[:m] = now @ back
-        start += forward[0, first].sum(axis=0)
-        rest += forward[0, ~first].sum(axis=0)
-        seen = np.arange(n)[None, :] < active[:, None]
-        flat, weight = grid[seen], forward[seen]
+        move += model.move * (before[later].T @ beta[later])
+        start += forward[0, ~later].sum(axis=0)
+        there = np.arange(n)[None, :] < active[:, None]
+        flat, weight = grid[there], forward[there]
         for s in range(k):
             emit[:, s] += np.bincount(flat, weight[:, s], minlength=v)
-    return np.concatenate([start, rest, move.ravel(), emit.ravel(), [total]])
+    seen = np.flatnonzero(emit.any(axis=1))
+    return Counts(start, move, seen, emit[seen], total)
+
+
+def _bracketed(texts: list[np.ndarray], model: Model) -> list[tuple[np.ndarray, np.ndarray | None, np.ndarray]]:
+    """(piece, states before it or None, likelihood of what follows by the state at its end) of every piece of long texts."""
+    alphas, _ = _ends([t[:PIECE] for t in texts], model)
+    places = [(i, a) for i, t in enumerate(texts) for a in range(PIECE, len(t), PIECE)]
+    whole, _ = _matrices([texts[i][a : a + PIECE] for i, a in places], model)
+    at = {place: n for n, place in enumerate(places)}
+    out = []
+    for i, t in enumerate(texts):
+        cuts = list(range(PIECE, len(t), PIECE))
+        before: list[np.ndarray | None] = [None, alphas[i]]
+        for a in cuts[:-1]:
+            ahead = before[-1] @ whole[at[i, a]]
+            before.append(ahead / ahead.sum())
+        after = [np.ones(len(model.start))]
+        for a in reversed(cuts):
+            behind = whole[at[i, a]] @ after[-1]
+            after.append(behind / behind.sum())
+        out += [(t[a : a + PIECE], b, c) for a, b, c in zip([0, *cuts], before, reversed(after), strict=True)]
+    return out
 
 
-def next_model(counts: np.ndarray, prior: np.ndarray) -> Model:
+def next_model(start: np.ndarray, move: np.ndarray, emit: np.ndarray, prior: np.ndarray) -> Model:
     """The model of expected counts, smoothed towards even moves and the words' frequencies."""
-    v = len(prior)
-    k = (-(2 + v) + math.isqrt((2 + v) ** 2 + 4 * (len(counts) - 1))) // 2  # k * (2 + k + v) = len - 1
-    parts = np.split(counts[:-1], np.cumsum([k, k, k * k]))
-    start, rest, move, emit = parts[0] + 0.1, parts[1] + 0.1, parts[2].reshape(k, k) + 0.1, parts[3].reshape(v, k) + 10.0 * prior[:, None]
-    return Model(start / start.sum(), rest / rest.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    start, move, emit = start + 0.1, move + 0.1, emit + 10.0 * prior[:, None]
+    return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def log_likelihoods(texts: list[np.ndarray], model: Model) -> np.ndarray:
-    """Natural log-likelihood of each text by the scaled forward recursion.
-
-    A long text is cut into pieces that are worked on side by side: the first
-    from the start, the others from each state in turn, and the pieces' matrices
-    are then multiplied in order. That is the same recursion, put in brackets.
-    """
-    k = len(model.start)
-    out = np.zeros(len(texts))
-    at_start = [(i, t[:PIECE]) for i, t in enumerate(texts) if len(t)]
-    alphas = np.zeros((len(texts), k))
-    for group in _groups(at_start, lambda p: len(p[1])):
+def _ends(pieces: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The states at the end of pieces that begin a text, and the logarithms of their likelihoods."""
+    ends, logs = np.tile(model.start, (len(pieces), 1)), np.zeros(len(pieces))
+    for group in _groups([(i, p) for i, p in enumerate(pieces) if len(p)], lambda p: len(p[1])):
         grid, active = _padded([p for _, p in group])
         index = np.array([i for i, _ in group])
-        alpha, logs = np.tile(model.start, (len(group), 1)), np.zeros(len(group))
+        alpha, log = np.tile(model.start, (len(group), 1)), np.zeros(len(group))
         for t in range(len(grid)):
             m = active[t]
             now = (alpha[:m] @ model.move if t else alpha[:m]) * model.emit[grid[t, :m]]
             norm = now.sum(axis=1)
             alpha[:m] = now / norm[:, None]
-            logs[:m] += np.log(norm)
-        alphas[index], out[index] = alpha, logs
-    later = [(i, a, t[a : a + PIECE]) for i, t in enumerate(texts) for a in range(PIECE, len(t), PIECE)]
-    matrices: dict[tuple[int, int], tuple[np.ndarray, float]] = {}
-    for group in _groups(later, lambda p: len(p[2]) * k):
-        grid, active = _padded([p for _, _, p in group])
-        whole, logs = np.tile(np.eye(k), (len(group), 1, 1)), np.zeros(len(group))
+            log[:m] += np.log(norm)
+        ends[index], logs[index] = alpha, log
+    return ends, logs
+
+
+def _matrices(pieces: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """For pieces inside a text, from each state before to each state at the end; scaled, with the logarithms of the scales."""
+    k = len(model.start)
+    whole, logs = np.zeros((len(pieces), k, k)), np.zeros(len(pieces))
+    for group in _groups(list(enumerate(pieces)), lambda p: len(p[1]) * k):
+        grid, active = _padded([p for _, p in group])
+        index = np.array([i for i, _ in group])
+        made, log = np.tile(np.eye(k), (len(group), 1, 1)), np.zeros(len(group))
         for t in range(len(grid)):
             m = active[t]
-            now = (whole[:m].reshape(m * k, k) @ model.move).reshape(m, k, k) * model.emit[grid[t, :m]][:, None, :]
+            now = (made[:m].reshape(m * k, k) @ model.move).reshape(m, k, k) * model.emit[grid[t, :m]][:, None, :]
             norm = now.max(axis=(1, 2))
-            whole[:m] = now / norm[:, None, None]
-            logs[:m] += np.log(norm)
-        for (i, a, _), w, l in zip(group, whole, logs, strict=True):
-            matrices[i, a] = w, l
-    for i, a in sorted(matrices):
-        w, l = matrices[i, a]
+            made[:m] = now / norm[:, None, None]
+            log[:m] += np.log(norm)
+        whole[index], logs[index] = made, log
+    return whole, logs
+
+
+def log_likelihoods(texts: list[np.ndarray], model: Model) -> np.ndarray:
+    """Natural log-likelihood of each text by the scaled forward recursion.
+
+    A long text is cut into pieces that are worked on side by side: the first
+    from the start, the others from each state in turn, and the pieces' matrices
+    are then multiplied in order. That is the same recursion, put in brackets.
+    """
+    alphas, out = _ends([t[:PIECE] for t in texts], model)
+    places = [(i, a) for i, t in enumerate(texts) for a in range(PIECE, len(t), PIECE)]
+    whole, logs = _matrices([texts[i][a : a + PIECE] for i, a in places], model)
+    for (i, _), w, log in zip(places, whole, logs, strict=True):
         alpha = alphas[i] @ w
         norm = alpha.sum()
         alphas[i] = alpha / norm
-        out[i] += l + math.log(norm)
+        out[i] += log + math.log(norm)
     return out
 
 
 def _word_counts(batches):
-    for batch in batches:
+    for batch in small(batches):
         counts: Counter = Counter()
         for text in batch.column("raw").to_pylist():
             counts.update(words(text))
@@ -183,7 +228,8 @@ def _word_counts(batches):
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, states: int = STATES, passes: int = PASSES) -> DataFrame:
     """A row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Trained on all rows whose crc32(doc_id as text) mod 7 isn't 2; rows with a
+    ``head`` words have an emission of their own; with as many as there are, every
+    word has. Trained on all rows whose crc32(doc_id as text) mod 7 isn't 2; rows with a
     null id are trained on. Scores are log10 probabilities. Null and empty texts
     are one token, the end. Without training rows every word is unknown, and the
     model is its first guess. Repeated rows count and are scored each. Other
@@ -247,25 +293,36 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prior = (seen + 0.5) / (seen + 0.5).sum()
     model = first_model(seen, states)
     training = rows.where("not held_out").select("observed")
+    columns = [f"c{n}" for n in range(states)]
     for _ in range(passes if ends else 0):
         now = spark.sparkContext.broadcast(model)
 
         def count(batches, now=now):
-            total = None
-            for batch in batches:
-                texts = [np.frombuffer(o, kind) for o in batch.column("observed").to_pylist()]
-                part = expected_counts(texts, now.value)
-                total = part if total is None else total + part
-            if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
-
-        parts = training.mapInArrow(count, "counts binary").rdd.map(lambda r: np.frombuffer(r["counts"], np.float64))
-        model = next_model(parts.treeReduce(np.add, depth=3), prior)
+            k = len(now.value.start)
+            start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((len(now.value.emit), k))
+            for batch in small(batches, 1 << 20):
+                part = expected_counts([np.frombuffer(o, kind) for o in batch.column("observed").to_pylist()], now.value)
+                start, move = start + part.start, move + part.move
+                emit[part.seen] += part.emit
+            seen = np.flatnonzero(emit.any(axis=1))
+            # observations from 0, before them the start and the rows of moves
+            at = np.concatenate([seen, np.arange(-1 - k, 0)])
+            values = np.concatenate([emit[seen], move, start[None, :]]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(np.ascontiguousarray(values[:, s])) for s in range(k))], ["at", *columns])
+
+        parts = training.mapInArrow(count, "at int, " + ", ".join(f"{c} float" for c in columns))
+        sums = parts.groupBy("at").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()  # a row for each of `head` words at most
+        at, values = sums.column("at").to_numpy(), np.stack([sums.column(c).to_numpy() for c in columns], axis=1)
+        emit = np.zeros_like(model.emit)
+        emit[at[at >= 0]] = values[at >= 0]
+        moves = np.zeros_like(model.move)
+        moves[at[(at < -1)] + 1 + states] = values[at < -1]
+        model = next_model(values[at == -1].sum(axis=0), moves, emit, prior)
         now.unpersist()
     final = spark.sparkContext.broadcast(model)
 
     def scored(batches):
-        for batch in batches:
+        for batch in small(batches, 1 << 20):
             texts = [np.frombuffer(o, kind) for o in batch.column("observed").to_pylist()]
             made = log_likelihoods(texts, final.value) / math.log(10)
             kept = [batch.column(c) for c in ("row_key", "doc_id", "held_out", "n_tokens", "head_known", "head_base")]

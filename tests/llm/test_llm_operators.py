@@ -320,30 +320,83 @@ def test_hmm_scores(docs, empty):
     assert hmm.score_texts(empty).count() == 0
 
 
-def test_hmm_forward_is_exact_and_a_distribution():
-    rng = np.random.default_rng(2)
-    k, v = 3, 4
+def plain_pass(texts, model):
+    """Forward-backward without scaling tricks or pieces, in logarithms: start, move and emit counts, and each text's log-likelihood."""
+    k, v = len(model.start), len(model.emit)
+    start, move, emit, logs = np.zeros(k), np.zeros((k, k)), np.zeros((v, k)), []
+    lse = np.logaddexp.reduce
+    with np.errstate(divide="ignore"):
+        ls, lm, le = np.log(model.start), np.log(model.move), np.log(model.emit)
+    for ids in texts:
+        a = [ls + le[ids[0]]]
+        for i in ids[1:]:
+            a.append(lse(a[-1][:, None] + lm, axis=0) + le[i])
+        b = [np.zeros(k)]
+        for i in ids[:0:-1]:
+            b.append(lse(lm + le[i] + b[-1], axis=1))
+        b.reverse()
+        total = lse(a[-1])
+        logs.append(total)
+        for t, i in enumerate(ids):
+            emit[i] += np.exp(a[t] + b[t] - total)
+            if t:
+                move += np.exp(a[t - 1][:, None] + lm + le[i] + b[t] - total)
+        start += np.exp(a[0] + b[0] - total)
+    return start, move, emit, np.array(logs)
+
+
+def small_model(rng, k, v):
     norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
-    model = hmm.Model(norm(rng.random(k), 0), norm(rng.random(k), 0), norm(rng.random((k, k)), 1), norm(rng.random((v, k)), 0))
+    return hmm.Model(norm(rng.random(k), 0), norm(rng.random((k, k)), 1), norm(rng.random((v, k)), 0))
 
-    def plain(ids):
-        alpha = model.start * model.emit[ids[0]]
-        total = np.log(alpha.sum())
-        alpha /= alpha.sum()
-        for i in ids[1:]:
-            alpha = (alpha @ model.move) * model.emit[i]
-            total += np.log(alpha.sum())
-            alpha /= alpha.sum()
-        return total
 
-    texts = [rng.integers(0, v, n) for n in (1, 2, 255, 256, 257, 1000, 3000)]
-    assert np.allclose(hmm.log_likelihoods(texts, model), [plain(t) for t in texts])
+def test_hmm_recursions_are_exact_over_whole_texts(monkeypatch):
+    monkeypatch.setattr(hmm, "PIECE", 16)
+    rng = np.random.default_rng(2)
+    k, v = 3, 5
+    model = small_model(rng, k, v)
+    texts = [rng.integers(0, v, n) for n in (1, 2, 15, 16, 17, 31, 32, 33, 100, 400)]
+    start, move, emit, logs = plain_pass(texts, model)
+    assert np.allclose(hmm.log_likelihoods(texts, model), logs)
+    got = hmm.expected_counts(texts, model)
+    full = np.zeros((v, k))
+    full[got.seen] = got.emit
+    assert np.allclose(got.start, start, rtol=1e-4) and np.allclose(got.move, move, rtol=1e-4) and np.allclose(full, emit, rtol=1e-4) and math.isclose(got.total, logs.sum(), rel_tol=1e-5)
     every = [np.array([a, b, c]) for a in range(v) for b in range(v) for c in range(v)]
     assert math.isclose(np.exp(hmm.log_likelihoods(every, model)).sum(), 1)
-    data = [rng.integers(0, v, 50) for _ in range(40)]
-    before = hmm.log_likelihoods(data, model).sum()
-    after = hmm.log_likelihoods(data, hmm.next_model(hmm.expected_counts(data, model), np.full(v, 0.25))).sum()
-    assert after > before
+    again = hmm.log_likelihoods(texts, hmm.next_model(got.start, got.move, full, np.full(v, 0.2)))
+    assert again.sum() > logs.sum()
+
+
+@pytest.mark.parametrize("head", [12, 5000])
+def test_hmm_scores_against_a_plain_model(docs, monkeypatch, head):
+    """The whole operator against plain Baum-Welch in one place; with a large head every word has its own emission."""
+    states, passes = 3, 2
+    got = hmm.score_texts(docs, head=head, states=states, passes=passes).collect()
+    split = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) + [b"\n"]
+    rows = documents()
+    texts = [split(r[1]) for r in rows]
+    held = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 2 for r in rows]
+    counts = Counter(w for t, h in zip(texts, held, strict=True) if not h for w in t)
+    ends = counts.pop(b"\n")
+    top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:head]
+    index = {w: i for i, (w, _) in enumerate(top)} | {b"\n": len(top) + 1}
+    others = {w: c for w, c in counts.items() if w not in index}
+    rest = sum(others.values())
+    seen = np.array([*(c for _, c in top), rest + 1, ends], float)
+    prior = (seen + 0.5) / (seen + 0.5).sum()
+    ids = [np.array([index.get(w, len(top)) for w in t]) for t in texts]
+    model = hmm.first_model(seen, states)
+    for _ in range(passes):
+        start, move, emit, _ = plain_pass([i for i, h in zip(ids, held, strict=True) if not h], model)
+        start, move, emit = start + 0.1, move + 0.1, emit + 10.0 * prior[:, None]
+        model = hmm.Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+    logs = plain_pass(ids, model)[3] / math.log(10)
+    logs += [sum(math.log10((others.get(w, 0) + 1) / (rest + len(others) + 1)) for w in t if w not in index) for t in texts]
+    want = sorted((str(r[0]), len(t), s) for r, t, s in zip(rows, texts, logs, strict=True))
+    mine = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in got)
+    assert [w[:2] for w in want] == [m[:2] for m in mine]
+    assert np.allclose([w[2] for w in want], [m[2] for m in mine], rtol=1e-4)
 
 
 def test_drop_near_duplicates_drops_rows_not_ids(spark):
