@@ -5,17 +5,20 @@ centres plus a residual, and the residual is quantised in ``WIDTH``-dimensional
 subspaces with 16 codewords each: four bits. Codes and codewords are fitted to
 a loss that weighs the error along the vector ``eta`` times the error across
 it, since that part changes the inner product with near queries most. A block
-of codes is scanned with 16-entry tables for a block of queries, and the best
-of each block are ranked again by the exact measure.
+of codes is scanned with 16-entry tables for a block of queries. Only codes
+travel to the scans; the best of all blocks together are joined to their vectors
+and ranked again by the exact measure.
 
-The index is fitted on a bounded sample; every row is indexed, and every code is
-scanned for every query.
+The index is fitted on a bounded sample and every row is indexed. A scan skips a
+centre's codes only where even the best of them can't be among the best, which
+is known from the centre and its longest residual, so nothing is lost by it.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -23,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, small
 
 #: Bound of the sample that the index is fitted on, coarse centres, dimensions a subspace, rounds of fitting.
 FIT_ROWS, CENTRES, WIDTH, ROUNDS = 8192, 64, 2, 6
 #: The score from which on errors along a vector matter; it sets eta.
 THRESHOLD = 0.2
-#: Rows of a block of codes and of queries; candidates of a block that are ranked exactly.
-CODE_BLOCK, QUERY_BLOCK, RERANKED = 2048, 512, 128
+#: Rows of a block of codes and of queries; candidates of a query beyond the k wanted that are ranked exactly.
+CODE_BLOCK, QUERY_BLOCK, RERANKED = 1 << 16, 128, 128
 
 
 @dataclass
@@ -134,7 +137,7 @@ def nearest(vectors: DataFrame, queries_every: int = 50, k: int = 5, id_col: str
     index = vectors.sparkSession.sparkContext.broadcast(fit(x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x))
 
     def encoded(batches):
-        for batch in batches:
+        for batch in small(batches):
             v = np.array(batch.column("v").to_pylist(), float).reshape(-1, dims)
             made = index.value.encode(v / _length(v)[:, None])
             raw = [a.tobytes() for a in v]
@@ -143,45 +146,84 @@ def nearest(vectors: DataFrame, queries_every: int = 50, k: int = 5, id_col: str
                 ["vec_id", "vector", "centre", "codes"],
             )
 
-    codes = scratch.keep(rows.mapInArrow(encoded, "vec_id long, vector binary, centre int, codes binary"), "codes")
-    asked = codes.where(F.col("vec_id") % queries_every == 0).select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"))
+    made = rows.mapInArrow(encoded, "vec_id long, vector binary, centre int, codes binary")
+    # the row key tells rows of one id apart; written down, it can't change on a retry
+    codes = scratch.keep(made.withColumn("row_key", F.monotonically_increasing_id()), "codes")
     code_blocks = max(1, math.ceil(codes.count() / CODE_BLOCK))
+    asked = codes.where(F.col("vec_id") % queries_every == 0)
     query_blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    by_code = codes.withColumn("cb", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(code_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    by_query = asked.withColumn("qb", F.pmod(F.xxhash64("query_id", "query"), F.lit(query_blocks)).cast("int")).withColumn(
-        "cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(code_blocks - 1).cast("long")))
-    )
+    depth = RERANKED + k
+    in_block = lambda n: F.pmod(F.xxhash64("row_key"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    by_code = codes.select("row_key", "vec_id", "centre", "codes", in_block(code_blocks).alias("cb")).withColumn("qb", every(query_blocks))
+    by_query = asked.select(F.col("row_key").alias("query_key"), F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), in_block(query_blocks).alias("qb")).withColumn("cb", every(code_blocks))
 
     def scan(block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
+        kinds = {"query_key": "int64", "vec_id": "int64", "row_key": "int64", "rough": "float64"}
         if not len(block) or not len(queries):
-            return none
-        block = block.sort_values("vec_id", kind="stable")
-        made, ids = index.value, block["vec_id"].to_numpy()
-        v = np.frombuffer(b"".join(block["vector"]), np.float64).reshape(-1, dims)
+            return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in kinds.items()})
+        block = block.sort_values(["centre", "vec_id", "row_key"])
+        made, ids, keys = index.value, block["vec_id"].to_numpy(), block["row_key"].to_numpy()
         q = np.frombuffer(b"".join(queries["query"]), np.float64).reshape(-1, dims)
-        v_length, q_length = _length(v), _length(q)
-        unit = q / q_length[:, None]
+        unit = q / _length(q)[:, None]
         coarse = unit @ made.centres.T
         tables = np.einsum("qmw,mkw->qmk", _cut(unit, made.words), made.words).astype(np.float32)
         packed = np.frombuffer(b"".join(block["codes"]), np.uint8).reshape(len(block), -1)
         subspaces = made.words.shape[0]
-        nibbles = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(block), -1)[:, :subspaces]
-        centre = block["centre"].to_numpy()
-        depth, out = min(RERANKED + k, len(block)), []
-        for at in range(len(q)):
-            rough = coarse[at][centre] + _scanned(tables[at], nibbles)
-            rough[ids == queries["query_id"].iat[at]] = -np.inf
-            best = np.sort(np.argsort(-rough, kind="stable")[:depth])
-            best = best[np.isfinite(rough[best])]
-            exact = (v[best] * q[at]).sum(axis=1) / (v_length[best] * q_length[at])
-            top = np.lexsort((ids[best], -exact))[:k]
-            out.append(pd.DataFrame({"query_id": queries["query_id"].iat[at], "vec_id": ids[best[top]], "score": exact[top]}))
+        nibbles = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(block), -1)[:, :subspaces].T.astype(np.intp)
+        edges = np.searchsorted(block["centre"].to_numpy(), np.arange(len(made.centres) + 1))
+        square = (made.words**2).sum(axis=2)[np.arange(subspaces)[:, None], nibbles].sum(axis=0)  # of the residuals, as they are coded
+        reach = np.array([math.sqrt(square[a:b].max()) if b > a else -np.inf for a, b in pairwise(edges)])
+        out = []
+        for at, (query_key, query_id) in enumerate(zip(queries["query_key"], queries["query_id"], strict=True)):
+            most = coarse[at] + reach + 1e-5  # no code of the centre scores more
+            rough, places, least = [], [], -np.inf
+            for c in np.argsort(-most):
+                if most[c] < least or edges[c] == edges[c + 1]:
+                    if most[c] < least:
+                        break
+                    continue
+                part = np.arange(edges[c], edges[c + 1])
+                scores = coarse[at][c] + np.take_along_axis(tables[at], nibbles[:, part], 1).sum(axis=0, dtype=np.float64)
+                other = ids[part] != query_id
+                rough.append(scores[other])
+                places.append(part[other])
+                if sum(map(len, rough)) > 2 * depth:
+                    rough, places = _best(rough, places, ids, depth)
+                    least = rough[0].min()
+            rough, places = _best(rough, places, ids, depth)
+            out.append(pd.DataFrame({"query_key": query_key, "vec_id": ids[places[0]], "row_key": keys[places[0]], "rough": rough[0]}))
         return pd.concat(out)
 
-    found = by_code.groupBy("cb", "qb").cogroup(by_query.groupBy("cb", "qb")).applyInPandas(scan, "query_id long, vec_id long, score double")
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = by_code.groupBy("cb", "qb").cogroup(by_query.groupBy("cb", "qb")).applyInPandas(scan, "query_key long, vec_id long, row_key long, rough double")
+    first = Window.partitionBy("query_key").orderBy(F.desc("rough"), "vec_id", "row_key")
+    best = scratch.keep(found.withColumn("at", F.row_number().over(first)).where(F.col("at") <= depth).select("query_key", "row_key"), "best")
+    both = best.join(codes.select("row_key", "vec_id", "vector"), "row_key")
+    both = both.join(asked.select(F.col("row_key").alias("query_key"), F.col("vec_id").alias("query_id"), F.col("vector").alias("query")), "query_key")
+
+    def ranked(batches):
+        for batch in small(batches):
+            v, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float64).reshape(-1, dims) for c in ("vector", "query"))
+            exact = (v * q).sum(axis=1) / (_length(v) * _length(q))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("query_key", "query_id", "row_key", "vec_id")), pa.array(exact)], ["query_key", "query_id", "row_key", "vec_id", "score"])
+
+    exact = both.mapInArrow(ranked, "query_key long, query_id long, row_key long, vec_id long, score double")
+    # rows of one query id are one query with several vectors: its nearest are those of any of them
+    exact = exact.groupBy("query_id", "row_key", "vec_id").agg(F.max("score").alias("score"))
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "row_key")
+    return exact.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _best(rough: list[np.ndarray], places: list[np.ndarray], ids: np.ndarray, depth: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The greatest so far, ties by id."""
+    if not rough:
+        return [np.zeros(0)], [np.zeros(0, np.intp)]
+    every, where = np.concatenate(rough), np.concatenate(places)
+    if len(every) > depth:
+        least = np.partition(every, -depth)[-depth]
+        every, where = every[every >= least], where[every >= least]
+    top = np.lexsort((ids[where], -every))[:depth]
+    return [every[top]], [where[top]]
 
 
 def _length(v: np.ndarray) -> np.ndarray:
@@ -192,8 +234,3 @@ def _nibbles(codes: np.ndarray) -> bytes:
     """Two codes a byte."""
     even = np.pad(codes, (0, len(codes) % 2))
     return (even[::2] | (even[1::2] << 4)).astype(np.uint8).tobytes()
-
-
-def _scanned(table: np.ndarray, nibbles: np.ndarray) -> np.ndarray:
-    """Sums of table entries that the codes name, for a block of codes."""
-    return np.take_along_axis(table, nibbles.T.astype(np.intp), 1).sum(axis=0)

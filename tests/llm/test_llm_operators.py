@@ -564,6 +564,8 @@ def test_secret_spans_against_a_plain_search(spark):
 
 def test_nearest_neighbours(spark, monkeypatch):
     monkeypatch.setattr(ann, "CODE_BLOCK", 64)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(ann, "RERANKED", 40)
     rng = np.random.default_rng(6)
     base = rng.normal(size=(400, 10)).astype(np.float32)
     base[100:160] = base[100]  # ties
@@ -590,3 +592,24 @@ def test_nearest_neighbours(spark, monkeypatch):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     two = spark.createDataFrame([(50, [1.0, 0.0]), (51, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r["query_id"], r["vec_id"]) for r in ann.nearest(two).collect()] == [(50, 51)]
+
+
+def test_nearest_neighbours_find_most_of_many(spark):
+    """Recall where the exactly ranked are few of many: clusters, copies, and vectors without structure, in one block of codes."""
+    rng = np.random.default_rng(9)
+    for rows in (
+        rng.normal(size=(6000, 32)),
+        (rng.normal(size=(60, 32))[rng.integers(0, 60, 6000)] + 0.3 * rng.normal(size=(6000, 32))),
+        np.concatenate([np.tile(rng.normal(size=(1, 32)), (2000, 1)), rng.normal(size=(4000, 32))])[rng.permutation(6000)],
+    ):
+        v = rows.astype(np.float32).astype(float)
+        got = ann.nearest(spark.createDataFrame([(n, x.tolist()) for n, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()
+        unit = v / np.sqrt((v * v).sum(axis=1))[:, None]
+        hit = 0
+        for q in range(0, 6000, 50):
+            s = unit @ unit[q]
+            s[q] = -9
+            fifth = np.sort(s)[-5]
+            hit += sum(s[r["vec_id"]] >= fifth - 1e-12 for r in got if r["query_id"] == q)
+        assert ann.RERANKED < 0.03 * len(v) < ann.CODE_BLOCK and len(got) == 600
+        assert hit >= 0.9 * 600, hit
