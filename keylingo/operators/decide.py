@@ -136,7 +136,7 @@ def scored_tokens(tokens: DataFrame, models: Models, active=ACTIVE) -> DataFrame
 
     scores = []
     for x in LANGS:
-        shares = [F.coalesce(zero(f"{x}_{c}") / F.col("n_words"), F.lit(0.0)).alias(name) for c, name in (("builtin", "builtin"), ("listed", "word"), ("freq", "freq"))]
+        shares = [F.when(F.col("n_words") > 0, zero(f"{x}_{c}") / F.col("n_words")).otherwise(F.lit(0.0)).alias(name) for c, name in (("builtin", "builtin"), ("listed", "word"), ("freq", "freq"))]
         tri, norm = F.lit(-10.0), F.lit(0.0)
         if x in headers:
             floor, p50, p95 = (float(headers[x][c]) for c in ("floor", "p50", "p95"))

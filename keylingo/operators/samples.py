@@ -29,35 +29,79 @@ def sample_words(words: DataFrame, n: int, mode: str = "uniform", seed: int = 42
     return usable.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("at") <= n)
 
 
-def make_samples(words: DataFrame, n: int, seed: int = 42, balance: float = 0.5, max_words: int = 3) -> DataFrame:
-    """(id, text, label): phrases of one to ``max_words`` English words, typed right or on the wrong layout.
-
-    ``words`` is (word, at) numbered from 1. A class as it is has the share
-    ``balance``; the others are English meant and typed on the Russian or Hebrew
-    layout.
+def make_samples(words: DataFrame, n: int, seed: int = 42, balance: float = 0.5, max_words: int = 3, focus: str | None = None, layouts=L.LAYOUTS) -> DataFrame:
+    """(id, text, label): n phrases of one to ``max_words`` words, typed right or on the wrong layout.
+
+    ``words`` is (lang, word, at), numbered from 1 in each of en, ru and he. A
+    class as it is has the share ``balance``, the corrections share the rest;
+    of a correction both the layout that was meant and the one that was active
+    are drawn among those of its languages. ``focus`` keeps the classes that
+    touch one language. Classes whose words are missing are left out; no words
+    give no samples.
     """
     spark = words.sparkSession
-    total = words.count()
-    if not total:
+    sizes = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    known = [h for h in HYPOTHESES if h[1] in sizes and focus in (None, h[1], h[2])]
+    plain, mapped = [h for h in known if not h[2]], [h for h in known if h[2]]
+    if not known:
         return spark.createDataFrame([], "id long, text string, label string")
-    ids = spark.range(n)
-    parts = ids.select("id", F.explode(F.sequence(F.lit(1), (draw(F.col("id"), seed, "length") % max_words + 1).cast("int"))).alias("part"))
-    picks = parts.withColumn("at", draw(F.concat_ws("/", "id", "part"), seed, "word") % total + 1)
-    phrase = picks.join(words.select("at", "word"), "at").groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "word"))), lambda x: x["word"]), " ").alias("phrase"))
-    kind = draw(F.col("id"), seed, "class") / F.lit(float(1 << 24))
-    label = F.when(kind < balance, "en").when(kind < balance + (1 - balance) / 2, "en_from_ru").otherwise("en_from_he")
-    typed = F.when(F.col("label") == "en_from_ru", L.convert(F.col("phrase"), "us", "ru")).when(F.col("label") == "en_from_he", L.convert(F.col("phrase"), "us", "he")).otherwise(F.col("phrase"))
-    return phrase.withColumn("label", label).select("id", typed.alias("text"), "label")
+    ids = F.col("id")
+
+    def one_of(options, name: str) -> Column:
+        return F.element_at(F.array(*(F.lit(o) for o in options)), (draw(ids, seed, name) % len(options) + 1).cast("int"))
+
+    of_plain, of_mapped = (one_of([h[0] for h in group], "which") if group else None for group in (plain, mapped))
+    if plain and mapped:
+        label = F.when(draw(ids, seed, "class") / F.lit(float(1 << 24)) < balance, of_plain).otherwise(of_mapped)
+    else:
+        label = of_plain if plain else of_mapped
+    target, size, meant, typed_on = (F.lit(None) for _ in range(4))
+    own = lambda lang: [x for x, of, _ in layouts if of == lang]
+    for h, t, s, _ in known:
+        here = F.col("label") == h
+        target, size = F.when(here, t).otherwise(target), F.when(here, sizes[t]).otherwise(size)
+        meant = F.when(here, one_of(own(t), "meant")).otherwise(meant)
+        typed_on = F.when(here, one_of(own(s), "typed") if s else F.lit(None)).otherwise(typed_on)
+    cases = spark.range(n).withColumn("label", label).select("id", "label", target.alias("lang"), size.cast("long").alias("size"), meant.alias("meant"), typed_on.alias("typed_on"))
+    parts = cases.withColumn("part", F.explode(F.sequence(F.lit(1), (draw(ids, seed, "length") % max_words + 1).cast("int"))))
+    picks = parts.withColumn("at", draw(F.concat_ws("/", "id", "part"), seed, "word") % F.col("size") + 1).join(words.select("lang", "at", "word"), ["lang", "at"])
+    whole = picks.groupBy("id", "label", "meant", "typed_on").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "word"))), lambda x: x["word"]), " ").alias("phrase"))
+    text = F.col("phrase")
+    for a, of, _ in layouts:
+        for b, on, _ in layouts:
+            if of != on:
+                text = F.when((F.col("meant") == a) & (F.col("typed_on") == b), L.convert(F.col("phrase"), a, b)).otherwise(text)
+    return whole.select("id", text.alias("text"), "label")
+
+
+#: Letters of the three languages in both cases, and their neighbours by code point.
+_LETTERS = "".join(c for a, b in (("a", "z"), ("A", "Z"), ("а", "я"), ("А", "Я"), ("א", "ת")) for c in map(chr, range(ord(a), ord(b) + 1)))
+AFTER, BEFORE = ("".join(chr(ord(c) + n) for c in _LETTERS) for n in (1, -1))
+
+
+def _other_case(c: Column) -> Column:
+    """The character in its other case, if that is one character too."""
+    return F.when(F.length(F.upper(c)) != 1, c).when(c == F.upper(c), F.lower(c)).otherwise(F.upper(c))
 
 
 def augment_samples(samples: DataFrame, p: float = 0.15, seed: int = 42) -> DataFrame:
-    """``samples`` with one character swapped, dropped, doubled or in another case in a share ``p`` of the texts."""
+    """``samples`` with a share ``p`` of the texts changed in one of five ways, drawn evenly.
+
+    A letter in another case or replaced by a neighbour, three characters in ten
+    in another case, two neighbours swapped, one character dropped (of three or
+    more), or one doubled. Texts of one character stay.
+    """
     hit = draw(F.col("id"), seed, "augment") / F.lit(float(1 << 24)) < p
-    kind = draw(F.col("id"), seed, "kind") % 4
+    kind = draw(F.col("id"), seed, "kind") % 5
+    way = draw(F.col("id"), seed, "way") % 4  # case in two of four, else a neighbour
     at = (draw(F.col("id"), seed, "place") % F.greatest(F.length("text") - 1, F.lit(1)) + 1).cast("int")
     t = F.col("text")
     head, one, two, tail = F.substring(t, F.lit(1), at - 1), F.substring(t, at, F.lit(1)), F.substring(t, at + 1, F.lit(1)), F.substring(t, at + 2, F.length(t))
-    made = F.when(kind == 0, F.concat(head, two, one, tail)).when(kind == 1, F.concat(head, two, tail)).when(kind == 2, F.concat(head, one, one, two, tail)).otherwise(F.concat(head, F.upper(one), two, tail))
+    wrong = F.when(way < 2, _other_case(one)).when(way == 2, F.translate(one, _LETTERS, AFTER)).otherwise(F.translate(one, _LETTERS, BEFORE))
+    chars = F.filter(F.split(t, ""), lambda c: c != "")
+    cased = F.array_join(F.transform(chars, lambda c, n: F.when(draw(F.concat_ws("/", "id", n), seed, "case") % 10 < 3, _other_case(c)).otherwise(c)), "")
+    made = F.when(kind == 0, F.concat(head, wrong, two, tail)).when(kind == 1, cased).when(kind == 2, F.concat(head, two, one, tail))
+    made = made.when(kind == 3, F.when(F.length(t) > 2, F.concat(head, two, tail)).otherwise(t)).otherwise(F.concat(head, one, one, two, tail))
     return samples.withColumn("text", F.when(hit & (F.length("text") >= 2), made).otherwise(t))
 
 

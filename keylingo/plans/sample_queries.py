@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import lexical as X
 from ..operators import models as M
 from ..operators import samples as P
+from ..sources.scratch import kept
 from .common import DOCS, documents, sql_translate
 from .decide_queries import WORDS, document_words
 from .model_queries import ALL_DOCS
@@ -15,23 +16,23 @@ from .model_queries import _models, scored, trigram_scores, trigrams
 from .model_queries import HELD as HELD_SQL
 from .model_queries import unigrams
 
-N = 3000
-
-
 def words(spark, d) -> DataFrame:
-    return P.sample_words(document_words(spark, d).withColumn("lang", F.lit("en")), N)
+    """Distinct words of all documents, numbered; all of them are typed on the us layout, whose language is ``en``."""
+    return kept(P.sample_words(document_words(spark, d).withColumn("lang", F.lit("en")), 500_000), "words")
 
 
 def samples(spark, d) -> DataFrame:
-    return P.make_samples(words(spark, d), N)
+    """As many samples as there are words."""
+    found = words(spark, d)
+    return P.make_samples(found, found.count())
 
 
 def m1_sample_words(spark, d):
-    return P.sample_words(M.train_unigrams(documents(spark, d)), N)
+    return P.sample_words(M.train_unigrams(documents(spark, d)), 500_000)
 
 
 def m1_head_words(spark, d):
-    return P.sample_words(M.train_unigrams(documents(spark, d)), N, mode="head")
+    return P.sample_words(M.train_unigrams(documents(spark, d)), 500_000, mode="head")
 
 
 def m2_make_samples(spark, d):
@@ -52,7 +53,7 @@ def p21_encode_samples(spark, d):
 
 
 def _parts(spark, d) -> tuple[DataFrame, DataFrame]:
-    coded = P.split_samples(P.encode_samples(samples(spark, d)))
+    coded = P.split_samples(P.encode_samples(kept(samples(spark, d), "samples")))
     return coded.where("part = 'train'"), coded.where("part = 'validation'")
 
 
@@ -79,7 +80,7 @@ def m7_blend_models(spark, d):
 
 
 def m9_synthetic_cases(spark, d):
-    return P.synthetic_cases(M.rank_bands(M.train_unigrams(documents(spark, d).where("lang = 'en'"))).where("band = 'head'").select("word", "rank"))
+    return P.synthetic_cases(M.rank_bands(M.train_unigrams(documents(spark, d).where("lang = 'en'"))).select("word", "rank"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -90,35 +91,42 @@ def draw(key: str, name: str, seed: int = 42) -> str:
     return f"CAST('0x' || substr(md5('{seed}|{name}|' || {key}), 1, 6) AS BIGINT)"
 
 
-SAMPLE = f"""{DOCS}, {ALL_DOCS}, {WORDS}, sw AS (SELECT word, row_number() OVER (ORDER BY {draw('word', 'sample')}, word) AS pos FROM ew WHERE length(word) BETWEEN 2 AND 19 QUALIFY pos <= {N}),
-  tot AS (SELECT count(*) AS total FROM sw), ids AS (SELECT range AS id FROM range({N})),
-  pt AS (SELECT id, unnest(range(1, CAST({draw('CAST(id AS VARCHAR)', 'length')} % 3 + 2 AS BIGINT))) AS part FROM ids),
+_ID = "CAST(id AS VARCHAR)"
+_MEANT = "us"
+_ON = {"en_from_ru": ["ru", "ru_phonetic"], "en_from_he": ["he", "he_qwerty"]}
+_TYPED = " ".join(f"WHEN label = '{h}' AND {draw(_ID, 'typed')} % 2 = {n} THEN {sql_translate('phrase', _MEANT, x)}" for h, on in _ON.items() for n, x in enumerate(on))
+SAMPLE = f"""{DOCS}, {WORDS}, sw AS MATERIALIZED (SELECT word, row_number() OVER (ORDER BY {draw('word', 'sample')}, word) AS pos FROM ew WHERE length(word) BETWEEN 2 AND 19 QUALIFY pos <= 500000),
+  tot AS (SELECT count(*) AS total FROM sw), ids AS MATERIALIZED (SELECT unnest(range(total)) AS id FROM tot),
+  pt AS (SELECT id, unnest(range(1, CAST({draw(_ID, 'length')} % 3 + 2 AS BIGINT))) AS part FROM ids),
   pk AS (SELECT id, part, {draw("id || '/' || part", 'word')} % total + 1 AS pos FROM pt, tot),
   ph AS (SELECT id, string_agg(word, ' ' ORDER BY part) AS phrase FROM pk JOIN sw USING (pos) GROUP BY id),
-  lb AS (SELECT id, phrase, CASE WHEN {draw('CAST(id AS VARCHAR)', 'class')} / 16777216.0 < 0.5 THEN 'en' WHEN {draw('CAST(id AS VARCHAR)', 'class')} / 16777216.0 < 0.75 THEN 'en_from_ru' ELSE 'en_from_he' END AS label FROM ph),
-  sm AS (SELECT id, CASE label WHEN 'en_from_ru' THEN {sql_translate('phrase', 'us', 'ru')} WHEN 'en_from_he' THEN {sql_translate('phrase', 'us', 'he')} ELSE phrase END AS text, label FROM lb)"""
+  lb AS (SELECT id, phrase, CASE WHEN {draw(_ID, 'class')} / 16777216.0 < 0.5 THEN 'en' WHEN {draw(_ID, 'which')} % 2 = 0 THEN 'en_from_ru' ELSE 'en_from_he' END AS label FROM ph),
+  sm AS MATERIALIZED (SELECT id, CASE {_TYPED} ELSE phrase END AS text, label FROM lb)"""
 
 
 def sampled(order: str) -> str:
-    return f"WITH {DOCS}, {unigrams('u')}, w AS (SELECT DISTINCT lang, word FROM u WHERE rank <= 200000 AND length(word) BETWEEN 2 AND 19) SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY {order}) AS \"at\" FROM w QUALIFY \"at\" <= {N}"
+    return f"WITH {DOCS}, {unigrams('u')}, w AS (SELECT DISTINCT lang, word FROM u WHERE rank <= 200000 AND length(word) BETWEEN 2 AND 19) SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY {order}) AS \"at\" FROM w QUALIFY \"at\" <= 500000"
 
 
 _AT = f"CAST({draw('CAST(id AS VARCHAR)', 'place')} % greatest(length(text) - 1, 1) + 1 AS BIGINT)"
+_other = lambda c: f"CASE WHEN {c} = 'ß' THEN 'ß' WHEN {c} = upper({c}) THEN lower({c}) ELSE upper({c}) END"
 _ALPHABET = P.ALPHABET.replace("'", "''")
 SQL = {
     "m1_sample_words": sampled(f"{draw('word', 'sample')}, word"),
     "m1_head_words": sampled("word"),
     "m2_make_samples": f"WITH {SAMPLE} SELECT id, text, label FROM sm",
-    "m3_augment_samples": f"""WITH {SAMPLE}, a AS (SELECT id, label, text, {draw('CAST(id AS VARCHAR)', 'augment')} / 16777216.0 < 0.5 AND length(text) >= 2 AS hit, {draw('CAST(id AS VARCHAR)', 'kind')} % 4 AS kind, {_AT} AS p FROM sm),
+    "m3_augment_samples": f"""WITH {SAMPLE}, a AS (SELECT id, label, text, {draw(_ID, 'augment')} / 16777216.0 < 0.5 AND length(text) >= 2 AS hit, {draw(_ID, 'kind')} % 5 AS kind, {draw(_ID, 'way')} % 4 AS way, {_AT} AS p FROM sm),
         b AS (SELECT *, substr(text, 1, p - 1) AS head, substr(text, p, 1) AS one, substr(text, p + 1, 1) AS two, substr(text, p + 2) AS tail FROM a)
-        SELECT id, label, CASE WHEN NOT hit THEN text WHEN kind = 0 THEN head || two || one || tail WHEN kind = 1 THEN head || two || tail WHEN kind = 2 THEN head || one || one || two || tail ELSE head || upper(one) || two || tail END AS text FROM b""",
+        SELECT id, label, CASE WHEN NOT hit THEN text WHEN kind = 0 THEN head || CASE WHEN way < 2 THEN {_other('one')} WHEN way = 2 THEN translate(one, '{P._LETTERS}', '{P.AFTER}') ELSE translate(one, '{P._LETTERS}', '{P.BEFORE}') END || two || tail
+          WHEN kind = 1 THEN array_to_string(list_transform(range(1, length(text) + 1), lambda i: CASE WHEN {draw("id || '/' || (i - 1)", 'case')} % 10 < 3 THEN {_other('substr(text, i, 1)')} ELSE substr(text, i, 1) END), '')
+          WHEN kind = 2 THEN head || two || one || tail WHEN kind = 3 THEN CASE WHEN length(text) > 2 THEN head || two || tail ELSE text END ELSE head || one || one || two || tail END AS text FROM b""",
     "m4_split_samples": f"WITH {DOCS} SELECT doc_id AS id, lang, CASE WHEN {draw('CAST(doc_id AS VARCHAR)', 'split')} / 16777216.0 < 0.9 THEN 'train' ELSE 'validation' END AS part FROM docs",
     "p21_encode_samples": f"""WITH {SAMPLE}, c AS (SELECT id, label, list_transform(list_filter(regexp_split_to_array(text, ''), lambda x: x <> ''), lambda x: strpos('{_ALPHABET}', x)) AS codes FROM sm)
         SELECT id, array_to_string(list_transform(range(1, 21), lambda i: coalesce(codes[i], 0)), ',') AS codes, list_position([{', '.join(repr(c) for c in P.CLASSES)}], label)::BIGINT - 1 AS cls, len(list_filter(codes, lambda x: x = 0)) AS unknown FROM c""",
     "m7_blend_models": f"""WITH {DOCS}, {ALL_DOCS}, {trigrams('tg', f'NOT ({HELD_SQL})')}, {trigram_scores('sc', 'held', 'tg')}, {trigrams('tk', 'true', 2.0)}, {trigram_scores('sk', 'held', 'tk')}
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY lang) - 1 AS place, round(0.6 / (1 + exp(-sc.score)) + 0.4 / (1 + exp(-sk.score)), 6) AS score FROM sc JOIN sk USING (doc_id, lang)""",
     "m9_synthetic_cases": f"""WITH docs AS (SELECT doc_id, text, lang, source FROM documents WHERE text IS NOT NULL AND lang = 'en'), {unigrams('u')}, k AS (SELECT word, CASE WHEN length(word) <= 3 THEN 'short' WHEN length(word) <= 7 THEN 'medium' ELSE 'long' END AS kind,
-          CASE WHEN {draw('word', 'mark')} % 10 < 2 THEN word || '!' ELSE word END AS intended FROM u WHERE rank <= 4000),
+          CASE WHEN {draw('word', 'mark')} % 10 < 2 THEN word || '!' ELSE word END AS intended FROM u WHERE rank <= 200000),
         e AS (SELECT word, kind, intended, 'us' AS typed_on, intended AS typed, 'en' AS expected FROM k UNION ALL SELECT word, kind, intended, 'ru', {sql_translate('intended', 'us', 'ru')}, 'en_from_ru' FROM k UNION ALL SELECT word, kind, intended, 'he', {sql_translate('intended', 'us', 'he')}, 'en_from_he' FROM k)
         SELECT * FROM e WHERE typed_on = 'us' OR typed <> intended""",
 }

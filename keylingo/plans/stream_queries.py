@@ -31,6 +31,13 @@ def t1_stream_keystrokes(spark, d):
     return R.run_to_table(R.keystrokes_to_tokens(keys, gap=86400.0), shared_folder(spark, "keystrokes"), "append").select("user_id", "seq", "token")
 
 
+def t2_stream_sessions(spark, d):
+    """Closed sessions: those that end, with the gap and the lateness, before the last event of all."""
+    out = R.typing_sessions(_events(spark, d).select("user_id", "ts"), "6 hours")
+    made = R.run_to_table(out, shared_folder(spark, "sessions"), "append")
+    return made.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("last").alias("last_us"), "events")
+
+
 def t4_stream_rules(spark, d):
     kind = F.col("event_type")
     event = F.when(kind == "error", "reject").when(kind == "view", "apply").when(kind == "purchase", "override").otherwise("none")
@@ -65,11 +72,12 @@ def t8_stream_decisions(spark, d):
     return log.groupBy("path", "lang").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (t1_stream_keystrokes, t3_stream_context_boost, t4_stream_rules, t7_stream_profile, t8_stream_decisions)}
+QUERIES = {f.__name__: f for f in (t1_stream_keystrokes, t2_stream_sessions, t3_stream_context_boost, t4_stream_rules, t7_stream_profile, t8_stream_decisions)}
 
 SQL = {
     # a batch holds the whole table here, so its distinct words are the table's
     "t8_stream_decisions": f"WITH {decide_queries.routed(with_model=False)} SELECT path, lang, count(*) AS n FROM routed WHERE token IN (SELECT word FROM ew) GROUP BY path, lang",
+    "t2_stream_sessions": f"WITH s AS ({FEEDBACK_SQL['t2_typing_sessions']}) SELECT * FROM s WHERE last_us + 6 * 3600000000 <= (SELECT max(epoch_us(ts)) FROM events) // 1000 * 1000 - 10000000",
     "t1_stream_keystrokes": FEEDBACK_SQL["t1_keystrokes_to_tokens"],
     "t4_stream_rules": FEEDBACK_SQL["t4_learn_rules"].rsplit("ORDER BY m.ts", 1)[0],
     "t7_stream_profile": f"WITH {feedback_queries.FEEDBACK} SELECT prefix3, last_lang, accepted, reverted FROM st",

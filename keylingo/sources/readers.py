@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import cleaning as C
 
 CHAT = "array<variant>"
+HEADER = "lang string, n_gram bigint, smoothing_k double, total_count bigint, unique_trigrams bigint, floor double, p05 double, p50 double, p95 double, least double, most double"
 
 
 def read_phrases(spark: SparkSession, path: str, lang: str, min_len: int | None = None, max_len: int | None = None) -> DataFrame:
@@ -66,11 +67,26 @@ def read_keymap(spark: SparkSession, path: str, escape_layouts: tuple[str, ...]
 
 
 def read_language_data(spark: SparkSession, path: str) -> DataFrame:
-    """(lang, kind, word) from {kind: {lang: [words]}}, in lower case and once each."""
-    data = spark.read.option("multiLine", True).schema("builtin map<string,array<string>>, whitelist map<string,array<string>>").json(path)
-    kinds = data.select(F.expr("stack(2, 'builtin', builtin, 'whitelist', whitelist) as (kind, by_lang)"))
-    words = kinds.select("kind", F.explode("by_lang").alias("lang", "words")).select("lang", "kind", F.explode("words").alias("word"))
-    return words.withColumn("word", F.lower("word")).distinct()
+    """(kind, lang, word, value) from a JSON file of language data, in lower case and once each.
+
+    ``builtin`` and ``whitelist`` have words by language. ``preposition`` has
+    one-letter tokens as word and what they stand for as value; ``conversion``
+    pairs of languages as lang and value, all six pairs if the file names none;
+    the kinds of punctuation have characters as word.
+    """
+    marks = ("opening", "closing", "wordBoundary", "sentenceEnding")
+    lists = "map<string,array<string>>"
+    schema = f"builtin {lists}, whitelist {lists}, prepositions map<string,string>, conversions array<struct<from:string,to:string>>, punctuation {lists}"
+    data = spark.read.option("multiLine", True).schema(schema).json(path)
+    none = F.lit(None).cast("string")
+    words = data.select(F.expr("stack(2, 'builtin', builtin, 'whitelist', whitelist) as (kind, by_lang)")).select("kind", F.explode("by_lang").alias("lang", "words"))
+    words = words.select("kind", "lang", F.lower(F.explode("words")).alias("word"), none.alias("value"))
+    prepositions = data.select(F.explode("prepositions").alias("word", "value")).select(F.lit("preposition").alias("kind"), none.alias("lang"), F.lower("word").alias("word"), F.lower("value").alias("value"))
+    every = F.array(*(F.struct(F.lit(a).alias("from"), F.lit(b).alias("to")) for a in ("en", "ru", "he") for b in ("en", "ru", "he") if a != b))
+    pairs = data.select(F.explode(F.when(F.size("conversions") > 0, F.col("conversions")).otherwise(every)).alias("p"))
+    pairs = pairs.select(F.lit("conversion").alias("kind"), F.col("p.from").alias("lang"), none.alias("word"), F.col("p.to").alias("value"))
+    chars = data.select(F.explode("punctuation").alias("kind", "chars")).where(F.col("kind").isin(*marks)).select("kind", none.alias("lang"), F.explode("chars").alias("word"), none.alias("value"))
+    return words.unionByName(prepositions).unionByName(pairs).unionByName(chars).distinct()
 
 
 def read_unigrams(spark: SparkSession, path: str, lang: str) -> DataFrame:
@@ -81,7 +97,14 @@ def read_unigrams(spark: SparkSession, path: str, lang: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("cnt"), "word")).cast("long"))
 
 
-def read_trigram_model(spark: SparkSession, path: str) -> DataFrame:
+def read_trigram_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(trigrams, header) as ``write_trigram_model`` writes them; models of another size and keys of another length are refused."""
+    header = spark.read.schema(HEADER).parquet(f"{path}/header").where("n_gram = 3")
+    trigrams = spark.read.schema("gram string, cnt bigint, logprob double, lang string").parquet(f"{path}/trigrams").where(F.length("gram") == 3)
+    return trigrams.join(header.select("lang"), "lang", "left_semi").select("lang", "gram", "cnt", "logprob"), header
+
+
+def read_trigram_json(spark: SparkSession, path: str) -> DataFrame:
     """(lang, gram, logprob) from JSON with a header and a map; other sizes and keys of another length are refused."""
     model = spark.read.option("multiLine", True).schema("lang string, n int, logprobs map<string,double>").json(path)
     return model.where("n = 3").select("lang", F.explode("logprobs").alias("gram", "logprob")).where(F.length("gram") == 3)
@@ -92,18 +115,37 @@ def read_samples(spark: SparkSession, path: str, labels) -> DataFrame:
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """(category, description, input, expected, words, expected_final) from {category: {description, cases}}."""
-    case = "struct<input:string,expected:string,words:array<string>,expected_final:string>"
+    """(category, description, input, expected, desc, words, expected_final, alt_presses, expected_sequence, max_time_ms, active_layouts) from {category: {description, cases}}."""
+    case = (
+        "struct<input:string,expected:string,desc:string,words:array<string>,expected_final:string,alt_presses:int,expected_sequence:array<string>,max_time_ms:int,"
+        "settings:struct<activeLayouts:map<string,string>>>"
+    )
     data = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,struct<description:string,cases:array<{case}>>>").alias("m"))
-    return data.select(F.explode("m").alias("category", "c")).select("category", "c.description", F.explode("c.cases").alias("x")).select("category", "description", "x.*")
+    each = data.select(F.explode("m").alias("category", "c")).select("category", "c.description", F.explode("c.cases").alias("x")).select("category", "description", "x.*")
+    return each.withColumn("active_layouts", F.col("settings.activeLayouts")).drop("settings")
+
+
+RULE = (
+    "token string, matchMode string, scope struct<type:string,app:string>, action struct<type:string,language:string,hypothesis:string>, source string, "
+    "evidence struct<rejects:bigint,applies:bigint,overrides:bigint,timestamps:array<timestamp>>, createdAt timestamp, updatedAt timestamp, convertedText string"
+)
+
 
+def read_rules(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Dictionary rules of a JSON array, or of ``lines`` as ``write_rules`` writes them: token, match_mode, scope, app, action, lang, hyp, source, evidence, created, updated, converted.
 
-def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """(token, scope, action, hyp) of dictionary rules; unknown scopes are global, unknown actions keepAsIs."""
-    rules = spark.read.option("multiLine", True).schema("token string, scope struct<type:string,app:string>, action struct<type:string,hypothesis:string>, source string").json(path)
-    scope = F.when(F.col("scope.type").isin("perApp"), F.col("scope.type")).otherwise("global")
+    Unknown scopes are global and unknown actions keepAsIs; the match mode is
+    by lower case unless it is exact, and tokens are lowered and trimmed for it.
+    """
+    rules = spark.read.option("multiLine", not lines).schema(RULE).json(path)
+    per_app = (F.col("scope.type") == "perApp") & F.col("scope.app").isNotNull()
     action = F.when(F.col("action.type").isin("preferHypothesis", "preferLanguage", "none"), F.col("action.type")).otherwise("keepAsIs")
-    return rules.select(F.lower(F.trim("token")).alias("token"), scope.alias("scope"), action.alias("action"), F.col("action.hypothesis").alias("hyp"))
+    exact = F.coalesce(F.col("matchMode") == "exact", F.lit(False))
+    return rules.select(
+        F.when(exact, F.trim("token")).otherwise(F.lower(F.trim("token"))).alias("token"), F.when(exact, "exact").otherwise("caseInsensitive").alias("match_mode"),
+        F.when(per_app, "perApp").otherwise("global").alias("scope"), F.when(per_app, F.col("scope.app")).alias("app"), action.alias("action"),
+        F.col("action.language").alias("lang"), F.col("action.hypothesis").alias("hyp"), "source", "evidence", F.col("createdAt").alias("created"), F.col("updatedAt").alias("updated"), F.col("convertedText").alias("converted"),
+    )
 
 
 def wiki_phrases(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -27,14 +27,32 @@ def write_samples(df: DataFrame, path: str) -> None:
 
 
 def write_rules(df: DataFrame, path: str) -> None:
-    rule = df.select("token", F.struct(F.col("scope").alias("type")).alias("scope"), F.struct(F.col("action").alias("type"), F.col("hyp").alias("hypothesis")).alias("action"))
-    rule.write.json(path)
+    """Rules as ``read_rules`` gives them, as lines of JSON that it reads again."""
+    df.select(
+        "token", F.col("match_mode").alias("matchMode"), F.struct(F.col("scope").alias("type"), "app").alias("scope"),
+        F.struct(F.col("action").alias("type"), F.col("lang").alias("language"), F.col("hyp").alias("hypothesis")).alias("action"), "source", "evidence",
+        F.col("created").alias("createdAt"), F.col("updated").alias("updatedAt"), F.col("converted").alias("convertedText"),
+    ).write.json(path)
+
+
+def _shape(text: Column) -> Column:
+    """The counts of a text's kinds of characters, which don't tell it."""
+    return F.to_json(F.struct(*(n.cast("long").alias(name) for name, n in T.script_counts(text).items())))
+
+
+def correction_log(corrections: DataFrame) -> DataFrame:
+    """Corrections (ts, original, final, attempted, selected, app) with shapes in place of the texts."""
+    return corrections.select("ts", _shape(F.col("original")).alias("original"), _shape(F.col("final")).alias("final"), "attempted", "selected", "app")
+
+
+def write_correction_log(corrections: DataFrame, path: str) -> None:
+    """Appends the log of corrections as lines of JSON; ``retain_latest`` of what is read back keeps its newest lines."""
+    correction_log(corrections).write.mode("append").json(path)
 
 
 def decision_log(decisions: DataFrame) -> DataFrame:
     """Decisions with the shape of their token in place of the token."""
-    shape = F.to_json(F.struct(*(n.cast("long").alias(name) for name, n in T.script_counts(F.col("token")).items())))
-    return decisions.select(shape.alias("shape"), "path", "lang", "confidence")
+    return decisions.select(_shape(F.col("token")).alias("shape"), "path", "lang", "confidence")
 
 
 def write_decision_log(decisions: DataFrame, path: str) -> None:

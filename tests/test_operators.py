@@ -2,7 +2,11 @@
 
 import bz2
 import json
+import os
+from functools import reduce
 
+import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keylingo.functions import layouts as L
@@ -11,6 +15,7 @@ from keylingo.operators import conversion as V
 from keylingo.operators import decide as D
 from keylingo.operators import feedback as B
 from keylingo.operators import models as M
+from keylingo.operators import samples as P
 from keylingo.sources import readers as R
 from keylingo.sources import writers as W
 
@@ -77,6 +82,108 @@ def test_cascade_on_russian_and_english_words(spark):
     assert got["v1.2"] == ("technical", "v1.2") and got["rule"] == ("rule_keep", "rule")
 
 
+FIXTURES = os.path.join(os.path.dirname(os.path.abspath(__file__)), "fixtures")
+LANGS = ("en", "ru", "he")
+
+
+@pytest.fixture(scope="module")
+def phrases(spark):
+    return reduce(DataFrame.unionByName, [R.read_phrases(spark, f"{FIXTURES}/phrases_{x}.txt", x) for x in LANGS])
+
+
+@pytest.fixture(scope="module")
+def models(spark, phrases, tmp_path_factory):
+    unigrams, grams = M.train_unigrams(phrases, langs=LANGS), M.train_trigrams(phrases, langs=LANGS)
+    listed = spark.createDataFrame([("en", "whitelist", "lol"), ("en", "whitelist", "of"), ("ru", "whitelist", "ок")], "lang string, kind string, word string")
+    lexicon = unigrams.where("length(word) >= 3").select("lang", F.lit("builtin").alias("kind"), "word").unionByName(listed)
+    return D.Models.of(lexicon, M.unigram_scores(unigrams), grams, M.trigram_header(grams)).kept(str(tmp_path_factory.mktemp("models") / "m"))
+
+
+def test_cascade_on_three_languages(spark, models):
+    """What a reader of the three languages expects, and the stage that gives it."""
+    want = {
+        "ghbdtn": ("scored", "привет"), "Ghbdtn": ("scored", "Привет"), "hf,jnf": ("scored", "работа"), "rfr": ("scored", "как"), "uekzkb": ("scored", "гуляли"), "руддщ": ("scored", "hello"),
+        "цщкдв": ("scored", "world"), "akuo": ("scored", "שלום"), "vnurv": ("scored", "המורה"), "יקךךם": ("scored", "hello"), "r": ("heuristic", "к"), "j": ("heuristic", "о"),
+        "привет": ("russian", "привет"), "книга": ("russian", "книга"), "שלום": ("standard", "שלום"), "hello": ("standard", "hello"), "дом": ("standard", "дом"), "к": ("fallback", "к"), "12": ("fallback", "12"),
+        "abмир": ("mixed", "abмир"), "v1.2": ("technical", "v1.2"), "a.json": ("technical", "a.json"), "lol": ("whitelist", "lol"), "of": ("rule_keep", "of"), "vs": ("rule_prefer", "мы"), "qwzxv": ("model", "qwzxv"),
+    }
+    tokens = spark.createDataFrame([(t,) for t in (*want, None, "hello")], "token string")
+    rules = spark.createDataFrame([("of", "keepAsIs", None), ("vs", "preferHypothesis", "ru_from_en"), ("lol", "none", None), ("12", "preferHypothesis", "en_from_ru"), (None, "keepAsIs", None)], "token string, action string, hyp string")
+    predicted = spark.createDataFrame([("qwzxv", "en", 0.99), ("дом", "en_from_he", 0.9), ("к", "en_from_he", 0.9)], "token string, predicted string, confidence double")
+    routed = D.apply_decision(D.route(tokens, models, rules, predictions=predicted)).collect()
+    assert {r["token"]: (r["path"], r["output"]) for r in routed} == want and len(routed) == len(want)
+    by_hand = {r["token"]: r["path"] for r in D.route(tokens, models, rules, predictions=predicted, automatic=False).collect()}
+    assert by_hand["of"] == "whitelist" and by_hand["a.json"] == "standard" and by_hand["книга"] == "standard" and by_hand["vs"] == "rule_prefer"
+    assert [r["token"] for r in D.override_events(tokens, rules).collect()] == ["of"]
+    assert D.route(tokens.limit(0), models, rules).count() == 0
+
+
+def row(token, script, cands, **own):
+    """A scored token as ``scored_tokens`` gives it, from the few scores that matter."""
+    none = {"builtin": 0.0, "word": 0.0, "freq": 0.0, "tri": -5.0, "norm": 0.0, "white": False, "nl": 0.3, "quality": 0.0}
+    base = {"place": 3, "letters": len(token), "src_builtin": 0.0, "src_word": 0.0, "src_freq": 0.0, "src_norm": 0.0, "q": 0.0, **none}
+    return (token, script, {x: none | own.get(x, {}) for x in LANGS}, [base | c for c in cands])
+
+
+SCORED = (
+    "token string, script string, own struct<{}>, cands array<struct<place:int,hyp:string,source:string,target:string,text:string,letters:bigint,builtin:double,word:double,freq:double,tri:double,"
+    "norm:double,white:boolean,nl:double,src_builtin:double,src_word:double,src_freq:double,src_norm:double,quality:double,q:double>>"
+).format(",".join(f"{x}:struct<builtin:double,word:double,freq:double,tri:double,norm:double,white:boolean,nl:double,quality:double>" for x in LANGS))
+
+
+def test_hebrew_collisions_and_model_answers(spark):
+    he = {"hyp": "en_from_he", "source": "he", "target": "en"}
+    rows = [
+        row("םלא", "he", [he | {"text": "lol", "white": True}]),  # whitelisted, weak Hebrew
+        row("שלא", "he", [he | {"text": "aka", "white": True, "src_builtin": 1.0}]),  # whitelisted, but a strong Hebrew word
+        row("םםםםםמ", "he", [he | {"text": "ooooon", "word": 0.95, "freq": 0.5, "src_word": 0.95, "src_freq": 0.2}]),  # ends in a non-final form
+        row("םםםםםם", "he", [he | {"text": "oooooo", "word": 0.95, "freq": 0.5, "src_word": 0.95, "src_freq": 0.2}]),
+        row("abc", "en", [{"hyp": "ru_from_en", "source": "en", "target": "ru", "text": "фис", "white": True}]),
+    ]
+    scored = spark.createDataFrame(rows, SCORED)
+    assert {(r["text"], r["rule"], r["confidence"]) for r in D.resolve_hebrew_collision(scored).collect()} == {("lol", "whitelist", 0.85), ("ooooon", "frequency", 0.82)}
+    assert {(r["text"], r["rule"], r["confidence"]) for r in D.resolve_hebrew_collision(scored, automatic=False).collect()} == {("lol", "whitelist", 0.95), ("aka", "whitelist", 0.95), ("ooooon", "frequency", 0.90)}
+    ru, en = {"hyp": "ru_from_en", "source": "en", "target": "ru", "place": 3}, {"hyp": "he_from_en", "source": "en", "target": "he", "place": 4}
+    good = {"word": 0.9, "freq": 0.9, "letters": 5}
+    rows = [row("aaaaa", "en", [ru | good | {"text": "r1", "quality": 1.0}, en | good | {"text": "h1", "quality": 1.11}]), row("bbbbb", "en", [ru | good | {"text": "r2", "quality": 1.0}, en | good | {"text": "h2", "quality": 1.13}])]
+    rows += [row("ccccc", "en", [ru | {"text": "r3", "quality": 9.0}]), row("ddddd", "ru", [{"hyp": "en_from_ru", "source": "ru", "target": "en", "text": "x", **good}]), row("eeeee", "en", [])]
+    predicted = spark.createDataFrame([("aaaaa", "ru_from_en", 0.5), ("bbbbb", "ru_from_en", 0.95), ("ccccc", "ru_from_en", 0.9), ("ddddd", "ru_from_en", 0.9), ("eeeee", "en", 0.75)], "token string, predicted string, confidence double")
+    got = {r["token"]: (r["text"], r["confidence"]) for r in D.model_correction(spark.createDataFrame(rows, SCORED), predicted).collect()}
+    assert got == {"aaaaa": ("r1", 0.9), "bbbbb": ("h2", 0.95), "eeeee": ("eeeee", 0.75)}
+
+
+def test_language_before_a_token_and_prepositions(spark, models):
+    tokens = spark.createDataFrame([("zq", None), ("zq", "ru"), ("q", "ru"), ("q", None)], "token string, last_lang string")
+    none = spark.createDataFrame([], "token string, action string, hyp string")
+    got = {(r["token"], r["last_lang"]): r for r in D.route(tokens, models, none).collect()}
+    assert len(got) == 4 and got["q", "ru"]["lang"] == "ru" and got["q", "ru"]["hyp"] == "en" and got["q", None]["lang"] == "en"
+    scored = D.scored_tokens(tokens.select("token"), models).withColumn("before", F.lit("en"))
+    plain, after = (D.ensemble_language(scored.where("token = 'zq'"), c).first()["confidence"] for c in (None, "before"))
+    assert after > plain
+    pairs = spark.createDataFrame([("f", "а"), ("r", "к")], "token string, word string")
+    assert {(r["token"], r["word"]) for r in D.preposition_map(spark.createDataFrame([("f",), ("R",), ("x",), (None,)], "token string"), pairs).collect()} == {("f", "а"), ("R", "К")}
+
+
+def test_samples_of_all_nine_classes(spark, phrases):
+    words = P.sample_words(M.train_unigrams(phrases, langs=LANGS), 1000).cache()
+    made = P.make_samples(words, 4000)
+    counts = {r["label"]: r["count"] for r in made.groupBy("label").count().collect()}
+    assert set(counts) == set(P.CLASSES) and sum(counts.values()) == 4000 and 1800 < sum(counts[x] for x in LANGS) < 2200
+    scripts = made.where("label in ('ru', 'en_from_ru')").agg(F.count_if(F.col("text").rlike("[a-zא-ת]"))).first()[0]
+    assert scripts == 0
+    focus = {r["label"] for r in P.make_samples(words, 500, focus="he").select("label").distinct().collect()}
+    assert focus == {"he", "he_from_en", "en_from_he", "he_from_ru", "ru_from_he"}
+    assert P.make_samples(words.limit(0), 5).count() == 0
+    coded = P.split_samples(P.encode_samples(made))
+    model = P.train_classifier(coded.where("part = 'train'"), 1 << 12, 15)
+    seen = P.predict_classes(model, coded.where("part = 'validation'").select("id", "text", "label"))
+    assert seen.agg(F.avg((F.col("predicted") == F.col("label")).cast("double"))).first()[0] > 0.8
+    best = P.select_best(coded.where("part = 'train'"), coded.where("part = 'validation'"), ((2, 1), (1 << 10, 10))).collect()
+    assert [r["best"] for r in sorted(best, key=lambda r: r["buckets"])] == [False, True]
+    changed = P.augment_samples(made, p=1.0).join(made.select("id", F.col("text").alias("before")), "id").where("length(before) >= 2")
+    assert changed.agg(F.avg((F.col("text") != F.col("before")).cast("double"))).first()[0] > 0.9
+
+
 def test_wiki_chat_and_keymap_readers(spark, tmp_path):
     page = "<page><title>{}</title><ns>{}</ns><revision><text bytes='9'>{}</text></revision></page>"
     body = "{{box}} [[a|The label]] == Head == <b>bold</b> " + "Long enough sentence here. " * 6
@@ -115,16 +222,38 @@ def test_text_readers_and_sinks(spark, tmp_path):
     W.write_samples(samples, f"{tmp_path}/samples")
     assert [r["text"] for r in R.read_samples(spark, f"{tmp_path}/samples", ["en"]).collect()] == ['a "q", b']
 
-    (tmp_path / "rules.json").write_text(json.dumps([{"token": " Foo ", "scope": {"type": "odd"}, "action": {"type": "strange"}}, {"token": "b", "action": {"type": "preferHypothesis", "hypothesis": "ru_from_en"}}]))
-    rules = {r["token"]: (r["scope"], r["action"], r["hyp"]) for r in R.read_rules(spark, str(tmp_path / "rules.json")).collect()}
-    assert rules == {"foo": ("global", "keepAsIs", None), "b": ("global", "preferHypothesis", "ru_from_en")}
+    known = {"rejects": 2, "applies": 0, "overrides": 1, "timestamps": ["2026-01-02T03:04:05Z"]}
+    (tmp_path / "rules.json").write_text(json.dumps([
+        {"token": " Foo ", "scope": {"type": "odd"}, "action": {"type": "strange"}},
+        {"token": "b", "action": {"type": "preferHypothesis", "hypothesis": "ru_from_en"}, "evidence": known, "convertedText": "и"},
+        {"token": "Exact", "matchMode": "exact", "scope": {"type": "perApp", "app": "mail"}, "action": {"type": "preferLanguage", "language": "ru"}},
+    ]))
+    read = R.read_rules(spark, str(tmp_path / "rules.json"))
+    rules = {r["token"]: (r["scope"], r["app"], r["match_mode"], r["action"], r["lang"], r["hyp"], r["converted"]) for r in read.collect()}
+    assert rules == {
+        "foo": ("global", None, "caseInsensitive", "keepAsIs", None, None, None), "b": ("global", None, "caseInsensitive", "preferHypothesis", None, "ru_from_en", "и"),
+        "Exact": ("perApp", "mail", "exact", "preferLanguage", "ru", None, None),
+    }
+    W.write_rules(read, f"{tmp_path}/rules-again")
+    assert {str(r) for r in R.read_rules(spark, f"{tmp_path}/rules-again", lines=True).collect()} == {str(r) for r in read.collect()}
 
     (tmp_path / "cases.json").write_text(json.dumps({"cat": {"description": "d", "cases": [{"input": "i", "expected": "e"}, {"words": ["a", "b"], "expected_final": "f"}]}}))
     assert R.read_cases(spark, str(tmp_path / "cases.json")).where("category = 'cat'").count() == 2
+    (tmp_path / "more.json").write_text(json.dumps({"cat": {"cases": [{"input": "i", "alt_presses": 2, "expected_sequence": ["a"], "max_time_ms": 9, "settings": {"activeLayouts": {"en": "us"}}}]}}))
+    case = R.read_cases(spark, str(tmp_path / "more.json")).first()
+    assert (case["alt_presses"], case["expected_sequence"], case["max_time_ms"], case["active_layouts"]) == (2, ["a"], 9, {"en": "us"})
     (tmp_path / "model.json").write_text(json.dumps({"lang": "en", "n": 3, "logprobs": {"abc": -1.0, "ab": -2.0}}))
-    assert [r["gram"] for r in R.read_trigram_model(spark, str(tmp_path / "model.json")).collect()] == ["abc"]
-    (tmp_path / "data.json").write_text(json.dumps({"builtin": {"en": ["Hi", "hi"]}, "whitelist": {"ru": ["Да"]}}))
-    assert {tuple(r) for r in R.read_language_data(spark, str(tmp_path / "data.json")).collect()} == {("en", "builtin", "hi"), ("ru", "whitelist", "да")}
+    assert [r["gram"] for r in R.read_trigram_json(spark, str(tmp_path / "model.json")).collect()] == ["abc"]
+    (tmp_path / "data.json").write_text(json.dumps({"builtin": {"en": ["Hi", "hi"]}, "whitelist": {"ru": ["Да"]}, "prepositions": {"F": "а"}, "punctuation": {"opening": ["("], "odd": ["x"]}}))
+    data = {tuple(r) for r in R.read_language_data(spark, str(tmp_path / "data.json")).where("kind <> 'conversion'").collect()}
+    assert data == {("builtin", "en", "hi", None), ("whitelist", "ru", "да", None), ("preposition", None, "f", "а"), ("opening", None, "(", None)}
+    assert R.read_language_data(spark, str(tmp_path / "data.json")).where("kind = 'conversion'").count() == 6
+    (tmp_path / "pairs.json").write_text(json.dumps({"conversions": [{"from": "en", "to": "ru"}]}))
+    assert [(r["lang"], r["value"]) for r in R.read_language_data(spark, str(tmp_path / "pairs.json")).collect()] == [("en", "ru")]
+    log = spark.createDataFrame([("s3cret", "тайна", True, "ru", "mail")], "original string, final string, attempted boolean, selected string, app string").withColumn("ts", F.current_timestamp())
+    W.write_correction_log(log, f"{tmp_path}/log")
+    line = spark.read.text(f"{tmp_path}/log").first()["value"]
+    assert "s3cret" not in line and "тайна" not in line and "cyrillic" in line
 
 
 def test_log_holds_no_text(spark):
