@@ -244,7 +244,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     vocabulary = scratch.keep(counted.groupBy("word").agg(F.sum("n").alias("c")), "vocabulary")
     sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, kinds = int(sums["n"]), int(sums["v"])
-    frequent = vocabulary.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(head).collect()  # bounded by `head`
+    # the top of every partition meets in a task, and only the top of all comes here: bounded by `head`
+    frequent = scratch.keep(vocabulary.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(head), "frequent").orderBy(F.desc("c"), "word").toArrow().to_pylist()
     end = vocabulary.where(F.col("word") == END).first()
     ends = int(end["c"]) if end else 0
     top = np.array([r["c"] for r in frequent], np.int64)
