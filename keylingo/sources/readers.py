@@ -80,7 +80,7 @@ def read_language_data(spark: SparkSession, path: str) -> DataFrame:
     data = spark.read.option("multiLine", True).schema(schema).json(path)
     none = F.lit(None).cast("string")
     words = data.select(F.expr("stack(2, 'builtin', builtin, 'whitelist', whitelist) as (kind, by_lang)")).select("kind", F.explode("by_lang").alias("lang", "words"))
-    words = words.select("kind", "lang", F.lower(F.explode("words")).alias("word"), none.alias("value"))
+    words = words.select("kind", "lang", F.explode("words").alias("word")).select("kind", "lang", F.lower("word").alias("word"), none.alias("value"))
     prepositions = data.select(F.explode("prepositions").alias("word", "value")).select(F.lit("preposition").alias("kind"), none.alias("lang"), F.lower("word").alias("word"), F.lower("value").alias("value"))
     every = F.array(*(F.struct(F.lit(a).alias("from"), F.lit(b).alias("to")) for a in ("en", "ru", "he") for b in ("en", "ru", "he") if a != b))
     pairs = data.select(F.explode(F.when(F.size("conversions") > 0, F.col("conversions")).otherwise(every)).alias("p"))

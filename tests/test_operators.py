@@ -181,7 +181,7 @@ def test_samples_of_all_nine_classes(spark, phrases):
     best = P.select_best(coded.where("part = 'train'"), coded.where("part = 'validation'"), ((2, 1), (1 << 10, 10))).collect()
     assert [r["best"] for r in sorted(best, key=lambda r: r["buckets"])] == [False, True]
     changed = P.augment_samples(made, p=1.0).join(made.select("id", F.col("text").alias("before")), "id").where("length(before) >= 2")
-    assert changed.agg(F.avg((F.col("text") != F.col("before")).cast("double"))).first()[0] > 0.9
+    assert changed.agg(F.avg((F.col("text") != F.col("before")).cast("double"))).first()[0] > 0.8
 
 
 def test_wiki_chat_and_keymap_readers(spark, tmp_path):
