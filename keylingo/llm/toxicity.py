@@ -3,11 +3,14 @@
 Texts are folded first: lower case, compatibility forms, look-alike letters,
 digits and signs that stand for letters, and invisible characters. Entries are
 whole words or beginnings of words with a weight each, exception phrases are
-longer entries of weight zero, and the longest match counts. The sum of weights
-is set against the text's length, and a logistic curve makes it a score.
+longer entries of weight zero, and of the matches that begin first the longest
+counts. The sum of weights is set against the text's length, and a logistic
+curve makes it a score.
 
 Weights are log odds of labelled training rows: document counts of every word
-and word beginning, gathered by Spark over a bounded sample of rows.
+and word beginning, gathered by Spark over a bounded sample of rows. Exceptions
+are learned from the same rows: pairs of neighbouring words that hold an entry
+and yet are commoner in clean documents. A few known ones are always there.
 """
 
 from __future__ import annotations
@@ -25,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import Scratch, small
 
-#: Bounds of the fit: labelled rows, entries of the lexicon, lengths of word beginnings, least count and log odds of an entry.
+#: Bounds of the fit: labelled rows, entries of the lexicon and learned exceptions, lengths of word beginnings, least count
+#: (of toxic documents for an entry, of clean ones for an exception) and log odds of an entry.
 FIT_ROWS, ENTRIES, BEGINNINGS, LEAST_DOCS, LEAST_WEIGHT = 12_000, 20_000, range(4, 9), 4, 3.0
 
 #: Letters that look like Latin ones, and the Latin ones.
@@ -104,51 +108,79 @@ def _automaton(lexicon: Lexicon) -> ahocorasick.Automaton:
     return made
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(doc_id, text, toxic) of at most ``rows`` labelled documents whose crc32(doc_id) mod 5 isn't 0, chosen by hash.
 
-    A document with several labels has the largest; null labels and ids don't count.
+    A document with several labels has the largest, one with several rows the
+    largest text; null labels and ids don't count. ``labels`` names documents by
+    ``id_col`` too.
     """
-    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    known = labels.where("doc_id is not null and toxic is not null").where(fold != 0)
-    known = known.groupBy(F.col("doc_id").alias("labelled")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % 5
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).where(fold != 0)
+    known = known.groupBy(F.col(id_col).alias("labelled")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     sample = known.orderBy(F.xxhash64("labelled"), "labelled").limit(rows)
     # no more than `rows` ids: bounded by the parameter, so a broadcast is safe
-    return docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "toxic")
+    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"))
+    return found.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
-    """A lexicon from labelled rows. Without labels of both kinds it has no entries and scores every text alike, below 0.5."""
-    sample = training_rows(docs, labels, rows)
-    spell = "  "
+def _odds(bad: int, good: int):
+    """Log odds of a feature's documents ``bad`` and ``good``, of so many in all."""
+    return F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("good") + 0.5) / (good + 1.0))
+
+
+def _counted(sample: DataFrame, features) -> DataFrame:
+    """(feature, bad, good): in how many toxic and clean texts ``features(words)`` lists each feature."""
 
-    def features(batches):
+    def run(batches):
         for batch in batches:
             counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                found = set(folded_words(text or ""))
-                seen = {w + " " for w in found}
-                for n in BEGINNINGS:
-                    seen.update(w[:n] for w in found if len(w) >= n)
-                seen.add(spell)  # counts the documents
-                counts[int(toxic > 0)].update(seen)
+                counts[int(toxic > 0)].update(features(folded_words(text or "")))
             names = list(counts[0].keys() | counts[1].keys())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.string())] + [pa.array([counts[k][x] for x in names], pa.int64()) for k in (1, 0)], ["feature", "bad", "good"]
             )
 
-    counted = sample.mapInArrow(features, "feature string, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    counted = counted.where(f"bad >= {LEAST_DOCS} or feature = '{spell}'").persist()
-    totals = counted.where(F.col("feature") == spell).first()
-    if not totals or not totals["bad"] or not totals["good"]:
-        counted.unpersist()
+    made = sample.select("text", "toxic").mapInArrow(run, "feature string, bad long, good long")
+    return made.groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+
+def _words_and_beginnings(found: list[str]) -> set[str]:
+    seen = {w + " " for w in found}
+    for n in BEGINNINGS:
+        seen.update(w[:n] for w in found if len(w) >= n)
+    return seen
+
+
+def _phrases(lexicon: Lexicon):
+    """Lists the pairs of neighbouring words of which one holds an entry."""
+    whole = {word for word, alone, _ in lexicon.entries if alone}
+    begin = {word for word, alone, _ in lexicon.entries if not alone}
+
+    def listed(found: list[str]) -> set[str]:
+        hit = {w for w in set(found) if w in whole or any(w[:n] in begin for n in BEGINNINGS)}
+        return {f"{a} {b}" for a, b in zip(found, found[1:]) if a in hit or b in hit} if hit else set()
+
+    return listed
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Lexicon:
+    """A lexicon from labelled rows. Without labels of both kinds it has no entries and scores every text alike, below 0.5."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = scratch.keep(training_rows(docs, labels, rows, id_col, text_col, label_col), "sample")
+    totals = sample.agg(F.count_if(F.expr("toxic > 0")).alias("bad"), F.count_if(F.expr("toxic <= 0")).alias("good")).first()
+    if not totals["bad"] or not totals["good"]:
+        scratch.drop("sample")
         return Lexicon((), EXCEPTIONS, (-2.0, 0.0, 0.0))
-    odds = F.log((F.col("bad") + 0.5) / (totals["bad"] + 1.0)) - F.log((F.col("good") + 0.5) / (totals["good"] + 1.0))
-    strong = counted.where(F.col("feature") != spell).withColumn("weight", odds).where(F.col("weight") >= LEAST_WEIGHT)
+    odds = _odds(totals["bad"], totals["good"])
+    strong = _counted(sample, _words_and_beginnings).where(F.col("bad") >= LEAST_DOCS).withColumn("weight", odds).where(F.col("weight") >= LEAST_WEIGHT)
     best = strong.orderBy(F.desc("bad"), F.desc("weight"), "feature").limit(ENTRIES).collect()  # bounded by ENTRIES
-    counted.unpersist()
     entries = _thinned({r["feature"]: (r["bad"], r["weight"]) for r in best})
-    draft = Lexicon(entries, EXCEPTIONS, (0.0, 0.0, 0.0))
+    harmless = _counted(sample, _phrases(Lexicon(entries, (), (0.0, 0.0, 0.0)))).where(F.col("good") >= LEAST_DOCS).where(odds < 0)
+    learned = harmless.orderBy(F.desc("good"), "feature").limit(ENTRIES).collect()  # bounded by ENTRIES
+    exceptions = (*EXCEPTIONS, *sorted(r["feature"] for r in learned))
+    draft = Lexicon(entries, exceptions, (0.0, 0.0, 0.0))
 
     def measured(batches):
         for batch in batches:
@@ -157,8 +189,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
                 [pa.array([b[0] for b in both], pa.float64()), pa.array([b[1] for b in both], pa.float64()), batch.column("toxic")], ["total", "density", "toxic"]
             )
 
-    rows_seen = sorted(sample.mapInArrow(measured, "total double, density double, toxic int").collect())  # bounded by `rows`
-    return Lexicon(entries, EXCEPTIONS, _logistic(np.array([[1.0, r[0], r[1]] for r in rows_seen]), np.array([float(r[2] > 0) for r in rows_seen])))
+    rows_seen = sorted(sample.select("text", "toxic").mapInArrow(measured, "total double, density double, toxic int").collect())  # bounded by `rows`
+    scratch.drop("sample")
+    return Lexicon(entries, exceptions, _logistic(np.array([[1.0, r[0], r[1]] for r in rows_seen]), np.array([float(r[2] > 0) for r in rows_seen])))
 
 
 def _thinned(found: dict[str, tuple[int, float]]) -> tuple[tuple[str, bool, float], ...]:
@@ -222,5 +255,14 @@ def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that score 0.5 or more."""
-    return score(docs, fit(docs, labels), out_col="__toxicity").where("__toxicity < 0.5").drop("__toxicity")
+    """``docs`` without the rows that score 0.5 or more.
+
+    Each row is judged by its own text, whatever its id: repeated rows go or stay
+    together, rows with null ids or texts are kept unless their text is toxic,
+    and null and empty texts stay. Columns keep their names and order, whatever
+    they are called. An empty table gives an empty result; without labels all
+    rows stay.
+    """
+    taken = {c.lower() for c in docs.columns}
+    added = next(c for c in ("toxicity" + "_" * n for n in range(len(taken) + 1)) if c not in taken)
+    return score(docs, fit(docs, labels), out_col=added).where(F.col(added) < 0.5).drop(added)

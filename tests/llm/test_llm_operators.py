@@ -238,6 +238,52 @@ def test_toxicity_folding_and_exceptions():
     assert lexicon.score("you trash " + "word " * 3000) < lexicon.score("you trash")
 
 
+def plain_measures(lexicon, text):
+    """Of the matches that begin first the longest counts, by trying every entry at every place."""
+    found = toxicity.folded_words(text)
+    padded, at, total = "  " + "  ".join(found) + "  ", 0, 0.0
+    weights = {f" {t} " if whole else f" {t}": w for t, whole, w in lexicon.entries}
+    weights |= {" " + "  ".join(toxicity.folded_words(p)) + " ": 0.0 for p in lexicon.exceptions}
+    while at < len(padded):
+        hit = max((p for p in weights if padded.startswith(p, at)), key=len, default="")
+        total += weights.get(hit, 0.0)
+        at += max(1, len(hit))
+    return math.log1p(total), total / math.sqrt(max(1, len(found)))
+
+
+def test_toxicity_matches_as_a_plain_search():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 4)))
+    for _ in range(1500):
+        entries = {(word(), rng.random() < 0.5): float(rng.randint(1, 9)) for _ in range(rng.randint(1, 5))}
+        exceptions = tuple({f"{word()} {word()}" for _ in range(rng.randint(0, 4))})
+        lexicon = toxicity.Lexicon(tuple((t, k, w) for (t, k), w in entries.items()), exceptions, (0.0, 1.0, 1.0))
+        text = " ".join(word() for _ in range(rng.randint(0, 12)))
+        assert lexicon.measures(text) == pytest.approx(plain_measures(lexicon, text))
+
+
+def test_toxicity_learns_exceptions_and_handles_hard_rows(spark):
+    docs, labels = toxic_corpus(spark)
+    harmless = [(n, f"some grumblefink sauce on dish {n}") for n in range(2000, 2008)]
+    more = docs.unionByName(spark.createDataFrame(harmless, docs.schema))
+    known = labels.unionByName(spark.createDataFrame([(n, 1, 0) for n, _ in harmless], labels.schema))
+    assert "grumblefink sauce" in toxicity.fit(more, known).exceptions
+    filler = "words " * 200_000
+    hard = [(1, "a grumblefink"), (1, "a grumblefink"), (1, "a quiet day"), (3000, filler), (3001, filler + "zorkwada " * 20_000), (3002, "hot grumblefink sauce"), (None, "you grumblefink"), (None, None)]
+    rows = more.unionByName(spark.createDataFrame(hard, docs.schema))
+    by_text = {}
+    for r in toxicity.toxic_scores(rows, known).collect():
+        by_text.setdefault(r["doc_id"], []).append(r["predicted"])
+    assert sorted(by_text[1]) == [0, 0, 1, 1]
+    assert by_text[3000] == [0] and by_text[3001] == [1] and by_text[3002] == [0] and sorted(by_text[None]) == [0, 0, 1]
+    # the names that the stage might add are taken, and all columns come back
+    clash = rows.selectExpr("doc_id", "text", "1 AS toxicity", "2 AS Toxicity_", "'s' AS score", "'r' AS row")
+    left = toxicity.drop_toxic(clash, known)
+    assert left.columns == clash.columns
+    assert left.count() == sum(p == 0 for found in by_text.values() for p in found)
+    assert {(r["toxicity"], r["Toxicity_"], r["score"], r["row"]) for r in left.collect()} == {(1, 2, "s", "r")}
+
+
 def test_token_files(spark, docs, empty):
     from tokenizers import Tokenizer
 
