@@ -33,6 +33,8 @@ from .components import components
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 BLOCK, BUCKET = 1024, 1 << 21
+#: Tasks of a shuffle at most: beyond it a task takes several blocks or buckets, one after the other.
+TASKS = 8192
 #: Prefixes have so many bits more than it takes to count all values: one value in 2**SPARE is named in vain.
 SPARE = 7
 
@@ -200,11 +202,11 @@ def near_links(points: DataFrame, scratch: Scratch) -> DataFrame:
             ]
         )
 
-    # small inputs, much work: a partition for each block and bucket, which adaptive execution doesn't merge
-    blocked = blocked.repartition(blocks, "block")
+    # small inputs, much work: partitions by block and bucket, which adaptive execution doesn't merge
+    blocked = blocked.repartition(min(blocks, TASKS), "block")
     sent = blocked.groupBy("block").applyInPandas(emit, "bucket int, block int, packed binary")
-    hits = sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(meet, "block int, shared binary")
-    hits = hits.repartition(blocks, "block")
+    hits = sent.repartition(min(buckets, TASKS), "bucket").groupBy("bucket").applyInPandas(meet, "block int, shared binary")
+    hits = hits.repartition(min(blocks, TASKS), "block")
     met = blocked.groupBy("block").cogroup(hits.groupBy("block")).applyInPandas(share, "value long, fp long, link boolean")
     met = scratch.keep(met, "met")
     inside = met.where("link").select(F.col("value").alias("a"), F.col("fp").alias("b"))
