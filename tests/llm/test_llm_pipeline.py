@@ -4,10 +4,11 @@ import hashlib
 
 import duckdb
 import public_tokenizers
+import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from keylingo.llm import byte_bpe
+from keylingo.llm import byte_bpe, simhash
 from keylingo.llm import queries as registered
 from keylingo.llm.common import table
 
@@ -32,6 +33,46 @@ def test_stages_compose(spark):
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
 
 
+@pytest.fixture
+def hard(spark):
+    """Nulls in every column, empty and long texts, repeated rows and ids, equal and near-equal texts, clashing names."""
+    prose = " ".join(f"word{n % 97} also{n}" for n in range(60))
+    rows = [(n, prose.replace("also7 ", f"other{n} ") if n % 2 else prose, "en", None if n % 3 else f"s{n % 2}", n) for n in range(12)]
+    rows += [(None, None, None, None, None), (None, prose, None, None, None), (3, None, "en", "s0", 1), (3, "", "en", "s0", 1), (20, " \n", "de", "s1", 1)]
+    rows += [rows[0], rows[0], (21, "long text " * 30_000, "en", "s1", 1), (22, "y" * 20_000, "en", None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return df.selectExpr("*", "'a' AS row_key", "'b' AS toxicity", "'c' AS fp", "'d' AS block", "'e' AS words", "'f' AS row", "'g' AS ids")
+
+
+def test_stages_take_hard_rows_and_empty_tables(spark, hard):
+    for docs in (hard, hard.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns, name
+            assert set(out.distinct().collect()) <= set(docs.distinct().collect()), name
+        corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+
+
+def test_stages_keep_one_row_of_each_group(spark, hard):
+    stages = dict(corpus_pipeline.STAGES)
+    bare = lambda t: "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
+    rows = hard.collect()
+    once = stages["exact_dedup"](spark, hard, SF)
+    assert sorted(bare(r["text"]) for r in once.collect()) == sorted({bare(r["text"]) for r in rows})
+    # by brute force over all pairs: a component of fingerprints within 4 bits keeps one row
+    prints = sorted({simhash.fingerprint((r["text"] or "").encode()) & (1 << 64) - 1 for r in rows})
+    root = {p: p for p in prints}
+    for a in prints:
+        for b in prints:
+            if (a ^ b).bit_count() <= 4:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {p: new if q == old else q for p, q in root.items()}
+    left = [simhash.fingerprint((r["text"] or "").encode()) & (1 << 64) - 1 for r in stages["simhash_near_dedup"](spark, hard, SF).collect()]
+    assert sorted(root[p] for p in left) == sorted(set(root.values()))
+    clean = stages["toxicity"](spark, hard, SF)
+    assert clean.count() == hard.count()
+
+
 def test_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert set(registered.queries()) | {"pipeline"} <= names
