@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, curriculum_mix, exact_dedup, hmm, secrets, simhash, token_files, toxicity, warc
+from . import ann, byte_bpe, curriculum_mix, exact_dedup, hmm, resample, secrets, simhash, token_files, toxicity, warc
 from .common import table
 
 BYTE_BPE, WORD_BPE, WORD_BPE_END = "byte_bpe_50k.tiktoken", "word_bpe_49k.json", 2
@@ -59,6 +59,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hmm_scores": op1_hmm_scores,
@@ -71,11 +75,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_exact_dedup": op10_exact_dedup,
+        "op12_importance_resampling": op12_importance_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": EXACT_DEDUP}
+    return {"op10_exact_dedup": EXACT_DEDUP, "op12_importance_resampling": IMPORTANCE_RESAMPLING}
 
 
 EXACT_DEDUP = r"""
@@ -92,3 +97,49 @@ SELECT doc_id,
 FROM plain
 WINDOW same AS (PARTITION BY norm ORDER BY n_points DESC, doc_id NULLS LAST)
 """
+
+# CRC32 by its table of 256 steps, once for each different word
+IMPORTANCE_RESAMPLING = r"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS steps
+),
+doc_words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM documents
+),
+target_words AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM benchmark
+),
+doc_counts AS MATERIALIZED (SELECT doc_id, word, count(*) AS n FROM doc_words GROUP BY ALL),
+target_counts AS MATERIALIZED (SELECT word, count(*) AS n FROM target_words GROUP BY ALL),
+distinct_words AS (SELECT word, hex(encode(word)) AS digits FROM (SELECT word FROM doc_counts UNION SELECT word FROM target_counts)),
+hashed AS MATERIALIZED (
+  SELECT word, xor(list_reduce(
+    list_transform(range(length(digits) // 2), lambda i: (instr('0123456789ABCDEF', digits[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', digits[2 * i + 2]) - 1),
+    lambda c, b: xor(c // 256, steps[xor(c % 256, b) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM distinct_words, crc_table
+),
+doc_buckets AS MATERIALIZED (SELECT doc_id, bucket, sum(n) AS n FROM doc_counts JOIN hashed USING (word) GROUP BY ALL),
+gain AS MATERIALIZED (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (t_s + 10000)) / ((s + 1)::DOUBLE * (t_t + 10000))))::BIGINT AS gain
+  FROM (SELECT bucket, sum(n) AS s FROM doc_buckets GROUP BY bucket)
+  LEFT JOIN (SELECT bucket, sum(n) AS found FROM target_counts JOIN hashed USING (word) GROUP BY bucket) USING (bucket),
+  (SELECT coalesce(sum(n), 0) AS t_s FROM doc_counts), (SELECT coalesce(sum(n), 0) AS t_t FROM target_counts), LATERAL (SELECT coalesce(found, 0) AS t)
+),
+weights AS (
+  SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::HUGEINT AS total FROM doc_buckets JOIN gain USING (bucket) GROUP BY doc_id
+),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, CASE WHEN n_features IS NULL THEN 0 ELSE ((total - ((total % n_features) + n_features) % n_features) // n_features)::BIGINT END AS weight,
+         floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise
+  FROM documents LEFT JOIN weights USING (doc_id)
+),
+placed AS (
+  SELECT *, weight + noise AS score, n_features >= 20 AS may,
+         row_number() OVER (PARTITION BY n_features >= 20 ORDER BY weight + noise DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n_may
+  FROM scored
+)
+SELECT doc_id, n_features AS n_words, n_features, weight, score, CASE WHEN may AND place <= 10 * n_may // 100 THEN place END AS rank
+FROM placed
+"""
