@@ -11,10 +11,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, byte_bpe, curriculum_mix, exact_dedup, hmm, resample, secrets, simhash, token_files, toxicity, warc
+from . import alignment, ann, byte_bpe, curriculum_mix, exact_dedup, hmm, resample, secrets, simhash, token_files, toxicity, warc
 from .common import table
 
 BYTE_BPE, WORD_BPE, WORD_BPE_END = "byte_bpe_50k.tiktoken", "word_bpe_49k.json", 2
+BYTE_BPE_JSON, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +60,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE_JSON), public_tokenizers.path(PIECE_BPE))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -75,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_tokenizer_alignment": op11_tokenizer_alignment,
         "op12_importance_resampling": op12_importance_resampling,
     }
 
