@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, ann, byte_bpe, curriculum_mix, exact_dedup, hmm, resample, secrets, simhash, token_files, toxicity, warc
+from . import alignment, ann, byte_bpe, curriculum_mix, exact_dedup, hmm, license_scan, resample, secrets, simhash, token_files, toxicity, warc
 from .common import table
 
 BYTE_BPE, WORD_BPE, WORD_BPE_END = "byte_bpe_50k.tiktoken", "word_bpe_49k.json", 2
@@ -68,6 +68,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hmm_scores": op1_hmm_scores,
@@ -82,11 +86,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_exact_dedup": op10_exact_dedup,
         "op11_tokenizer_alignment": op11_tokenizer_alignment,
         "op12_importance_resampling": op12_importance_resampling,
+        "op13_license_scan": op13_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": EXACT_DEDUP, "op12_importance_resampling": IMPORTANCE_RESAMPLING}
+    return {
+        "op10_exact_dedup": EXACT_DEDUP,
+        "op12_importance_resampling": IMPORTANCE_RESAMPLING,
+        "op13_license_scan": LICENSE_SCAN.replace("{templates}", _template_rows()),
+    }
+
+
+def _template_rows() -> str:
+    """(template, label, base, place, word, key) for each word of each template as a list of SQL values."""
+    rows = []
+    for number, template in enumerate(license_scan.BASE + license_scan.TEMPLATES):
+        words, keys = license_scan.words_and_keys(template)
+        rows += [f"({number}, '{template.label}', {template.base}, {place}, '{word}', {place in keys})" for place, word in enumerate(words)]
+    return ",\n    ".join(rows)
 
 
 EXACT_DEDUP = r"""
@@ -149,3 +167,46 @@ placed AS (
 SELECT doc_id, n_features AS n_words, n_features, weight, score, CASE WHEN may AND place <= 10 * n_may // 100 THEN place END AS rank
 FROM placed
 """
+
+# a template is compared with every place where one of its words stands, in place of the index
+LICENSE_SCAN = r"""
+WITH templates(template, label, base, place, word, key) AS (VALUES
+    {templates}
+),
+doc_words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+),
+hits AS MATERIALIZED (
+  SELECT doc_id, word, spot FROM (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS spot FROM doc_words)
+  WHERE word IN (SELECT word FROM templates)
+),
+seen AS (SELECT word, count(DISTINCT doc_id) AS n FROM hits GROUP BY word),
+weighed AS (
+  SELECT templates.*, ln(((SELECT count(*) FROM documents) + 1) / (coalesce(n, 0) + 0.5::DOUBLE)) AS weight, count(*) OVER (PARTITION BY template) AS length
+  FROM templates LEFT JOIN seen USING (word)
+),
+indexed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY template ORDER BY weight DESC, place) <= least(4, greatest(1, length // 3)) AS posted FROM weighed
+),
+needed AS (
+  SELECT template, any_value(label) AS label, any_value(base) AS base, sum(weight) AS whole, count(*) FILTER (key) AS n_keys, (count(*) FILTER (posted) + 1) // 2 AS n_posted
+  FROM indexed GROUP BY template
+),
+agreed AS (
+  SELECT doc_id, template, spot - place AS start, sum(weight) AS weight, count(*) FILTER (key) AS keys, count(*) FILTER (posted) AS agree
+  FROM hits JOIN indexed USING (word) GROUP BY ALL
+),
+judged AS (
+  SELECT doc_id, label, base, start, CASE WHEN base THEN 1.0::DOUBLE ELSE round(least(1.0::DOUBLE, weight / whole), 6) END AS share
+  FROM agreed JOIN needed USING (template) WHERE agree >= n_posted AND keys = n_keys
+),
+found AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, max(share) AS score,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM judged WHERE share >= 0.8 GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM doc_words LEFT JOIN found USING (doc_id)
+"""
