@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, small
 from .resample import frequent
 
-#: A worker remembers so many chunks of so many characters at most, before it starts anew; other chunks are aligned anew each time.
-MEMO, LONGEST = 250_000, 48
+#: A worker remembers so many chunks of so many characters at most; other chunks are aligned anew each time.
+MEMO, LONGEST = 400_000, 48
+#: So many new chunks are encoded in one call.
+TOGETHER = 2_000
 #: Pairs that travel with their counts at most; proven bound of a broadcast: 4 MB.
 HEAD = 262_144
 
@@ -105,7 +107,7 @@ def align(lengths_a: np.ndarray, lengths_b: np.ndarray) -> Alignment:
 
 
 class Aligned(NamedTuple):
-    """A chunk's or text's tokens: (a, b) of its links in two bytes each, its groups as text, and sizes."""
+    """A text's tokens: (a, b) of its links in two bytes each, its groups as text, and sizes."""
 
     links: bytes
     groups: str
@@ -118,10 +120,23 @@ class Aligned(NamedTuple):
 NOTHING = Aligned(b"", "", 0, 0, 0, 0)
 
 
+class Chunks(NamedTuple):
+    """Aligned chunks: a row of n_a, n_b, n_groups, n_shared, links each; their links end to end; their groups, each with a semicolon behind."""
+
+    sizes: np.ndarray
+    links: np.ndarray
+    groups: list[str]
+    same: np.ndarray
+
+
 class Aligner:
-    """Tokenizer A is a byte-level BPE file of the tokenizers library, B a sentencepiece model that adds a space."""
+    """Tokenizer A is a byte-level BPE file of the tokenizers library, B a sentencepiece model that adds a space.
 
-    def __init__(self, path_a: str, path_b: str):
+    Remembered chunks have a place in arrays. When these are full, the chunks
+    that were met most often since stay.
+    """
+
+    def __init__(self, path_a: str, path_b: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -143,8 +158,16 @@ class Aligner:
         splits = spec["pre_tokenizer"]["type"] == "ByteLevel" and spec["pre_tokenizer"]["use_regex"] and spec.get("normalizer") is None
         spans = any("\n" in p or "▁" in p.lstrip("▁") for p in pieces)
         self.by_chunk = splits and not spans and self.b.encode("aﬁ  a") == self.b.encode("aﬁ") + self.b.encode(" a")
-        self.width = np.dtype("<u2" if max(len(self.bytes_a), len(self.bytes_b)) <= 1 << 16 else "<u4")
-        self.memo: dict[str, Aligned | None] = {}
+        most = max(len(self.bytes_a), len(self.bytes_b))
+        self.width = np.dtype("<u2" if most <= 1 << 16 else "<u4")
+        self.said = {mark: np.array([f"{i}{mark}" for i in range(most)], object) for mark in ",|;"}
+        self.most = memo
+        self.forget()
+
+    def forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.known = Chunks(np.zeros((0, 5), np.int64), np.zeros((0, 2), self.width), [], np.zeros(0, bool))
+        self.met = np.zeros(0, np.int64)
 
     def chunks(self, text: str) -> list[str]:
         """Parts of space + ``text`` that begin with a space or line feed."""
@@ -157,67 +180,122 @@ class Aligner:
             return [f" {c}" for c in text.split(" ")]
         return [c if c[0] == "\n" else f" {c}" for c in text.replace("\n", " \n").split(" ")]
 
+    def _ids_a(self, chunks: list[str]) -> np.ndarray:
+        """Of all chunks end to end: those without white space at odd places are encoded many together, as neighbours in a text."""
+        texts, run = [], []
+        for c in chunks:
+            if self.by_chunk and not c[-1].isspace() and not c[1:2].isspace():
+                run.append(c)
+                if len(run) == TOGETHER:
+                    texts.append("".join(run))
+                    run = []
+            else:
+                texts += ["".join(run), c] if run else [c]
+                run = []
+        texts += ["".join(run)] if run else []
+        return np.array([i for e in self.a.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.int64)
+
     def _ids_b(self, chunks: list[str]) -> list[list[int]]:
-        """Of chunks of a text: one that begins with a space is encoded without it, one with a line feed loses the space that B adds."""
-        found = self.b.encode([c[1:] if c[0] == " " else c for c in chunks])
+        """A chunk that begins with a space is encoded without it, one with a line feed loses the space that B adds."""
+        found = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
         return [ids if c[0] == " " else ids[1:] for c, ids in zip(chunks, found, strict=True)]
 
-    def align(self, chunks: list[str]) -> list[Aligned | None]:
-        """Each chunk's tokens and links, all chunks in one product; None where the bytes of A or B aren't the chunk's."""
+    def align(self, chunks: list[str]) -> Chunks:
+        """Each chunk's tokens and links, all chunks in one product. ``same`` tells which chunks the bytes of A and B give back; others are empty."""
+        raws = [c.encode() for c in chunks]
+        whole, ends = b"".join(raws), np.cumsum(list(map(len, raws)))
+        ids_a, ids_b = self._ids_a(chunks), self._ids_b(chunks)
+        flat_b = np.array([i for ids in ids_b for i in ids], np.int64)
+        counts_b = np.array(list(map(len, ids_b)), np.int64)
+        ends_a = np.cumsum(self.length_a[ids_a])
+        upto = np.searchsorted(ends_a, ends, "right")
+        even = len(ends_a) > 0 and (upto > 0).all() and (ends_a[upto - 1] == ends).all() and (np.cumsum(self.length_b[flat_b])[np.cumsum(counts_b) - 1] == ends).all()
+        if not even or b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) != whole or b"".join(map(self.bytes_b.__getitem__, flat_b.tolist())) != whole:
+            return self._align_each(chunks, raws, ids_b)
+        return self._linked(ids_a, np.diff(upto, prepend=0), flat_b, counts_b, np.ones(len(chunks), bool))
+
+    def _align_each(self, chunks: list[str], raws: list[bytes], ids_b: list[list[int]]) -> Chunks:
         ids_a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        ids_b = self._ids_b(chunks)
-        joined_a, joined_b = self.bytes_a, self.bytes_b
-        same = [
-            b"".join([joined_a[i] for i in a]) == (raw := c.encode()) and b"".join([joined_b[i] for i in b]) == raw for c, a, b in zip(chunks, ids_a, ids_b, strict=True)
-        ]
-        if not all(same):
-            ids_a, ids_b = ([ids for ids, ok in zip(x, same, strict=True) if ok] for x in (ids_a, ids_b))
-        counts_a, counts_b = (np.array(list(map(len, x)), np.int64) for x in (ids_a, ids_b))
+        joined = lambda table, ids: b"".join(map(table.__getitem__, ids))
+        same = [joined(self.bytes_a, a) == raw == joined(self.bytes_b, b) for a, b, raw in zip(ids_a, ids_b, raws, strict=True)]
+        ids_a, ids_b = ([ids if ok else [] for ids, ok in zip(x, same, strict=True)] for x in (ids_a, ids_b))
         flat_a, flat_b = (np.array([i for ids in x for i in ids], np.int64) for x in (ids_a, ids_b))
+        return self._linked(flat_a, np.array(list(map(len, ids_a)), np.int64), flat_b, np.array(list(map(len, ids_b)), np.int64), np.array(same, bool))
+
+    def _linked(self, flat_a: np.ndarray, counts_a: np.ndarray, flat_b: np.ndarray, counts_b: np.ndarray, same: np.ndarray) -> Chunks:
         made = align(self.length_a[flat_a], self.length_b[flat_b])
         links = np.stack([np.repeat(flat_a, np.diff(made.overlap.indptr)), flat_b[made.overlap.indices]], axis=1).astype(self.width)
         # where each chunk ends among tokens, links and groups
         end_a, end_b = np.cumsum(counts_a), np.cumsum(counts_b)
         end_link = made.overlap.indptr[end_a]
-        ends = np.searchsorted(made.group_a, np.arange(len(made.shared) + 1)).tolist()
-        ends_b = np.searchsorted(made.group_b, np.arange(len(made.shared) + 1)).tolist()
-        end_group = np.where(end_a > 0, made.group_a[end_a - 1] + 1, 0).tolist() if len(flat_a) else [0] * len(counts_a)
-        said_a, said_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
-        groups = [
-            ",".join(said_a[a:na]) + "|" + ",".join(said_b[b:nb]) for a, na, b, nb in zip(ends, ends[1:], ends_b, ends_b[1:], strict=False)
-        ]
-        shared = np.concatenate([[0], np.cumsum(made.shared)]).tolist()
-        raw, size = links.tobytes(), 2 * self.width.itemsize
-        out, link, group = [], 0, 0
-        for n_a, n_b, to_link, to_group in zip(counts_a.tolist(), counts_b.tolist(), end_link.tolist(), end_group, strict=True):
-            out.append(Aligned(raw[link * size : to_link * size], ";".join(groups[group:to_group]), n_a, n_b, to_group - group, shared[to_group] - shared[group]))
-            link, group = to_link, to_group
-        if all(same):
-            return out
-        rest = iter(out)
-        return [next(rest) if ok else None for ok in same]
+        group_ends = np.concatenate([[0], made.group_a + 1])[end_a]
+        shared = np.concatenate([[0], np.cumsum(made.shared)])[group_ends]
+        sizes = np.stack([counts_a, counts_b, np.diff(group_ends, prepend=0), np.diff(shared, prepend=0), np.diff(end_link, prepend=0)], axis=1)
+        # the tokens' decimals in the order of the text: a group's of A, then its of B
+        of_a, of_b = (np.bincount(g, minlength=len(made.shared)) for g in (made.group_a, made.group_b))
+        said = np.empty(len(flat_a) + len(flat_b), object)
+        last_a, last_b = (np.diff(g, append=-1) != 0 for g in (made.group_a, made.group_b))
+        before_b, upto_a = np.concatenate([[0], np.cumsum(of_b)]), np.cumsum(of_a)
+        said[np.arange(len(flat_a)) + before_b[made.group_a]] = np.where(last_a, self.said["|"][flat_a], self.said[","][flat_a])
+        said[np.arange(len(flat_b)) + (upto_a[made.group_b] if len(flat_b) else 0)] = np.where(last_b, self.said[";"][flat_b], self.said[","][flat_b])
+        parts, ends = said.tolist(), [0, *(end_a + end_b).tolist()]
+        return Chunks(sizes, links, ["".join(parts[i:j]) for i, j in zip(ends, ends[1:], strict=False)], same)
+
+    def _remember(self, chunks: list[str]) -> None:
+        """Gives new chunks places after the known ones."""
+        made, at, known = self.align(chunks), len(self.memo), self.known
+        self.memo.update(zip(chunks, range(at, at + len(chunks)), strict=True))
+        parts = ((known.sizes, made.sizes), (known.links, made.links), known.groups + made.groups, (known.same, made.same))
+        self.known = Chunks(*(x if isinstance(x, list) else np.concatenate(x) for x in parts))
+        self.met = np.concatenate([self.met, np.zeros(len(chunks), np.int64)])
+
+    def _keep(self, at: np.ndarray) -> None:
+        """Keeps the chunks at these places, in ascending order, and no others."""
+        names, known, starts = list(self.memo), self.known, self._starts()
+        self.memo = {names[i]: n for n, i in enumerate(at.tolist())}
+        links = known.links[_ranges(starts[at], known.sizes[at, 4])]
+        self.known = Chunks(known.sizes[at], links, [known.groups[i] for i in at.tolist()], known.same[at])
+        self.met = self.met[at] // 2
+
+    def _starts(self) -> np.ndarray:
+        return np.cumsum(self.known.sizes[:, 4]) - self.known.sizes[:, 4]
 
     def texts(self, texts: list[str | None]) -> list[Aligned]:
         """Whole texts; those that are null or empty, or whose bytes A or B doesn't give back, have no tokens."""
         split = [self.chunks(t) if t else [] for t in texts]
         memo = self.memo
-        new = list({c for chunks in split for c in chunks}.difference(memo))
-        if new and len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list({c for chunks in split for c in chunks})
-        made = dict(zip(new, self.align(new), strict=True)) if new else {}
-        memo.update((c, x) for c, x in made.items() if len(c) <= LONGEST)
+        new = list({c for chunks in split for c in chunks if c not in memo})
+        if memo and len(memo) + len(new) > self.most:
+            often = np.flatnonzero(self.met > 1)
+            self._keep(np.sort(often[np.argsort(-self.met[often], kind="stable")[: self.most // 2]]))
+            memo = self.memo
+            new = list({c for chunks in split for c in chunks if c not in memo})
+        if new:
+            self._remember(new)
+        known, starts, groups = self.known, self._starts(), self.known.groups
+        places = [np.fromiter(map(memo.__getitem__, chunks), np.int64, len(chunks)) for chunks in split]
         out = []
-        for chunks in split:
-            found = [memo[c] if c in memo else made[c] for c in chunks]
-            if not found or None in found:
+        for at in places:
+            if not len(at) or not known.same[at].all():
                 out.append(NOTHING)
-            else:
-                links, groups, *sizes = zip(*found, strict=True)
-                out.append(Aligned(b"".join(links), ";".join(groups), *map(sum, sizes)))
+                continue
+            n_a, n_b, n_groups, n_shared, _ = known.sizes[at].sum(axis=0).tolist()
+            links = known.links[_ranges(starts[at], known.sizes[at, 4])].tobytes()
+            out.append(Aligned(links, "".join(map(groups.__getitem__, at.tolist()))[:-1], n_a, n_b, n_groups, n_shared))
+        if places:
+            self.met += np.bincount(np.concatenate(places), minlength=len(memo))
+        if any(len(c) > LONGEST for c in new) or len(memo) > self.most:
+            short = np.array([len(c) <= LONGEST for c in memo], bool)
+            self._keep(np.flatnonzero(short) if short.sum() <= self.most else np.zeros(0, np.int64))
         return out
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of ranges, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 @lru_cache(maxsize=2)
 def aligner(path_a: str, path_b: str) -> Aligner:
     """One a worker; its memo outlives a task."""

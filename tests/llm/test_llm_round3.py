@@ -104,16 +104,18 @@ def plain_align():
     return of
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_texts_align_as_plain_calls_do(plain_align, seed):
+@pytest.mark.parametrize(("seed", "memo"), [(3, alignment.MEMO), (4, 700), (5, 3)])
+def test_texts_align_as_plain_calls_do(plain_align, seed, memo):
     rng = random.Random(seed)
     parts = list("abcdeE'sS 1,.!?-é日😀ﬁ\t\r\x00\x1f\x85 　​﻿") + [" ", "\n", "  ", "\n\n", "<|endoftext|>", "<s>", "<0x41>", "the", "ing", "'re", " the", "▁"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 16), weights=[4] * (len(parts) - 1) + [1])) for _ in range(6000)]
-    own = alignment.Aligner(A, B)
+    texts += [t + " " + "x" * 60 for t in texts[:200]]
+    own = alignment.Aligner(A, B, memo)
     assert own.by_chunk
     got = [x for at in range(0, len(texts), 400) for x in own.texts(texts[at : at + 400])]
     assert got == list(map(plain_align, texts))
     assert sum(x.n_a > 0 for x in got) > 3000
+    assert 0 < len(own.memo) <= memo or memo == 3
 
 
 def test_products_against_dense_matrices():
