@@ -5,13 +5,72 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 #: No key is this one.
 _NOBODY = object()
+#: A rule of a token: action, hyp, reject, apply, override.
+NO_RULE = (None, None, 0, 0, 0)
+#: Keys of one-letter Russian prepositions and conjunctions, as typed on the US layout.
+PREPOSITION_KEYS = frozenset("fdrjebz")
+#: Backspace so many microseconds after select-all at most erases all.
+SELECTED_FOR = 350_000
+
+
+def rule_after(rule: tuple, event: str | None, named: str | None) -> tuple[tuple, bool]:
+    """A token's rule after an event, and whether the event uses the rule, which keeps it among the most recent."""
+    action, hyp, reject, apply, override = rule
+    if event == "reject":
+        hardens = action != "keepAsIs" and reject >= 1
+        return ("keepAsIs" if hardens else action, None if hardens else hyp, reject + 1, apply, override), True
+    if event == "apply":
+        return ((action, hyp) if action == "keepAsIs" else ("preferHypothesis", named)) + (reject, apply + 1, override), True
+    if event == "override" and action is not None:
+        return (NO_RULE if override >= 1 else (action, hyp, reject, apply, override + 1)), True
+    return rule, event == "lookup" and action is not None
+
+
+def keystroke(buffer: str, unknown: bool, late: bool, us: int | None, selected: int | None, ch: str | None, erases: bool, ends: bool, selects: bool) -> tuple:
+    """((buffer, unknown), selected, token) after a key; token is None if none ends or its characters aren't all known.
+
+    ``late``: the pause before was longer than the gap. ``selected`` is when all was selected last.
+    """
+    if late:
+        buffer, unknown = "", False
+    if selects:
+        return (buffer, unknown), us, None
+    if erases:
+        if selected is not None and us is not None and us - selected < SELECTED_FOR:
+            return ("", False), None, None
+        return (buffer[:-1], unknown), selected, None
+    if ends:
+        return ("", False), selected, None if unknown else buffer or None
+    return (("", True) if unknown or ch is None else (buffer + ch, False)), selected, None
+
+
+def is_space(col: str) -> Column:
+    """A white-space character: the six of ASCII, whatever else a platform may count."""
+    return F.col(col).rlike(r"^\s$")
+
+
+def position_after(presses: int, automatic: bool, choices: int | None) -> int:
+    """Where the choice stands after so many presses: the closed form of ``alternation_replay``."""
+    start, k = int(bool(automatic)), presses - 1
+    if choices is None or choices == 2:
+        return (k + start + 1) % 2
+    if choices < 2:
+        return 0
+    return k % 3 if start else 1 if k == 0 else (k - 1) % 3
+
+
+def lesson(index: int, automatic: bool) -> str | None:
+    """What a session teaches that ends on a choice."""
+    if automatic:
+        return "reject" if index == 0 else "apply" if index != 1 else None
+    return "apply" if index != 0 else None
 
 
 def _in_order(df: DataFrame, by: str, order: tuple[str, ...], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
@@ -92,28 +151,22 @@ def learn_rules(feedback: DataFrame, key: str = "token", most: int = 500) -> Dat
 
     Two rejects make a token keepAsIs; applying a hypothesis prefers it, unless
     it is keepAsIs; two overrides of a learned rule remove it and its counters.
-    The most recently touched rules stay.
+    Looking up a rule uses it, as these events do; the rules that were used last
+    stay. Other events change nothing.
     """
-    empty = (None, None, 0, 0, 0)
 
     def run(batches):
-        token, rule, touched, schema = _NOBODY, empty, None, None
+        token, rule, touched, schema = _NOBODY, NO_RULE, None, None
         for batch in batches:
             schema, out = batch.schema, []
             for n, (of, event, named) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 3, 4)), strict=True)):
                 if of != token:
                     if token is not _NOBODY:
                         out.append((token, *rule, *(x.as_py() for x in touched)))
-                    token, rule = of, empty
-                touched = batch.column(1)[n], batch.column(2)[n]
-                action, hyp, reject, apply, override = rule
-                if event == "reject":
-                    hardens = action != "keepAsIs" and reject >= 1
-                    rule = ("keepAsIs" if hardens else action, None if hardens else hyp, reject + 1, apply, override)
-                elif event == "apply":
-                    rule = (action, hyp, reject, apply + 1, override) if action == "keepAsIs" else ("preferHypothesis", named, reject, apply + 1, override)
-                elif event == "override" and action is not None:
-                    rule = empty if override >= 1 else (action, hyp, reject, apply, override + 1)
+                    token, rule, touched = of, NO_RULE, (pa.scalar(None), pa.scalar(None))
+                rule, touches = rule_after(rule, event, named)
+                if touches:
+                    touched = batch.column(1)[n], batch.column(2)[n]
             yield made(out, schema)
         if token is not _NOBODY:
             yield made([(token, *rule, *(x.as_py() for x in touched))], schema)
@@ -144,6 +197,21 @@ def feedback_events(presses: DataFrame, gap: str = "60 seconds", by: str = "user
     return out.select(by, F.col("w.start").alias("start"), "automatic", "last_index", "presses", event.alias("event"))
 
 
+def alternation_events(presses: DataFrame, gap: str = "60 seconds", by: str = "user_id") -> DataFrame:
+    """(by, start_us, automatic, last_index, presses, event): sessions of presses (ts, seq, automatic, choices) and what each teaches.
+
+    The batch twin of the stream: positions as ``alternation_replay`` has them, lessons as ``feedback_events``.
+    """
+    out = presses.groupBy(by, F.session_window("ts", gap).alias("w")).agg(
+        F.count("*").alias("presses"), F.coalesce(F.min_by("automatic", F.struct("ts", "seq")), F.lit(False)).alias("automatic"), F.max("choices").alias("n")
+    )
+    start, k = F.when(F.col("automatic"), 1).otherwise(0), F.col("presses") - 1
+    by_three = F.when(start == 1, k % 3).when(k == 0, 1).otherwise((k - 1) % 3)
+    index = F.when(F.col("n") > 2, by_three).when(F.col("n") < 2, 0).otherwise((k + start + 1) % 2).cast("long")
+    event = F.when(F.col("automatic"), F.when(F.col("last_index") == 0, "reject").when(F.col("last_index") != 1, "apply")).when(F.col("last_index") != 0, "apply")
+    return out.withColumn("last_index", index).select(by, F.unix_micros("w.start").alias("start_us"), "automatic", "last_index", "presses", event.alias("event"))
+
+
 def alternation_replay(presses: DataFrame, by: str = "session_id", choices: str = "choices") -> DataFrame:
     """(by, positions): where the choice stands after each press.
 
@@ -162,38 +230,30 @@ def alternation_replay(presses: DataFrame, by: str = "session_id", choices: str
 
 
 def keystrokes_to_tokens(keys: DataFrame, gap: float = 2.0, by: str = "user_id") -> DataFrame:
-    """(by, seq, token): the batch twin of the stream job.
+    """(by, seq, token) of (by, ts, seq, ch, is_backspace) and, if there is one, selects_all: the batch twin of the stream job.
 
-    Characters gather until white space; backspace removes one; after a pause
-    longer than the gap the buffer is dropped.
+    Characters gather until white space; backspace removes one, or all right after
+    select-all; after a pause longer than the gap the buffer is dropped. A token
+    with an unknown character is none.
     """
     limit = int(gap * 1e6)
 
     def run(batches):
-        user, buffer, last, seq = _NOBODY, [], None, 0
+        user, state, last, selected, seq = _NOBODY, ("", False), None, None, 0
         for batch in batches:
             out = []
-            for of, micros, ch, erases, ends in zip(*(batch.column(c).to_pylist() for c in (0, 2, 4, 5, 6)), strict=True):
+            for of, us, *key in zip(*(batch.column(c).to_pylist() for c in (0, 2, 4, 5, 6, 7)), strict=True):
                 if of != user:
-                    user, buffer, last, seq = of, [], None, 0
-                if last is not None and micros is not None and micros - last > limit:
-                    buffer = []
-                if erases:
-                    if buffer:
-                        buffer.pop()
-                elif ends:
-                    if buffer:
-                        seq += 1
-                        out.append((of, seq, "".join(buffer)))
-                    buffer = []
-                elif buffer is not None:  # an unknown character makes the token unknown
-                    buffer = None if ch is None else buffer
-                    if ch:
-                        buffer.extend(ch)
-                last = micros
+                    user, state, last, selected, seq = of, ("", False), None, None, 0
+                state, selected, token = keystroke(*state, last is not None and us is not None and us - last > limit, us, selected, *key)
+                if token is not None:
+                    seq += 1
+                    out.append((of, seq, token))
+                last = us
             kinds = (batch.schema.field(0).type, pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], kind) for n, kind in enumerate(kinds)], [by, "seq", "token"])
 
-    space = F.col("ch").rlike(r"^\s$") & ~F.col("is_backspace")
-    rows = keys.select(by, "ts", F.unix_micros("ts").alias("__us"), "seq", "ch", "is_backspace", space.alias("__ends"))
+    erases, selects = (F.coalesce(c, F.lit(False)) if c in keys.columns else F.lit(False) for c in ("is_backspace", "selects_all"))
+    ends = F.coalesce(is_space("ch"), F.lit(False))
+    rows = keys.select(by, "ts", F.unix_micros("ts").alias("__us"), "seq", "ch", erases.alias("is_backspace"), ends.alias("__ends"), selects.alias("__selects"))
     return _in_order(rows, by, ("ts", "seq", "ch", "is_backspace"), run, T.StructType([rows.schema[by], _field("seq", "bigint"), _field("token", "string")]))

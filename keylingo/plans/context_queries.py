@@ -106,6 +106,7 @@ TOKENS = rf"""w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text
          {_B(3)} / 255 AS confidence, {_B(5)} < 64 AS applied, {_B(7)} / 255 AS target_score, {_B(9)} / 255 AS source_score FROM e),
   nw AS (SELECT *, CASE WHEN coalesce(regexp_matches(lag(token) OVER s, '[.!?][\p{{P}}]*$'), false) OR coalesce(ts - lag(ts) OVER s > 2, false) THEN 1 ELSE 0 END AS new FROM tk WINDOW s AS (PARTITION BY stream_id ORDER BY seq)),
   sn AS (SELECT *, CAST(sum(new) OVER (PARTITION BY stream_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS sentence FROM nw)"""
+TOKENS_ONLY = f"WITH {TOKENS} SELECT * FROM tk"
 DOMINANT = """su AS (SELECT *, CASE WHEN confidence > 0.45 THEN lang END AS sure FROM sn),
   fi AS (SELECT *, first_value(sure IGNORE NULLS) OVER (PARTITION BY stream_id, sentence ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sentence_lang,
          first_value(sure IGNORE NULLS) OVER (PARTITION BY stream_id, sentence ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS dom FROM su),
@@ -116,14 +117,14 @@ USEFUL = "uf AS (SELECT lang, word, ln(1 + cnt) / ln(1 + max(cnt) OVER (PARTITIO
 def phrase_scores(name: str, texts: str) -> str:
     return rf"""{name}_w AS (SELECT key, word, count(*) AS n FROM (SELECT key, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS word FROM {texts}) GROUP BY key, word),
       {name}_h AS (SELECT key, sum(n * best) AS score FROM {name}_w JOIN us USING (word) GROUP BY key),
-      {name} AS (SELECT t.key, coalesce(h.score, 0) AS score FROM {texts} t LEFT JOIN {name}_h h ON h.key = t.key)"""
+      {name} AS MATERIALIZED (SELECT t.key, coalesce(h.score, 0) AS score FROM {texts} t LEFT JOIN {name}_h h ON h.key = t.key)"""
 
 
 _HELDLESS = LEXICON.split(", lexicon AS")[0]
 READINGS = rf"""{DOCS}, {_HELDLESS}, {USEFUL}, ty AS (SELECT DISTINCT unnest(regexp_split_to_array({sql_translate('lower(text)', 'us', 'ru')}, '{S}+')) AS token FROM docs),
-  bo AS (SELECT token, {sql_translate('token', 'ru', 'us')} AS whole, array_to_string(list_transform(regexp_extract_all(token, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+'), lambda r: CASE WHEN regexp_matches(r, '^[\p{{L}}\p{{N}}]') THEN {sql_translate('r', 'ru', 'us')} ELSE r END), '') AS split FROM ty WHERE token <> ''),
+  bo AS MATERIALIZED (SELECT token, {sql_translate('token', 'ru', 'us')} AS whole, array_to_string(list_transform(regexp_extract_all(token, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+'), lambda r: CASE WHEN regexp_matches(r, '^[\p{{L}}\p{{N}}]') THEN {sql_translate('r', 'ru', 'us')} ELSE r END), '') AS split FROM ty WHERE token <> ''),
   tx AS (SELECT DISTINCT unnest([token, whole, split]) AS key FROM bo), txt AS (SELECT key, key AS text FROM tx), {phrase_scores('ph', 'txt')},
-  rd AS (SELECT b.*, a.score AS s_token, w.score AS s_whole, s.score AS s_split, least(1.0, 0.5 + w.score / 2) AS confidence FROM bo b JOIN ph a ON a.key = b.token JOIN ph w ON w.key = b.whole JOIN ph s ON s.key = b.split),
+  rd AS MATERIALIZED (SELECT b.*, a.score AS s_token, w.score AS s_whole, s.score AS s_split, least(1.0, 0.5 + w.score / 2) AS confidence FROM bo b JOIN ph a ON a.key = b.token JOIN ph w ON w.key = b.whole JOIN ph s ON s.key = b.split),
   sp AS (SELECT *, CASE WHEN whole <> token THEN (confidence < 0.9 AND regexp_matches(token, '\p{{L}}{{2,}}[.,]\p{{L}}{{2,}}')) OR s_split > s_whole + 0.25 ELSE s_split >= s_whole END AS is_split FROM rd),
   ch AS (SELECT token, CASE WHEN (CASE WHEN is_split THEN split ELSE whole END) <> token AND ((CASE WHEN is_split THEN s_split ELSE s_whole END) > s_token OR (s_token = 0 AND whole <> token)) THEN CASE WHEN is_split THEN split ELSE whole END END AS chosen FROM sp)"""
 SQL = {

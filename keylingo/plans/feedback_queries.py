@@ -29,10 +29,11 @@ def feedback(spark, d) -> DataFrame:
     return events(spark, d).select("event_id", "value", F.lpad((F.col("user_id") % 1000).cast("string"), 3, "0").alias("prefix3"), _lang(F.col("event_id")).alias("last_lang"), outcome.alias("outcome"))
 
 
-def rule_events(spark, d) -> DataFrame:
+def rule_events(spark, d, seen: DataFrame | None = None) -> DataFrame:
+    """Events as what teaches rules: errors reject, views apply, purchases override, clicks look up."""
     kind = F.col("event_type")
-    event = F.when(kind == "error", "reject").when(kind == "view", "apply").when(kind == "purchase", "override").otherwise("none")
-    return events(spark, d).select(F.col("user_id").alias("token"), "ts", F.col("event_id").alias("seq"), event.alias("event"), F.concat(_lang(F.col("event_id")), F.lit("_from_xx")).alias("hyp"))
+    event = F.when(kind == "error", "reject").when(kind == "view", "apply").when(kind == "purchase", "override").when(kind == "click", "lookup").otherwise("none")
+    return (events(spark, d) if seen is None else seen).select(F.col("user_id").alias("token"), "ts", F.col("event_id").alias("seq"), event.alias("event"), F.concat(_lang(F.col("event_id")), F.lit("_from_xx")).alias("hyp"))
 
 
 def a9_profile_stats(spark, d):
@@ -85,6 +86,15 @@ def t5_feedback_events(spark, d):
     return out.select("user_id", F.unix_micros("start").alias("start_us"), "automatic", "last_index", "presses", "event")
 
 
+def presses(seen: DataFrame) -> DataFrame:
+    """Events as presses of the alternation key, by user."""
+    return seen.select("user_id", "ts", F.col("event_id").alias("seq"), (F.col("user_id") % 2 == 0).alias("automatic"), (F.col("user_id") % 3 + 2).alias("choices"))
+
+
+def t6_alternation_events(spark, d):
+    return B.alternation_events(presses(events(spark, d)), gap="6 hours")
+
+
 def t6_alternation_replay(spark, d):
     """Each user's events of a day are the presses of a session."""
     presses = events(spark, d).select(
@@ -101,7 +111,7 @@ def t1_keystrokes_to_tokens(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     a9_profile_stats, a10_adjust_confidence, j13_exclude_apps, j15_preferred_layout, s13_retain_latest, w5_recent_history, w6_debounce, t2_typing_sessions, t4_learn_rules, t5_feedback_events,
-    t6_alternation_replay, t1_keystrokes_to_tokens)}
+    t6_alternation_replay, t6_alternation_events, t1_keystrokes_to_tokens)}
 
 LANG = "list_extract(['en', 'ru', 'he'], CAST(event_id % 3 + 1 AS INT))"
 FEEDBACK = f"""fb AS (SELECT event_id, lpad(CAST(user_id % 1000 AS VARCHAR), 3, '0') AS prefix3, {LANG} AS last_lang, CASE WHEN event_type IN ('click', 'signup') THEN 'accepted' WHEN event_type = 'view' THEN 'manual' WHEN event_type = 'error' THEN 'reverted' END AS outcome FROM events),
@@ -115,7 +125,17 @@ def sessions(seconds: int) -> str:
 
 
 NUMBERED = "ev AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+# each press of a session is stepped through
+ALTERNATION = f"""WITH RECURSIVE {sessions(21600)}, p AS (SELECT user_id || '/' || sid AS session_id, user_id, epoch_us(ts) AS us, user_id % 2 = 0 AS automatic, CAST(user_id % 3 + 2 AS INT) AS c, row_number() OVER (PARTITION BY user_id, sid ORDER BY ts, event_id) AS n FROM ss),
+  r(session_id, n, i, lim, wraps, c) AS (SELECT DISTINCT session_id, 0::BIGINT, CASE WHEN automatic THEN 1 ELSE 0 END, 2, 0, c FROM p UNION ALL
+    SELECT r.session_id, r.n + 1, CASE WHEN r.i + 1 >= least(CASE WHEN r.i + 1 >= least(r.lim, r.c) AND r.wraps >= 1 AND r.lim = 2 AND r.c > 2 THEN 3 ELSE r.lim END, r.c) THEN 0 ELSE r.i + 1 END,
+      CASE WHEN r.i + 1 >= least(r.lim, r.c) AND r.wraps >= 1 AND r.lim = 2 AND r.c > 2 THEN 3 ELSE r.lim END, r.wraps + CASE WHEN r.i + 1 >= least(r.lim, r.c) THEN 1 ELSE 0 END, r.c
+    FROM r JOIN p ON p.session_id = r.session_id AND p.n = r.n + 1),
+  g2 AS (SELECT session_id, any_value(user_id) AS user_id, min(us) AS start_us, max(us) AS last_us, any_value(automatic) AS automatic, max(n) AS presses FROM p GROUP BY session_id)
+  SELECT user_id, start_us, automatic, CAST(i AS BIGINT) AS last_index, presses, CASE WHEN automatic THEN CASE WHEN i = 0 THEN 'reject' WHEN i <> 1 THEN 'apply' END WHEN i <> 0 THEN 'apply' END AS event, last_us
+  FROM g2 JOIN r ON r.session_id = g2.session_id AND r.n = g2.presses"""
 SQL = {
+    "t6_alternation_events": f"SELECT * EXCLUDE last_us FROM ({ALTERNATION})",
     "a9_profile_stats": f"WITH {FEEDBACK} SELECT prefix3, last_lang, accepted, reverted, round(rate, 6) AS rate FROM rt ORDER BY accepted + reverted DESC, prefix3, last_lang LIMIT 1000",
     "a10_adjust_confidence": f"""WITH {FEEDBACK}, d AS (SELECT event_id, prefix3, last_lang, round((event_id * 37 % 100) / 100, 2) AS confidence FROM fb)
         SELECT event_id, prefix3, last_lang, confidence, round(CASE WHEN accepted + reverted >= 3 AND rate < 0.3 THEN least(1.0, confidence * 1.2) WHEN accepted + reverted >= 3 AND rate > 0.7 THEN greatest(0.3, confidence * 0.9) ELSE confidence END, 6) AS adjusted FROM d JOIN rt USING (prefix3, last_lang)""",
@@ -128,8 +148,8 @@ SQL = {
         UNION ALL SELECT e.user_id, e.n, e.event_id, CASE WHEN epoch_us(e.ts) - epoch_us(k.last) >= 3600000000 THEN e.ts ELSE k.last END, epoch_us(e.ts) - epoch_us(k.last) >= 3600000000 FROM k JOIN ev e ON e.user_id = k.user_id AND e.n = k.n + 1)
         SELECT user_id, event_id FROM k WHERE kept""",
     "t2_typing_sessions": f"WITH {sessions(21600)} SELECT user_id, min(epoch_us(ts)) AS start_us, max(epoch_us(ts)) AS last_us, count(*) AS events FROM ss GROUP BY user_id, sid",
-    "t4_learn_rules": f"""WITH RECURSIVE {NUMBERED}, x AS (SELECT user_id, n, ts, event_id, CASE event_type WHEN 'error' THEN 'reject' WHEN 'view' THEN 'apply' WHEN 'purchase' THEN 'override' ELSE 'none' END AS event, {LANG} || '_from_xx' AS hyp FROM ev),
-      f(user_id, n, action, hyp, reject, apply, override) AS (SELECT DISTINCT user_id, 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM x UNION ALL
+    "t4_learn_rules": f"""WITH RECURSIVE {NUMBERED}, x AS (SELECT user_id, n, ts, event_id, CASE event_type WHEN 'error' THEN 'reject' WHEN 'view' THEN 'apply' WHEN 'purchase' THEN 'override' WHEN 'click' THEN 'lookup' ELSE 'none' END AS event, {LANG} || '_from_xx' AS hyp FROM ev),
+      f(user_id, n, action, hyp, reject, apply, override, used) AS (SELECT DISTINCT user_id, 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM x UNION ALL
         SELECT f.user_id, f.n + 1,
           CASE x.event WHEN 'reject' THEN CASE WHEN f.action IS DISTINCT FROM 'keepAsIs' AND f.reject + 1 >= 2 THEN 'keepAsIs' ELSE f.action END WHEN 'apply' THEN CASE WHEN f.action = 'keepAsIs' THEN f.action ELSE 'preferHypothesis' END
             WHEN 'override' THEN CASE WHEN f.action IS NOT NULL AND f.override + 1 >= 2 THEN NULL ELSE f.action END ELSE f.action END,
@@ -137,10 +157,11 @@ SQL = {
             WHEN 'override' THEN CASE WHEN f.action IS NOT NULL AND f.override + 1 >= 2 THEN NULL ELSE f.hyp END ELSE f.hyp END,
           CASE WHEN x.event = 'reject' THEN f.reject + 1 WHEN x.event = 'override' AND f.action IS NOT NULL AND f.override + 1 >= 2 THEN 0 ELSE f.reject END,
           CASE WHEN x.event = 'apply' THEN f.apply + 1 WHEN x.event = 'override' AND f.action IS NOT NULL AND f.override + 1 >= 2 THEN 0 ELSE f.apply END,
-          CASE WHEN x.event = 'override' AND f.action IS NOT NULL THEN CASE WHEN f.override + 1 >= 2 THEN 0 ELSE f.override + 1 END ELSE f.override END
+          CASE WHEN x.event = 'override' AND f.action IS NOT NULL THEN CASE WHEN f.override + 1 >= 2 THEN 0 ELSE f.override + 1 END ELSE f.override END,
+          CASE WHEN x.event IN ('reject', 'apply') OR x.event IN ('override', 'lookup') AND f.action IS NOT NULL THEN x.n ELSE f.used END
         FROM f JOIN x ON x.user_id = f.user_id AND x.n = f.n + 1),
-      m AS (SELECT user_id, max(n) AS n, max(ts) AS ts, arg_max(event_id, n) AS e FROM x GROUP BY user_id)
-      SELECT f.user_id, action, hyp, reject, apply, override FROM f JOIN m ON m.user_id = f.user_id AND m.n = f.n WHERE action IS NOT NULL ORDER BY m.ts DESC, m.e DESC LIMIT 500""",
+      m AS (SELECT user_id, max(n) AS n FROM x GROUP BY user_id)
+      SELECT f.user_id, f.action, f.hyp, f.reject, f.apply, f.override FROM f JOIN m ON m.user_id = f.user_id AND m.n = f.n JOIN x u ON u.user_id = f.user_id AND u.n = f.used WHERE f.action IS NOT NULL ORDER BY u.ts DESC, u.event_id DESC LIMIT 500""",
     "t5_feedback_events": f"""WITH {sessions(21600)}, s AS (SELECT user_id, min(epoch_us(ts)) AS start_us, user_id % 2 = 0 AS automatic, arg_max(event_id % 3, (ts, event_id)) AS last_index, count(*) AS presses FROM ss GROUP BY user_id, sid)
         SELECT *, CASE WHEN automatic THEN CASE WHEN last_index = 0 THEN 'reject' WHEN last_index <> 1 THEN 'apply' END WHEN last_index <> 0 THEN 'apply' END AS event FROM s""",
     "t6_alternation_replay": """WITH RECURSIVE p AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS session_id, user_id % 2 = 0 AS automatic, CAST(user_id % 3 + 2 AS INT) AS c, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS n FROM events),

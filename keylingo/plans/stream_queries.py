@@ -39,11 +39,15 @@ def t2_stream_sessions(spark, d):
 
 
 def t4_stream_rules(spark, d):
-    kind = F.col("event_type")
-    event = F.when(kind == "error", "reject").when(kind == "view", "apply").when(kind == "purchase", "override").otherwise("none")
-    seen = _events(spark, d).select(F.col("user_id").alias("token"), "ts", F.col("event_id").alias("seq"), event.alias("event"), F.concat(feedback_queries._lang(F.col("event_id")), F.lit("_from_xx")).alias("hyp"))
-    rules = R.run_to_table(R.learn_rules(seen), shared_folder(spark, "rules"), "update").where("action is not null")
-    return rules.select(F.col("token").alias("user_id"), "action", "hyp", "reject", "apply", "override")
+    seen = feedback_queries.rule_events(spark, d, _events(spark, d)).withColumn("token", F.col("token").cast("string"))
+    rules = R.run_to_rules(R.learn_rules(seen), shared_folder(spark, "rules"))
+    return rules.select(F.col("token").cast("long").alias("user_id"), "action", "hyp", "reject", "apply", "override")
+
+
+def t6_stream_alternation(spark, d):
+    """Closed sessions of alternation presses, and what each teaches."""
+    out = R.alternation_events(feedback_queries.presses(_events(spark, d)), gap=21600.0)
+    return R.run_to_table(out, shared_folder(spark, "alternation"), "append").drop("batch")
 
 
 def t7_stream_profile(spark, d):
@@ -54,9 +58,9 @@ def t7_stream_profile(spark, d):
 
 
 def t3_stream_context_boost(spark, d):
-    """The tokens of conversations as a stream; the last token of each conversation stays undecided."""
+    """The tokens of conversations as a stream; words that the watermark hasn't passed at the end stay undecided."""
     seen = context_queries.tokens(spark, d, _stream(spark, d, "conversations")).withColumn("ends", F.col("token").rlike(r"[.!?][\p{P}]*$"))
-    out = R.context_boost(seen.select("stream_id", "seq", "ts", "token", "lang", "confidence", "ends"))
+    out = R.context_boost(seen.withColumn("ts", F.timestamp_seconds(F.col("ts") + EPOCH)))
     return R.run_to_table(out, shared_folder(spark, "boost"), "append").select("stream_id", "seq", "decision")
 
 
@@ -64,22 +68,29 @@ def t8_stream_decisions(spark, d):
     """Words of a stream of documents, decided by the batch cascade into a privacy-safe log; models and rules are made once, before the stream."""
     models, rules = decide_queries.models(spark, d), kept(decide_queries.rules(spark, d), "rules")
 
-    def decide(batch: DataFrame) -> DataFrame:
-        words = batch.select(F.explode(T.words_by_language(F.col("text"), F.col("lang"), M.LANGS)).alias("token"))
-        return decision_log(D.route(words, models, rules))
-
-    log = R.stream_decisions(_stream(spark, d, "documents"), decide, shared_folder(spark, "decisions"))
+    docs = _stream(spark, d, "documents").where("text is not null")
+    words = docs.select(F.explode(T.words_by_language(F.col("text"), F.col("lang"), M.LANGS)).alias("token"))
+    log = R.stream_decisions(words, lambda tokens: decision_log(D.route(tokens, models, rules)), shared_folder(spark, "decisions"))
     return log.groupBy("path", "lang").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (t1_stream_keystrokes, t2_stream_sessions, t3_stream_context_boost, t4_stream_rules, t7_stream_profile, t8_stream_decisions)}
+#: Seconds that conversations begin after 1970, for time stamps that the first watermark doesn't pass.
+EPOCH = 1_000_000_000
+#: The watermark at the end: the latest event in whole milliseconds, less the lateness.
+EVENTS_WM = "(SELECT max(epoch_us(ts)) // 1000 * 1000 - 10000000 FROM events)"
+
+QUERIES = {f.__name__: f for f in (t1_stream_keystrokes, t2_stream_sessions, t3_stream_context_boost, t4_stream_rules, t6_stream_alternation, t7_stream_profile, t8_stream_decisions)}
 
 SQL = {
     # a batch holds the whole table here, so its distinct words are the table's
     "t8_stream_decisions": f"WITH {decide_queries.routed(with_model=False)} SELECT path, lang, count(*) AS n FROM routed WHERE token IN (SELECT word FROM ew) GROUP BY path, lang",
-    "t2_stream_sessions": f"WITH s AS ({FEEDBACK_SQL['t2_typing_sessions']}) SELECT * FROM s WHERE last_us + 6 * 3600000000 <= (SELECT max(epoch_us(ts)) FROM events) // 1000 * 1000 - 10000000",
-    "t1_stream_keystrokes": FEEDBACK_SQL["t1_keystrokes_to_tokens"],
-    "t4_stream_rules": FEEDBACK_SQL["t4_learn_rules"].rsplit("ORDER BY m.ts", 1)[0],
+    "t2_stream_sessions": f"WITH s AS ({FEEDBACK_SQL['t2_typing_sessions']}) SELECT * FROM s WHERE last_us + 6 * 3600000000 <= {EVENTS_WM}",
+    "t1_stream_keystrokes": FEEDBACK_SQL["t1_keystrokes_to_tokens"] + f" AND epoch_us(last) <= {EVENTS_WM}",
+    "t4_stream_rules": FEEDBACK_SQL["t4_learn_rules"].replace("FROM events)", f"FROM events WHERE epoch_us(ts) <= {EVENTS_WM})", 1),
+    "t6_stream_alternation": f"SELECT * EXCLUDE last_us FROM ({feedback_queries.ALTERNATION}) WHERE last_us + 6 * 3600000000 <= {EVENTS_WM}",
     "t7_stream_profile": f"WITH {feedback_queries.FEEDBACK} SELECT prefix3, last_lang, accepted, reverted FROM st",
-    "t3_stream_context_boost": context_queries.SQL["w4_context_boost"] + " QUALIFY lead(seq) OVER (PARTITION BY stream_id ORDER BY seq) IS NOT NULL",
+    "t3_stream_context_boost": f"""WITH wm AS (SELECT max(ts) - 10 AS wm FROM ({context_queries.TOKENS_ONLY})), w4 AS ({context_queries.SQL["w4_context_boost"]}), tk AS ({context_queries.TOKENS_ONLY}),
+      nx AS (SELECT *, lead(ts) OVER (PARTITION BY stream_id ORDER BY seq) AS next FROM tk)
+      SELECT stream_id, seq, decision FROM nx JOIN w4 USING (stream_id, seq), wm
+      WHERE ts <= wm AND (decision = 'applied' OR NOT (confidence >= 0.40 OR lower(token) IN ('f', 'd', 'r', 'j', 'e', 'b', 'z')) OR next <= wm OR ts + 5 <= wm)""",
 }

@@ -1,4 +1,12 @@
-"""Streams with state for each user. Each has a batch twin that gives the same rows on the same input."""
+"""Streams with state for each key. Each has a batch twin that gives the same rows on the same input.
+
+Folds over a key's rows need them in order, but rows come in any order within
+the lateness. So rows wait in the state until the watermark has passed them; an
+event-time timer then folds those that are due, in the order of (time, seq).
+The outcome depends on the rows alone, not on how batches cut them or on
+restarts. A chunk of a batch goes to the state as it comes; what waits is
+bounded by what a key gets within the lateness, once the stream is caught up.
+"""
 
 from __future__ import annotations
 
@@ -9,123 +17,212 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..config import DEFAULT, Thresholds
+from ..operators import feedback as B
+
 #: Rows later than this are dropped.
 LATE = "10 seconds"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class Keystrokes(StatefulProcessor):
-    """Characters gather until white space; backspace removes one; a pause drops the buffer."""
+class InOrder(StatefulProcessor):
+    """Rows (key, ts, us, seq, ...) folded in the order of (us, seq) when the watermark has passed them.
 
-    def __init__(self, gap: float):
-        self.gap = pd.Timedelta(seconds=gap)
+    A subclass says what waits and what is known, and folds: ``step`` gives the
+    next state and output rows for a row, ``due`` when a state expires by itself,
+    ``expire`` what comes out then. A state of None is forgotten.
+    """
+
+    waiting = known = ""
+    columns: tuple[str, ...] = ()
+
+    def step(self, state, row) -> tuple:
+        raise NotImplementedError
+
+    def due(self, state) -> int | None:
+        return None
+
+    def expire(self, state) -> tuple:
+        return None, []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("buffer", "buffer string, last timestamp, seq long")
+        self.handle = handle
+        self.rows = handle.getListState("rows", f"us long, seq long, {self.waiting}")
+        self.state = handle.getValueState("state", self.known)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        buffer, last, seq = self.state.get() if self.state.exists() else ("", None, 0)
-        out = []
-        for row in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples():
-            if last is not None and pd.Timestamp(row.ts) - pd.Timestamp(last) > self.gap:
-                buffer = ""
-            if row.is_backspace:
-                buffer = buffer[:-1]
-            elif row.ch.isspace():
-                if buffer:
-                    seq += 1
-                    out.append((key[0], seq, buffer))
-                buffer = ""
-            else:
-                buffer += row.ch
-            last = row.ts
-        self.state.update((buffer, pd.Timestamp(last).to_pydatetime(), seq))
-        yield pd.DataFrame(out, columns=["user_id", "seq", "token"])
+        for chunk in rows:
+            chunk = chunk.drop(columns=[chunk.columns[0], "ts"]).astype(object)
+            chunk = chunk.where(chunk.notna(), None)
+            self.rows.appendList(list(chunk.itertuples(index=False, name=None)))
+            self._wake(int(chunk["us"].min()))
+        yield pd.DataFrame([], columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        before = state = tuple(self.state.get()) if self.state.exists() else None
+        ready, out, later = [], [], []
+        for row in self.rows.get() if self.rows.exists() else ():
+            (ready if row[0] <= now else later).append(tuple(row))
+        for row in sorted(ready, key=lambda r: r[:2]):
+            state, made = self._expired(state, row[0])
+            out += made
+            state, made = self.step(state, row)
+            out += made
+        state, made = self._expired(state, now + 1)
+        out += made
+        if ready:
+            self.rows.put(later) if later else self.rows.clear()
+        if state is None:
+            self.state.clear()
+        elif state != before:
+            self.state.update(state)
+        if later:
+            self._wake(min(r[0] for r in later))
+        if state is not None and self.due(state) is not None:
+            self._wake(self.due(state))
+        yield pd.DataFrame([(key[0], *row) for row in out], columns=self.columns)
+
+    def _expired(self, state, now: int) -> tuple:
+        """The state and what comes out of it if it has expired before ``now``."""
+        if state is not None and self.due(state) is not None and self.due(state) < now:
+            return self.expire(state)
+        return state, []
+
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(-(-us // 1000))
 
     def close(self) -> None:
         pass
 
 
-class Rules(StatefulProcessor):
-    """The rule of each token after every batch of feedback."""
+class Keystrokes(InOrder):
+    """Characters gather until white space; backspace removes one, after select-all all; a pause drops the buffer."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("rule", "action string, hyp string, reject long, apply long, override long")
+    waiting, known, columns = "ch string, is_backspace boolean, ends boolean, selects boolean", "buffer string, unknown boolean, last long, selected long, seq long", ("user_id", "seq", "token")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        action, hyp, reject, apply, override = self.state.get() if self.state.exists() else (None, None, 0, 0, 0)
-        for row in pd.concat(list(rows)).sort_values(["ts", "seq"]).itertuples():
-            if row.event == "reject":
-                reject += 1
-                if action != "keepAsIs" and reject >= 2:
-                    action, hyp = "keepAsIs", None
-            elif row.event == "apply":
-                apply += 1
-                if action != "keepAsIs":
-                    action, hyp = "preferHypothesis", row.hyp
-            elif row.event == "override" and action is not None:
-                override += 1
-                if override >= 2:
-                    action, hyp, reject, apply, override = None, None, 0, 0, 0
-        self.state.update((action, hyp, reject, apply, override))
-        yield pd.DataFrame([(key[0], action, hyp, reject, apply, override)], columns=["token", "action", "hyp", "reject", "apply", "override"])
+    def __init__(self, gap: float):
+        self.gap = int(gap * 1e6)
 
-    def close(self) -> None:
-        pass
+    def step(self, state, row) -> tuple:
+        us, _, ch, erases, ends, selects = row
+        buffer, unknown, last, selected, seq = state or ("", False, None, None, 0)
+        (buffer, unknown), selected, token = B.keystroke(buffer, unknown, last is not None and us - last > self.gap, us, selected, ch, erases, ends, selects)
+        seq += token is not None
+        return (buffer, unknown, us, selected, seq), [] if token is None else [(seq, token)]
 
 
-class ContextBoost(StatefulProcessor):
-    """One waiting word a stream: the next word of the sentence decides on it, within the timeout."""
+class Rules(InOrder):
+    """The rule of each token after every event that is due; look-ups refresh it."""
 
-    def __init__(self, limit: float, least: float, boost: float, timeout: float):
-        self.limit, self.least, self.boost, self.timeout = limit, least, boost, timeout
+    waiting, known = "event string, hyp string", "action string, hyp string, reject long, apply long, override long, touched long, touched_seq long"
+    columns = ("token", "action", "hyp", "reject", "apply", "override", "touched", "touched_seq")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("pending", "seq long, ts double, token string, lang string, confidence double, ends boolean")
+    def step(self, state, row) -> tuple:
+        us, seq, event, named = row
+        rule, at = (state[:5], state[5:]) if state else (B.NO_RULE, (None, None))
+        rule, touches = B.rule_after(rule, event, named)
+        state = (*rule, *((us, seq) if touches else at))
+        return state, [state]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        out = []
-        for row in pd.concat(list(rows)).sort_values("seq").itertuples():
-            if held is not None:
-                seq, ts, token, lang, confidence, ends = held
-                soon = row.ts - ts <= self.timeout and row.ts - ts <= 2.0 and not ends
-                decision = None
-                if confidence > self.limit:
-                    decision = "applied"
-                elif soon and token.lower() in set("fdrjebz") and row.lang == "ru":
-                    decision = "preposition"
-                elif soon and confidence >= self.least and row.confidence > self.limit and row.lang == lang and confidence + self.boost > self.limit:
-                    decision = "boosted"
-                out.append((key[0], seq, decision))
-            held = (int(row.seq), float(row.ts), row.token, row.lang, float(row.confidence), bool(row.ends))
-        self.state.update(held)
-        yield pd.DataFrame(out, columns=["stream_id", "seq", "decision"])
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for made in super().handleExpiredTimer(key, timerValues, expiredTimerInfo):
+            yield made.tail(1)  # one row a token and batch
 
-    def close(self) -> None:
-        pass
 
+class ContextBoost(InOrder):
+    """One waiting word a stream: the next word of the sentence decides on it, or it expires."""
+
+    waiting, known = "token string, lang string, confidence double, ends boolean", "us long, seq long, token string, lang string, confidence double, ends boolean"
+    columns = ("stream_id", "seq", "decision")
+
+    def __init__(self, th: Thresholds, limit: float, pause: float):
+        self.limit, self.least, self.boost = limit, th.pending_min, th.context_boost
+        self.timeout, self.soon = int(th.pending_timeout * 1e6), int(min(th.pending_timeout, pause) * 1e6)
+
+    def due(self, state) -> int:
+        return state[0] + self.timeout
+
+    def expire(self, state) -> tuple:
+        return None, [(state[1], None)]
+
+    def step(self, state, row) -> tuple:
+        us, seq, token, lang, confidence, ends = row
+        sure, out = (confidence or 0.0) > self.limit, []
+        if state is not None:
+            was, held, text, target, level, ended = state
+            soon, decision = us - was <= self.soon and not ended, None
+            if soon and (text or "").lower() in B.PREPOSITION_KEYS and lang == "ru":
+                decision = "preposition"
+            elif soon and level is not None and level >= self.least and sure and lang is not None and lang == target and level + self.boost > self.limit:
+                decision = "boosted"
+            out.append((held, decision))
+        if sure:
+            return None, [*out, (seq, "applied")]
+        if (token or "").lower() in B.PREPOSITION_KEYS or (confidence is not None and confidence >= self.least):
+            return (us, seq, token, lang, confidence, bool(ends)), out
+        return None, [*out, (seq, None)]
+
+
+class Alternation(InOrder):
+    """A session of alternation presses: where the choice stands, and what the session teaches when it ends."""
+
+    waiting, known = "automatic boolean, choices long", "start long, last long, automatic boolean, choices long, presses long"
+    columns = ("user_id", "start_us", "automatic", "last_index", "presses", "event")
+
+    def __init__(self, gap: float):
+        self.gap = int(gap * 1e6)
+
+    def due(self, state) -> int:
+        return state[1] + self.gap
 
-def _rocks(df: DataFrame) -> None:
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    def expire(self, state) -> tuple:
+        start, _, automatic, choices, presses = state
+        index = B.position_after(presses, automatic, choices)
+        return None, [(start, automatic, index, presses, B.lesson(index, automatic))]
 
+    def step(self, state, row) -> tuple:
+        us, _, automatic, choices = row
+        if state is None:
+            return (us, us, bool(automatic), choices, 1), []
+        start, _, automatic, most, presses = state
+        return (start, us, automatic, max((x for x in (most, choices) if x is not None), default=None), presses + 1), []
 
-def keystrokes_to_tokens(stream: DataFrame, gap: float = 2.0) -> DataFrame:
-    """(user_id, seq, token) of a stream of (user_id, ts, seq, ch, is_backspace)."""
-    _rocks(stream)
-    return stream.groupBy("user_id").transformWithStateInPandas(Keystrokes(gap), "user_id long, seq long, token string", "Append", "None")
 
+def _in_order(stream: DataFrame, key: str, fold: InOrder, schema: str, late: str) -> DataFrame:
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    names = [f.split()[0] for f in fold.waiting.split(", ")]
+    rows = stream.withWatermark("ts", late).select(key, "ts", F.unix_micros("ts").alias("us"), "seq", *names)
+    return rows.groupBy(key).transformWithStateInPandas(fold, schema, "Append", "EventTime")
 
-def learn_rules(stream: DataFrame) -> DataFrame:
-    """(token, action, hyp, reject, apply, override) of a stream of (token, ts, seq, event, hyp), a row per token and batch."""
-    _rocks(stream)
-    return stream.groupBy("token").transformWithStateInPandas(Rules(), "token long, action string, hyp string, reject long, apply long, override long", "Update", "None")
 
+def keystrokes_to_tokens(stream: DataFrame, gap: float = 2.0, late: str = LATE) -> DataFrame:
+    """(user_id, seq, token) of a stream of (user_id, ts, seq, ch, is_backspace) and, if there is one, selects_all."""
+    selects = F.coalesce("selects_all", F.lit(False)) if "selects_all" in stream.columns else F.lit(False)
+    keys = stream.withColumns({"ends": F.coalesce(B.is_space("ch"), F.lit(False)), "selects": selects, "is_backspace": F.coalesce("is_backspace", F.lit(False))})
+    return _in_order(keys, "user_id", Keystrokes(gap), "user_id long, seq long, token string", late)
 
-def context_boost(stream: DataFrame, limit: float = 0.45, least: float = 0.40, boost: float = 0.20, timeout: float = 5.0) -> DataFrame:
-    """(stream_id, seq, decision) of a stream of (stream_id, seq, ts, token, lang, confidence, ends); the last word of a stream waits for the next."""
-    _rocks(stream)
-    return stream.groupBy("stream_id").transformWithStateInPandas(ContextBoost(limit, least, boost, timeout), "stream_id long, seq long, decision string", "Append", "None")
+
+def learn_rules(stream: DataFrame, late: str = LATE) -> DataFrame:
+    """(token, action, hyp, reject, apply, override, touched, touched_seq) of a stream of (token string, ts, seq, event, hyp): a row for a token whenever events of it are due."""
+    schema = "token string, action string, hyp string, reject long, apply long, override long, touched long, touched_seq long"
+    return _in_order(stream, "token", Rules(), schema, late)
+
+
+def context_boost(stream: DataFrame, th: Thresholds = DEFAULT, limit: float | None = None, pause: float = 2.0, late: str = LATE) -> DataFrame:
+    """(stream_id, seq, decision) of a stream of (stream_id, seq, ts, token, lang, confidence, ends).
+
+    A sure word is applied as soon as the watermark has passed it. One that may
+    be a preposition or is nearly sure waits for the next word of the sentence,
+    ``pending_timeout`` seconds at most.
+    """
+    fold = ContextBoost(th, th.correction if limit is None else limit, pause)
+    return _in_order(stream, "stream_id", fold, "stream_id long, seq long, decision string", late)
+
+
+def alternation_events(stream: DataFrame, gap: float = 60.0, late: str = LATE) -> DataFrame:
+    """(user_id, start_us, automatic, last_index, presses, event) of closed sessions of a stream of (user_id, ts, seq, automatic, choices)."""
+    return _in_order(stream, "user_id", Alternation(gap), "user_id long, start_us long, automatic boolean, last_index long, presses long, event string", late)
 
 
 def stream_profile(stream: DataFrame) -> DataFrame:
@@ -139,23 +236,73 @@ def typing_sessions(stream: DataFrame, gap: str, late: str = LATE) -> DataFrame:
     return out.select("user_id", F.col("w.start").alias("start"), "last", "events")
 
 
+def _run(stream: DataFrame, folder: str, mode: str, sink) -> None:
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
+    query.awaitTermination()
+
+
 def run_to_table(stream: DataFrame, folder: str, mode: str) -> DataFrame:
     """Runs a stream over what is there now into a Parquet table and returns it; each batch replaces itself when it is run again."""
+    _run(stream, folder, mode, lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}"))
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def run_to_rules(stream: DataFrame, folder: str, most: int = 500) -> DataFrame:
+    """Runs a stream of ``learn_rules`` over what is there now; returns the ``most`` rules that were used last.
+
+    Each batch writes a new version of the table from the version before, a row a
+    token and ``most`` rules at most, so that a batch that is run again gives the
+    same one. The version before stays, older ones go.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+
+    def version(number: int) -> str:
+        return f"{folder}/rules/version={number}"
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        before = spark.read.schema(schema).parquet(version(number - 1)) if number else spark.createDataFrame([], schema)
+        newest = batch.unionByName(before.join(batch.select("token"), "token", "left_anti"))
+        kept = newest.where("action is not null").orderBy(F.desc("touched"), F.desc("touched_seq"), "token").limit(most)
+        kept.write.mode("overwrite").parquet(version(number))
+        _delete(spark, version(number - 2))
+
+    _run(stream, folder, "append", sink)
+    last = _latest(spark, f"{folder}/rules")
+    return spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).parquet(version(last))
+
+
+def _store(spark, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+def _delete(spark, path: str) -> None:
+    store, at = _store(spark, path)
+    store.delete(at, True)
+
+
+def _latest(spark, folder: str) -> int | None:
+    """The highest N of the folders version=N."""
+    store, at = _store(spark, folder)
+    names = [f.getPath().getName() for f in store.listStatus(at)] if store.exists(at) else []
+    return max((int(n.partition("=")[2]) for n in names if n.startswith("version=")), default=None)
 
 
 def stream_decisions(tokens: DataFrame, decide, folder: str) -> DataFrame:
-    """Decides each batch of a token stream by the batch job ``decide`` and appends the outcome."""
+    """Decides each batch of a stream of (token) by the batch job ``decide`` and appends the outcome; a token is decided once.
 
-    def sink(batch: DataFrame, number: int) -> None:
-        decide(batch).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+    A table holds the tokens of each batch. Tokens that an earlier batch decided
+    are left out, so a batch that is run again decides the same ones.
+    """
+    spark, decided = tokens.sparkSession, f"{folder}/tokens"
 
-    query = tokens.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(sink).start()
-    query.awaitTermination()
-    return tokens.sparkSession.read.parquet(f"{folder}/out").drop("batch")
+    def sink(batch: DataFrame, number: int) -> None:
+        new = batch.select("token").where("token is not null").distinct()
+        if number:
+            before = spark.read.schema("token string, batch long").parquet(decided).where(F.col("batch") < number)
+            new = new.join(before.select("token"), "token", "left_anti")
+        new.write.mode("overwrite").parquet(f"{decided}/batch={number}")
+        decide(spark.read.schema("token string").parquet(f"{decided}/batch={number}")).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    _run(tokens, folder, "append", sink)
+    return spark.read.parquet(f"{folder}/out").drop("batch")
