@@ -2,50 +2,80 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Thresholds
 from ..functions import layouts as L
 from ..functions import text as T
+from ..sources.scratch import kept
+from . import blocks as S
 
 
-def _stream(by: str, order) -> Window:
-    return Window.partitionBy(by).orderBy(*order)
+def _keys(by: str | Sequence[str]) -> tuple[str, ...]:
+    return (by,) if isinstance(by, str) else tuple(by)
 
 
-def sentence_ids(tokens: DataFrame, by: str = "stream_id", order=("seq",), pause: float = 2.0) -> DataFrame:
+def sentence_ids(tokens: DataFrame, by: str = "stream_id", order=("seq",), pause: float = 2.0, parts: int | None = None) -> DataFrame:
     """``tokens`` with sentence: counted up after a token that ends one and after a pause (``ts`` in seconds)."""
-    w = _stream(by, order)
-    new = F.coalesce(F.lag("token").over(w).rlike(r"[.!?][\p{P}]*$"), F.lit(False)) | F.coalesce(F.col("ts") - F.lag("ts").over(w) > pause, F.lit(False))
-    return tokens.withColumn("__new", new.cast("long")).withColumn("sentence", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
-
-
-def last_language(tokens: DataFrame, by: str = "stream_id", order=("seq",)) -> DataFrame:
+    keys = _keys(by)
+    rows, at = S.dealt(tokens, keys, order, parts), F.struct(*order)
+    ends = F.coalesce(F.col("token").rlike(r"[.!?][\p{P}]*$"), F.lit(False))
+    edge = F.struct(ends.alias("ends"), F.col("ts").alias("ts"))
+    last = S.summaries(rows, keys, F.max_by(edge, at).alias("__edge")).withColumn("__edge", F.lag("__edge").over(S.along(keys)))
+    before = F.coalesce(F.lag(edge).over(S.inside(keys, order)), F.col("__edge"))
+    new = F.coalesce(before["ends"], F.lit(False)) | F.coalesce(F.col("ts") - before["ts"] > pause, F.lit(False))
+    flagged = S.carried(rows, last, keys).withColumn("__new", new.cast("long")).drop("__edge")
+    local = kept(flagged.withColumn("__local", F.sum("__new").over(S.inside(keys, order).rowsBetween(Window.unboundedPreceding, 0))).drop("__new"), "sentences")
+    earlier = S.along(keys).rowsBetween(Window.unboundedPreceding, -1)
+    sums = S.summaries(local, keys, F.max("__local").alias("__n")).withColumn("__n", F.sum("__n").over(earlier))
+    out = S.carried(local, sums, keys).withColumn("sentence", F.col("__local") + F.coalesce("__n", F.lit(0)))
+    return out.drop("__local", "__n", *_own(tokens))
+
+
+def last_language(tokens: DataFrame, by: str = "stream_id", order=("seq",), parts: int | None = None) -> DataFrame:
     """``tokens`` with last_lang: the target of the latest applied correction before."""
-    before = _stream(by, order).rowsBetween(Window.unboundedPreceding, -1)
-    return tokens.withColumn("last_lang", F.last_value(F.when(F.col("applied"), F.col("lang")), True).over(before))
+    keys = _keys(by)
+    rows, applied = S.dealt(tokens, keys, order, parts), F.when(F.col("applied"), F.col("lang"))
+    latest = S.summaries(rows, keys, F.max_by(applied, F.when(applied.isNotNull(), F.struct(*order))).alias("__lang"))
+    latest = latest.withColumn("__lang", F.last_value("__lang", True).over(S.along(keys).rowsBetween(Window.unboundedPreceding, -1)))
+    here = F.last_value(applied, True).over(S.inside(keys, order).rowsBetween(Window.unboundedPreceding, -1))
+    return S.carried(rows, latest, keys).withColumn("last_lang", F.coalesce(here, "__lang")).drop("__lang", *_own(tokens))
 
 
-def sentence_dominant(tokens: DataFrame, by: str = "stream_id", order=("seq",), threshold: float = DEFAULT.correction) -> DataFrame:
+def sentence_dominant(tokens: DataFrame, by: str = "stream_id", order=("seq",), threshold: float = DEFAULT.correction, parts: int | None = None) -> DataFrame:
     """``tokens`` with sentence_lang, the first confident language so far, and agreeing, how many confident words are of it."""
-    sure = F.when(F.col("confidence") > threshold, F.col("lang"))
-    so_far = Window.partitionBy(by, "sentence").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = tokens.withColumn("__sure", sure).withColumn("sentence_lang", F.first_value("__sure", True).over(so_far))
-    whole = Window.partitionBy(by, "sentence").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    same = F.coalesce(F.col("__sure") == F.first_value("__sure", True).over(whole), F.lit(False)).cast("long")
-    return out.withColumn("__same", same).withColumn("agreeing", F.sum("__same").over(so_far)).drop("__sure", "__same")
+    keys = (*_keys(by), "sentence")
+    rows = S.dealt(tokens, _keys(by), order, parts).withColumn("__sure", F.when(F.col("confidence") > threshold, F.col("lang")))
+    counted = S.summaries(rows, keys, F.min_by("__sure", F.when(F.col("__sure").isNotNull(), F.struct(*order))).alias("__first"))
+    earlier = S.along(keys).rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("__own", F.first_value("__first", True).over(S.along(keys).rowsBetween(Window.unboundedPreceding, 0)))
+    # how often each block has the language that leads by then; a later block has the same one
+    led = S.carried(rows, counted.select(*keys, S.BLOCK, "__own"), keys).where(F.col("__sure") == F.col("__own")).groupBy(*keys, S.BLOCK).agg(F.count("*").alias("__n"))
+    carries = counted.join(led, [*keys, S.BLOCK], "left").select(
+        *keys, S.BLOCK, F.first_value("__first", True).over(earlier).alias("__lead"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n")
+    )
+    so_far = S.inside(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    out = S.carried(rows, carries, keys).withColumn("sentence_lang", F.coalesce("__lead", F.first_value("__sure", True).over(so_far)))
+    same = F.coalesce(F.col("__sure") == F.col("sentence_lang"), F.lit(False)).cast("long")
+    out = out.withColumn("__same", same).withColumn("agreeing", F.coalesce("__n", F.lit(0)) + F.sum("__same").over(so_far))
+    return out.drop("__sure", "__same", "__lead", "__n", *_own(tokens))
 
 
-def context_boost(tokens: DataFrame, by: str = "stream_id", order=("seq",), th: Thresholds = DEFAULT, threshold: float | None = None) -> DataFrame:
+def context_boost(tokens: DataFrame, by: str = "stream_id", order=("seq",), th: Thresholds = DEFAULT, threshold: float | None = None, parts: int | None = None) -> DataFrame:
     """``tokens`` with decision: applied, boosted by the next word, preposition before a Russian word, or null.
 
     A word below the threshold waits if it is sure enough or may be a one-letter
     preposition; the next word of the sentence decides within the timeout.
     """
     limit = th.correction if threshold is None else threshold
-    w = Window.partitionBy(by, "sentence").orderBy(*order)
-    following, sure, ts = F.lead("lang").over(w), F.lead("confidence").over(w), F.lead("ts").over(w)
+    keys = (*_keys(by), "sentence")
+    rows, edge = S.dealt(tokens, _keys(by), order, parts), F.struct("lang", "confidence", "ts")
+    nexts = S.summaries(rows, keys, F.min_by(edge, F.struct(*order)).alias("__next")).withColumn("__next", F.lead("__next").over(S.along(keys)))
+    rows = S.carried(rows, nexts, keys).withColumn("__next", F.coalesce(F.lead(edge).over(S.inside(keys, order)), F.col("__next")))
+    following, sure, ts = (F.col(f"__next.{c}") for c in ("lang", "confidence", "ts"))
     soon = ts - F.col("ts") <= th.pending_timeout
     prep = F.lower("token").isin(list("fdrjebz"))
     decision = (
@@ -53,7 +83,12 @@ def context_boost(tokens: DataFrame, by: str = "stream_id", order=("seq",), th:
         .when(soon & prep & (following == "ru"), "preposition")
         .when(soon & (F.col("confidence") >= th.pending_min) & (sure > limit) & (following == F.col("lang")) & (F.col("confidence") + th.context_boost > limit), "boosted")
     )
-    return tokens.withColumn("decision", decision)
+    return rows.withColumn("decision", decision).drop("__next", *_own(tokens))
+
+
+def _own(tokens: DataFrame) -> tuple[str, ...]:
+    """The block column, if it isn't the caller's."""
+    return () if S.BLOCK in tokens.columns else (S.BLOCK,)
 
 
 def dominant_override(tokens: DataFrame, least: int = 2) -> DataFrame:

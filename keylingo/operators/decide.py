@@ -372,18 +372,23 @@ def model_correction(scored: DataFrame, predictions: DataFrame, baseline: float
     return scored.join(seen, "token").select("token", made.alias("m")).where("m is not null").select("token", "m.*")
 
 
+def rule_key(token: Column) -> Column:
+    """What rules are looked up by: the token without white space and line ends around it, in lower case."""
+    return F.lower(F.regexp_replace(token, r"(?U)^\s+|\s+$", ""))
+
+
 def apply_rules(tokens: DataFrame, rules: DataFrame, automatic: bool = True, active=ACTIVE) -> DataFrame:
     """``tokens`` with rule: struct(path, hyp, lang, confidence, text) where a dictionary rule (token, action, hyp) decides, else null.
 
-    Rules are looked up by the trimmed token in lower case. ``keepAsIs`` keeps the
+    Rules are looked up by the trimmed token in lower case, on either side. ``keepAsIs`` keeps the
     token, in automatic mode only; ``preferHypothesis`` converts it if that
     changes it; ``none`` and ``preferLanguage`` decide nothing. Of several rules
     of a token the greatest by (action, hyp) counts. Scope and match mode don't
     matter for the lookup.
     """
     token = F.col("token")
-    known = rules.where("token is not null").groupBy(F.col("token").alias("__rule")).agg(F.max(F.struct("action", "hyp")).alias("__r"))
-    out = tokens.join(known, F.lower(F.trim("token")) == F.col("__rule"), "left")
+    known = rules.where("token is not null").groupBy(rule_key(F.col("token")).alias("__rule")).agg(F.max(F.struct("action", "hyp")).alias("__r"))
+    out = tokens.join(known, rule_key(token) == F.col("__rule"), "left")
     keeps = F.col("__r.action") == "keepAsIs"
     script = F.coalesce(T.dominant_script(token), F.lit("en"))
     converted, target = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -400,8 +405,8 @@ def apply_rules(tokens: DataFrame, rules: DataFrame, automatic: bool = True, act
 
 def override_events(tokens: DataFrame, rules: DataFrame) -> DataFrame:
     """(token, event) for every token that a user corrects by hand although a rule keeps it: overrides, from which rules are unlearned."""
-    kept = rules.where("action = 'keepAsIs'").select(F.col("token").alias("__rule")).distinct()
-    return tokens.join(kept, F.lower(F.trim("token")) == F.col("__rule"), "left_semi").select("token", F.lit("override").alias("event"))
+    kept = rules.where("action = 'keepAsIs'").select(rule_key(F.col("token")).alias("__rule")).distinct()
+    return tokens.join(kept, rule_key(F.col("token")) == F.col("__rule"), "left_semi").select("token", F.lit("override").alias("event"))
 
 
 def preposition_map(tokens: DataFrame, dim: DataFrame, col: str = "token") -> DataFrame:

@@ -26,7 +26,7 @@ def class_report(df: DataFrame, group: str, each: float = 0.6, overall: float =
 def failure_samples(df: DataFrame, group: str, key: str, n: int = 12, expected: str = "expected", predicted: str = "predicted") -> DataFrame:
     """The first n failing rows of each group."""
     wrong = df.where(~F.coalesce(F.col(expected) == F.col(predicted), F.lit(False)))
-    return wrong.withColumn("at", F.row_number().over(Window.partitionBy(group).orderBy(key)).cast("long")).where(F.col("at") <= n)
+    return wrong.withColumn("at", F.row_number().over(Window.partitionBy(group).orderBy(key))).where(F.col("at") <= n).withColumn("at", F.col("at").cast("long"))
 
 
 def case_summary(results: DataFrame, category: str = "category", slow: float = 0.05) -> DataFrame:

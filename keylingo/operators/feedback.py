@@ -108,7 +108,7 @@ def adjust_confidence(decisions: DataFrame, profile: DataFrame, least: int = 3,
 
 def recent_history(corrections: DataFrame, n: int = 50, by: str = "user_id", order=("ts", "event_id")) -> DataFrame:
     newest = Window.partitionBy(by).orderBy(*(F.desc(c) for c in order))
-    return corrections.withColumn("at", F.row_number().over(newest).cast("long")).where(F.col("at") <= n)
+    return corrections.withColumn("at", F.row_number().over(newest)).where(F.col("at") <= n).withColumn("at", F.col("at").cast("long"))
 
 
 def retain_latest(log: DataFrame, n: int = 10_000, order=("ts", "event_id")) -> DataFrame:

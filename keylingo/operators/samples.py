@@ -26,7 +26,7 @@ def sample_words(words: DataFrame, n: int, mode: str = "uniform", seed: int = 42
     """(lang, word, at): n words of 2 to 19 letters of each language, uniform by digest or the first by name."""
     usable = words.select("lang", "word").where(F.length("word").between(2, 19)).distinct()
     order = (draw(F.col("word"), seed, "sample"), F.col("word")) if mode == "uniform" else (F.col("word"),)
-    return usable.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("at") <= n)
+    return usable.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("at") <= n).withColumn("at", F.col("at").cast("long"))
 
 
 def make_samples(words: DataFrame, n: int, seed: int = 42, balance: float = 0.5, max_words: int = 3, focus: str | None = None, layouts=L.LAYOUTS) -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..operators import cleaning as C
 from ..operators import context as K
 from ..operators import models as M
+from ..operators.blocks import dealt
 from .common import DOCS, documents, sql_translate, table
 from .model_queries import LEXICON, training
 
@@ -35,7 +36,7 @@ def tokens(spark, d, conversations: DataFrame | None = None) -> DataFrame:
 
 
 def _with_sentences(spark, d) -> DataFrame:
-    return K.sentence_ids(tokens(spark, d))
+    return K.sentence_ids(dealt(tokens(spark, d), ("stream_id",), ("seq",)))
 
 
 def w1_sentence_ids(spark, d):
