@@ -54,7 +54,7 @@ def sentence_dominant(tokens: DataFrame, by: str = "stream_id", order=("seq",),
     counted = counted.withColumn("__own", F.first_value("__first", True).over(S.along(keys).rowsBetween(Window.unboundedPreceding, 0)))
     # how often each block has the language that leads by then; a later block has the same one
     led = S.carried(rows, counted.select(*keys, S.BLOCK, "__own"), keys).where(F.col("__sure") == F.col("__own")).groupBy(*keys, S.BLOCK).agg(F.count("*").alias("__n"))
-    carries = counted.join(led, [*keys, S.BLOCK], "left").select(
+    carries = S.carried(counted, led, keys).select(
         *keys, S.BLOCK, F.first_value("__first", True).over(earlier).alias("__lead"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n")
     )
     so_far = S.inside(keys, order).rowsBetween(Window.unboundedPreceding, 0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import blocks as S
+
 
 #: No key is this one.
 _NOBODY = object()
@@ -120,24 +124,41 @@ def exclude_apps(events: DataFrame, excluded: DataFrame, col: str = "app") -> Da
     return events.join(excluded, col, "left_anti")
 
 
-def debounce(events: DataFrame, gap: float = 0.5, by: str = "user_id") -> DataFrame:
-    """(by, event_id, ts) of triggers at least ``gap`` seconds after the last one that was let through."""
+def debounce(events: DataFrame, gap: float = 0.5, by: str = "user_id", parts: int | None = None) -> DataFrame:
+    """(by, event_id, ts) of triggers at least ``gap`` seconds after the last one that was let through; those without a time pass.
+
+    A long history is in many tasks: which trigger of a block is let through last
+    follows from which is first, and that is one within the first gap of the
+    block, or the one after.
+    """
     least = int(gap * 1e6)
 
-    def run(batches):
-        user, last = _NOBODY, None
-        for batch in batches:
-            passes = []
-            for by_, micros in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if by_ != user:
-                    user, last = by_, None
-                passes.append(last is None or micros - last >= least)
-                if passes[-1]:
-                    last = micros
-            yield batch.filter(pa.array(passes, pa.bool_())).select([0, 1, 2])
+    def summary(rows):
+        times = array("q", (us for *_, us, _ in rows if us is not None))
+        last, after = array("q", times), len(times)
+        for n in range(len(times) - 1, -1, -1):
+            while after > n + 1 and times[after - 1] - times[n] >= least:
+                after -= 1
+            if after < len(times) and times[after] - times[n] >= least:
+                last[n] = last[after]
+        upto = bisect_left(times, times[0] + least) + 1 if times else 0
+        return list(times[:upto]), list(last[:upto])
+
+    def carry(state, done):
+        first, last = done
+        at = 0 if state is None or state[0] is None else bisect_left(first, state[0] + least)
+        return (last[at],) if at < len(first) else state
+
+    def run(state, rows):
+        last = state[0] if state else None
+        for of, number, ts, us, *_ in rows:
+            if us is None or last is None or us - last >= least:
+                last = last if us is None else us
+                yield of, number, ts
 
     rows = events.select(by, "event_id", "ts", F.unix_micros("ts").alias("__us"))
-    return _in_order(rows, by, ("ts", "event_id"), run, events.select(by, "event_id", "ts").schema)
+    placed = S.dealt(rows, (by,), ("ts", "event_id"), parts)
+    return S.folded(placed, by, ("ts", "event_id"), summary, "first array<bigint>, last array<bigint>", carry, "last bigint", run, events.select(by, "event_id", "ts").schema)
 
 
 def typing_sessions(events: DataFrame, gap: str = "2 seconds", by: str = "user_id") -> DataFrame:
@@ -229,31 +250,61 @@ def alternation_replay(presses: DataFrame, by: str = "session_id", choices: str
     return counted.select(by, positions.alias("positions"))
 
 
-def keystrokes_to_tokens(keys: DataFrame, gap: float = 2.0, by: str = "user_id") -> DataFrame:
+def keystrokes_to_tokens(keys: DataFrame, gap: float = 2.0, by: str = "user_id", parts: int | None = None) -> DataFrame:
     """(by, seq, token) of (by, ts, seq, ch, is_backspace) and, if there is one, selects_all: the batch twin of the stream job.
 
     Characters gather until white space; backspace removes one, or all right after
     select-all; after a pause longer than the gap the buffer is dropped. A token
     with an unknown character is none.
+
+    A long history is in many tasks: what a block leaves behind doesn't depend on
+    what came before it, from its first white space on that no select-all before
+    it can reach. Only the keys up to there are gone through again.
     """
     limit = int(gap * 1e6)
-
-    def run(batches):
-        user, state, last, selected, seq = _NOBODY, ("", False), None, None, 0
-        for batch in batches:
-            out = []
-            for of, us, *key in zip(*(batch.column(c).to_pylist() for c in (0, 2, 4, 5, 6, 7)), strict=True):
-                if of != user:
-                    user, state, last, selected, seq = of, ("", False), None, None, 0
-                state, selected, token = keystroke(*state, last is not None and us is not None and us - last > limit, us, selected, *key)
-                if token is not None:
-                    seq += 1
-                    out.append((of, seq, token))
-                last = us
-            kinds = (batch.schema.field(0).type, pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], kind) for n, kind in enumerate(kinds)], [by, "seq", "token"])
-
+    fresh = ("", False, None, None)
+
+    def pressed(state: tuple, key: tuple) -> tuple[tuple, str | None]:
+        """The state (buffer, unknown, last, selected) after a key, and the token that ends."""
+        buffer, unknown, last, selected = state
+        us = key[0]
+        (buffer, unknown), selected, token = keystroke(buffer, unknown, last is not None and us is not None and us - last > limit, us, selected, *key[1:])
+        return (buffer, unknown, us, selected), token
+
+    def summary(rows):
+        head, first, state, n = [], None, None, 0
+        for _, _, us, _, *key, _ in rows:
+            if state is not None:
+                state, token = pressed(state, (us, *key))
+                n += token is not None
+                continue
+            head.append((us, *key))
+            first = us if first is None else first
+            if key[2] and not key[1] and not key[3] and us is not None and us - first >= SELECTED_FOR:
+                state = ("", False, us, None)
+        return (head, state is not None, *(state or fresh), n)
+
+    def carry(state, done):
+        head, known, *after, n = done
+        now, seq = (state[:4], state[4]) if state else (fresh, 0)
+        for key in head:
+            now, token = pressed(now, tuple(key.values()))
+            seq += token is not None
+        return (*(after if known else now), seq + n)
+
+    def run(state, rows):
+        now, seq = (state[:4], state[4]) if state else (fresh, 0)
+        for of, _, us, _, *key, _, _ in rows:
+            now, token = pressed(now, (us, *key))
+            if token is not None:
+                seq += 1
+                yield of, seq, token
+
+    order = ("ts", "seq", "ch", "is_backspace")
     erases, selects = (F.coalesce(c, F.lit(False)) if c in keys.columns else F.lit(False) for c in ("is_backspace", "selects_all"))
     ends = F.coalesce(is_space("ch"), F.lit(False))
     rows = keys.select(by, "ts", F.unix_micros("ts").alias("__us"), "seq", "ch", erases.alias("is_backspace"), ends.alias("__ends"), selects.alias("__selects"))
-    return _in_order(rows, by, ("ts", "seq", "ch", "is_backspace"), run, T.StructType([rows.schema[by], _field("seq", "bigint"), _field("token", "string")]))
+    placed = S.dealt(rows, (by,), order, parts)
+    kept_state = "buffer string, unknown boolean, last bigint, selected bigint"
+    done = f"head array<struct<us:bigint,ch:string,erases:boolean,ends:boolean,selects:boolean>>, known boolean, {kept_state}, n bigint"
+    return S.folded(placed, by, order, summary, done, carry, f"{kept_state}, seq bigint", run, T.StructType([rows.schema[by], _field("seq", "bigint"), _field("token", "string")]))
