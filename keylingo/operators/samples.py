@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..config import HYPOTHESES
 from ..functions import layouts as L
+from ..sources.scratch import kept
+from .decide import ACTIVE
 
 #: Characters of the classifier's input in code order, from 1.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzабвгдеёжзийклмнопрстуфхцчшщъыьэюяאבגדהוזחטיכךלמםנןסעפףצץקרשת0123456789.,;'[] "
@@ -166,3 +168,112 @@ def synthetic_cases(words: DataFrame, typed_on=("us", "ru", "he"), seed: int = 4
     options = F.array(*(F.struct(F.lit(x).alias("typed_on"), (F.col("intended") if x == "us" else L.convert(F.col("intended"), "us", x)).alias("typed"), F.lit("en" if x == "us" else f"en_from_{x}").alias("expected")) for x in typed_on))
     every = words.select("word", kind.alias("kind"), intended.alias("intended")).withColumn("o", F.explode(options)).select("word", "kind", "intended", "o.*")
     return every.where((F.col("typed_on") == "us") | (F.col("typed") != F.col("intended")))
+
+
+#: Kinds of evaluation cases and their shares of a hundred.
+KINDS = (("short", 20), ("medium", 20), ("informal", 15), ("phrase", 15), ("mixed", 12), ("punctuation", 10), ("informal_punctuation", 8))
+#: Letters of the drawn words of each kind, by slot; 0 to 0 is an informal word.
+SLOTS = {
+    "short": ((2, 3),), "medium": ((4, 8),), "informal": ((0, 0),), "phrase": ((2, 10),) * 6, "mixed": ((0, 0), (3, 8)),
+    "punctuation": ((2, 8), (2, 10), (2, 10)), "informal_punctuation": ((0, 0), (0, 0)),
+}
+#: Shares of a hundred of the bands of ranks, and the ranks of each: (band, share, first, last).
+BANDS = (("head", 50, 1, 4000), ("middle", 35, 20_001, 40_000), ("tail", 15, 150_001, None))
+
+
+def quotas(n: int, shares=KINDS) -> dict[str, int]:
+    """``n`` dealt by shares, whole numbers by the largest remainder, ties to the first."""
+    whole = sum(s for _, s in shares)
+    out = {name: n * s // whole for name, s in shares}
+    rest = sorted(range(len(shares)), key=lambda i: (-(n * shares[i][1] % whole), i))[: n - sum(out.values())]
+    for i in rest:
+        out[shares[i][0]] += 1
+    return out
+
+
+def evaluation_cases(words: DataFrame, informal: DataFrame, n_per_lang: int = 300, seed: int = 42, langs=("en", "ru", "he"), layouts=ACTIVE) -> DataFrame:
+    """(lang, id, kind, typed_on, intended, typed, expected): stratified cases from (lang, word, rank) and informal (lang, word).
+
+    Each language has ``n_per_lang`` intended texts, by kind in exact quotas; the
+    words in them are drawn by band of rank and number of letters, half of them
+    from the head, in exact quotas too. Every text is typed on each language's
+    layout; what typing doesn't change is left out unless it is meant so. A band
+    that a short lexicon doesn't have is the whole lexicon; where no word has the
+    letters, any of the head is taken. A stratum gives as many words as it has to,
+    the first by digest, and begins again when it has fewer. A language without
+    words, or without informal ones where they are asked for, has no such texts.
+    """
+    spark = words.sparkSession
+    upto, kind = 0, F.when(F.lit(False), "")
+    for name, n in quotas(n_per_lang).items():
+        upto += n
+        kind = kind.when(F.col("id") < upto, name)
+    cases = spark.range(n_per_lang).withColumn("kind", kind).withColumn("lang", F.explode(F.array(*map(F.lit, langs))))
+    key = F.concat_ws("/", "lang", "id", "slot")
+    slots = F.lit(None)
+    for name, ranges in SLOTS.items():
+        each = F.array(*(F.struct(F.lit(i).alias("slot"), F.lit(a).alias("least"), F.lit(b).alias("most")) for i, (a, b) in enumerate(ranges)))
+        slots = F.when(F.col("kind") == name, each).otherwise(slots)
+    size = F.when(F.col("kind") == "phrase", draw(F.concat_ws("/", "lang", "id"), seed, "length") % 5 + 2).otherwise(6).cast("int")
+    picks = cases.select("lang", "id", "kind", F.explode(F.slice(slots, F.lit(1), size)).alias("s")).select("lang", "id", "kind", "s.*")
+
+    # exact quotas of bands within (language, letters); informal words have one band
+    stratum = Window.partitionBy("lang", "least", "most")
+    picks = picks.withColumn("p", F.row_number().over(stratum.orderBy(draw(key, seed, "band"), "id", "slot"))).withColumn("m", F.count("*").over(stratum))
+    (head, head_share, *_), (middle, middle_share, *_), (tail, *_) = BANDS
+    band = F.when(F.col("most") == 0, "informal").when(F.col("p") * 100 <= F.col("m") * head_share + 50, head).when(F.col("p") * 100 <= F.col("m") * (head_share + middle_share) + 50, middle).otherwise(tail)
+    picks = picks.withColumn("band", band).withColumn("j", F.row_number().over(Window.partitionBy("lang", "least", "most", "band").orderBy(draw(key, seed, "pick"), "id", "slot")))
+
+    # words of each stratum: as many as are picked at most, so that a task keeps no more than that of a stratum
+    ranges = sorted({r for slots_ in SLOTS.values() for r in slots_ if r != (0, 0)})
+    sizes = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    options = []
+    for name, _, first, last in BANDS:
+        there = F.lit(False)
+        for x in langs:
+            here = F.col("lang") == x
+            there = there | (here & (F.col("rank").between(first, last or 1 << 62) if sizes.get(x, 0) >= first else F.lit(True)))
+        options += [F.when(there & F.length("word").between(a, b), F.struct(F.lit(name).alias("band"), F.lit(a).alias("least"), F.lit(b).alias("most"))) for a, b in ranges]
+        if name == head:
+            options.append(F.when(there, F.struct(F.lit("any").alias("band"), F.lit(0).alias("least"), F.lit(0).alias("most"))))
+    member = F.explode(F.filter(F.array(*options), lambda o: o.isNotNull()))
+    pools = words.where(F.col("lang").isin(*langs)).select("lang", "word", member.alias("o")).select("lang", "word", "o.*")
+    own = informal.where(F.col("lang").isin(*langs) & F.col("word").isNotNull()).select("lang", "word").distinct()
+    pools = pools.unionByName(own.select("lang", "word", F.lit("informal").alias("band"), F.lit(0).alias("least"), F.lit(0).alias("most")))
+    most = n_per_lang * max(map(len, SLOTS.values()))
+    first_by_digest = Window.partitionBy("lang", "band", "least", "most").orderBy(draw(F.col("word"), seed, "word"), "word")
+    pools = pools.withColumn("j", F.row_number().over(first_by_digest)).where(F.col("j") <= most)
+    pools = kept(pools.withColumn("n", F.count("*").over(Window.partitionBy("lang", "band", "least", "most"))), "pools")
+
+    strata = pools.where("j = 1").select("lang", "band", "least", "most", "n")
+    whole_head = strata.where("band = 'any'").select("lang", F.col("n").alias("n_any"))
+    placed = picks.join(strata, ["lang", "band", "least", "most"], "left").join(whole_head, "lang", "left")
+    found = F.col("n").isNotNull() | (F.col("band") == "informal")
+    placed = placed.select(
+        "lang", "id", "kind", "slot", F.when(found, F.col("band")).otherwise("any").alias("band"), F.when(found, F.col("least")).otherwise(0).alias("least"),
+        F.when(found, F.col("most")).otherwise(0).alias("most"), ((F.col("j") - 1) % F.when(found, F.col("n")).otherwise(F.col("n_any")) + 1).alias("j"),
+    )
+    drawn = placed.join(pools.drop("n"), ["lang", "band", "least", "most", "j"], "left")
+    whole = drawn.groupBy("lang", "id", "kind").agg(F.array_sort(F.collect_list(F.struct("slot", "word"))).alias("parts"), F.count_if(F.col("word").isNull()).alias("missing")).where("missing = 0")
+    a, b, c = (F.get("parts", F.lit(i))["word"] for i in range(3))
+    roll = lambda name, sides: draw(F.concat_ws("/", "lang", "id"), seed, name) % sides
+
+    def one_of(name: str, *texts) -> Column:
+        out = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in texts[-1]))
+        for i, parts in reversed(list(enumerate(texts[:-1]))):
+            out = F.when(roll(name, len(texts)) == i, F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))).otherwise(out)
+        return out
+
+    intended = F.when(F.col("kind").isin("short", "medium", "informal"), a).when(F.col("kind") == "phrase", F.array_join(F.transform("parts", lambda x: x["word"]), " "))
+    intended = intended.when(F.col("kind") == "mixed", one_of("order", (a, " ", b), (b, " ", a)))
+    intended = intended.when(F.col("kind") == "punctuation", one_of("mark", (a, ", ", b), (a, ",", b), (a, " / ", b), ("(", a, ") ", b), (a, " ", b, "! ", c), (a, " ", b)))
+    intended = intended.otherwise(one_of("style", (a, "!!!"), (a, "???"), (a, ", ", b), (a, "... ", b), (a, " ", b, "!")))
+    typed = []
+    for x in langs:
+        text = F.lit(None).cast("string")
+        for y in langs:
+            text = F.when(F.col("lang") == y, F.col("intended") if x == y else L.convert(F.col("intended"), layouts[y], layouts[x])).otherwise(text)
+        expected = F.when(F.col("lang") == x, F.lit(x)).otherwise(F.concat("lang", F.lit(f"_from_{x}")))
+        typed.append(F.struct(F.lit(x).alias("typed_on"), text.alias("typed"), expected.alias("expected")))
+    every = whole.withColumn("intended", intended).select("lang", "id", "kind", "intended", F.explode(F.array(*typed)).alias("o")).select("lang", "id", "kind", "intended", "o.*")
+    return every.where((F.col("typed_on") == F.col("lang")) | (F.col("typed") != F.col("intended"))).select("lang", "id", "kind", "typed_on", "intended", "typed", "expected")
