@@ -1,39 +1,46 @@
-"""Nearest neighbours by score-aware anisotropic quantisation.
+"""Nearest neighbours by score-aware anisotropic quantisation, with a certificate.
 
 Vectors are scaled to length one. A vector is the nearest of ``CENTRES`` coarse
 centres plus a residual, and the residual is quantised in ``WIDTH``-dimensional
 subspaces with 16 codewords each: four bits. Codes and codewords are fitted to
 a loss that weighs the error along the vector ``eta`` times the error across
-it, since that part changes the inner product with near queries most. A block
-of codes is scanned with 16-entry tables for a block of queries. Only codes
-travel to the scans; the best of all blocks together are joined to their vectors
-and ranked again by the exact measure.
-
-The index is fitted on a bounded sample and every row is indexed. A scan skips a
-centre's codes only where even the best of them can't be among the best, which
-is known from the centre and its longest residual, so nothing is lost by it.
+it, since that part changes the inner product with near queries most.
+
+What the codes miss of a row x is split into a part along x, known as a factor,
+and a part across it of known length m. So a score s = x·q lies within
+m * sqrt(1 - s²) of what the 16-entry tables say, and rows whose bound is under
+the k-th best so far are left out for sure. The others are refined by a second
+code of a byte a dimension, whose own error is small and known too, and those
+that may still be among the k nearest of all blocks are ranked by the exact
+measure. Every answer is that of a full comparison, however rows cluster; how
+many rows are refined depends on the data, and there is no cap.
+
+The index is fitted on a bounded sample and every row is indexed. A task holds a
+block of codes once and walks over all queries, which it reads in batches.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.dataset as ds
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch, filesystem, small
 
 #: Bound of the sample that the index is fitted on, coarse centres, dimensions a subspace, rounds of fitting.
 FIT_ROWS, CENTRES, WIDTH, ROUNDS = 8192, 64, 2, 6
 #: The score from which on errors along a vector matter; it sets eta.
 THRESHOLD = 0.2
-#: Rows of a block of codes and of queries; candidates of a query beyond the k wanted that are ranked exactly.
-CODE_BLOCK, QUERY_BLOCK, RERANKED = 1 << 16, 128, 128
+#: Rows of a block of codes, at most and, where there are too few for all cores, at least; queries of a batch.
+CODE_BLOCK, LEAST_BLOCK, QUERY_BATCH = 1 << 16, 1 << 12, 128
+#: What rounding may add to a score.
+ROUNDING = 2e-5
 
 
 @dataclass
@@ -54,6 +61,60 @@ class Index:
         centre = self.assign(x)
         return centre, _codes(_cut(x - self.centres[centre], self.words), _cut(x, self.words), self.words, self.eta)
 
+    def decode(self, centre: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        parts = self.words[np.arange(len(self.words))[None, :], codes]
+        return self.centres[centre] + parts.reshape(len(codes), -1)[:, : self.dims]
+
+
+def refinement(x: np.ndarray, coded: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(gain, miss, fine, scale, off): a score is gain * what the code says, within ``miss`` * sqrt(1 - score²); or what the code and ``fine * scale`` say, within ``off``."""
+    rest = x - coded
+    along = (x * rest).sum(axis=1)
+    across = _length(rest - along[:, None] * x)
+    fits = along < 0.75  # else the factor is of no use, and the row is always refined
+    gain = np.where(fits, 1 / np.where(fits, 1 - along, 1), 1)
+    scale = np.maximum(np.abs(rest).max(axis=1, initial=0), 1e-30) / 127
+    fine = np.rint(rest / scale[:, None]).astype(np.int8)
+    return gain, np.where(fits, gain * across, np.inf), fine, scale, _length(rest - fine * scale[:, None])
+
+
+class Block:
+    """A block of codes, and the rows in it that may be among the k nearest of a query."""
+
+    def __init__(self, index: Index, rows: pd.DataFrame):
+        self.index, self.ids, self.keys = index, rows["vec_id"].to_numpy(), rows["row_key"].to_numpy()
+        subspaces = len(index.words)
+        packed = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
+        nibbles = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(rows), -1)[:, :subspaces]
+        self.at = (nibbles.T + 16 * np.arange(subspaces)[:, None]).astype(np.intp)
+        self.centre = rows["centre"].to_numpy()
+        self.gain, self.miss, self.scale, self.off = (rows[c].to_numpy(np.float64) for c in ("gain", "miss", "scale", "off"))
+        self.fine = np.frombuffer(b"".join(rows["fine"]), np.int8).reshape(len(rows), -1)
+
+    def near(self, unit: np.ndarray, query_ids: np.ndarray, k: int):
+        """For each query its place, the places of rows, and the least and most that each may score."""
+        tables = np.einsum("qmw,mkw->qmk", _cut(unit, self.index.words), self.index.words).reshape(len(unit), -1)
+        coarse = unit @ self.index.centres.T
+        for n, q in enumerate(unit):
+            rough = tables[n].take(self.at).sum(axis=0) + coarse[n].take(self.centre)
+            guess = self.gain * rough
+            guess[self.ids == query_ids[n]] = -np.inf
+            first = np.argpartition(guess, -3 * k)[-3 * k :] if len(guess) > 3 * k else np.arange(len(guess))
+            least, _ = self._refined(q, rough, first[guess[first] > -np.inf])
+            beat = np.partition(least, -k)[-k] if len(least) >= k else -np.inf
+            # a row that scores at least ``beat`` is across its code by sqrt(1 - beat²) at most
+            slack = math.sqrt(max(0.0, 1 - max(0.0, beat) ** 2))
+            may = np.flatnonzero((guess + self.miss * slack + ROUNDING >= beat) & (guess > -np.inf))
+            least, most = self._refined(q, rough, may)
+            if len(least) > k:
+                kept = most >= np.partition(least, -k)[-k]
+                may, least, most = may[kept], least[kept], most[kept]
+            yield n, may, least, most
+
+    def _refined(self, q: np.ndarray, rough: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        score = rough[at] + self.scale[at] * (self.fine[at].astype(np.float32) @ q.astype(np.float32))
+        return score - self.off[at] - ROUNDING, score + self.off[at] + ROUNDING
+
 
 def _cut(x: np.ndarray, words: np.ndarray) -> np.ndarray:
     """(rows, subspaces, width), zero-padded."""
@@ -139,67 +200,47 @@ def nearest(vectors: DataFrame, queries_every: int = 50, k: int = 5, id_col: str
     def encoded(batches):
         for batch in small(batches):
             v = np.array(batch.column("v").to_pylist(), float).reshape(-1, dims)
-            made = index.value.encode(v / _length(v)[:, None])
-            raw = [a.tobytes() for a in v]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), pa.array(raw, pa.binary()), pa.array(made[0], pa.int32()), pa.array([_nibbles(c) for c in made[1]], pa.binary())],
-                ["vec_id", "vector", "centre", "codes"],
-            )
-
-    made = rows.mapInArrow(encoded, "vec_id long, vector binary, centre int, codes binary")
+            unit = v / _length(v)[:, None]
+            centre, found = index.value.encode(unit)
+            gain, miss, fine, scale, off = refinement(unit, index.value.decode(centre, found))
+            raw = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (v, fine)]
+            nibbles = pa.array([_nibbles(c) for c in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), raw[0], pa.array(centre, pa.int32()), nibbles, raw[1], *map(pa.array, (gain, miss, scale, off))], columns)
+
+    columns = ["vec_id", "vector", "centre", "codes", "fine", "gain", "miss", "scale", "off"]
+    made = rows.mapInArrow(encoded, "vec_id long, vector binary, centre int, codes binary, fine binary, gain double, miss double, scale double, off double")
     # the row key tells rows of one id apart; written down, it can't change on a retry
     codes = scratch.keep(made.withColumn("row_key", F.monotonically_increasing_id()), "codes")
-    code_blocks = max(1, math.ceil(codes.count() / CODE_BLOCK))
-    asked = codes.where(F.col("vec_id") % queries_every == 0)
-    query_blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    depth = RERANKED + k
-    in_block = lambda n: F.pmod(F.xxhash64("row_key"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    by_code = codes.select("row_key", "vec_id", "centre", "codes", in_block(code_blocks).alias("cb")).withColumn("qb", every(query_blocks))
-    by_query = asked.select(F.col("row_key").alias("query_key"), F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), in_block(query_blocks).alias("qb")).withColumn("cb", every(code_blocks))
-
-    def scan(block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        kinds = {"query_key": "int64", "vec_id": "int64", "row_key": "int64", "rough": "float64"}
-        if not len(block) or not len(queries):
-            return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in kinds.items()})
-        block = block.sort_values(["centre", "vec_id", "row_key"])
-        made, ids, keys = index.value, block["vec_id"].to_numpy(), block["row_key"].to_numpy()
-        q = np.frombuffer(b"".join(queries["query"]), np.float64).reshape(-1, dims)
-        unit = q / _length(q)[:, None]
-        coarse = unit @ made.centres.T
-        tables = np.einsum("qmw,mkw->qmk", _cut(unit, made.words), made.words).astype(np.float32)
-        packed = np.frombuffer(b"".join(block["codes"]), np.uint8).reshape(len(block), -1)
-        subspaces = made.words.shape[0]
-        nibbles = np.stack([packed & 15, packed >> 4], axis=2).reshape(len(block), -1)[:, :subspaces].T.astype(np.intp)
-        edges = np.searchsorted(block["centre"].to_numpy(), np.arange(len(made.centres) + 1))
-        square = (made.words**2).sum(axis=2)[np.arange(subspaces)[:, None], nibbles].sum(axis=0)  # of the residuals, as they are coded
-        reach = np.array([math.sqrt(square[a:b].max()) if b > a else -np.inf for a, b in pairwise(edges)])
-        out = []
-        for at, (query_key, query_id) in enumerate(zip(queries["query_key"], queries["query_id"], strict=True)):
-            most = coarse[at] + reach + 1e-5  # no code of the centre scores more
-            rough, places, least = [], [], -np.inf
-            for c in np.argsort(-most):
-                if most[c] < least or edges[c] == edges[c + 1]:
-                    if most[c] < least:
-                        break
-                    continue
-                part = np.arange(edges[c], edges[c + 1])
-                scores = coarse[at][c] + np.take_along_axis(tables[at], nibbles[:, part], 1).sum(axis=0, dtype=np.float64)
-                other = ids[part] != query_id
-                rough.append(scores[other])
-                places.append(part[other])
-                if sum(map(len, rough)) > 2 * depth:
-                    rough, places = _best(rough, places, ids, depth)
-                    least = rough[0].min()
-            rough, places = _best(rough, places, ids, depth)
-            out.append(pd.DataFrame({"query_key": query_key, "vec_id": ids[places[0]], "row_key": keys[places[0]], "rough": rough[0]}))
-        return pd.concat(out)
-
-    found = by_code.groupBy("cb", "qb").cogroup(by_query.groupBy("cb", "qb")).applyInPandas(scan, "query_key long, vec_id long, row_key long, rough double")
-    first = Window.partitionBy("query_key").orderBy(F.desc("rough"), "vec_id", "row_key")
-    best = scratch.keep(found.withColumn("at", F.row_number().over(first)).where(F.col("at") <= depth).select("query_key", "row_key"), "best")
-    both = best.join(codes.select("row_key", "vec_id", "vector"), "row_key")
-    both = both.join(asked.select(F.col("row_key").alias("query_key"), F.col("vec_id").alias("query_id"), F.col("vector").alias("query")), "query_key")
+    asked = scratch.keep(codes.where(F.col("vec_id") % queries_every == 0).select(F.col("row_key").alias("query_key"), F.col("vec_id").alias("query_id"), F.col("vector").alias("query")), "asked")
+    if asked.isEmpty():
+        return codes.where("false").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+    # of equal vectors only those with the smallest ids can be among the nearest; one more may be the query's own
+    of_id, of_vector = Window.partitionBy("vector", "vec_id").orderBy("row_key"), Window.partitionBy("vector").orderBy("vec_id")
+    may = codes.withColumn("at", F.row_number().over(of_id)).where(F.col("at") <= k)
+    may = may.withColumn("at", F.dense_rank().over(of_vector)).where(F.col("at") <= k + 1).drop("at", "vector")
+    block = min(CODE_BLOCK, max(LEAST_BLOCK, math.ceil(codes.count() / (2 * vectors.sparkSession.sparkContext.defaultParallelism))))
+    blocks = max(1, math.ceil(codes.count() / block))
+    queries = f"{scratch.path}/asked"
+
+    def scan(rows: pd.DataFrame) -> pd.DataFrame:
+        held, out = Block(index.value, rows), []
+        store, path = filesystem(queries)
+        for batch in ds.dataset(path, filesystem=store, format="parquet").to_batches(batch_size=QUERY_BATCH):
+            if not batch.num_rows:
+                continue
+            q = np.frombuffer(b"".join(batch.column("query").to_pylist()), np.float64).reshape(-1, dims)
+            keys, ids = (batch.column(c).to_numpy() for c in ("query_key", "query_id"))
+            for n, places, least, most in held.near(q / _length(q)[:, None], ids, k):
+                out.append((np.full(len(places), keys[n]), held.keys[places], least, most))
+        return pd.DataFrame(dict(zip(("query_key", "row_key", "least", "most"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    dealt = may.withColumn("block", F.pmod(F.xxhash64("row_key"), F.lit(blocks)).cast("int"))
+    found = scratch.keep(dealt.groupBy("block").applyInPandas(scan, "query_key long, row_key long, least double, most double"), "found")
+    best = Window.partitionBy("query_key").orderBy(F.desc("least"))
+    beat = found.withColumn("at", F.row_number().over(best)).where(F.col("at") <= k).groupBy("query_key").agg(F.min("least").alias("least"), F.count("*").alias("n"))
+    beat = beat.select("query_key", F.when(F.col("n") >= k, F.col("least")).otherwise(float("-inf")).alias("beat"))
+    both = found.join(beat, "query_key").where("most >= beat").select("query_key", "row_key")
+    both = both.join(codes.select("row_key", "vec_id", "vector"), "row_key").join(asked, "query_key")
 
     def ranked(batches):
         for batch in small(batches):
@@ -214,18 +255,6 @@ def nearest(vectors: DataFrame, queries_every: int = 50, k: int = 5, id_col: str
     return exact.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _best(rough: list[np.ndarray], places: list[np.ndarray], ids: np.ndarray, depth: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The greatest so far, ties by id."""
-    if not rough:
-        return [np.zeros(0)], [np.zeros(0, np.intp)]
-    every, where = np.concatenate(rough), np.concatenate(places)
-    if len(every) > depth:
-        least = np.partition(every, -depth)[-depth]
-        every, where = every[every >= least], where[every >= least]
-    top = np.lexsort((ids[where], -every))[:depth]
-    return [every[top]], [where[top]]
-
-
 def _length(v: np.ndarray) -> np.ndarray:
     return np.sqrt((v * v).sum(axis=1))
 
