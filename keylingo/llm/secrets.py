@@ -1,7 +1,7 @@
 """Secret scans by a recursive decoding worklist.
 
 A text is scanned as it is. Then its layers are: whatever URL escapes, Unicode
-escapes, base64 runs and compressed data inside them unwrap to goes on a
+escapes, base64 runs, wrapped at line ends or not, and compressed data inside them unwrap to goes on a
 worklist (compressed data once it isn't compressed any more), is scanned, and
 is unwrapped again until nothing new turns up. A text seen before at the same
 places is not put on the list again, so layers that decode into each other
@@ -50,6 +50,9 @@ _UNICODE = re.compile(rf"(?:{_BACK}(?:u[0-9A-Fa-f]{{4}}|u\{{[0-9A-Fa-f]{{1,6}}\}
 _ONE = re.compile(rf"{_BACK}(?:u\{{([0-9A-Fa-f]+)\}}|u([0-9A-Fa-f]{{4}})|x([0-9A-Fa-f]{{2}}))|{_AND}#(?:[xX]([0-9A-Fa-f]+)|([0-9]+));")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
 _ALIKE = str.maketrans("-_", "+/")
+# a line end inside a base64 run, also a written-out one, with indentation and quoting; one of the lines is at least that long
+_WRAP = r"[ \t]{0,64}(?:\r\n?|\n|\\r\\n|\\n|\\r)[ \t>|*#]{0,64}"
+_WRAPPED = re.compile(rf"(?<=[A-Za-z0-9+/_-]{{20}}){_WRAP}(?=[A-Za-z0-9+/_-])|(?<=[A-Za-z0-9+/_-]){_WRAP}(?=[A-Za-z0-9+/_-]{{20}})")
 #: Stretches of readable bytes that are taken out of others: UTF-8, and ASCII in two bytes a character. No secret and no code is shorter.
 _UTF8 = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}")
 _WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){12,}|(?:\x00[\t\n\r\x20-\x7e]){12,}")
@@ -381,6 +384,21 @@ def _base64(layer: Layer) -> Iterator[Layer]:
                 yield Layer(text, layer.start[first], layer.end[last - 1], np.ones(len(text), bool))
 
 
+def _joined(layer: Layer) -> Layer | None:
+    """The layer without the line ends inside base64 runs."""
+    pieces = [(m.start(), m.end(), "", [0]) for m in _WRAPPED.finditer(layer.text)]
+    return _spliced(layer, pieces) if pieces else None
+
+
+def _form(layer: Layer) -> Layer | None:
+    """The layer with plus as space wherever words hold URL escapes too, as forms are encoded."""
+    pieces = []
+    for m in re.finditer(r"\S+", layer.text):
+        if "+" in m[0] and _URL_ONE.search(m[0]):
+            pieces += [(m.start() + n, m.start() + n + 1, " ", [0, 1]) for n, c in enumerate(m[0]) if c == "+"]
+    return _spliced(layer, pieces) if pieces else None
+
+
 def _opens(head: bytes) -> bool:
     """Whether bytes begin as compressed data does, beyond its first mark."""
     try:
@@ -434,7 +452,8 @@ def _inner(layer: Layer) -> Iterator[Layer]:
     """The layers right below one; those as long as itself come last, when it isn't held any more."""
     yield from _packed(layer)
     yield from _base64(layer)
-    last = [f(layer) for mark, f in (("%", _url), ("\\", _escapes)) if mark in layer.text or (f is _escapes and "&#" in layer.text)]
+    ways = ((_url, "%"), (_form, "%"), (_escapes, "\\", "&#"), (_joined, "\n", "\r", "\\n", "\\r"))
+    last = [way(layer) for way, *marks in ways if any(mark in layer.text for mark in marks)]
     del layer
     while last:
         if new := last.pop():

@@ -576,6 +576,34 @@ def test_secrets_of_all_alignments_charsets_and_malformed_escapes():
     assert secrets.all_spans("%ff%fe%70assword: abcdefghij") == [(6, 0, 28)]
 
 
+@pytest.mark.parametrize("width", [60, 64, 70, 76, 80])
+def test_secrets_in_wrapped_base64(width):
+    inner = b"password = hunter2hunter2x"
+    breaks = ("\n", "\r\n", "\n    ", "\n> ", "\\n", "\\r\\n")
+    for before in range(0, 3 * width // 4 + 9):
+        for way in range(3):
+            raw = b"a b " * (before // 4) + b"filler, "[: before % 4] + b" " + inner + b" and a tail that goes on for some more lines, so that it is wrapped again" * 2
+            code = base64.b64encode(raw if way < 2 else gzip.compress(raw, mtime=0)).decode()
+            first = before % width + 1 if way == 1 else width  # the run may begin in the middle of a line
+            lines = [code[:first], *(code[n : n + width] for n in range(first, len(code), width))]
+            mark = breaks[before % len(breaks)]
+            text = f"key: {mark.join(lines)} end"
+            found = [(a, b) for a, kind, b in secrets.all_spans(text) if kind == 0]
+            at = len(raw.split(inner)[0]) * 4 // 3
+            place = lambda n, first=first, mark=mark: 5 + n + len(mark) * (0 if n < first else 1 + (n - first) // width)
+            if way < 2:
+                assert any(abs(a - place(at)) <= 2 and a < b <= place(at + len(inner) * 4 // 3 + 4) for a, b in found), (before, way, found)
+            else:
+                assert (5, len(text) - 4) in found, (before, found)
+
+
+def test_secrets_in_forms():
+    assert secrets.all_spans("q=password+%3D+hunter22hunter") == [(2, 0, 29)]
+    assert secrets.all_spans("a+b q=token%3A+abcdefgh1&x=c+d") == [(6, 0, 24)]
+    assert secrets.all_spans("password+=+hunter22hunter") == []
+    assert secrets.all_spans("a long word of letters\nand the next one") == []
+
+
 def test_secrets_in_deeply_nested_escapes():
     import time
 
