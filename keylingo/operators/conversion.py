@@ -71,6 +71,13 @@ def recovery_rate(words: DataFrame, pairs, col: str = "word") -> DataFrame:
     return reduce(DataFrame.unionByName, each).groupBy("combo").agg(F.count("*").alias("total"), F.count_if("ok").alias("ok"))
 
 
+def preferred_layouts(installed: DataFrame, layouts: DataFrame, key: str = "user_id") -> DataFrame:
+    """(key, lang, layouts): per language all installed layouts that are known, each once, by prior from the highest, ties by name."""
+    known = installed.select(key, "layout_id").distinct().join(layouts, "layout_id")
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("prior")).alias("less"), "layout_id")))  # the known layouts bound it
+    return known.groupBy(key, "lang").agg(F.transform(ordered, lambda x: x["layout_id"]).alias("layouts"))
+
+
 def preferred_layout(installed: DataFrame, layouts: DataFrame, key: str = "user_id") -> DataFrame:
     """(key, lang, layout_id): per language the installed layout with the highest prior, ties by name."""
     return installed.join(layouts, "layout_id").groupBy(key, "lang").agg(F.max_by("layout_id", F.struct("prior", F.col("layout_id"))).alias("layout_id"))

@@ -29,6 +29,12 @@ def failure_samples(df: DataFrame, group: str, key: str, n: int = 12, expected:
     return wrong.withColumn("at", F.row_number().over(Window.partitionBy(group).orderBy(key))).where(F.col("at") <= n).withColumn("at", F.col("at").cast("long"))
 
 
+def case_times(log: DataFrame, by: str, order=("ts",)) -> DataFrame:
+    """A log of finished cases with seconds: how long after the case before it of the same run each one finished; null for the first."""
+    before = F.lag(F.unix_micros("ts")).over(Window.partitionBy(by).orderBy(*order))
+    return log.withColumn("seconds", (F.unix_micros("ts") - before) / 1e6)
+
+
 def case_summary(results: DataFrame, category: str = "category", slow: float = 0.05) -> DataFrame:
     """Passed, failed and slow cases by category, and in all under ``*``."""
     out = results.rollup(category).agg(

@@ -121,17 +121,42 @@ def encode_samples(samples: DataFrame, width: int = 20) -> DataFrame:
     return samples.withColumn("codes", cut).withColumn("cls", cls).withColumn("unknown", F.size(F.filter(codes, lambda c: c == 0)).cast("long"))
 
 
-def train_classifier(samples: DataFrame, buckets: int = 1 << 14, iterations: int = 30):
-    """A nine-class text classifier on character 1- to 3-grams: a Spark ML pipeline of n-grams, hashing and multinomial logistic regression."""
-    from pyspark.ml import Pipeline
+def unknown_rates(encoded: DataFrame) -> DataFrame:
+    """(label, samples, chars, unknown, rate): how many characters of each label's texts the classifier doesn't know; empty texts have none."""
+    out = encoded.groupBy("label").agg(F.count("*").alias("samples"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.coalesce(F.sum("unknown"), F.lit(0)).alias("unknown"))
+    return out.withColumn("rate", F.when(F.col("chars") > 0, F.col("unknown") / F.col("chars")).otherwise(0.0))
+
+
+def _grams(longest: int):
+    """A pipeline stage that adds ``grams``: a text's character 1- to ``longest``-grams in lower case."""
+    from pyspark.ml.feature import SQLTransformer
+
+    run = "if(length(lower(text)) >= {n}, transform(sequence(1, greatest(length(lower(text)) - {n} + 1, 1)), i -> substring(lower(text), i, {n})), array())"
+    return SQLTransformer(statement=f"SELECT *, flatten(array({', '.join(run.format(n=n) for n in range(1, longest + 1))})) AS grams FROM __THIS__")
+
+
+def _features(samples: DataFrame, longest: int, vocabulary: int, least: int):
+    """Fitted stages from text to features, each a gram that ``least`` samples have, the most frequent ones; and the samples' (cls, features) as a table."""
+    from pyspark.ml.feature import CountVectorizer
+
+    cutter = _grams(longest)
+    cut = cutter.transform(samples.where("cls >= 0").select("text", F.col("cls").cast("double").alias("cls")))
+    counter = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=vocabulary, minDF=float(least)).fit(cut)
+    return [cutter, counter], kept(counter.transform(cut).select("cls", "features"), "features")
+
+
+def _regression(iterations: int, strength: float):
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, VectorAssembler
 
-    stages = [RegexTokenizer(inputCol="text", outputCol="chars", pattern=".", gaps=False, toLowercase=True)]
-    for n in (1, 2, 3):
-        stages += [NGram(n=n, inputCol="chars", outputCol=f"g{n}"), HashingTF(inputCol=f"g{n}", outputCol=f"h{n}", numFeatures=buckets, binary=False)]
-    stages += [VectorAssembler(inputCols=["h1", "h2", "h3"], outputCol="features"), LogisticRegression(labelCol="cls", featuresCol="features", family="multinomial", maxIter=iterations, regParam=1e-3)]
-    return Pipeline(stages=stages).fit(samples.where("cls >= 0").withColumn("cls", F.col("cls").cast("double")))
+    return LogisticRegression(labelCol="cls", featuresCol="features", family="multinomial", maxIter=iterations, regParam=strength)
+
+
+def train_classifier(samples: DataFrame, vocabulary: int = 1 << 14, iterations: int = 30, longest: int = 5, strength: float = 1e-3, least: int = 2):
+    """A nine-class text classifier on character 1- to 5-grams: a Spark ML pipeline of the frequent grams and multinomial logistic regression."""
+    from pyspark.ml import PipelineModel
+
+    stages, rows = _features(samples, longest, vocabulary, least)
+    return PipelineModel([*stages, _regression(iterations, strength).fit(rows)])
 
 
 def predict_classes(model, df: DataFrame) -> DataFrame:
@@ -143,14 +168,27 @@ def predict_classes(model, df: DataFrame) -> DataFrame:
     return made.select(*df.columns, F.element_at(labels, F.col("prediction").cast("int") + 1).alias("predicted"), F.array_max("__p").alias("confidence"))
 
 
-def select_best(train: DataFrame, validation: DataFrame, grid=((1 << 10, 10), (1 << 12, 20))) -> DataFrame:
-    """(buckets, iterations, accuracy, best) of each setting by its accuracy on validation rows."""
-    rows = []
-    for buckets, iterations in grid:
-        seen = predict_classes(train_classifier(train, buckets, iterations), validation)
-        rows.append((buckets, iterations, seen.agg(F.avg((F.col("predicted") == F.col("label")).cast("double"))).first()[0]))
-    top = max(r[2] for r in rows)
-    return train.sparkSession.createDataFrame([(*r, r[2] == top) for r in rows], "buckets int, iterations int, accuracy double, best boolean")
+def select_best(train: DataFrame, validation: DataFrame, grid=((1e-1, 10), (1e-3, 30)), vocabulary: int = 1 << 14, longest: int = 5, least: int = 2, parallelism: int = 2) -> DataFrame:
+    """(strength, iterations, accuracy, best) of each setting by its accuracy on validation rows.
+
+    Features are made once into tables; settings are fitted side by side on them.
+    """
+    from multiprocessing.pool import ThreadPool
+
+    stages, rows = _features(train, longest, vocabulary, least)
+    cut = stages[0].transform(validation.where("cls >= 0").select("text", F.col("cls").cast("double").alias("cls")))
+    held = kept(stages[1].transform(cut).select("cls", "features"), "validation")
+    plain = _regression(*reversed(grid[0]))
+    models = plain.fitMultiple(rows, [{plain.regParam: strength, plain.maxIter: n} for strength, n in grid])
+
+    def judged(_) -> tuple[int, float]:
+        at, model = next(models)
+        return at, model.transform(held).agg(F.avg((F.col("prediction") == F.col("cls")).cast("double"))).first()[0]
+
+    with ThreadPool(min(parallelism, len(grid))) as pool:
+        scores = dict(pool.imap_unordered(judged, range(len(grid))))
+    top = max(s for s in scores.values())
+    return train.sparkSession.createDataFrame([(*grid[at], s, s == top) for at, s in sorted(scores.items())], "strength double, iterations int, accuracy double, best boolean")
 
 
 def blend_models(a: DataFrame, b: DataFrame, wa: float = 0.6, wb: float = 0.4, key: str = "id", col: str = "scores") -> DataFrame:

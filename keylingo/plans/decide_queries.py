@@ -186,10 +186,18 @@ def m10_evaluate(spark, d):
     return _rounded(E.accuracy(cases, "typed_on", "intended", "output"), "accuracy")
 
 
+def a14_cascade_failures(spark, d):
+    """The first words of each layout that the cascade doesn't give back."""
+    none = spark.createDataFrame([], "token string, action string, hyp string")
+    decided = D.apply_decision(D.route(tokens(spark, d), models(spark, d), none)).select("token", "output")
+    cases = typed_words(spark, d).join(decided, "token").withColumn("place", F.concat_ws("|", "token", "intended"))
+    return E.failure_samples(cases, "typed_on", "place", n=100, expected="intended", predicted="output").drop("place")
+
+
 QUERIES = {f.__name__: f for f in (
     j2_convert_layout, j2_convert_by_row, j3_convert_variants, j4_convert_source_variants, j5_decode_by_lexicon, j6_typable_layouts, j11_candidate_hypotheses, j12_apply_rules,
     j14_preposition_map, a13_recovery_rate, w9_distinct_results, d3_best_correction, d4_accept_correction, d5_resolve_hebrew_collision, d6_fast_language, d7_ensemble_language, d9_validate_correction,
-    d10_heuristic_correction, d11_model_correction, d12_route, d12_route_by_hand, d13_apply_decision, m10_evaluate)}
+    d10_heuristic_correction, d11_model_correction, d12_route, d12_route_by_hand, d13_apply_decision, m10_evaluate, a14_cascade_failures)}
 
 
 def script(x: str) -> str:
@@ -359,6 +367,8 @@ SQL = {
     "d12_route": f"WITH {routed()} SELECT token, path, hyp, lang, round(confidence, 6)::DOUBLE AS confidence, text FROM routed",
     "d12_route_by_hand": f"WITH {routed(with_model=False, automatic=False)} SELECT token, path, hyp, lang, round(confidence, 6)::DOUBLE AS confidence, text FROM routed",
     "d13_apply_decision": f"WITH {routed()} SELECT token, path, {OUTPUT} AS output FROM routed",
+    "a14_cascade_failures": f"""WITH {routed(False, False)}, o AS (SELECT token, {OUTPUT} AS output FROM routed)
+        SELECT token, intended, typed_on, output, row_number() OVER (PARTITION BY typed_on ORDER BY token || '|' || intended) AS "at" FROM tyw JOIN o USING (token) WHERE intended IS DISTINCT FROM output QUALIFY "at" <= 100""",
     "m10_evaluate": f"""WITH {routed(False, False)}, o AS (SELECT token, {OUTPUT} AS output FROM routed) SELECT coalesce(typed_on, '*') AS typed_on, count(*) AS total, count(*) FILTER (intended = output) AS ok, round(count(*) FILTER (intended = output) / count(*), 6) AS accuracy
         FROM tyw JOIN o USING (token) GROUP BY ROLLUP (typed_on)""",
 }

@@ -59,6 +59,14 @@ def j15_preferred_layout(spark, d):
     return V.preferred_layout(installed, layouts)
 
 
+def j15_preferred_layouts(spark, d):
+    """All installed layouts of each user, in order."""
+    layouts = spark.createDataFrame(list(L.LAYOUTS), "layout_id string, lang string, prior int")
+    names = F.array(*(F.lit(x[0]) for x in L.LAYOUTS))
+    installed = events(spark, d).select("user_id", F.element_at(names, (F.col("event_id") % len(L.LAYOUTS) + 1).cast("int")).alias("layout_id"))
+    return V.preferred_layouts(installed, layouts).withColumn("layouts", F.array_join("layouts", ","))
+
+
 def s13_retain_latest(spark, d):
     return B.retain_latest(events(spark, d), 500).select("event_id", "user_id", "event_type")
 
@@ -110,7 +118,7 @@ def t1_keystrokes_to_tokens(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    a9_profile_stats, a10_adjust_confidence, j13_exclude_apps, j15_preferred_layout, s13_retain_latest, w5_recent_history, w6_debounce, t2_typing_sessions, t4_learn_rules, t5_feedback_events,
+    a9_profile_stats, a10_adjust_confidence, j13_exclude_apps, j15_preferred_layout, j15_preferred_layouts, s13_retain_latest, w5_recent_history, w6_debounce, t2_typing_sessions, t4_learn_rules, t5_feedback_events,
     t6_alternation_replay, t6_alternation_events, t1_keystrokes_to_tokens)}
 
 LANG = "list_extract(['en', 'ru', 'he'], CAST(event_id % 3 + 1 AS INT))"
@@ -142,6 +150,8 @@ SQL = {
     "j13_exclude_apps": "WITH r AS (SELECT event_type FROM events GROUP BY event_type ORDER BY avg(value), event_type LIMIT 2) SELECT event_type AS app, count(*) AS n, min(event_id) AS first_id FROM events ANTI JOIN r USING (event_type) GROUP BY event_type",
     "j15_preferred_layout": f"""WITH l(layout_id, lang, prior) AS (VALUES {', '.join(str(x) for x in L.LAYOUTS)}), i AS (SELECT DISTINCT user_id, list_extract([{', '.join(repr(x[0]) for x in L.LAYOUTS)}], CAST(event_id % {len(L.LAYOUTS)} + 1 AS INT)) AS layout_id FROM events)
         SELECT user_id, lang, layout_id FROM i JOIN l USING (layout_id) QUALIFY row_number() OVER (PARTITION BY user_id, lang ORDER BY prior DESC, layout_id DESC) = 1""",
+    "j15_preferred_layouts": f"""WITH l(layout_id, lang, prior) AS (VALUES {', '.join(str(x) for x in L.LAYOUTS)}), i AS (SELECT DISTINCT user_id, list_extract([{', '.join(repr(x[0]) for x in L.LAYOUTS)}], CAST(event_id % {len(L.LAYOUTS)} + 1 AS INT)) AS layout_id FROM events)
+        SELECT user_id, lang, string_agg(layout_id, ',' ORDER BY prior DESC, layout_id) AS layouts FROM i JOIN l USING (layout_id) GROUP BY user_id, lang""",
     "s13_retain_latest": "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 500",
     "w5_recent_history": 'SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS "at" FROM events QUALIFY "at" <= 8',
     "w6_debounce": f"""WITH RECURSIVE {NUMBERED}, k(user_id, n, event_id, last, kept) AS (SELECT user_id, n, event_id, ts, true FROM ev WHERE n = 1

@@ -10,7 +10,9 @@ from ..operators import cleaning as C
 from ..operators import evaluate as E
 from ..operators import lexical as X
 from ..operators import models as M
-from ..sources.scratch import kept
+from ..sources import readers as R
+from ..sources import writers as W
+from ..sources.scratch import kept, shared_folder
 from .common import DOCS, HELD, documents, held_out, table
 from .text_queries import LANGS, grams, normal
 
@@ -89,6 +91,16 @@ def a8_stale_models(spark, d):
     return M.stale_models(corpora, built)
 
 
+def a8_stale_files(spark, d):
+    """Models of each language, written now, against the times of the files that its documents are in."""
+    folder = shared_folder(spark, "models")
+    trigrams_ = kept(M.train_trigrams(training(spark, d)), "trigrams")
+    W.write_trigram_json(trigrams_, M.trigram_header(trigrams_), folder)
+    corpora = table(spark, d, "documents").where("text is not null").select("lang", F.col("_metadata.file_modification_time").alias("changed"))
+    built = R.read_file_times(spark, folder).select("lang", F.col("changed").alias("built"))
+    return M.stale_models(corpora, built).select("lang", "stale")
+
+
 def w10_rank_bands(spark, d):
     bands = M.rank_bands(M.train_unigrams(documents(spark, d)))
     return bands.groupBy("lang", "band").agg(F.count("*").alias("words"), F.sum("cnt").alias("tokens"), F.min("rank").alias("first_rank"))
@@ -167,6 +179,12 @@ def a16_case_summary(spark, d):
     return E.case_summary(results, slow=0.1)
 
 
+def a16_case_times(spark, d):
+    """Events as a log of finished cases: errors fail, and a case is slow that took over six hours by its time stamps."""
+    seen = table(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("category"), (F.col("event_type") != "error").alias("passed"))
+    return E.case_summary(E.case_times(seen, "user_id", ("ts", "event_id")), slow=21600.0)
+
+
 def j16_probability_drift(spark, d):
     """The model of all training documents against one smoothed more, on all documents."""
     docs, trigrams = scored(spark, d), _models(spark, d)[0]
@@ -181,9 +199,9 @@ def j16_probability_drift(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    a1_train_unigrams, a2_train_trigrams, a3_trigram_header, a4_unigram_scores, a5_validate_model, a6_corpus_report, a8_stale_models, w10_rank_bands,
+    a1_train_unigrams, a2_train_trigrams, a3_trigram_header, a4_unigram_scores, a5_validate_model, a6_corpus_report, a8_stale_models, a8_stale_files, w10_rank_bands,
     j7_word_confidence, j8_whitelisted_language, j9_trigram_score, j9_benchmark_scores, j10_frequency_score, d1_normalized_trigram_score, d2_quality_score,
-    d8_language_posterior, a11_confusion, a12_accuracy, a14_failure_samples, a15_class_report, a16_case_summary, j16_probability_drift)}
+    d8_language_posterior, a11_confusion, a12_accuracy, a14_failure_samples, a16_case_times, a15_class_report, a16_case_summary, j16_probability_drift)}
 
 WORD_CASES = " ".join(f"WHEN '{x}' THEN '[{LETTERS[x]}]{{2,}}'" for x in LANGS)
 
@@ -234,6 +252,7 @@ SQL = {
         docs AS (SELECT * FROM raw WHERE length(text) > 0), {unigrams('u')}, {trigrams('m')}, w AS (SELECT lang, CAST(sum(cnt) AS BIGINT) AS tokens, count(*) AS unique_tokens FROM u GROUP BY lang)
         SELECT lang, (SELECT count(*) FROM docs d WHERE d.lang = w.lang) AS lines, tokens, unique_tokens, total_count AS trigrams, unique_trigrams FROM w JOIN m_h USING (lang)""",
     "a8_stale_models": f"WITH {DOCS}, c AS (SELECT lang, max(doc_id) AS changed FROM docs GROUP BY lang), b AS (SELECT lang, max(doc_id) AS built FROM docs SEMI JOIN labels USING (doc_id) GROUP BY lang) SELECT lang, changed, built, built IS NULL OR built < changed AS stale FROM c LEFT JOIN b USING (lang)",
+    "a8_stale_files": f"WITH {DOCS}, tr AS (SELECT DISTINCT lang FROM docs WHERE NOT ({HELD})) SELECT DISTINCT docs.lang, tr.lang IS NULL AS stale FROM docs LEFT JOIN tr ON tr.lang = docs.lang",
     "w10_rank_bands": f"""WITH {DOCS}, {unigrams('u')}, b AS (SELECT *, CASE WHEN rank <= 4000 THEN 'head' WHEN rank BETWEEN 20000 AND 40000 THEN 'middle' WHEN rank >= 150000 THEN 'tail' ELSE 'between' END AS band FROM u WHERE rank <= 200000)
         SELECT lang, band, count(*) AS words, CAST(sum(cnt) AS BIGINT) AS tokens, min(rank) AS first_rank FROM b GROUP BY lang, band""",
     "j7_word_confidence": f"WITH {DOCS}, {ALL_DOCS}, {LEXICON}, {WORD_CONF} SELECT doc_id, lang, round(word_conf, 6) AS word_conf FROM wc",
@@ -253,6 +272,8 @@ SQL = {
     "a14_failure_samples": f"WITH {DECIDED} SELECT doc_id, expected, predicted, row_number() OVER (PARTITION BY expected ORDER BY doc_id) AS \"at\" FROM decided WHERE expected <> predicted QUALIFY \"at\" <= 12",
     "a15_class_report": f"""WITH {DECIDED}, r AS (SELECT coalesce(source, '*') AS source, count(*) AS total, count(*) FILTER (expected = predicted) AS ok, count(*) FILTER (expected = predicted) / count(*) AS acc FROM decided GROUP BY ROLLUP (source))
         SELECT source, total, ok, round(acc, 6) AS accuracy, CASE WHEN source = '*' THEN 0.8 ELSE 0.6 END::DOUBLE AS gate, acc >= CASE WHEN source = '*' THEN 0.8 ELSE 0.6 END AS passed FROM r""",
+    "a16_case_times": """WITH c AS (SELECT event_type AS category, event_type <> 'error' AS passed, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6 AS seconds FROM events)
+        SELECT coalesce(category, '*') AS category, count(*) FILTER (passed) AS n_passed, count(*) FILTER (NOT passed) AS n_failed, count(*) FILTER (seconds > 21600) AS n_slow FROM c GROUP BY ROLLUP (category)""",
     "a16_case_summary": f"WITH {DECIDED} SELECT coalesce(expected, '*') AS category, count(*) FILTER (expected = predicted) AS n_passed, count(*) FILTER (expected <> predicted) AS n_failed, count(*) FILTER (margin / 10 > 0.1) AS n_slow FROM decided GROUP BY ROLLUP (expected)",
     "j16_probability_drift": f"""WITH {SCORES}, {trigrams('tk', f'NOT ({HELD})', 2.0)}, {trigram_scores('sk', 'held', 'tk')},
         x AS (SELECT doc_id, lang, exp(score) / sum(exp(score)) OVER (PARTITION BY doc_id) AS p FROM sc), y AS (SELECT doc_id, lang, exp(score) / sum(exp(score)) OVER (PARTITION BY doc_id) AS p FROM sk),

@@ -56,6 +56,10 @@ def p21_encode_samples(spark, d):
     return coded.select("id", F.array_join("codes", ",").alias("codes"), "cls", "unknown")
 
 
+def p21_unknown_rates(spark, d):
+    return P.unknown_rates(P.encode_samples(samples(spark, d))).withColumn("rate", F.round("rate", 6))
+
+
 def _parts(spark, d) -> tuple[DataFrame, DataFrame]:
     coded = P.split_samples(P.encode_samples(kept(samples(spark, d), "samples")))
     return coded.where("part = 'train'"), coded.where("part = 'validation'")
@@ -64,12 +68,12 @@ def _parts(spark, d) -> tuple[DataFrame, DataFrame]:
 def m5_m6_classifier(spark, d):
     """Predictions for the validation samples by a classifier trained on the others."""
     train, validation = _parts(spark, d)
-    return P.predict_classes(P.train_classifier(train, 1 << 10, 10), validation.select("id", "text", "label")).withColumn("confidence", F.round("confidence", 6))
+    return P.predict_classes(P.train_classifier(train), validation.select("id", "text", "label")).withColumn("confidence", F.round("confidence", 6))
 
 
 def m8_select_best(spark, d):
     train, validation = (x.select("id", "text", "label", "cls") for x in _parts(spark, d))
-    return P.select_best(train, validation, ((1 << 8, 5), (1 << 10, 10)))
+    return P.select_best(train, validation)
 
 
 def m7_blend_models(spark, d):
@@ -124,7 +128,7 @@ def m10_evaluate_cases(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    m1_sample_words, m1_head_words, m2_make_samples, m3_augment_samples, m4_split_samples, p21_encode_samples, m5_m6_classifier, m7_blend_models, m8_select_best, m9_synthetic_cases, m9_evaluation_cases, m10_evaluate_cases)}
+    m1_sample_words, m1_head_words, m2_make_samples, m3_augment_samples, m4_split_samples, p21_encode_samples, p21_unknown_rates, m5_m6_classifier, m7_blend_models, m8_select_best, m9_synthetic_cases, m9_evaluation_cases, m10_evaluate_cases)}
 
 
 def draw(key: str, name: str, seed: int = 42) -> str:
@@ -169,6 +173,8 @@ SQL = {
     "m4_split_samples": f"WITH {DOCS} SELECT doc_id AS id, lang, CASE WHEN {draw('CAST(doc_id AS VARCHAR)', 'split')} / 16777216.0 < 0.9 THEN 'train' ELSE 'validation' END AS part FROM docs",
     "p21_encode_samples": f"""WITH {SAMPLE}, c AS (SELECT id, label, list_transform(list_filter(regexp_split_to_array(text, ''), lambda x: x <> ''), lambda x: strpos('{_ALPHABET}', x)) AS codes FROM sm)
         SELECT id, array_to_string(list_transform(range(1, 21), lambda i: coalesce(codes[i], 0)), ',') AS codes, list_position([{', '.join(repr(c) for c in P.CLASSES)}], label)::BIGINT - 1 AS cls, len(list_filter(codes, lambda x: x = 0)) AS unknown FROM c""",
+    "p21_unknown_rates": f"""WITH {SAMPLE} SELECT label, count(*) AS samples, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(length(text) - length(translate(text, translate(text, '{_ALPHABET}', ''), ''))) AS BIGINT) AS unknown,
+        round(sum(length(text) - length(translate(text, translate(text, '{_ALPHABET}', ''), ''))) / sum(length(text)), 6) AS rate FROM sm GROUP BY label""",
     "m7_blend_models": f"""WITH {DOCS}, {ALL_DOCS}, {trigrams('tg', f'NOT ({HELD_SQL})')}, {trigram_scores('sc', 'held', 'tg')}, {trigrams('tk', 'true', 2.0)}, {trigram_scores('sk', 'held', 'tk')}
         SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY lang) - 1 AS place, round(0.6 / (1 + exp(-sc.score)) + 0.4 / (1 + exp(-sk.score)), 6) AS score FROM sc JOIN sk USING (doc_id, lang)""",
     "m9_evaluation_cases": f"""WITH {DOCS}, {unigrams('u')}, w AS (SELECT 'en' AS lang, word, rank FROM u WHERE lang = 'en' AND rank <= 200000

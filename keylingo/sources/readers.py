@@ -105,9 +105,20 @@ def read_trigram_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
 
 
 def read_trigram_json(spark: SparkSession, path: str) -> DataFrame:
-    """(lang, gram, logprob) from JSON with a header and a map; other sizes and keys of another length are refused."""
-    model = spark.read.option("multiLine", True).schema("lang string, n int, logprobs map<string,double>").json(path)
-    return model.where("n = 3").select("lang", F.explode("logprobs").alias("gram", "logprob")).where(F.length("gram") == 3)
+    """(lang, gram, logprob) from JSON with a header and a map, ``trigrams`` or ``logprobs``; other sizes and keys of another length are refused."""
+    model = spark.read.option("multiLine", True).option("recursiveFileLookup", True).schema("lang string, n int, trigrams map<string,double>, logprobs map<string,double>").json(path)
+    return model.where("n = 3").select("lang", F.explode(F.coalesce("trigrams", "logprobs")).alias("gram", "logprob")).where(F.length("gram") == 3)
+
+
+def read_file_times(spark: SparkSession, path: str, lang: str | None = None) -> DataFrame:
+    """(lang, path, changed): when each file of a corpus or model was changed last.
+
+    The language is that of a folder lang=..., or the one that is given. Only the
+    files' entries are read, not what is in them.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("modificationTime").alias("changed"))
+    found = F.nullif(F.regexp_extract("path", "/lang=([^/]+)/", 1), F.lit(""))
+    return files.select((found if lang is None else F.lit(lang)).alias("lang"), "path", "changed")
 
 
 def read_samples(spark: SparkSession, path: str, labels) -> DataFrame:

@@ -22,6 +22,24 @@ def write_trigram_model(trigrams: DataFrame, header: DataFrame, path: str) -> No
     header.write.parquet(f"{path}/header")
 
 
+def trigram_json(trigrams: DataFrame, header: DataFrame) -> DataFrame:
+    """(lang, model): each language's model as one JSON object of its header and a map of gram to log probability.
+
+    Log probabilities have two places, as the models do. A language's trigrams are
+    one row of it: its letters bound them.
+    """
+    counts = F.struct(F.col("n_gram").alias("n"), "smoothing_k", "total_count", "unique_trigrams")
+    maps = trigrams.groupBy("lang").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("gram", F.round("logprob", 2).alias("logprob"))))).alias("trigrams"))
+    both = header.select("lang", counts.alias("h")).join(maps, "lang", "left")
+    whole = F.to_json(F.struct("lang", F.col("h.*"), F.coalesce("trigrams", F.create_map().cast("map<string,double>")).alias("trigrams")))
+    return both.select("lang", whole.alias("model"))
+
+
+def write_trigram_json(trigrams: DataFrame, header: DataFrame, path: str) -> None:
+    """A folder of each language with its model as JSON, which ``read_trigram_json`` reads."""
+    trigram_json(trigrams, header).write.partitionBy("lang").text(path)
+
+
 def write_samples(df: DataFrame, path: str) -> None:
     df.select("text", "label").write.option("header", True).option("escape", '"').csv(path)
 

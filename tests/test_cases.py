@@ -78,3 +78,38 @@ def test_exact_rules_are_read_and_applied(spark, tmp_path):
     got = {r["token"]: r["rule"]["path"] if r["rule"] else None for r in D.apply_rules(tokens, rules).collect()}
     assert got == {"Exact": "rule_keep", "exact": "rule_keep", "foo\n": "rule_keep", " FOO": "rule_keep", "ghbdtn": "rule_prefer", "other": None, None: None}
     assert sorted(r["token"] for r in D.override_events(tokens, rules).collect()) == ["Exact", "exact", "foo\n", " FOO"]
+
+
+def test_models_as_json_and_stale_files(spark, tmp_path):
+    import os
+    import time
+
+    from pyspark.sql import functions as F
+
+    from keylingo.operators import evaluate as E
+    from keylingo.operators import models as M
+    from keylingo.sources import writers as W
+
+    phrases = spark.createDataFrame([("en", "the cat and the dog"), ("ru", "кот и пёс и кот")], "lang string, text string")
+    trigrams = M.train_trigrams(phrases, langs=("en", "ru"))
+    W.write_trigram_json(trigrams, M.trigram_header(trigrams), f"{tmp_path}/model")
+    want = sorted((r["lang"], r["gram"], round(r["logprob"], 2)) for r in trigrams.collect())
+    assert sorted(map(tuple, R.read_trigram_json(spark, f"{tmp_path}/model").collect())) == want
+    one = json.loads(spark.read.text(f"{tmp_path}/model/lang=en").first()["value"])
+    assert one["lang"] == "en" and one["n"] == 3 and one["unique_trigrams"] == len(one["trigrams"]) and {"smoothing_k", "total_count"} <= set(one)
+
+    corpus = tmp_path / "corpus"
+    for lang in ("en", "ru", "he"):
+        (corpus / f"lang={lang}").mkdir(parents=True)
+        (corpus / f"lang={lang}/a.txt").write_text("x")
+        os.utime(corpus / f"lang={lang}/a.txt", (1_600_000_000, 1_600_000_000))
+    stale = lambda: {r["lang"]: r["stale"] for r in M.stale_models(R.read_file_times(spark, str(corpus)), R.read_file_times(spark, f"{tmp_path}/model").withColumnRenamed("changed", "built")).collect()}
+    assert stale() == {"en": False, "ru": False, "he": True}
+    later = time.time() + 60
+    os.utime(corpus / "lang=ru/a.txt", (later, later))
+    assert stale() == {"en": False, "ru": True, "he": True}
+    assert {r["lang"] for r in R.read_file_times(spark, str(corpus / "lang=en"), "xx").collect()} == {"xx"}
+
+    log = spark.createDataFrame([("r", "a", 0, True), ("r", "a", 30_000, True), ("r", "b", 90_000, False), ("s", "b", 95_000, True)], "run string, category string, us long, passed boolean").withColumn("ts", F.timestamp_micros("us"))
+    got = {r["category"]: tuple(r)[1:] for r in E.case_summary(E.case_times(log, "run")).collect()}
+    assert got == {"a": (2, 0, 0), "b": (1, 1, 1), "*": (3, 1, 1)}

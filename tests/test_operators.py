@@ -178,8 +178,8 @@ def test_samples_of_all_nine_classes(spark, phrases):
     model = P.train_classifier(coded.where("part = 'train'"), 1 << 12, 15)
     seen = P.predict_classes(model, coded.where("part = 'validation'").select("id", "text", "label"))
     assert seen.agg(F.avg((F.col("predicted") == F.col("label")).cast("double"))).first()[0] > 0.8
-    best = P.select_best(coded.where("part = 'train'"), coded.where("part = 'validation'"), ((2, 1), (1 << 10, 10))).collect()
-    assert [r["best"] for r in sorted(best, key=lambda r: r["buckets"])] == [False, True]
+    best = P.select_best(coded.where("part = 'train'"), coded.where("part = 'validation'"), ((1e3, 1), (1e-3, 10))).collect()
+    assert [r["best"] for r in sorted(best, key=lambda r: r["iterations"])] == [False, True]
     changed = P.augment_samples(made, p=1.0).join(made.select("id", F.col("text").alias("before")), "id").where("length(before) >= 2")
     assert changed.agg(F.avg((F.col("text") != F.col("before")).cast("double"))).first()[0] > 0.8
 
