@@ -59,6 +59,16 @@ def carried(blocks: DataFrame, carries: DataFrame, by: Sequence[str]) -> DataFra
     return blocks.join(small, same, "left").drop(*names.values())
 
 
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str, parts: int | None = None) -> DataFrame:
+    """``df`` with ``name``, the rows of each key counted from 1 in an order: a block's own count after those of the blocks before it."""
+    ranges = [F.asc(c) for c in by] + list(order)
+    spread = df.repartitionByRange(*ranges) if parts is None else df.repartitionByRange(parts, *ranges)
+    blocks = kept(spread.withColumn(BLOCK, F.spark_partition_id()), "blocks")
+    counts = summaries(blocks, by, F.count("*").alias("__n")).withColumn("__n", F.sum("__n").over(along(by).rowsBetween(Window.unboundedPreceding, -1)))
+    here = F.row_number().over(Window.partitionBy(*by, BLOCK).orderBy(*order))
+    return carried(blocks, counts, by).withColumn(name, here + F.coalesce("__n", F.lit(0))).drop("__n", BLOCK)
+
+
 def folded(
     blocks: DataFrame, by: str, order: Sequence[str], summary: Callable, summary_type: str, carry: Callable, carry_type: str, run: Callable, schema: T.StructType
 ) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import HYPOTHESES
 from ..functions import layouts as L
 from ..sources.scratch import kept
+from . import blocks as S
 from .decide import ACTIVE
 
 #: Characters of the classifier's input in code order, from 1.
@@ -27,8 +28,8 @@ def draw(key: Column, seed: int, name: str) -> Column:
 def sample_words(words: DataFrame, n: int, mode: str = "uniform", seed: int = 42) -> DataFrame:
     """(lang, word, at): n words of 2 to 19 letters of each language, uniform by digest or the first by name."""
     usable = words.select("lang", "word").where(F.length("word").between(2, 19)).distinct()
-    order = (draw(F.col("word"), seed, "sample"), F.col("word")) if mode == "uniform" else (F.col("word"),)
-    return usable.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("at") <= n).withColumn("at", F.col("at").cast("long"))
+    usable = usable.withColumn("__draw", draw(F.col("word"), seed, "sample") if mode == "uniform" else F.lit(0))
+    return S.numbered(usable, ("lang",), (F.asc("__draw"), F.asc("word")), "at").where(F.col("at") <= n).select("lang", "word", "at")
 
 
 def make_samples(words: DataFrame, n: int, seed: int = 42, balance: float = 0.5, max_words: int = 3, focus: str | None = None, layouts=L.LAYOUTS) -> DataFrame:

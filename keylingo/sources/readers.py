@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import blocks as S
 from ..operators import cleaning as C
 
 CHAT = "array<variant>"
@@ -26,7 +27,7 @@ def read_bitext(spark: SparkSession, path: str, cap: int | None = None) -> DataF
     lines = lines.where((F.col("lang") != "") & (F.length("text") > 0) & ~F.contains("text", F.lit("�")))
     if cap is None:
         return lines
-    return lines.withColumn("__at", F.row_number().over(Window.partitionBy("lang").orderBy("text"))).where(F.col("__at") <= cap).drop("__at")
+    return S.numbered(lines, ("lang",), (F.asc("text"),), "__at").where(F.col("__at") <= cap).drop("__at")
 
 
 def read_wiki_dump(spark: SparkSession, path: str) -> DataFrame:
@@ -94,7 +95,7 @@ def read_unigrams(spark: SparkSession, path: str, lang: str) -> DataFrame:
     rows = spark.read.option("sep", "\t").option("mode", "DROPMALFORMED").option("quote", "").schema("word string, cnt bigint").csv(path)
     rows = rows.where("word is not null and cnt is not null").select(F.lit(lang).alias("lang"), F.lower("word").alias("word"), "cnt")
     rows = rows.groupBy("lang", "word").agg(F.max("cnt").alias("cnt"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("cnt"), "word")).cast("long"))
+    return S.numbered(rows, ("lang",), (F.desc("cnt"), F.asc("word")), "rank").select("lang", "word", "cnt", "rank")
 
 
 def read_trigram_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -108,3 +108,15 @@ def test_keystrokes_over_blocks(spark, parts):
         states[user] = (buffer, us, selected, seq)
     got = B.keystrokes_to_tokens(keys, parts=parts)
     assert sorted((r["user_id"] or 0, r["seq"], r["token"]) for r in got.collect()) == sorted(want) and len(want) > 100
+
+
+@pytest.mark.parametrize("parts", [1, 6, 40])
+def test_rows_are_numbered_over_blocks(spark, parts):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randint(0, 9), n) for n in range(900)]
+    got = S.numbered(spark.createDataFrame(rows, "k string, x int, n int"), ("k",), (F.desc("x"), F.asc("n")), "at", parts)
+    want, count = [], {}
+    for k, x, n in sorted(rows, key=lambda r: (-r[1], r[2])):
+        count[k] = count.get(k, 0) + 1
+        want.append((k or "", x, n, count[k]))
+    assert sorted((r["k"] or "", r["x"], r["n"], r["at"]) for r in got.collect()) == sorted(want)
