@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import free_name, small
 
 #: A worker keeps the ids of this many pre-tokens before it starts anew.
 MEMO = 500_000
@@ -136,11 +136,12 @@ def encoder(path: str, pattern: str) -> BytePairEncoder:
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """``docs`` with a column of token ids; null and empty texts have none.
 
-    The rank file must be at the same path on every executor. The added column
-    must not be one that ``docs`` has. Texts of any length are encoded whole.
+    The rank file must be at the same path on every executor. The added column is
+    the last and called ``out_col``, with underscores behind where ``docs`` has
+    that one. Texts of any length are encoded whole; repeated rows stay; an empty
+    table gives an empty result.
     """
-    if out_col in docs.columns:
-        raise ValueError(f"{out_col} is already a column")
+    out_col = free_name(docs, out_col)
 
     def run(batches):
         bpe = encoder(ranks_path, pattern)
@@ -152,9 +153,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``encoded`` with the bytes that its ids stand for; null ids give empty bytes."""
-    if out_col in encoded.columns:
-        raise ValueError(f"{out_col} is already a column")
+    """``encoded`` with the bytes that its ids stand for, in a last column that is named as ``encode_documents`` names its own; null ids give empty bytes."""
+    out_col = free_name(encoded, out_col)
 
     def run(batches):
         bpe = encoder(ranks_path, pattern)

@@ -65,6 +65,12 @@ class Scratch:
             at.getFileSystem(conf).delete(at, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores behind as it takes to be none of the columns, in either case."""
+    taken = {c.lower() for c in df.columns}
+    return next(c for c in (name + "_" * n for n in range(len(taken) + 1)) if c.lower() not in taken)
+
+
 def words(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a UTF-8 text with A-Z in lower case; null has none.
 

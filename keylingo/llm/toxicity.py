@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch, free_name, small
 
 #: Bounds of the fit: labelled rows, entries of the lexicon and learned exceptions, lengths of word beginnings, least count
 #: (of toxic documents for an entry, of clean ones for an exception) and log odds of an entry.
@@ -224,9 +224,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
-    """``docs`` with a score from 0 to 1; null counts as empty. The added column must be new."""
-    if out_col in docs.columns:
-        raise ValueError(f"{out_col} is already a column")
+    """``docs`` with a score from 0 to 1 in a last column called ``out_col``, with underscores behind where ``docs`` has that one; null counts as empty."""
+    out_col = free_name(docs, out_col)
 
     def run(batches):
         for batch in small(batches):
@@ -263,6 +262,5 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     they are called. An empty table gives an empty result; without labels all
     rows stay.
     """
-    taken = {c.lower() for c in docs.columns}
-    added = next(c for c in ("toxicity" + "_" * n for n in range(len(taken) + 1)) if c not in taken)
+    added = free_name(docs, "toxicity")
     return score(docs, fit(docs, labels), out_col=added).where(F.col(added) < 0.5).drop(added)

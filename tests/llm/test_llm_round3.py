@@ -264,3 +264,17 @@ def test_keys_are_part_of_their_templates():
     for t in license_scan.BASE + license_scan.TEMPLATES:
         found, keys = license_scan.words_and_keys(t)
         assert keys and found == words(t.text)
+
+
+def test_helpers_take_clashing_names(spark, docs):
+    from keylingo.llm import byte_bpe, toxicity
+
+    path, pattern = public_tokenizers.path(queries.BYTE_BPE), public_tokenizers.PATTERN
+    some = docs.where("length(text) < 2000")
+    coded = byte_bpe.encode_documents(some, path, pattern)
+    assert coded.columns == [*docs.columns, "ids_"]
+    back = byte_bpe.decode_documents(coded, path, pattern, ids_col="ids_", out_col="TEXT")
+    assert back.columns[-1] == "TEXT_" and all(bytes(r["TEXT_"]).decode() == r["text"] and r["ids"] == "i" for r in back.collect())
+    labels = spark.createDataFrame([(r[0], int(i % 2)) for i, r in enumerate(rows()) if r[0] is not None], "doc_id long, toxic int")
+    scored = toxicity.score(some, toxicity.fit(some, labels), out_col="Score")
+    assert scored.columns[-1] == "Score_" and all(0 <= r["Score_"] <= 1 for r in scored.collect())
