@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import blocks as S
 from ..operators import cleaning as C
+from .chats import read_messages
 
 CHAT = "array<variant>"
 HEADER = "lang string, n_gram bigint, smoothing_k double, total_count bigint, unique_trigrams bigint, floor double, p05 double, p50 double, p95 double, least double, most double"
@@ -37,13 +38,9 @@ def read_wiki_dump(spark: SparkSession, path: str) -> DataFrame:
     return pages.where("ns = 0").select("title", F.col("revision.text._VALUE").alias("text"))
 
 
-def read_chat_export(spark: SparkSession, path: str) -> DataFrame:
-    """(text variant): one row per message of exports with ``messages`` at the root or under ``chats.list``."""
-    whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
-    chats = F.coalesce(F.variant_get("v", "$.chats.list", CHAT), F.array().cast(CHAT))
-    nested = F.flatten(F.transform(chats, lambda c: F.coalesce(F.variant_get(c, "$.messages", CHAT), F.array().cast(CHAT))))
-    root = F.variant_get("v", "$.messages", CHAT)
-    return whole.select(F.explode(F.coalesce(root, nested)).alias("message")).select(F.variant_get("message", "$.text", "variant").alias("text"))
+def read_chat_export(spark: SparkSession, path: str, parts: int | None = None) -> DataFrame:
+    """(text variant): one row per message of exports with ``messages`` at the root or under ``chats.list``; large files are read in many tasks."""
+    return read_messages(spark, path, parts).select(F.variant_get("message", "$.text", "variant").alias("text"))
 
 
 def flatten_message_text(df: DataFrame, col: str = "text") -> DataFrame:
