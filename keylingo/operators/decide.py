@@ -263,31 +263,37 @@ def fast_language(scored: DataFrame) -> DataFrame:
     return scored.select("token", _fast().alias("f")).where("f is not null").select("token", "f.*")
 
 
+def _charsets(text: Column) -> Column:
+    """For each language 1 if the text is of its characters, else 0."""
+    return F.struct(*(F.when(T.charset_match(text, x), 1.0).otherwise(0.0).alias(x) for x in LANGS))
+
+
+#: Names of hypotheses in order, which breaks ties.
+_BY_NAME = sorted(h[0] for h in HYPOTHESES)
+
+
 def _ensemble(context: Column) -> Column:
-    """struct(hyp, lang, confidence): as-is and mapped hypotheses by weighted posterior, script, trigram and word scores."""
+    """struct(hyp, lang, confidence): as-is and mapped hypotheses by weighted posterior, script, trigram and word scores; ``charset`` has the token's ``_charsets``."""
     token = F.col("token")
 
-    def entry(hyp, lang, text, letters, scores, charset, mapped: int) -> Column:
+    def entry(hyp, name, lang, text, letters, scores, charset, mapped: int) -> Column:
         short = 0.05 * scores("nl") + 0.25 * charset + 0.55 * scores("word")
         long = 0.15 * scores("nl") + 0.20 * charset + 0.35 * scores("norm") + 0.30 * scores("word")
         total = F.when(letters <= 3, short).otherwise(long) - 0.2 * mapped + F.when(lang == context, 0.15).otherwise(0.0)
-        return F.struct(F.round(total, 9).alias("r"), F.lit(-mapped).alias("m"), hyp.alias("hyp"), lang.alias("lang"), text.alias("text"), total.alias("total"))
+        return F.struct(F.round(total, 9).alias("r"), F.lit(-mapped).alias("m"), (-name).alias("n"), hyp.alias("hyp"), lang.alias("lang"), text.alias("text"), total.alias("total"))
 
-    def charset(text: Column, lang: Column) -> Column:
-        out = F.lit(0.0)
-        for x in LANGS:
-            out = F.when((lang == x) & T.charset_match(text, x), 1.0).otherwise(out)
+    def place(hyp: Column) -> Column:
+        out = F.lit(len(_BY_NAME))
+        for n, name in enumerate(_BY_NAME):
+            out = F.when(hyp == name, n).otherwise(out)
         return out
 
     letters = _letters(F.lower(token))
-    as_is = F.array(*(entry(F.lit(x), F.lit(x), token, letters, lambda f, x=x: _own(x, f), charset(token, F.lit(x)), 0) for x in LANGS))
-    pure = F.filter("cands", lambda c: charset(token, c["source"]) > 0)
-    mapped = F.transform(pure, lambda c: entry(c["hyp"], c["target"], c["text"], c["letters"], lambda f: c[f], charset(c["text"], c["target"]), 1))
+    as_is = F.array(*(entry(F.lit(x), F.lit(_BY_NAME.index(x)), F.lit(x), token, letters, lambda f, x=x: _own(x, f), F.col("charset")[x], 0) for x in LANGS))
+    pure = F.filter("cands", lambda c: _under(F.col("charset"), c["source"]) > 0)
+    mapped = F.transform(pure, lambda c: entry(c["hyp"], place(c["hyp"]), c["target"], c["text"], c["letters"], lambda f: c[f], _under(_charsets(c["text"]), c["target"]), 1))
     # greatest first; of equal ones as-is before mapped, then by name
-    by_rank = F.array_sort(
-        F.concat(as_is, mapped),
-        lambda a, b: F.when(a["r"] > b["r"], -1).when(a["r"] < b["r"], 1).when(a["m"] > b["m"], -1).when(a["m"] < b["m"], 1).when(a["hyp"] < b["hyp"], -1).when(a["hyp"] > b["hyp"], 1).otherwise(0),
-    )
+    by_rank = F.sort_array(F.concat(as_is, mapped), False)
     first = F.transform(F.array(by_rank), lambda r: F.struct(r[0]["hyp"].alias("hyp"), r[0]["lang"].alias("lang"), F.least(F.lit(1.0), 2 * (r[0]["total"] - r[1]["total"]) + 0.5).alias("confidence")))
     one = F.struct(F.lit("en").alias("hyp"), F.coalesce(context, F.lit("en")).alias("lang"), F.lit(0.5).alias("confidence"))
     return F.when(F.length(token) == 1, one).otherwise(F.get(first, F.lit(0)))
@@ -295,7 +301,7 @@ def _ensemble(context: Column) -> Column:
 
 def ensemble_language(scored: DataFrame, context: str | None = None) -> DataFrame:
     """(token, hyp, lang, confidence) of the best hypothesis; ``context`` names a column with the language before the token, which counts 0.15 more."""
-    return scored.select("token", _ensemble(F.col(context) if context else F.lit(None).cast("string")).alias("e")).select("token", "e.*")
+    return scored.withColumn("charset", _charsets(F.col("token"))).select("token", _ensemble(F.col(context) if context else F.lit(None).cast("string")).alias("e")).select("token", "e.*")
 
 
 def _rule(c: Column, th: Thresholds) -> Column:
@@ -307,6 +313,11 @@ def _rule(c: Column, th: Thresholds) -> Column:
     return F.when(prepositions, "preposition").when(_immediate(c), "lexicon").when(word, "word").when(short, "short").when(fits, "trigrams")
 
 
+def _ruled(th: Thresholds) -> Column:
+    """``cands`` with the rule that accepts each."""
+    return F.transform("cands", lambda c: c.withField("rule", _rule(c, th)))
+
+
 def _sure(rule: Column, base: Column) -> Column:
     floor = F.when(rule.isin("preposition", "lexicon"), 0.90).when(rule.isin("word", "short"), 0.85).when(rule == "trigrams", 0.80)
     return F.when(rule.isNotNull(), F.greatest(base, floor))
@@ -319,16 +330,16 @@ def validate_correction(scored: DataFrame, base: float = 0.0, th: Thresholds = D
 
 
 def _heuristic(base: Column, th: Thresholds) -> Column:
-    """struct(hyp, lang, confidence, text, rule) of the first valid candidate of a token that is no word of its script's language, else null."""
+    """struct(hyp, lang, confidence, text, rule) of the first valid candidate, as ``_ruled`` has them, of a token that is no word of its script's language, else null."""
     weak = F.col("script").isNotNull() & (_own(F.col("script"), "word") < th.source_word_conf_max)
-    valid = F.filter("cands", lambda c: ((c["source"] != "ru") | (c["target"] == "en")) & _rule(c, th).isNotNull())
-    made = F.transform(valid, lambda c: F.struct(c["hyp"].alias("hyp"), c["target"].alias("lang"), _sure(_rule(c, th), F.greatest(F.lit(th.base_conf_min), base)).alias("confidence"), c["text"].alias("text"), _rule(c, th).alias("rule")))
-    return F.when(weak, F.get(made, F.lit(0)))
+    valid = F.get(F.filter("cands", lambda c: ((c["source"] != "ru") | (c["target"] == "en")) & c["rule"].isNotNull()), F.lit(0))
+    made = F.struct(valid["hyp"].alias("hyp"), valid["target"].alias("lang"), _sure(valid["rule"], F.greatest(F.lit(th.base_conf_min), base)).alias("confidence"), valid["text"].alias("text"), valid["rule"].alias("rule"))
+    return F.when(weak & valid.isNotNull(), made)
 
 
 def heuristic_correction(scored: DataFrame, th: Thresholds = DEFAULT, base: Column | float = 0.0) -> DataFrame:
     """(token, hyp, text, target, rule, confidence): the first valid candidate, in order, of tokens that are no words of their script's language; from ru only to en."""
-    found = scored.select("token", _heuristic(base if isinstance(base, Column) else F.lit(base), th).alias("h")).where("h is not null")
+    found = scored.withColumn("cands", _ruled(th)).select("token", _heuristic(base if isinstance(base, Column) else F.lit(base), th).alias("h")).where("h is not null")
     return found.select("token", "h.hyp", "h.text", F.col("h.lang").alias("target"), "h.rule", "h.confidence")
 
 
@@ -440,10 +451,10 @@ def route(tokens: DataFrame, models: Models, rules: DataFrame, th: Thresholds =
         frame = frame.withColumns({"predicted": F.lit(None).cast("string"), "sure": F.lit(None).cast("double")})
     else:
         frame = frame.join(predictions.select("token", "predicted", F.col("confidence").alias("sure")), "token", "left")
-    frame = _accepted(frame, th, automatic)
+    frame = _accepted(frame.withColumn("cands", _ruled(th)), th, automatic)
     win = F.struct(F.col("best.hyp").alias("hyp"), F.col("best.target").alias("lang"), F.col("win_sure").alias("confidence"), F.col("best.text").alias("text"))
     frame = frame.withColumn("scored", F.when(F.col("win_sure") >= th.standard_path, win))
-    frame = frame.withColumn("fast", _fast()).withColumn("ensemble", F.when(F.coalesce(F.col("fast.confidence") >= th.fast_path, F.lit(False)), F.lit(None)).otherwise(_ensemble(F.col("last_lang"))))
+    frame = frame.withColumns({"fast": _fast(), "charset": _charsets(token)}).withColumn("ensemble", F.when(F.coalesce(F.col("fast.confidence") >= th.fast_path, F.lit(False)), F.lit(None)).otherwise(_ensemble(F.col("last_lang"))))
     named = lambda path, s: F.struct(path.alias("path"), s["hyp"].alias("hyp"), s["lang"].alias("lang"), s["confidence"].alias("confidence"), s["text"].alias("text"))
     of_fast = F.struct(F.lit("fast").alias("path"), F.col("fast.lang").alias("hyp"), F.col("fast.lang").alias("lang"), F.col("fast.confidence").alias("confidence"), token.alias("text"))
     chosen = F.get(F.filter("cands", lambda c: c["hyp"] == F.col("ensemble.hyp")), F.lit(0))
@@ -451,7 +462,7 @@ def route(tokens: DataFrame, models: Models, rules: DataFrame, th: Thresholds =
     level = F.when(F.col("ensemble.confidence") >= th.standard_path, "standard").otherwise("fallback")
     of_both = F.struct(level.alias("path"), F.col("ensemble.hyp").alias("hyp"), F.col("ensemble.lang").alias("lang"), F.col("ensemble.confidence").alias("confidence"), F.coalesce("chosen.text", "token").alias("text"))
     frame = frame.withColumn("base", F.when(F.col("ensemble").isNull(), of_fast).otherwise(of_both))
-    frame = frame.withColumn("chosen_rule", _rule(F.col("chosen"), th))
+    frame = frame.withColumn("chosen_rule", F.col("chosen.rule"))
     valid = F.struct(F.lit("validated").alias("path"), F.col("base.hyp").alias("hyp"), F.col("base.lang").alias("lang"), _sure(F.col("chosen_rule"), F.col("base.confidence")).alias("confidence"), F.col("base.text").alias("text"))
     model, forbidden = _model(F.col("predicted"), F.col("sure"), F.col("base.confidence"), th)
     frame = frame.withColumns({"model": model, "forbidden": forbidden, "guess": _heuristic(F.col("base.confidence"), th)})
