@@ -134,7 +134,12 @@ def mix(
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
-    """``mixed`` with a row for each pass (words, position), range-sorted by training position."""
+    """``mixed`` with a row for each pass (words, position), range-sorted by training position.
+
+    Rows of one position are in the order of their ids, null ids first; those equal
+    in both are in any order. Rows that aren't taken have no pass and go. Repeated
+    rows are passes of their own; an empty table gives an empty result.
+    """
     each = mixed.drop("position").select("*", F.explode("passes").alias("pass")).select("*", "pass.words", "pass.position").drop("pass", "passes")
     return each.orderBy("position", "doc_id")
 
@@ -143,7 +148,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` in training order, a row for each pass that takes at least half of the document's words.
 
     Texts stay whole: the document at the end of a source's stream is taken or
-    left by where its middle falls. Documents without words go.
+    left by where its middle falls. Documents without words go, so null and empty
+    texts do. Null sources are one source, rows with repeated or null ids are
+    placed one by one, a document may come twice, and columns stay as they are,
+    whatever they are called. An empty table gives an empty result.
     """
     each = training_order(mix(docs, carry=True)).where(F.col("words") * 2 >= F.col("size"))
     return each.select("row.*")
