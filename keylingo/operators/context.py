@@ -127,14 +127,22 @@ def split_or_whole(df: DataFrame, margin: float = 0.25) -> DataFrame:
     return df.withColumn("chosen", F.when((text != F.col("token")) & better, text))
 
 
-def correct_segments(segments: DataFrame, choices: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, changed, text): texts with their segments (pos, segment) replaced by the choice for each, null where nothing changes."""
-    joined = segments.join(choices.select(F.col("token").alias("segment"), "chosen"), "segment", "left")
-    out = joined.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("chosen", "segment").alias("s")))), lambda x: x["s"]), "").alias("text"),
-        F.count("chosen").alias("changed"), F.count("*").alias("__n"),
-    )
-    return out.select(key, "changed", F.when((F.col("changed") > 0) & (F.col("__n") > 1), F.col("text")).alias("text"))
+def correct_segments(docs: DataFrame, choices: DataFrame, key: str = "doc_id", col: str = "text") -> DataFrame:
+    """(key, changed, text): texts with their segments replaced by the choice (token, chosen) for each, null where nothing changes or the text is one segment.
+
+    Only segments with a choice travel, as their places; a text is put together
+    again from its own segments between them. Rows are told apart by their key,
+    which must not repeat; texts without segments give no rows.
+    """
+    useful = choices.where("chosen is not null").select(F.col("token").alias("segment"), "chosen")
+    each = docs.select(key, F.posexplode(T.segments(F.col(col))).alias("at", "segment"))
+    changes = each.join(useful, "segment").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "chosen"))).alias("changes"))
+    own = docs.select(key, T.segments(F.col(col)).alias("segments")).where(F.size("segments") > 0).join(changes, key, "left")
+    after = lambda n: F.when(n > 0, F.get("changes", n - 1)["at"] + 1).otherwise(0)
+    between = F.flatten(F.transform("changes", lambda c, n: F.concat(F.slice("segments", after(n) + 1, c["at"] - after(n)), F.array(c["chosen"]))))
+    rest = F.slice("segments", F.element_at("changes", -1)["at"] + 2, F.size("segments"))
+    text = F.when(F.col("changes").isNotNull() & (F.size("segments") > 1), F.array_join(F.concat(between, rest), ""))
+    return own.select(key, F.coalesce(F.size("changes"), F.lit(0)).cast("long").alias("changed"), text.alias("text"))
 
 
 def rank_alternatives(df: DataFrame) -> DataFrame:

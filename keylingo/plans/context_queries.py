@@ -86,7 +86,7 @@ def d15_split_or_whole(spark, d):
 
 def d16_correct_segments(spark, d):
     docs = documents(spark, d).select("doc_id", L.convert(F.lower("text"), "us", "ru").alias("text"))
-    fixed = K.correct_segments(C.explode_segments(docs).select("doc_id", "pos", "segment"), K.split_or_whole(readings(spark, d)))
+    fixed = K.correct_segments(docs, K.split_or_whole(readings(spark, d)))
     return fixed.select("doc_id", "changed", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

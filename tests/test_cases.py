@@ -113,3 +113,21 @@ def test_models_as_json_and_stale_files(spark, tmp_path):
     log = spark.createDataFrame([("r", "a", 0, True), ("r", "a", 30_000, True), ("r", "b", 90_000, False), ("s", "b", 95_000, True)], "run string, category string, us long, passed boolean").withColumn("ts", F.timestamp_micros("us"))
     got = {r["category"]: tuple(r)[1:] for r in E.case_summary(E.case_times(log, "run")).collect()}
     assert got == {"a": (2, 0, 0), "b": (1, 1, 1), "*": (3, 1, 1)}
+
+
+def test_corrected_segments_are_spliced(spark):
+    import re
+
+    from keylingo.operators import context as K
+
+    rng, choices = random.Random(2), {"aa": "AA", "b": None, "cc": "long text", " ": "_", "x": ""}
+    texts = ["", None, "aa", "aa b", " aa", "b b", "aa cc  x\n", *("".join(rng.choices(["aa", "b", "cc", "x", " ", "  ", "\n", "é"], k=rng.randint(1, 30))) for _ in range(60))]
+    docs = spark.createDataFrame([(n, t, "clash") for n, t in enumerate(texts)], "doc_id long, text string, segments string")
+    got = {r["doc_id"]: (r["changed"], r["text"]) for r in K.correct_segments(docs, spark.createDataFrame(list(choices.items()), "token string, chosen string")).collect()}
+    want = {}
+    for n, text in enumerate(texts):
+        parts = re.findall(r"[ \t\n\x0b\f\r]+|[^ \t\n\x0b\f\r]+", text or "")
+        changed = sum(choices.get(p) is not None for p in parts)
+        if parts:
+            want[n] = (changed, "".join(p if choices.get(p) is None else choices[p] for p in parts) if changed and len(parts) > 1 else None)
+    assert got == want
