@@ -25,7 +25,7 @@ def history(spark, n=4000):
     return spark.createDataFrame(rows, "stream_id long, seq long, ts double, token string, lang string, confidence double, applied boolean")
 
 
-@pytest.mark.parametrize("parts", [1, 13, 200])
+@pytest.mark.parametrize("parts", [1, 13, 60])
 def test_context_over_blocks(spark, parts):
     tokens = history(spark)
     w = Window.partitionBy("stream_id").orderBy("seq")
@@ -61,7 +61,7 @@ def test_long_sentences_over_blocks(spark):
         assert got[seq] == (None if seq < 1000 else "en", count)
 
 
-@pytest.mark.parametrize("parts", [1, 9, 150])
+@pytest.mark.parametrize("parts", [1, 9, 60])
 def test_debounce_over_blocks(spark, parts):
     rng, rows = random.Random(8), []
     for user, steps in ((1, [100_000, 300_000, 499_999, 500_000]), (2, [0, 0, 1_000, 40_000]), (3, [600_000, 5_000_000]), (None, [200_000])):
@@ -79,7 +79,7 @@ def test_debounce_over_blocks(spark, parts):
     assert sorted((r["user_id"] or 0, r["event_id"]) for r in got.collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("parts", [1, 9, 400])
+@pytest.mark.parametrize("parts", [1, 9, 120])
 def test_keystrokes_over_blocks(spark, parts):
     rng, rows, us = random.Random(9), [], 1_700_000_000_000_000
     kinds = [("a", False, False)] * 4 + [("é", False, False), (" ", False, False), ("\n", False, False), (None, False, False), ("x", True, False), ("x", True, False), (None, False, True)]

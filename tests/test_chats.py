@@ -20,8 +20,7 @@ def exports(rng):
     return {"nested": nested, "root": root, "none": {"list": []}, "empty": {"messages": []}}
 
 
-@pytest.mark.parametrize("indent", [None, 1, "\t"])
-@pytest.mark.parametrize("parts", [1, 7, 60])
+@pytest.mark.parametrize(("indent", "parts"), [(None, 1), (None, 7), (1, 7), ("\t", 1), (1, 60)])
 def test_messages_of_exports_cut_anywhere(spark, tmp_path, indent, parts):
     rng, want = random.Random(parts), []
     for name, export in exports(rng).items():
