@@ -4,7 +4,7 @@ Folds over a key's rows need them in order, but rows come in any order within
 the lateness. So rows wait in the state until the watermark has passed them; an
 event-time timer then folds those that are due, in the order of (time, seq).
 The outcome depends on the rows alone, not on how batches cut them or on
-restarts. A chunk of a batch goes to the state as it comes; what waits is
+restarts. Rows without a time are left out. A chunk of a batch goes to the state as it comes; what waits is
 bounded by what a key gets within the lateness, once the stream is caught up.
 """
 
@@ -46,13 +46,15 @@ class InOrder(StatefulProcessor):
         return None, []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        self.handle, self.longs = handle, [f.split()[0] for f in self.waiting.split(", ") if f.endswith(" long")]
         self.rows = handle.getListState("rows", f"us long, seq long, {self.waiting}")
         self.state = handle.getValueState("state", self.known)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for chunk in rows:
-            chunk = chunk.drop(columns=[chunk.columns[0], "ts"]).astype(object)
+            chunk = chunk.drop(columns=[chunk.columns[0], "ts"])
+            # pandas makes whole numbers with nulls floating ones
+            chunk = chunk.astype({c: "Int64" for c in self.longs if chunk[c].dtype.kind == "f"}).astype(object)
             chunk = chunk.where(chunk.notna(), None)
             self.rows.appendList(list(chunk.itertuples(index=False, name=None)))
             self._wake(int(chunk["us"].min()))
@@ -192,7 +194,7 @@ class Alternation(InOrder):
 def _in_order(stream: DataFrame, key: str, fold: InOrder, schema: str, late: str) -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     names = [f.split()[0] for f in fold.waiting.split(", ")]
-    rows = stream.withWatermark("ts", late).select(key, "ts", F.unix_micros("ts").alias("us"), "seq", *names)
+    rows = stream.where("ts is not null").withWatermark("ts", late).select(key, "ts", F.unix_micros("ts").alias("us"), "seq", *names)
     return rows.groupBy(key).transformWithStateInPandas(fold, schema, "Append", "EventTime")
 
 

@@ -112,7 +112,7 @@ def test_alternation_sessions_end_by_time(spark, tmp_path):
     rng, rows, us = random.Random(6), [], START
     for seq in range(400):
         us += rng.choice([100_000, 3_000_000, 60_000_000, 60_000_001, 90_000_000])
-        rows.append((rng.randint(1, 4), seq, us, rng.choice([True, False]), rng.choice([1, 2, 3, 5])))
+        rows.append((rng.randint(1, 4), seq, us, rng.choice([True, False, None]), rng.choice([1, 2, 3, 5, None])))
     schema = "user_id long, seq long, us long, automatic boolean, choices long"
     parts = staged(spark, tmp_path, [*rows, (9, 0, us + 200_000_000, True, 2)], schema, 4)
     got = feed(spark, lambda s: R.run_to_table(R.alternation_events(micros(s)), str(tmp_path / "alt"), "append").drop("batch"), tmp_path, parts, schema)
