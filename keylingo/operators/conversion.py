@@ -8,19 +8,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import layouts as L
+from ..sources.scratch import kept
 
 
 def convert_by_row(df: DataFrame, charmap: DataFrame, col: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, text): conversion where the map of characters is a table with the rows' own (src, dst).
 
-    ``df`` has src and dst; ``charmap`` has src, dst, src_ch and dst_ch. Each
-    distinct character of a pair is looked up once and the text is rebuilt from
-    the pairs found, so no row per character is shuffled.
+    ``df`` has src and dst; ``charmap`` has src, dst, src_ch and dst_ch, each
+    src_ch of a pair once. A pair's map is a row of a written table, whose size
+    the optimizer knows: texts stay where they are, although few pairs have all
+    of them. Characters that become one character are translated in one pass;
+    where some become several, each one is looked up.
     """
-    pairs = charmap.groupBy("src", "dst").agg(F.map_from_entries(F.collect_list(F.struct("src_ch", "dst_ch"))).alias("map"))
-    joined = df.join(pairs, ["src", "dst"], "left")
-    made = F.transform(F.split(F.col(col), ""), lambda c: F.coalesce(F.element_at("map", c), c))
-    return joined.select(key, F.array_join(made, "").alias(col))
+    found = F.filter("pairs", lambda p: (F.length(p["key"]) == 1) & p["value"].isNotNull())
+    pairs = charmap.groupBy("src", "dst").agg(F.map_from_entries(F.collect_list(F.struct("src_ch", "dst_ch"))).alias("map")).withColumn("pairs", F.map_entries("map"))
+    pairs = pairs.select("src", "dst", "map", F.transform(found, lambda p: F.struct(p["key"].alias("src_ch"), p["value"].alias("dst_ch"))).alias("pairs"))
+    single = F.forall("pairs", lambda p: (F.length(p["dst_ch"]) == 1) & (p["dst_ch"] != "\0"))  # to the null character means to nothing in ``translate``
+    sides = [F.array_join(F.col("pairs")[c], "").alias(f"{c}s") for c in ("src_ch", "dst_ch")]
+    joined = df.join(kept(pairs.select("src", "dst", "map", single.alias("single"), *sides), "charmaps"), ["src", "dst"], "left")
+    each = F.transform(F.split(F.col(col), ""), lambda c: F.coalesce(F.element_at("map", c), c))
+    made = F.when(F.col("single"), F.call_function("translate", F.col(col), F.col("src_chs"), F.col("dst_chs"))).when(F.col("map").isNotNull(), F.array_join(each, "")).otherwise(F.col(col))
+    return joined.select(key, made.alias(col))
 
 
 def convert_variants(df: DataFrame, sources, targets, col: str = "text") -> DataFrame:
