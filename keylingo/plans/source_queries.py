@@ -16,7 +16,7 @@ from ..sources.scratch import shared_folder
 from . import decide_queries as Q
 from . import sample_queries as A
 from .common import DOCS, documents, table
-from .model_queries import LEXICON, lexicon_of, trigrams, unigrams
+from .model_queries import LEXICON, all_words, lexicon_of, trigrams, unigrams
 
 
 def s8_unigram_files(spark, d):
@@ -71,7 +71,7 @@ def s13_correction_log(spark, d):
 
 def d14_choose_variant(spark, d):
     typed = Q.typed_words(spark, d).where("typed_on = 'ru'").select("token")
-    return D.choose_variant(V.convert_variants(typed, ("ru_phonetic", "ru"), ("us",), col="token"), lexicon_of(Q.trained(spark, d)[0]).where("lang = 'en'"))
+    return D.choose_variant(V.convert_variants(typed, ("ru_phonetic", "ru"), ("us",), col="token"), lexicon_of(all_words(spark, d)).where("lang = 'en'"))
 
 
 QUERIES = {f.__name__: f for f in (s8_unigram_files, s9_trigram_files, s10_sample_files, s11_append_by_language, s12_decision_log, s13_correction_log, d14_choose_variant)}
