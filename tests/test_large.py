@@ -1,6 +1,12 @@
 """Queries on what the given small tables don't hold: many words, texts under few maps."""
 
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from keylingo import plans
 from keylingo.operators import conversion as V
+from keylingo.plans import decide_queries, model_queries
 
 
 def plan_of(df):
@@ -13,3 +19,47 @@ def test_convert_by_row_keeps_texts_where_they_are(spark):
     made = V.convert_by_row(spark.createDataFrame(docs, "doc_id long, src string, dst string, text string"), maps)
     assert dict(made.collect()) == {1: "1bc", 2: "abbcab", 3: "\0𝄞𝄞", 4: "abc", 5: None, 6: ""}
     assert "Exchange hashpartitioning" not in plan_of(made)
+
+
+def spelled(n):
+    """A word of five letters for each number."""
+    out = ""
+    for _ in range(5):
+        n, rest = divmod(n, 26)
+        out += chr(97 + rest)
+    return out
+
+
+@pytest.fixture(scope="module")
+def many(tmp_path_factory):
+    """Documents of 200,300 words, each at least five times: more than the most frequent that a ranked list holds."""
+    folder = tmp_path_factory.mktemp("many")
+    con = duckdb.connect()
+    con.create_function("spelled", spelled, ["BIGINT"], "VARCHAR")
+    con.execute("CREATE TABLE words AS SELECT string_agg(spelled(i), ' ' ORDER BY i) AS text FROM range(200300) r(i)")
+    con.execute(f"COPY (SELECT id AS doc_id, text, 'en' AS lang, 'a' AS source, 1::BIGINT AS n_chars FROM words, range(1, 13) v(id)) TO '{folder}/documents.parquet'")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", ["d14_choose_variant", "j5_decode_by_lexicon", "j7_word_confidence"])
+def test_lexicon_has_all_words(spark, many, name):
+    folder, con = many
+    df = plans.queries()[name](spark, folder)
+    cursor = con.execute(plans.oracle_sql()[name])
+    columns = [c[0] for c in cursor.description]
+    assert sorted(map(str, df.select(columns).collect())) == sorted(str(spark_row(r, columns)) for r in cursor.fetchall())
+
+
+def spark_row(values, columns):
+    from pyspark.sql import Row
+
+    return Row(**dict(zip(columns, values, strict=True)))
+
+
+@pytest.mark.parametrize("query", ["d3_best_correction", "d4_accept_correction"])
+def test_models_have_all_words(spark, many, query):
+    """Both queries score by these models."""
+    pieces = decide_queries.models(spark, many[0]).pieces.where("kind = 'w'")
+    assert pieces.where(F.col("en.freq").isNotNull() & (F.col("en.listed") == 1)).count() == 200_300
+    assert model_queries.lexicon_of(model_queries.all_words(spark, many[0])).where("kind = 'whitelist'").count() == 200
