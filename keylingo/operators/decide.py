@@ -20,7 +20,6 @@ from pyspark.sql.window import Window
 from ..config import CORRECTIONS, DEFAULT, HYPOTHESES, PREPOSITIONS, Thresholds
 from ..functions import layouts as L
 from ..functions import text as T
-from ..sources.scratch import kept
 from . import lexical as X
 
 LANGS = ("en", "ru", "he")
@@ -96,39 +95,56 @@ def _prior(hyp: Column) -> Column:
     return out
 
 
-def _pieces(text: Column, letters: Column) -> Column:
-    """What is looked up of a text: (role, kind, piece) of its words, its space-separated words without outer punctuation, and its trigrams."""
+def _words(text: Column) -> Column:
+    """The words of a text that are looked up, as (role, piece): runs of letters, and what stands between spaces without outer punctuation; once where these are the same."""
 
-    def piece(role: str, kind: str) -> Callable[[Column], Column]:
-        return lambda x: F.struct(F.lit(role).alias("role"), F.lit(kind).alias("kind"), x.alias("piece"))
+    def piece(role: str) -> Callable[[Column], Column]:
+        return lambda x: F.struct(F.lit(role).alias("role"), x.alias("piece"))
 
+    runs = T.letter_words(text)
     spaced = F.filter(F.transform(F.split(F.lower(text), " +"), lambda w: F.regexp_replace(w, r"^\p{P}+|\p{P}+$", "")), lambda w: w != "")
-    return F.concat(F.transform(T.letter_words(text), piece("word", "w")), F.transform(spaced, piece("spaced", "w")), F.transform(T.trigrams(letters), piece("gram", "g")))
+    return F.when(runs == spaced, F.transform(runs, piece("both"))).otherwise(F.concat(F.transform(runs, piece("word")), F.transform(spaced, piece("spaced"))))
 
 
-def scored_tokens(tokens: DataFrame, models: Models, active=ACTIVE) -> DataFrame:
+def scored_tokens(tokens: DataFrame, models: Models, active=ACTIVE, readings: bool = True) -> DataFrame:
     """(token, script, own, cands) of distinct tokens; null tokens are left out.
 
     ``own`` has for each language the token's scores in it: builtin, word and
     freq (shares and mean over its words), tri and norm (its trigrams), white
     (all of its words are whitelisted), nl (its posterior) and quality. ``cands``
     has the corrections with the scores of their text in their target language,
-    the token's in their source (src_), quality with the hypothesis' prior, and q.
+    the token's in their source (src_), quality with the hypothesis' prior, and q;
+    without ``readings`` it is empty, for those who look at the token alone.
     Languages without a model have word and freq 0, tri -10 and norm 0.
+
+    Trigrams are no more than a language's letters allow, so they come to the
+    texts, which are in order of their token's hash and are summed where they
+    are. Only words travel, one or few a text, as the lexicon may be of any size.
     """
     headers = {r["lang"]: r for r in models.header.collect()}  # a row a language
     token = F.col("token")
     as_is = F.array(F.struct(F.lit("as_is").alias("hyp"), F.lit("").alias("source"), F.lit("").alias("target"), F.lit(-1).alias("place"), token.alias("text")))
-    named = _busy(tokens).select("token", "script", F.explode(F.concat(as_is, _options(token, F.col("script"), active))).alias("o"))
-    rows = named.select("token", "script", "o.*", F.regexp_replace(F.lower("o.text"), r"[^\p{L}]", "").alias("l"))
-    rows = rows.select("token", "script", "hyp", "source", "target", "place", "text", F.length("l").cast("long").alias("letters"), F.explode_outer(_pieces(F.col("text"), F.col("l"))).alias("p"))
-    found = rows.select("*", "p.*").drop("p").join(models.pieces, ["kind", "piece"], "left")
-    role = F.col("role")
-    sums = [F.count(F.when(role == "word", 1)).alias("n_words"), F.count(F.when(role == "spaced", 1)).alias("n_spaced")]
+    busy = _busy(tokens)
+    spread = 2 * int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = busy.select("token", "script", F.explode(F.concat(as_is, _options(token, F.col("script"), active)) if readings else as_is).alias("o"))
+    rows = named.select("token", "script", "o.place", "o.text", F.regexp_replace(F.lower("o.text"), r"[^\p{L}]", "").alias("l"))
+    grams = models.pieces.where("kind = 'g'").select(F.col("piece").alias("gram"), *(F.col(f"{x}.logprob").alias(f"{x}_logprob") for x in LANGS))
+    rows = rows.select("token", "script", "place", "text", F.length("l").cast("long").alias("letters"), F.explode_outer(T.trigrams(F.col("l"))).alias("gram")).join(F.broadcast(grams), "gram", "left")
+    keys = ["token", "script", "place", "text", "letters"]
+    fits = [f(F.col(f"{x}_logprob")).alias(f"{x}_{n}") for x in LANGS for n, f in (("hit", F.count), ("sum", F.sum))]
+    rows = rows.groupBy(*keys).agg(*fits)
+    words = models.pieces.where("kind = 'w'").select("piece", *(F.col(f"{x}.{c}").alias(f"m_{x}_{c}") for x in LANGS for c in ("builtin", "listed", "freq", "white")))
+    found = rows.select("*", F.explode_outer(_words(F.col("text"))).alias("p")).select("*", "p.*").drop("p").join(words, "piece", "left").repartition(spread, "token")
+    spoken, spaced = F.col("role").isin("word", "both"), F.col("role").isin("spaced", "both")
+    sums = [F.count_if(spoken).alias("n_words"), F.count_if(spaced).alias("n_spaced")]
     for x in LANGS:
-        sums += [F.sum(F.when(role == "word", F.col(x)[c])).alias(f"{x}_{c}") for c in ("builtin", "listed", "freq")]
-        sums += [F.sum(F.when(role == "spaced", F.col(x)["white"])).alias(f"{x}_white"), F.count(F.when(role == "gram", F.col(x)["logprob"])).alias(f"{x}_hit"), F.sum(F.when(role == "gram", F.col(x)["logprob"])).alias(f"{x}_sum")]
-    each = found.groupBy("token", "script", "hyp", "source", "target", "place", "text", "letters").agg(*sums)
+        sums += [F.sum(F.when(spoken, F.col(f"m_{x}_{c}"))).alias(f"{x}_{c}") for c in ("builtin", "listed", "freq")]
+        sums += [F.sum(F.when(spaced, F.col(f"m_{x}_white"))).alias(f"{x}_white"), *(F.max(f"{x}_{n}").alias(f"{x}_{n}") for n in ("hit", "sum"))]
+    each = found.groupBy(*keys).agg(*sums)
+    names = {"hyp": F.lit("as_is"), "source": F.lit(""), "target": F.lit("")}
+    for h, t, s, n in CORRECTIONS:
+        names = {c: F.when(F.col("place") == n, v).otherwise(names[c]) for c, v in (("hyp", h), ("source", s), ("target", t))}
+    each = each.withColumns(names)
     size = F.col("letters")
 
     def zero(c: str) -> Column:
@@ -441,16 +457,15 @@ def route(tokens: DataFrame, models: Models, rules: DataFrame, th: Thresholds =
     """
     token, script = F.col("token"), F.col("script")
     keys = ["token", "last_lang"] if "last_lang" in tokens.columns else ["token"]
-    frame = kept(scored_tokens(tokens, models), "scored")  # every stage reads it
-    if len(keys) > 1:
-        frame = tokens.select(*keys).distinct().join(frame, "token")
-    else:
+    # rules and predictions meet the bare tokens, as scores are wide
+    frame = apply_rules(tokens.where("token is not null").select(*keys).distinct(), rules, automatic)
+    if len(keys) == 1:
         frame = frame.withColumn("last_lang", F.lit(None).cast("string"))
-    frame = apply_rules(frame, rules, automatic)
     if predictions is None:
         frame = frame.withColumns({"predicted": F.lit(None).cast("string"), "sure": F.lit(None).cast("double")})
     else:
         frame = frame.join(predictions.select("token", "predicted", F.col("confidence").alias("sure")), "token", "left")
+    frame = frame.join(scored_tokens(tokens, models), "token")
     frame = _accepted(frame.withColumn("cands", _ruled(th)), th, automatic)
     win = F.struct(F.col("best.hyp").alias("hyp"), F.col("best.target").alias("lang"), F.col("win_sure").alias("confidence"), F.col("best.text").alias("text"))
     frame = frame.withColumn("scored", F.when(F.col("win_sure") >= th.standard_path, win))

@@ -51,7 +51,8 @@ def s11_append_by_language(spark, d):
 
 def s12_decision_log(spark, d):
     folder = shared_folder(spark, "log")
-    W.write_decision_log(D.route(Q.tokens(spark, d), Q.models(spark, d), Q.rules(spark, d)), folder)
+    found = Q.tokens(spark, d)
+    W.write_decision_log(D.route(found, Q.models(spark, d), Q.rules(found)), folder)
     log = spark.read.schema("shape string, path string, lang string, confidence double").json(folder)
     counts = F.from_json("shape", "latin long, cyrillic long, hebrew long, other long, total long")
     return log.select(counts.alias("s"), "path", "lang").select("s.*", "path", "lang").groupBy("latin", "cyrillic", "hebrew", "other", "total", "path", "lang").agg(F.count("*").alias("n"))
