@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from keylingo import plans
 from keylingo.operators import conversion as V
+from keylingo.operators import lexical as X
 from keylingo.plans import decide_queries, model_queries
 
 
@@ -63,3 +64,17 @@ def test_models_have_all_words(spark, many, query):
     pieces = decide_queries.models(spark, many[0]).pieces.where("kind = 'w'")
     assert pieces.where(F.col("en.freq").isNotNull() & (F.col("en.listed") == 1)).count() == 200_300
     assert model_queries.lexicon_of(model_queries.all_words(spark, many[0])).where("kind = 'whitelist'").count() == 200
+
+
+def test_words_are_summed_in_place_or_joined(spark, monkeypatch):
+    """Words of the head and of the tail, unknown ones, keys that repeat, texts without words."""
+    docs = spark.createDataFrame([(1, "the the cat xx"), (1, "the"), (2, "rare the"), (3, "..."), (4, None), (5, "xx")], "doc_id long, text string")
+    words = spark.createDataFrame([("en", "the", 1.0), ("en", "cat", 0.5), ("de", "the", 0.25), ("de", "rare", 0.125)], "lang string, word string, freq_score double")
+    lexicon = words.select("lang", F.lit("builtin").alias("kind"), "word").unionByName(words.where("word = 'cat'").select("lang", F.lit("own").alias("kind"), "word"))
+    want = {(1, "en"): 0.7, (1, "de"): 0.15, (2, "en"): 0.5, (2, "de"): 0.1875, (5, "en"): 0.0, (5, "de"): 0.0}
+    sure = {(1, "en"): 0.8, (1, "de"): 0.6, (2, "en"): 0.5, (2, "de"): 1.0, (5, "en"): 0.0, (5, "de"): 0.0}
+    for head in (0, 1, 100):
+        monkeypatch.setattr(X, "HEAD", head)
+        assert {(r[0], r[1]): r[2] for r in X.frequency_score(docs, words, langs=("en", "de")).collect()} == want
+        assert {(r[0], r[1]): r[2] for r in X.word_confidence(docs, lexicon, langs=("en", "de")).collect()} == sure
+    assert "Exchange hashpartitioning(word" not in plan_of(X.frequency_score(docs, words, langs=("en", "de")))
