@@ -66,8 +66,8 @@ def typable_layouts(df: DataFrame, layouts=tuple(x[0] for x in L.LAYOUTS), col:
 
     Characters that are neither are tolerated; a text in ASCII alone means ``us``.
     """
-    needed = F.array_distinct(F.filter(F.split(F.col(col), ""), lambda c: (c != "") & (c != " ") & (c.rlike(r"^[\x21-\x7E]$") | c.rlike(r"^\p{L}$"))))
-    able = [F.when(F.size(F.array_except(needed, F.array(*(F.lit(c) for c in sorted(set("".join(L.KEYS[x]))))))) == 0, F.lit(x)) for x in layouts]
+    needed = F.regexp_replace(F.col(col), r"[^\x21-\x7E\p{L}]", "")
+    able = [F.when(F.translate(needed, "".join(sorted(set("".join(L.KEYS[x])))), "") == "", F.lit(x)) for x in layouts]
     found = F.array_compact(F.array(*able))
     plain = ~F.col(col).rlike(r"[^\x00-\x7F]")
     return df.withColumn("layouts", F.array_join(found, ",")).withColumn("first", F.when(plain, "us").otherwise(F.get(found, F.lit(0))))
