@@ -78,3 +78,10 @@ def test_words_are_summed_in_place_or_joined(spark, monkeypatch):
         assert {(r[0], r[1]): r[2] for r in X.frequency_score(docs, words, langs=("en", "de")).collect()} == want
         assert {(r[0], r[1]): r[2] for r in X.word_confidence(docs, lexicon, langs=("en", "de")).collect()} == sure
     assert "Exchange hashpartitioning(word" not in plan_of(X.frequency_score(docs, words, langs=("en", "de")))
+
+
+def test_typable_layouts_go_over_a_text_once(spark):
+    texts = spark.createDataFrame([("q",), ("щ",), ("q щ",), ("é",), ("—",), (None,)], "text string")
+    made = V.typable_layouts(texts)
+    assert {r["text"]: r["first"] for r in made.collect()} == {"q": "us", "щ": "ru", "q щ": None, "é": None, "—": "us", None: None}
+    assert "split(" not in plan_of(made)
