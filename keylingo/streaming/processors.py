@@ -5,7 +5,7 @@ the lateness. So rows wait in the state until the watermark has passed them; an
 event-time timer then folds those that are due, in the order of (time, seq).
 The outcome depends on the rows alone, not on how batches cut them or on
 restarts. Rows without a time are left out. A chunk of a batch goes to the state as it comes; what waits is
-bounded by what a key gets within the lateness, once the stream is caught up.
+bounded by what a bucket of keys gets within the lateness, once the stream is caught up.
 """
 
 from __future__ import annotations
@@ -22,19 +22,24 @@ from ..operators import feedback as B
 
 #: Rows later than this are dropped.
 LATE = "10 seconds"
+#: Keys are dealt into as many buckets, which a checkpoint keeps: it can't be read with another number.
+BUCKETS = 1024
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class InOrder(StatefulProcessor):
-    """Rows (key, ts, us, seq, ...) folded in the order of (us, seq) when the watermark has passed them.
+    """Rows of a bucket of keys (ts, none, key, us, seq, ...), each key's folded in the order of (us, seq) when the watermark has passed them.
 
-    A subclass says what waits and what is known, and folds: ``step`` gives the
-    next state and output rows for a row, ``due`` when a state expires by itself,
-    ``expire`` what comes out then. A state of None is forgotten.
+    A call, its frames and its timers cost the same for one row as for thousands,
+    so a bucket of keys shares them; each key has a state of its own. A subclass
+    says what waits and what is known, and folds: ``step`` gives the next state
+    and output rows for a row, ``due`` when a state expires by itself, ``expire``
+    what comes out then. A state of None is forgotten.
     """
 
     waiting = known = ""
     columns: tuple[str, ...] = ()
+    key_type = "long"
 
     def step(self, state, row) -> tuple:
         raise NotImplementedError
@@ -47,43 +52,56 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.longs = handle, [f.split()[0] for f in self.waiting.split(", ") if f.endswith(" long")]
-        self.rows = handle.getListState("rows", f"us long, seq long, {self.waiting}")
-        self.state = handle.getValueState("state", self.known)
+        self.rows = handle.getListState("rows", f"__none boolean, __key {self.key_type}, us long, seq long, {self.waiting}")
+        self.marks = handle.getListState("marks", f"none boolean, key {self.key_type}, us long")
+        self.states = handle.getMapState("states", f"none boolean, key {self.key_type}", self.known)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for chunk in rows:
             chunk = chunk.drop(columns=[chunk.columns[0], "ts"])
             # pandas makes whole numbers with nulls floating ones
             chunk = chunk.astype({c: "Int64" for c in self.longs if chunk[c].dtype.kind == "f"}).astype(object)
             chunk = chunk.where(chunk.notna(), None)
             self.rows.appendList(list(chunk.itertuples(index=False, name=None)))
-            self._wake(int(chunk["us"].min()))
+            least = int(chunk["us"].min())
+            first = least if first is None else min(first, least)
+        if first is not None:
+            self._wake(first)
         yield pd.DataFrame([], columns=self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        before = state = tuple(self.state.get()) if self.state.exists() else None
-        ready, out, later = [], [], []
+        ready, out, later = {}, [], []
         for row in self.rows.get() if self.rows.exists() else ():
-            (ready if row[0] <= now else later).append(tuple(row))
-        for row in sorted(ready, key=lambda r: r[:2]):
-            state, made = self._expired(state, row[0])
-            out += made
-            state, made = self.step(state, row)
-            out += made
-        state, made = self._expired(state, now + 1)
-        out += made
-        if ready:
-            self.rows.put(later) if later else self.rows.clear()
-        if state is None:
-            self.state.clear()
-        elif state != before:
-            self.state.update(state)
-        if later:
-            self._wake(min(r[0] for r in later))
-        if state is not None and self.due(state) is not None:
-            self._wake(self.due(state))
-        yield pd.DataFrame([(key[0], *row) for row in out], columns=self.columns)
+            row = tuple(row)
+            ready.setdefault(row[:2], []).append(row[2:]) if row[2] <= now else later.append(row)
+        marks = {tuple(m) for m in self.marks.get()} if self.marks.exists() else set()
+        left = {m for m in marks if m[2] > now}
+        for of in dict.fromkeys([*ready, *(m[:2] for m in marks - left)]):
+            before = self.states.getValue(of)
+            before = state = None if before is None else tuple(before)
+            name = None if of[0] else of[1]
+            for row in sorted(ready.pop(of, ()), key=lambda r: r[:2]):
+                state, made = self._expired(state, row[0])
+                out += ((name, *r) for r in made)
+                state, made = self.step(state, row)
+                out += ((name, *r) for r in made)
+            state, made = self._expired(state, now + 1)
+            out += ((name, *r) for r in made)
+            if state is None and before is not None:
+                self.states.removeKey(of)
+            elif state is not None and state != before:
+                self.states.updateValue(of, state)
+            if state is not None and self.due(state) is not None:
+                left.add((*of, self.due(state)))
+        for store, was, rest in ((self.rows, None, later), (self.marks, marks, left)):
+            if rest != was and (rest or store.exists()):
+                store.put(list(rest)) if rest else store.clear()
+        for at in (min((r[2] for r in rest), default=None) for rest in (later, left)):
+            if at is not None:
+                self._wake(at)
+        yield pd.DataFrame(out, columns=self.columns)
 
     def _expired(self, state, now: int) -> tuple:
         """The state and what comes out of it if it has expired before ``now``."""
@@ -119,6 +137,7 @@ class Rules(InOrder):
 
     waiting, known = "event string, hyp string", "action string, hyp string, reject long, apply long, override long, touched long, touched_seq long"
     columns = ("token", "action", "hyp", "reject", "apply", "override", "touched", "touched_seq")
+    key_type = "string"
 
     def step(self, state, row) -> tuple:
         us, seq, event, named = row
@@ -129,7 +148,7 @@ class Rules(InOrder):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         for made in super().handleExpiredTimer(key, timerValues, expiredTimerInfo):
-            yield made.tail(1)  # one row a token and batch
+            yield made.drop_duplicates("token", keep="last")  # one row a token and batch
 
 
 class ContextBoost(InOrder):
@@ -194,8 +213,11 @@ class Alternation(InOrder):
 def _in_order(stream: DataFrame, key: str, fold: InOrder, schema: str, late: str) -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     names = [f.split()[0] for f in fold.waiting.split(", ")]
-    rows = stream.where("ts is not null").withWatermark("ts", late).select(key, "ts", F.unix_micros("ts").alias("us"), "seq", *names)
-    return rows.groupBy(key).transformWithStateInPandas(fold, schema, "Append", "EventTime")
+    none = F.lit("" if fold.key_type == "string" else 0)
+    of = [F.col(key).isNull().alias("__none"), F.coalesce(F.col(key).cast(fold.key_type), none.cast(fold.key_type)).alias("__key")]
+    bucket = F.pmod(F.hash(key), F.lit(BUCKETS)).alias("__bucket")
+    rows = stream.where("ts is not null").withWatermark("ts", late).select(bucket, *of, "ts", F.unix_micros("ts").alias("us"), "seq", *names)
+    return rows.groupBy("__bucket").transformWithStateInPandas(fold, schema, "Append", "EventTime")
 
 
 def keystrokes_to_tokens(stream: DataFrame, gap: float = 2.0, late: str = LATE) -> DataFrame:
@@ -262,6 +284,9 @@ def run_to_rules(stream: DataFrame, folder: str, most: int = 500) -> DataFrame:
         return f"{folder}/rules/version={number}"
 
     def sink(batch: DataFrame, number: int) -> None:
+        # written first, since whoever reads a batch twice folds it twice
+        batch.write.mode("overwrite").parquet(f"{folder}/changed")
+        batch = spark.read.schema(schema).parquet(f"{folder}/changed")
         before = spark.read.schema(schema).parquet(version(number - 1)) if number else spark.createDataFrame([], schema)
         newest = batch.unionByName(before.join(batch.select("token"), "token", "left_anti"))
         kept = newest.where("action is not null").orderBy(F.desc("touched"), F.desc("touched_seq"), "token").limit(most)

@@ -148,3 +148,35 @@ def test_late_rows_are_dropped_and_earlier_ones_ordered(spark, tmp_path, parts):
     staged_parts = staged(spark, tmp_path, [*rows, (9, 0, START + 60_000_000, "z", False)], schema, parts)
     got = feed(spark, lambda s: R.run_to_table(R.keystrokes_to_tokens(micros(s)), str(tmp_path / "late"), "append"), tmp_path, staged_parts, schema)
     assert sorted(tuple(r)[1:3] for r in got.collect()) == [(1, "abc"), (2, "def")]
+
+
+def test_keys_of_a_bucket_are_folded_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "BUCKETS", 2)
+    schema = "user_id long, seq long, us long, ch string, is_backspace boolean"
+    users = [None, 0, -5, 2**53 + 1, *range(1, 20)]
+    rows = [(user, n, START + n * 100_000, c, False) for n, c in enumerate("ab c ") for user in users]
+    parts = staged(spark, tmp_path, [*rows, (99, 0, START + 60_000_000, "z", False)], schema, 2)
+    streams = []
+
+    def run(stream):
+        streams.append(R.keystrokes_to_tokens(micros(stream)))
+        return R.run_to_table(streams[-1], str(tmp_path / "bucket"), "append")
+
+    got = feed(spark, run, tmp_path, parts, schema)
+    assert sorted(str(tuple(r)[:3]) for r in got.collect()) == sorted(str((user, n, t)) for user in users for n, t in ((1, "ab"), (2, "c")))
+    assert "__bucket" in streams[-1]._jdf.queryExecution().logical().toString()
+
+
+def test_a_batch_of_rules_is_read_once(spark, tmp_path, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    schema = "token string, action string, hyp string, reject long, apply long, override long, touched long, touched_seq long"
+    rows = spark.createDataFrame([("a", "none", "h", 0, 0, 0, 1, 1), ("b", "none", "h", 0, 0, 0, 2, 2)], schema)
+
+    def counted(parts):
+        for part in parts:
+            seen.add(part.num_rows)
+            yield part
+
+    batch = rows.mapInArrow(counted, schema)
+    monkeypatch.setattr(R, "_run", lambda stream, folder, mode, sink: sink(batch, 0))
+    assert R.run_to_rules(rows, str(tmp_path / "once")).count() == 2 and seen.value == 2
