@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from keylingo import plans
 from keylingo.operators import conversion as V
 from keylingo.operators import lexical as X
+from keylingo.operators import models as M
+from keylingo.operators import lexical as X
 from keylingo.plans import decide_queries, model_queries
 
 
@@ -85,3 +87,16 @@ def test_typable_layouts_go_over_a_text_once(spark):
     made = V.typable_layouts(texts)
     assert {r["text"]: r["first"] for r in made.collect()} == {"q": "us", "щ": "ru", "q щ": None, "é": None, "—": "us", None: None}
     assert "split(" not in plan_of(made)
+
+
+def test_two_models_from_one_pass(spark):
+    docs = spark.createDataFrame([(1, "abcabd", "en"), (2, "ab", "en"), (3, "", "fr"), (4, "xyzabc äöü", "de"), (5, "abcabc", "en")], "doc_id long, text string, lang string")
+    counted = M.count_trigrams_of(docs, F.col("doc_id") < 5)
+    assert sorted(map(tuple, counted.select("lang", "gram", "cnt").collect())) == sorted(map(tuple, M.count_trigrams(docs).collect()))
+    part = counted.where("part > 0").select("lang", "gram", F.col("part").alias("cnt"))
+    assert sorted(map(tuple, part.collect())) == sorted(map(tuple, M.count_trigrams(docs.where("doc_id < 5")).collect()))
+    x, y = M.smoothed(part), M.train_trigrams(docs, k=2.0)
+    both = X.trigram_scores(docs, {"x": (x, M.trigram_header(x)), "y": (y, M.trigram_header(y))})
+    for name, model in (("x", x), ("y", y)):
+        one = X.trigram_score(docs, model, M.trigram_header(model))
+        assert sorted(map(tuple, both.select("doc_id", "lang", "grams", name).collect())) == sorted(map(tuple, one.collect()))
