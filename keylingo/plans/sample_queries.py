@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 
 from ..operators import decide as D
 from ..operators import evaluate as E
-from ..operators import lexical as X
 from ..operators import models as M
 from ..operators import samples as P
 from ..sources.scratch import kept, shared_folder
-from .common import DOCS, documents, sql_translate
+from .common import DOCS, documents, held_out, sql_translate
 from .decide_queries import WORDS, document_words
 from .model_queries import ALL_DOCS
-from .model_queries import _models, lexicon_of, scored, trigram_scores, trigrams
+from .model_queries import by_lang, lexicon_of, scored, scores_of_two, trigram_scores, trigrams
 from .model_queries import HELD as HELD_SQL
 from .model_queries import unigrams
 
@@ -77,12 +76,11 @@ def m8_select_best(spark, d):
 
 
 def m7_blend_models(spark, d):
-    trigrams_, header = _models(spark, d)
-    other = M.train_trigrams(documents(spark, d), k=2.0)
-    parts = []
-    for t, h in ((trigrams_, header), (other, M.trigram_header(other))):
-        scores = X.trigram_score(scored(spark, d), t, h)
-        parts.append(scores.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("lang", "score"))), lambda x: x["score"]).alias("scores")))
+    counted = kept(M.count_trigrams_of(documents(spark, d), ~held_out()), "counts")
+    trained = kept(M.smoothed(counted.where("part > 0").select("lang", "gram", F.col("part").alias("cnt"))), "trigrams")
+    other = kept(M.smoothed(counted.select("lang", "gram", "cnt"), k=2.0), "trigrams")
+    scores = scores_of_two(scored(spark, d), trained, other)
+    parts = [scores.groupBy("doc_id").agg(by_lang(c).alias("scores")) for c in ("x", "y")]
     made = P.blend_models(*parts, key="doc_id")
     return made.select("doc_id", F.posexplode("scores").alias("place", "score")).select("doc_id", F.col("place").cast("long").alias("place"), F.round("score", 6).alias("score"))
 
