@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from ..config import CORRECTIONS, DEFAULT, HYPOTHESES, PREPOSITIONS, Thresholds
 from ..functions import layouts as L
 from ..functions import text as T
+from ..functions.numbers import rounded
 from . import lexical as X
 
 LANGS = ("en", "ru", "he")
@@ -209,7 +210,7 @@ def _immediate(c: Column) -> Column:
 
 
 def _best() -> Column:
-    return _first(F.col("cands"), _immediate, lambda c: F.when(_immediate(c), -c["place"]), lambda c: F.round(c["q"], 9), lambda c: -c["place"])
+    return _first(F.col("cands"), _immediate, lambda c: F.when(_immediate(c), -c["place"]), lambda c: rounded(c["q"], 9), lambda c: -c["place"])
 
 
 def best_correction(scored: DataFrame) -> DataFrame:
@@ -268,7 +269,7 @@ def accept_correction(scored: DataFrame, th: Thresholds = DEFAULT, automatic: bo
 
 def _fast() -> Column:
     """struct(lang, confidence) where one trigram model is clearly best and script and lexicon agree, else null."""
-    ranked = F.reverse(F.array_sort(F.array(*(F.struct(F.round(_own(x, "tri"), 9).alias("r"), F.lit(-n).alias("n"), F.lit(x).alias("lang"), _own(x, "tri").alias("tri")) for n, x in enumerate(LANGS)))))
+    ranked = F.reverse(F.array_sort(F.array(*(F.struct(rounded(_own(x, "tri"), 9).alias("r"), F.lit(-n).alias("n"), F.lit(x).alias("lang"), _own(x, "tri").alias("tri")) for n, x in enumerate(LANGS)))))
     top, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
     good = (top["tri"] >= -8) & (F.col("script") == top["lang"]) & (top["lang"] != "he") & (_own(top["lang"], "word") >= 0.8) & (F.length("token") >= 4)
     return F.when(good, F.struct(top["lang"].alias("lang"), F.least(F.lit(1.0), 0.5 + 0.2 * (top["tri"] - second["tri"])).alias("confidence")))
@@ -296,7 +297,7 @@ def _ensemble(context: Column) -> Column:
         short = 0.05 * scores("nl") + 0.25 * charset + 0.55 * scores("word")
         long = 0.15 * scores("nl") + 0.20 * charset + 0.35 * scores("norm") + 0.30 * scores("word")
         total = F.when(letters <= 3, short).otherwise(long) - 0.2 * mapped + F.when(lang == context, 0.15).otherwise(0.0)
-        return F.struct(F.round(total, 9).alias("r"), F.lit(-mapped).alias("m"), (-name).alias("n"), hyp.alias("hyp"), lang.alias("lang"), text.alias("text"), total.alias("total"))
+        return F.struct(rounded(total, 9).alias("r"), F.lit(-mapped).alias("m"), (-name).alias("n"), hyp.alias("hyp"), lang.alias("lang"), text.alias("text"), total.alias("total"))
 
     def place(hyp: Column) -> Column:
         out = F.lit(len(_BY_NAME))
@@ -379,7 +380,7 @@ def _model(predicted: Column, sure: Column, baseline: Column, th: Thresholds) ->
 
     # of an unknown script only the predicted correction counts
     rivals = F.filter("cands", lambda c: (c["source"] == source) & (F.col("script").isNotNull() | (c["hyp"] == predicted)) & valid(c))
-    pick = _first(rivals, lambda c: F.round(c["quality"] + F.when(c["hyp"] == predicted, 0.12).otherwise(0.0), 9), lambda c: (c["hyp"] != predicted), lambda c: -c["place"])
+    pick = _first(rivals, lambda c: rounded(c["quality"] + F.when(c["hyp"] == predicted, 0.12).otherwise(0.0), 9), lambda c: (c["hyp"] != predicted), lambda c: -c["place"])
     corrected = F.when(asked & ~forbidden & pick.isNotNull(), F.struct(pick["hyp"].alias("hyp"), pick["target"].alias("lang"), F.greatest(sure, F.lit(0.90)).alias("confidence"), pick["text"].alias("text")))
     plain = predicted.isin(*LANGS) & (sure > baseline) & (sure > th.deep_min)
     as_is = F.when(plain, F.struct(predicted.alias("hyp"), predicted.alias("lang"), sure.alias("confidence"), F.col("token").alias("text")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import layouts as L
+from ..functions.numbers import rounded
 from ..operators import conversion as V
 from ..operators import feedback as B
 from .common import table
@@ -37,13 +38,13 @@ def rule_events(spark, d, seen: DataFrame | None = None) -> DataFrame:
 
 
 def a9_profile_stats(spark, d):
-    return B.profile_stats(feedback(spark, d)).withColumn("rate", F.round("rate", 6))
+    return B.profile_stats(feedback(spark, d)).withColumn("rate", rounded("rate", 6))
 
 
 def a10_adjust_confidence(spark, d):
     known = feedback(spark, d)
     decisions = known.select("event_id", "prefix3", "last_lang", F.round(F.pmod(F.col("event_id") * 37, F.lit(100)) / 100, 2).alias("confidence"))
-    return B.adjust_confidence(decisions, B.profile_stats(known, busiest=None)).withColumn("adjusted", F.round("adjusted", 6))
+    return B.adjust_confidence(decisions, B.profile_stats(known, busiest=None)).withColumn("adjusted", rounded("adjusted", 6))
 
 
 def j13_exclude_apps(spark, d):

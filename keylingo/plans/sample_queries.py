@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..operators import decide as D
 from ..operators import evaluate as E
 from ..operators import models as M
@@ -56,7 +57,7 @@ def p21_encode_samples(spark, d):
 
 
 def p21_unknown_rates(spark, d):
-    return P.unknown_rates(P.encode_samples(samples(spark, d))).withColumn("rate", F.round("rate", 6))
+    return P.unknown_rates(P.encode_samples(samples(spark, d))).withColumn("rate", rounded("rate", 6))
 
 
 def _parts(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -67,7 +68,7 @@ def _parts(spark, d) -> tuple[DataFrame, DataFrame]:
 def m5_m6_classifier(spark, d):
     """Predictions for the validation samples by a classifier trained on the others."""
     train, validation = _parts(spark, d)
-    return P.predict_classes(P.train_classifier(train), validation.select("id", "text", "label")).withColumn("confidence", F.round("confidence", 6))
+    return P.predict_classes(P.train_classifier(train), validation.select("id", "text", "label")).withColumn("confidence", rounded("confidence", 6))
 
 
 def m8_select_best(spark, d):
@@ -82,7 +83,7 @@ def m7_blend_models(spark, d):
     scores = scores_of_two(scored(spark, d), trained, other)
     parts = [scores.groupBy("doc_id").agg(by_lang(c).alias("scores")) for c in ("x", "y")]
     made = P.blend_models(*parts, key="doc_id")
-    return made.select("doc_id", F.posexplode("scores").alias("place", "score")).select("doc_id", F.col("place").cast("long").alias("place"), F.round("score", 6).alias("score"))
+    return made.select("doc_id", F.posexplode("scores").alias("place", "score")).select("doc_id", F.col("place").cast("long").alias("place"), rounded("score", 6).alias("score"))
 
 
 def m9_synthetic_cases(spark, d):
@@ -122,7 +123,7 @@ def m10_evaluate_cases(spark, d):
     none = spark.createDataFrame([], "token string, action string, hyp string")
     decided = D.apply_decision(D.route(cases.select(F.col("typed").alias("token")).distinct(), models, none)).select("token", "output")
     judged = cases.withColumn("pair", F.concat_ws("->", "typed_on", "lang")).join(decided, cases["typed"] == decided["token"])
-    return E.class_report(judged, "pair", expected="intended", predicted="output").withColumn("accuracy", F.round("accuracy", 6))
+    return E.class_report(judged, "pair", expected="intended", predicted="output").withColumn("accuracy", rounded("accuracy", 6))
 
 
 QUERIES = {f.__name__: f for f in (
