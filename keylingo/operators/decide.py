@@ -21,6 +21,7 @@ from ..config import CORRECTIONS, DEFAULT, HYPOTHESES, PREPOSITIONS, Thresholds
 from ..functions import layouts as L
 from ..functions import text as T
 from ..functions.numbers import rounded
+from ..sources.scratch import kept
 from . import lexical as X
 
 LANGS = ("en", "ru", "he")
@@ -285,6 +286,14 @@ def _charsets(text: Column) -> Column:
     return F.struct(*(F.when(T.charset_match(text, x), 1.0).otherwise(0.0).alias(x) for x in LANGS))
 
 
+def _charset(text: Column, lang: Column) -> Column:
+    """``_charsets`` under a language that varies by row, without looking at the others."""
+    out = F.when(lang == LANGS[0], F.when(T.charset_match(text, LANGS[0]), 1.0).otherwise(0.0))
+    for x in LANGS[1:]:
+        out = out.when(lang == x, F.when(T.charset_match(text, x), 1.0).otherwise(0.0))
+    return out
+
+
 #: Names of hypotheses in order, which breaks ties.
 _BY_NAME = sorted(h[0] for h in HYPOTHESES)
 
@@ -293,11 +302,11 @@ def _ensemble(context: Column) -> Column:
     """struct(hyp, lang, confidence): as-is and mapped hypotheses by weighted posterior, script, trigram and word scores; ``charset`` has the token's ``_charsets``."""
     token = F.col("token")
 
-    def entry(hyp, name, lang, text, letters, scores, charset, mapped: int) -> Column:
+    def entry(hyp, name, lang, letters, scores, charset, mapped: int) -> Column:
         short = 0.05 * scores("nl") + 0.25 * charset + 0.55 * scores("word")
         long = 0.15 * scores("nl") + 0.20 * charset + 0.35 * scores("norm") + 0.30 * scores("word")
         total = F.when(letters <= 3, short).otherwise(long) - 0.2 * mapped + F.when(lang == context, 0.15).otherwise(0.0)
-        return F.struct(rounded(total, 9).alias("r"), F.lit(-mapped).alias("m"), (-name).alias("n"), hyp.alias("hyp"), lang.alias("lang"), text.alias("text"), total.alias("total"))
+        return F.struct(F.lit(-mapped).alias("m"), (-name).alias("n"), hyp.alias("hyp"), lang.alias("lang"), total.alias("total"))
 
     def place(hyp: Column) -> Column:
         out = F.lit(len(_BY_NAME))
@@ -305,12 +314,12 @@ def _ensemble(context: Column) -> Column:
             out = F.when(hyp == name, n).otherwise(out)
         return out
 
-    letters = _letters(F.lower(token))
-    as_is = F.array(*(entry(F.lit(x), F.lit(_BY_NAME.index(x)), F.lit(x), token, letters, lambda f, x=x: _own(x, f), F.col("charset")[x], 0) for x in LANGS))
+    # what a lambda is given is computed once, what it names in an expression as often as it does
+    as_is = F.get(F.transform(F.array(_letters(F.lower(token))), lambda n: F.array(*(entry(F.lit(x), F.lit(_BY_NAME.index(x)), F.lit(x), n, lambda f, x=x: _own(x, f), F.col("charset")[x], 0) for x in LANGS))), F.lit(0))
     pure = F.filter("cands", lambda c: _under(F.col("charset"), c["source"]) > 0)
-    mapped = F.transform(pure, lambda c: entry(c["hyp"], place(c["hyp"]), c["target"], c["text"], c["letters"], lambda f: c[f], _under(_charsets(c["text"]), c["target"]), 1))
+    mapped = F.transform(pure, lambda c: entry(c["hyp"], place(c["hyp"]), c["target"], c["letters"], lambda f: c[f], _charset(c["text"], c["target"]), 1))
     # greatest first; of equal ones as-is before mapped, then by name
-    by_rank = F.sort_array(F.concat(as_is, mapped), False)
+    by_rank = F.sort_array(F.transform(F.concat(as_is, mapped), lambda e: F.struct(rounded(e["total"], 9).alias("r"), *(e[c].alias(c) for c in ("m", "n", "hyp", "lang", "total")))), False)
     first = F.transform(F.array(by_rank), lambda r: F.struct(r[0]["hyp"].alias("hyp"), r[0]["lang"].alias("lang"), F.least(F.lit(1.0), 2 * (r[0]["total"] - r[1]["total"]) + 0.5).alias("confidence")))
     one = F.struct(F.lit("en").alias("hyp"), F.coalesce(context, F.lit("en")).alias("lang"), F.lit(0.5).alias("confidence"))
     return F.when(F.length(token) == 1, one).otherwise(F.get(first, F.lit(0)))
@@ -325,7 +334,7 @@ def _rule(c: Column, th: Thresholds) -> Column:
     """The first rule that accepts a candidate, or null."""
     prepositions = F.lower(c["text"]).isin(*RUSSIAN_PREPOSITIONS) & (c["target"] == "ru")
     word = (c["word"] >= th.target_word_min) & ((c["word"] >= c["src_word"] + th.target_word_margin) | (c["freq"] >= c["src_freq"] + th.target_word_margin))
-    short = (_letters(F.col("token")) <= 3) & (c["freq"] >= 0.45) & (c["freq"] >= c["src_freq"] + th.target_freq_margin)
+    short = (c["freq"] >= 0.45) & (c["freq"] >= c["src_freq"] + th.target_freq_margin) & (_letters(F.col("token")) <= 3)
     fits = (c["norm"] >= th.target_norm_min) & (c["norm"] >= c["src_norm"] + th.target_norm_margin) & ((c["freq"] >= c["src_freq"]) | (c["word"] >= 0.60))
     return F.when(prepositions, "preposition").when(_immediate(c), "lexicon").when(word, "word").when(short, "short").when(fits, "trigrams")
 
@@ -458,15 +467,18 @@ def route(tokens: DataFrame, models: Models, rules: DataFrame, th: Thresholds =
     """
     token, script = F.col("token"), F.col("script")
     keys = ["token", "last_lang"] if "last_lang" in tokens.columns else ["token"]
-    # rules and predictions meet the bare tokens, as scores are wide
-    frame = apply_rules(tokens.where("token is not null").select(*keys).distinct(), rules, automatic)
+    # rules come first, and what they decide needs no scores; they and predictions meet the bare tokens, as scores are wide
+    ruled = kept(apply_rules(tokens.where("token is not null").select(*keys).distinct(), rules, automatic), "ruled")
+    left = ruled.where("rule is null").select(*keys)
+    frame = scored_tokens(left, models)
+    if len(keys) > 1 or predictions is not None:
+        if predictions is not None:
+            left = left.join(predictions.select("token", "predicted", F.col("confidence").alias("sure")), "token", "left")
+        frame = left.join(frame, "token")
     if len(keys) == 1:
         frame = frame.withColumn("last_lang", F.lit(None).cast("string"))
     if predictions is None:
         frame = frame.withColumns({"predicted": F.lit(None).cast("string"), "sure": F.lit(None).cast("double")})
-    else:
-        frame = frame.join(predictions.select("token", "predicted", F.col("confidence").alias("sure")), "token", "left")
-    frame = frame.join(scored_tokens(tokens, models), "token")
     frame = _accepted(frame.withColumn("cands", _ruled(th)), th, automatic)
     win = F.struct(F.col("best.hyp").alias("hyp"), F.col("best.target").alias("lang"), F.col("win_sure").alias("confidence"), F.col("best.text").alias("text"))
     frame = frame.withColumn("scored", F.when(F.col("win_sure") >= th.standard_path, win))
@@ -490,7 +502,6 @@ def route(tokens: DataFrame, models: Models, rules: DataFrame, th: Thresholds =
     for x in reversed(LANGS):
         listed = F.when(_own(x, "white"), x).otherwise(listed)
     stages = (
-        F.col("rule"),
         keep("mixed", T.mixed_script(token).isNotNull(), T.mixed_script(token)),
         keep("technical", T.technical_kind(token).isNotNull() & F.lit(automatic), F.lit("en")),
         keep("whitelist", listed.isNotNull(), listed),
@@ -501,7 +512,7 @@ def route(tokens: DataFrame, models: Models, rules: DataFrame, th: Thresholds =
         F.when(F.col("guess").isNotNull() & ~F.col("forbidden"), named(F.lit("heuristic"), F.col("guess"))),
         F.col("base"),
     )
-    return frame.select(*keys, F.coalesce(*stages).alias("d")).select(*keys, "d.*")
+    return frame.select(*keys, F.coalesce(*stages).alias("d")).select(*keys, "d.*").unionByName(ruled.where("rule is not null").select(*keys, "rule.*"))
 
 
 def apply_decision(decisions: DataFrame, threshold: float = DEFAULT.correction) -> DataFrame:

@@ -66,7 +66,7 @@ def t3_stream_context_boost(spark, d):
 
 def t8_stream_decisions(spark, d):
     """Words of a stream of documents, decided by the batch cascade into a privacy-safe log; models and rules are made once, before the stream."""
-    models, rules = decide_queries.models(spark, d), kept(decide_queries.rules(decide_queries.tokens(spark, d)), "rules")
+    models, rules = decide_queries.models(spark, d), kept(decide_queries.rules(decide_queries.typed_words(spark, d)), "rules")
 
     docs = _stream(spark, d, "documents").where("text is not null")
     words = docs.select(F.explode(T.words_by_language(F.col("text"), F.col("lang"), M.LANGS)).alias("token"))
