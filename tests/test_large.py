@@ -68,6 +68,32 @@ def test_models_have_all_words(spark, many, query):
     assert model_queries.lexicon_of(model_queries.all_words(spark, many[0])).where("kind = 'whitelist'").count() == 200
 
 
+@pytest.fixture(scope="module")
+def rare(tmp_path_factory):
+    """Short training documents of 200,300 words that occur once, and a frequent one."""
+    folder = tmp_path_factory.mktemp("rare")
+    con = duckdb.connect()
+    con.create_function("spelled", spelled, ["BIGINT"], "VARCHAR")
+    con.execute("CREATE TABLE ids AS SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM range(5000) r(id) WHERE substr(md5(CAST(id AS VARCHAR)), 1, 1) NOT IN ('0', '4', '8', 'c')")
+    con.execute("CREATE TABLE words AS SELECT i // 100 AS n, 'often ' || string_agg(spelled(i), ' ' ORDER BY i) AS text FROM range(200300) r(i) GROUP BY ALL")
+    con.execute(f"COPY (SELECT id AS doc_id, text, 'en' AS lang, 'a' AS source, 1::BIGINT AS n_chars FROM words JOIN ids USING (n)) TO '{folder}/documents.parquet'")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    return str(folder), con
+
+
+@pytest.mark.parametrize("name", ["d3_best_correction"])
+def test_rare_words_score_as_in_sql(spark, rare, name):
+    """Tokens and readings of the last words by rank, which a lexicon of 200,000 words doesn't hold, and of the first."""
+    folder, con = rare
+    some = "^(zz|aa|яя|фф|זז|שש)"
+    df = plans.queries()[name](spark, folder).where(F.col("token").rlike(some))
+    cursor = con.execute(f"SELECT * FROM ({plans.oracle_sql()[name]}) WHERE regexp_matches(token, '{some}')")
+    columns = [c[0] for c in cursor.description]
+    got = sorted(map(str, df.select(columns).collect()))
+    assert len(got) > 1000
+    assert got == sorted(str(spark_row(r, columns)) for r in cursor.fetchall())
+
+
 def test_words_are_summed_in_place_or_joined(spark, monkeypatch):
     """Words of the head and of the tail, unknown ones, keys that repeat, texts without words."""
     docs = spark.createDataFrame([(1, "the the cat xx"), (1, "the"), (2, "rare the"), (3, "..."), (4, None), (5, "xx")], "doc_id long, text string")
