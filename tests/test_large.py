@@ -81,7 +81,7 @@ def rare(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["d3_best_correction"])
+@pytest.mark.parametrize("name", ["d3_best_correction", "d4_accept_correction"])
 def test_rare_words_score_as_in_sql(spark, rare, name):
     """Tokens and readings of the last words by rank, which a lexicon of 200,000 words doesn't hold, and of the first."""
     folder, con = rare
