@@ -1,10 +1,16 @@
-"""Queries on what the given small tables don't hold: many words, texts under few maps."""
+"""Queries on what the given small tables don't hold: many words, texts under few maps, long texts of few words."""
+
+import random
+import re
+from pathlib import Path
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from keylingo import plans
+from keylingo.functions import layouts as L
+from keylingo.operators import context as K
 from keylingo.operators import conversion as V
 from keylingo.operators import lexical as X
 from keylingo.operators import models as M
@@ -126,3 +132,48 @@ def test_two_models_from_one_pass(spark):
     for name, model in (("x", x), ("y", y)):
         one = X.trigram_score(docs, model, M.trigram_header(model))
         assert sorted(map(tuple, both.select("doc_id", "lang", "grams", name).collect())) == sorted(map(tuple, one.collect()))
+
+
+@pytest.mark.parametrize("share", [0, 0.02, 1])
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_segments_get_their_usual_reading_or_another(spark, share, broadcast):
+    rng = random.Random(5)
+    pieces = ["руддщ", "црфе", "12", "a.b", "ща", " ", "  ", "\n", "é", "ёжx", "х[", "\x0b", " й", "𝄞й"]
+    texts = ["", None, " ", "руддщ", "12", " руддщ", "12 12", "руддщ ", *("".join(rng.choices(pieces, k=rng.randint(1, 25))) for _ in range(200))]
+    parts = [re.findall(r"[ \t\n\x0b\f\r]+|[^ \t\n\x0b\f\r]+", text or "") for text in texts]
+    typed, choices = str.maketrans(*L.pair("ru", "us")), {}
+    for part in sorted({p for each in parts for p in each}):
+        usual = part.translate(typed) if part.translate(typed) != part else None
+        choices[part] = rng.choice([None, "", "new x", part, usual]) if rng.random() < share else usual
+    docs, table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(choices.items()), "token string, chosen string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = {r["doc_id"]: (r["changed"], r["text"]) for r in K.correct_segments(docs, table, usual=("ru", "us")).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = {}
+    for n, each in enumerate(parts):
+        changed = sum(choices[p] is not None for p in each)
+        if each:
+            want[n] = (changed, "".join(p if choices[p] is None else choices[p] for p in each) if changed and len(each) > 1 else None)
+    assert got == want
+
+
+def test_corrected_texts_stay_where_they_are(spark, tmp_path):
+    """Texts that repeat few words take less disk than they are long: their distinct words travel, not the texts or their places."""
+    rng, words = random.Random(3), [spelled(n * 977) for n in range(300)]
+    texts = [" ".join(rng.choices([*words, "Why?", "a/b,", "12", "é"], k=5_000)) for _ in range(48)]
+    rows = [(n, text, "en", "a", len(text)) for n, text in enumerate(texts)]
+    folder = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(8).write.parquet(folder)
+    roots = [*spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString(), spark.conf.get("spark.checkpoint.dir")]
+    files = lambda: {p: p.stat().st_size for root in roots for p in Path(root).rglob("*") if p.name.startswith("shuffle_") and p.suffix == ".data" or p.suffix == ".parquet"}
+    earlier = files()
+    got = plans.queries()["d16_correct_segments"](spark, str(tmp_path)).collect()
+    written = sum(size for p, size in files().items() if p not in earlier)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/*.parquet'")
+    cursor = con.execute(plans.oracle_sql()["d16_correct_segments"])
+    assert sorted(map(tuple, got)) == sorted(cursor.fetchall()) and len(got) == len(texts)
+    assert written < sum(map(len, texts))
